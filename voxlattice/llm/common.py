@@ -45,6 +45,10 @@ class Scratch:
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(f"{self.root}/{name}")
+        return self.read(name)
+
+    def read(self, name: str) -> DataFrame:
+        """A staged table once more, with columns of its own: for joins of a table with itself."""
         return self.spark.read.parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

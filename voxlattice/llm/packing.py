@@ -133,7 +133,7 @@ def places(patterns: list[tuple[list[int], int]]) -> dict[str, np.ndarray]:
 
 
 def best_fit_packing(
-    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 100_000
+    docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = 20_000
 ) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
     spark = docs.sparkSession
@@ -142,7 +142,7 @@ def best_fit_packing(
     lengths = cuts.groupBy("length").count().collect()  # at most `capacity` rows
     histogram = {r["length"]: r["count"] for r in lengths}
     table = places(best_two_fit(histogram, capacity))
-    buckets = max(1, sum(histogram.values()) // bucket_rows)
+    buckets = max(64, sum(histogram.values()) // bucket_rows)
 
     cuts = cuts.withColumn("bucket", bucket(buckets, F.col("doc_id"), F.col("piece"), F.col("ids_crc32")))
     before = cuts.groupBy("length", "bucket").count()
