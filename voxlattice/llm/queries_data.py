@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, table
 from .mixing import mixing_plan
 from .packing import best_fit_packing
+from .warc import Archive
 
 #: Where the public vocabulary files are; a parameter of every operator that reads one.
 VOCABULARIES = os.environ.get("VOXLATTICE_VOCABULARIES", "/opt/tokenizers")
@@ -25,9 +26,25 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
-QUERIES = {"op3_best_fit_packing": op3_best_fit_packing, "op9_mix_sources": op9_mix_sources}
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = Archive(Scratch(spark, "op10"))
+    places = archive.write(table(spark, sf_dir, "pages"))
+    archive.index(places)
+    return archive.look_up(places).drop("payload")
+
+
+QUERIES = {"op10_warc": op10_warc, "op3_best_fit_packing": op3_best_fit_packing, "op9_mix_sources": op9_mix_sources}
 
 SQL = {
+    "op10_warc": """
+with p as (
+  select page_id, encode(coalesce(html, '')) as body, sha1(coalesce(html, '')) as digest from pages),
+k as (select digest, max(page_id) as keep from p where octet_length(body) >= 1000 group by digest having count(*) > 1)
+select page_id, cast(octet_length(body) as bigint) as payload_bytes, p.digest as payload_digest,
+  case when keep <> page_id then 'revisit' else 'response' end as record_type,
+  case when keep <> page_id then keep end as refers_to
+from p left join k on p.digest = k.digest
+""",
     "op9_mix_sources": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
