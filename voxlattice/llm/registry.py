@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_data, queries_vectors
+from . import queries_data, queries_text, queries_vectors
 
-_MODULES = (queries_data, queries_vectors)
+_MODULES = (queries_data, queries_text, queries_vectors)
 
 
 def queries() -> dict:
