@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .quality import fit_quality, score_quality
+from .shingle_links import shingle_links
 from .surrogates import replace_entities
 
 #: The key of the surrogates: a secret of the deployment; this default serves tests.
@@ -25,6 +26,27 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_entities(docs, SECRET)
 
 
-QUERIES = {"op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
-
-SQL: dict[str, str] = {}
+def op8_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_links(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+QUERIES = {"op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
+
+SQL: dict[str, str] = {
+    "op8_shingle_links": r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) < 2 then [array_to_string(w, ' ')] else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as g
+  from w where len(w) > 0),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (
+  select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 80 * (x.n + y.n - i)),
+reach as (select a, a as b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+component as (select a, min(b) as c from reach group by a)
+select d.doc_id, coalesce(n, 0) as n_shingles, coalesce(c, d.doc_id) as component_id, d.doc_id = coalesce(c, d.doc_id) as kept
+from documents d left join n on n.doc_id = d.doc_id left join component on component.a = d.doc_id
+""",
+}
