@@ -111,7 +111,7 @@ def exact_top_k(
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // block_rows))
     shard = bucket(shards, F.col("vec_id"), F.lit("shard"))
     points = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.where("asks").withColumn("block", bucket(blocks, F.col("vec_id"), F.lit("block")))
+    queries = scratch.read("rows").where("asks").withColumn("block", bucket(blocks, F.col("vec_id"), F.lit("block")))
 
     def meet(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
