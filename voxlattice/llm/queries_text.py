@@ -5,12 +5,16 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .lm_scoring import score_texts
 from .quality import fit_quality, score_quality
 from .shingle_links import shingle_links
 from .surrogates import replace_entities
 
+#: Where the public vocabulary files are.
+VOCABULARIES = os.environ.get("VOXLATTICE_VOCABULARIES", "/opt/tokenizers")
 #: The key of the surrogates: a secret of the deployment; this default serves tests.
 SECRET = os.environ.get("VOXLATTICE_SECRET", "a key for tests").encode()
 
@@ -30,7 +34,12 @@ def op8_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_links(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {"op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", held_out)
+
+
+QUERIES = {"op6_lm_scores": op6_lm_scores, "op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
 
 SQL: dict[str, str] = {
     "op8_shingle_links": r"""
