@@ -11,6 +11,7 @@ from .common import table
 from .lm_scoring import score_texts
 from .quality import fit_quality, score_quality
 from .shingle_links import shingle_links
+from .suffix_dedup import remove_repeats
 from .surrogates import replace_entities
 
 #: Where the public vocabulary files are.
@@ -39,7 +40,12 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_texts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", held_out)
 
 
-QUERIES = {"op6_lm_scores": op6_lm_scores, "op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return remove_repeats(docs, keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op6_lm_scores": op6_lm_scores, "op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
 
 SQL: dict[str, str] = {
     "op8_shingle_links": r"""
