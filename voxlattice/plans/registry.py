@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-_MODULES = ()
+from . import queries_evaluate
+
+_MODULES = (queries_evaluate,)
 
 
 def queries() -> dict:
