@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_evaluate
+from . import queries_evaluate, queries_prepare
 
-_MODULES = (queries_evaluate,)
+_MODULES = (queries_evaluate, queries_prepare)
 
 
 def queries() -> dict:
