@@ -158,7 +158,9 @@ def _model(spark):
 
 def hinge_model_apply(spark, d):
     rows = degradations(spark, d)
-    scored = fusion.apply_hinges(rows, "row_id", _model(spark), 0.1)
+    rows = rows.withColumn("key", F.xxhash64(*rows.columns)).groupBy("key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fusion.FEATURES])
+    scored = fusion.apply_hinges(rows, "key", _model(spark), 0.1).join(rows.select("key", "copies"), "key")
+    scored = scored.select("mos", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return scored.agg(F.count("*").alias("n"), F.round(F.avg("mos"), 8).alias("mos"))
 
 
