@@ -64,7 +64,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ssrc, seq, arrival, event_id, value: an arrival a row. A stream's numbers follow its events' times; each seventh
     packet arrives again, each eleventh 70 seconds late, and each thirteenth is lost."""
     e = read(spark, sf_dir, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
-    e = e.withColumn("seq", F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    e = e.withColumn("seq", (F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("long"))
     start = F.to_timestamp(F.lit("2024-01-01 00:00:00"))
     late = F.when(F.col("event_id") % 11 == 0, 70).otherwise(F.col("event_id") % 5)
     micros = F.unix_micros(start) + (F.col("seq") * 20 + late) * F.lit(1_000_000)
@@ -77,6 +77,6 @@ PACKETS = """e as (
   select event_id, user_id, ts, value, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events),
 k as (
   select user_id as ssrc, seq, event_id, value,
-    cast(seq * 20 + case when event_id % 11 = 0 then 70 else event_id % 5 end as bigint) as at
+    cast(seq * 20 + case when event_id % 11 = 0 then 70 else event_id % 5 end as bigint) as arrived
   from e where event_id % 13 <> 0),
-a as (select * from k union all select ssrc, seq, event_id, value, at + 1 from k where event_id % 7 = 0)"""
+a as (select * from k union all select ssrc, seq, event_id, value, arrived + 1 from k where event_id % 7 = 0)"""
