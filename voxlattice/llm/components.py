@@ -4,11 +4,16 @@ task needs all neighbours of a node. Every round is staged; rounds grow with the
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Links of a staged file: few links make few files, however many partitions a shuffle has.
+ROWS_A_FILE = 100_000
+
 
 def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataFrame:
     """Edges (a, b) of long ids -> (node, component): the smallest id reachable, for each node that is not its own."""
@@ -20,14 +25,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     stars, seen, turn = scratch.stage(stars, f"{name}0"), None, 0
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
+        files = ceil(state[0] / ROWS_A_FILE)
         if state == seen or not state[0]:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen, turn = state, turn + 1
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(hook(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).distinct()
-        large = scratch.stage(large, f"{name}{turn}large")
+        large = both.join(hook(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
+        large = scratch.stage(large.coalesce(2 * files), f"{name}{turn}large")
         small = large.join(hook(large), "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        last, stars = turn - 1, scratch.stage(small.distinct(), f"{name}{turn}")
+        last, stars = turn - 1, scratch.stage(small.distinct().coalesce(files), f"{name}{turn}")
         scratch.drop(f"{name}{last}")
         scratch.drop(f"{name}{turn}large")

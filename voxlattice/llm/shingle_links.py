@@ -9,8 +9,12 @@ the distance are guaranteed to share a key. (A pair of similarity 0.8 is beyond
 Documents with equal sets are first folded into one class. No key's documents are ever collected or paired with each
 other: each meets the key's pivot (one aggregate a key), links are confirmed on the full sets, components are formed,
 and only keys that still hold several components go on, with pivots drawn anew for each key; what is left after a few
-rounds, documents of different components under one key, is joined once in full, within the signature distance. So no
-link between components is lost, and a group of near copies costs a few comparisons a document.
+rounds, documents of different components under one key, is joined once in full. So no link between components is lost,
+and a group of near copies costs a few comparisons a document.
+
+Pairs are sifted by a bound before any text is read: a set's parity sketch holds, for each of PARITIES bins of hashes,
+whether an odd number of shingles fell into it. Two sketches differ in no more bins than the sets differ in shingles, so
+a pair whose sketches differ more than the similarity allows cannot be similar; none that is similar is turned away.
 
 Defined results: words are runs without white space, ASCII letters in lower case; a text with fewer words than a
 shingle is one shingle; null and blank texts have no shingles, link with nothing and stay; rows with a null id are
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import Powers, Scratch, mix, slices
 from .components import components
 
-SYMBOLS, BITS, CHUNK, DISTANCE = 64, 19, 4, 26
+SYMBOLS, BITS, CHUNK, DISTANCE, PARITIES = 64, 19, 4, 26, 1024
 #: Three symbols of 20 bits (one to spare) in each long.
 LANES, LONGS = 3, -(-SYMBOLS // 3)
 _POWERS = Powers()
@@ -86,6 +90,12 @@ def packed(symbols: np.ndarray) -> np.ndarray:
     return (wide << (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS + 1))).sum(2, dtype=np.uint64).astype(np.int64)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the hashes falls into each of PARITIES bins, as longs."""
+    odd = np.bincount((hashes % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def unpacked(longs: np.ndarray) -> np.ndarray:
     lanes = longs.astype(np.uint64)[:, :, None] >> (np.arange(LANES, dtype=np.uint64) * np.uint64(BITS + 1))
     return (lanes & np.uint64((1 << BITS) - 1)).reshape(len(longs), -1)[:, :SYMBOLS]
@@ -120,6 +130,14 @@ def distance(a: Column, b: Column) -> Column:
     return sum(parts[1:], parts[0])
 
 
+def possible(a: Column, b: Column, percent: int) -> Column:
+    """Whether two signed sets (structs of n, sig and odd) are within the signature distance and can be similar."""
+    apart = [F.bit_count(F.get(a["odd"], F.lit(i)).bitwiseXOR(F.get(b["odd"], F.lit(i)))) for i in range(PARITIES // 64)]
+    # |A - B| + |B - A| <= (|A| + |B|) (1 - s) / (1 + s) for sets of similarity s.
+    bound = sum(apart[1:], apart[0]) * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+    return bound & (distance(a["sig"], b["sig"]) <= DISTANCE)
+
+
 @lru_cache(256)
 def _set(text: str, width: int) -> frozenset:
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -134,7 +152,7 @@ def similar(a: str, b: str, width: int, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, digest (of the whole set) and sig of each row of docs (id, text); a text without words has no sig."""
+    """id, n, digest (of the whole set), sig and odd of each row of docs (id, text); a text without words has no sig."""
 
     def run(batches):
         for batch in batches:
@@ -149,21 +167,23 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                         pa.array([len(h) for h in sets], pa.int64()),
                         pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
                         pa.array([s.tolist() if f else None for s, f in zip(sigs, full, strict=True)], pa.list_(pa.int64())),
+                        pa.array([parities(h).tolist() if f else None for h, f in zip(sets, full, strict=True)], pa.list_(pa.int64())),
                     ],
-                    names=["id", "n", "digest", "sig"],
+                    names=["id", "n", "digest", "sig", "odd"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, sig array<long>")
+    return docs.mapInArrow(run, "id long, n long, digest binary, sig array<long>, odd array<long>")
 
 
 def shingle_links(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2, scratch: Scratch | None = None
+    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, scratch: Scratch | None = None
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each document."""
     scratch = scratch or Scratch(docs.sparkSession, "shingles")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = scratch.stage(signatures(texts, width), "signed")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"))
+    classes = signed.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min_by(F.struct("id", "sig", "odd"), "id").alias("s"))
+    classes = classes.select("n", "digest", F.col("s.id").alias("rep"), "s.sig", "s.odd")
     classes = scratch.stage(classes, "classes")
 
     def spread(batches):
@@ -176,8 +196,13 @@ def shingle_links(
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot != most").select("key", "pivot")
     shared = scratch.stage(shared, "shared")
     held = scratch.stage(keyed.join(shared, "key"), "held")  # (key, id, pivot) of keys with several classes
-    sig = scratch.read("classes").select(F.col("rep").alias("id"), "sig")
-    near = _within(held.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), sig)
+    signed_ = lambda name: scratch.read("classes").select(F.col("rep").alias("id"), F.struct("n", "sig", "odd").alias(name))
+
+    def within(pairs: DataFrame) -> DataFrame:
+        a, b = signed_("sa").withColumnRenamed("id", "a"), signed_("sb").withColumnRenamed("id", "b")
+        return pairs.join(a, "a").join(b, "b").where(possible(F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
+    near = within(held.where("id != pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     tested = scratch.stage(near, "near0")
 
     # The texts that any later round may ask for, moved once.
@@ -193,12 +218,11 @@ def shingle_links(
             draw = F.xxhash64("id", "key", F.lit(turn))
             pivots = open_.groupBy("key").agg(F.min_by(F.struct("id", "component"), draw).alias("p"))
             pairs = open_.join(pivots, "key").where("component != p.component").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
-            near = _within(pairs.distinct(), sig)
+            near = within(pairs.distinct())
         else:
-            left = open_.join(sig, "id").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("sig").alias("sa"))
-            right = scratch.read(f"open{turn}").join(scratch.read("classes").select(F.col("rep").alias("id"), "sig"), "id")
-            right = right.select("key", F.col("id").alias("b"), F.col("component").alias("cb"), F.col("sig").alias("sb"))
-            every = left.join(right, "key").where((F.col("ca") < F.col("cb")) & (distance(F.col("sa"), F.col("sb")) <= DISTANCE))
+            left = open_.join(signed_("sa"), "id").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "sa")
+            right = scratch.read(f"open{turn}").join(signed_("sb"), "id").select("key", F.col("id").alias("b"), F.col("component").alias("cb"), "sb")
+            every = left.join(right, "key").where((F.col("ca") < F.col("cb")) & possible(F.col("sa"), F.col("sb"), percent))
             near = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         fresh = scratch.stage(near.join(tested, ["a", "b"], "left_anti"), f"near{turn}")
         tested = tested.unionByName(fresh)
@@ -213,12 +237,6 @@ def shingle_links(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _within(pairs: DataFrame, sig: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose signatures are within the distance."""
-    a, b = sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sig.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
-    return pairs.join(a, "a").join(b, "b").where(distance(F.col("sa"), F.col("sb")) <= DISTANCE).select("a", "b")
-
-
 def _undecided(held: DataFrame, named: DataFrame) -> DataFrame:
     """key, id, component of the keys that hold more than one component."""
     rows = held.join(named, held["id"] == named["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
