@@ -1,0 +1,136 @@
+"""Quality, surrogates, language-model scores and subword ids."""
+
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voxlattice.llm import attention
+from voxlattice.llm.lm_scoring import score_texts
+from voxlattice.llm.quality import fit_quality, score_quality
+from voxlattice.llm.subword import Subwords
+from voxlattice.llm.surrogates import find, permute, replace_entities, rewrite
+
+BPE = "/opt/tokenizers/byte_bpe_50k.json"
+DATA = "/root/testdata/sf0.01"
+
+
+def test_subwords_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(BPE)
+    own.encode_special_tokens = True
+    texts = ["", " ", "  a", "a  \n b ", "it's we'll 'sx '", "x y　z 12 3a!?", "é́ ß٣ १२ 漢字 😀😀", "<|endoftext|> hi", "\n\n", "end ", "a\t b\r\n"]
+    ids, ends = Subwords(BPE).encode(texts)
+    assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_quality_on_held_out_labels(spark):
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    taught = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 > 0)
+    model = fit_quality(docs, taught)
+    assert len(model.rounds) == 3
+    held = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 == 0).where("toxic = 0")
+    got = score_quality(docs, model).join(held, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    rates = {r["quality"]: r["kept"] for r in got.collect()}
+    assert rates[1] > 0.95 and rates[0] < 0.2
+
+
+def test_quality_edges(spark):
+    docs = spark.createDataFrame([(1, None, None, None, None), (2, "", "s", "en", 0), (None, "a b", "s", "en", 3), (2, "", "s", "en", 0)], "doc_id long, text string, source string, lang string, n_chars long").withColumn("score0", F.lit(1))
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert [r["kept"] for r in score_quality(docs, fit_quality(docs, none)).collect()] == [True] * 4
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (2, None, 0), (9, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = score_quality(docs, fit_quality(docs, labels)).collect()
+    assert len(rows) == 4 and all(0 <= r["score"] <= 1 for r in rows)
+    assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
+
+
+def test_permutation_is_one_to_one():
+    assert sorted(permute(i, 1000, b"k") for i in range(1000)) == list(range(1000))
+
+
+def test_surrogates_keep_type_format_and_coreference():
+    text = "Mr. John Smith, call (988) 555-2485 or +1 988 555 2485; Foo.Bar@Mail.Example.COM = foo.bar@mail.example.com; 4111 1111 1111 1111; 10.2.33.4; password=b7db7aa4a5fcc783; г-жа Анна Иванова"
+    new, n = rewrite(text, b"k", {})
+    assert n == 8
+    before, after = [(k, e) for k, e, _ in find(text)], [(k, e) for k, e, _ in find(new)]
+    assert [k for k, _ in before] == [k for k, _ in after]
+    assert len({e for _, e in before}) == len({e for _, e in after}) and not {e for _, e in before} & {e for _, e in after}
+    assert [before[i] == before[j] for i in range(8) for j in range(8)] == [after[i] == after[j] for i in range(8) for j in range(8)]
+    assert "Mr." in new and "г-жа" in new and [len(w) for w in new.split("; ")[2:5]] == [len(w) for w in text.split("; ")[2:5]]
+
+
+def test_surrogates_do_not_collide_over_a_corpus(spark):
+    numbers = [f"+1 (988) 555-{i:04d}" for i in range(3000)]
+    docs = spark.createDataFrame([(i, f"call {n} now") for i, n in enumerate(numbers)] + [(-1, None), (-2, ""), (-3, "no data")], "doc_id long, text string").withColumn("kind", F.lit("x"))
+    out = {r["doc_id"]: r["text"] for r in replace_entities(docs, b"k").collect()}
+    new = [out[i][5:-4] for i in range(3000)]
+    assert len(set(new)) == 3000 and not set(new) & set(numbers)
+    assert (out[-1], out[-2], out[-3]) == (None, "", "no data")
+
+
+def test_attention_gradients_and_probabilities():
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in attention.fresh().items()}
+    inventory = attention.Inventory.of(rng.integers(0, 50, 6000).astype(float), rng.random(6000) < 0.5)
+    ids = rng.integers(0, 6000, 150)
+    context, target, text = attention.windows(ids, np.array([0, 5, 150]), 5999)
+    # Each token of each text, and its end, is scored once.
+    assert (target >= 0).sum() == 153 and np.bincount(text[np.nonzero(target >= 0)[0]]).tolist() == [1, 6, 146]
+    absent = context < 0
+    rows, own = np.where(absent, 0, inventory.row[context]), np.where(target >= 0, inventory.row[target], -1)
+    g, _ = attention.gradients(p, rows, absent, own)
+    for name in p:
+        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        losses = []
+        for step in (1e-4, -1e-4):
+            moved = {k: v.copy() for k, v in p.items()}
+            moved[name][at] += step
+            losses.append(attention.gradients(moved, rows, absent, own)[1])
+        assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-3)
+    scorer = attention.Scorer(attention.fresh(), inventory)
+    after = [scorer.score(np.array([7, i]), np.array([2]), 5999)[0] - scorer_end(scorer, [7, i]) for i in range(6000)]
+    assert np.log10(np.sum(10.0 ** (np.array(after) - scorer_prefix(scorer)))) == pytest.approx(0, abs=1e-3)
+
+
+def scorer_end(scorer, ids):
+    """log10 probability of the end after ids."""
+    return _last(scorer, [*ids, 5999])
+
+
+def scorer_prefix(scorer):
+    return _last(scorer, [7])
+
+
+def _last(scorer, ids):
+    context, target, _ = attention.windows(np.array(ids[:-1], np.int64), np.array([len(ids) - 1]), ids[-1])
+    absent = context < 0
+    h = scorer.hidden(np.where(absent, 0, scorer.inventory.row[context]), absent)[0, len(ids) - 1][None]
+    row = scorer.inventory.row[ids[-1]]
+    k, m = divmod(int(row), attention.MEMBERS)
+    z, y = h @ scorer.p["u"] + scorer.p["b"], h @ scorer.p["w"][k] + scorer.p["c"][k]
+    return float((z[0, k] - scorer._log_sum(z)[0] + y[0, m] - scorer._log_sum(y)[0]) / np.log(10) + scorer.inventory.log10_share[ids[-1]])
+
+
+def test_lm_scores_base_by_brute_force_and_edges(spark):
+    texts = ["a b c a", "A b", None, "", "x " * 3000, "unseen words here", "a b c a", "a b\tc"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a"), (3, "")], "doc_id long, text string").withColumn("digest", F.lit(0))
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
+    got = score_texts(docs, BPE, held, least=1000).collect()
+    rows = [((t or "").encode().lower().split() + [None], zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2, i) for i, t in [*enumerate(texts), (None, "a"), (3, "")]]
+    counts = Counter(w for words, out, _ in rows if not out for w in words)
+    total = sum(counts.values())
+    expected = sorted((-1 if i is None else i, out, len(w), sum(counts[x] > 0 for x in w), total, round(sum(np.log10((counts[x] + 1) / (total + len(counts) + 1)) for x in w), 6)) for w, out, i in rows)
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == expected
+    assert all(np.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert score_texts(docs.limit(0), BPE, held).count() == 0
+
+
+def test_lm_beats_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    sums = score_texts(docs, BPE, held).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert sums["s"] > sums["b"]
