@@ -14,7 +14,7 @@ from voxlattice.llm.subword import Subwords
 from voxlattice.llm.surrogates import find, permute, replace_entities, rewrite
 
 BPE = "/opt/tokenizers/byte_bpe_50k.json"
-DATA = "/root/testdata/sf0.01"
+DATA, WIDE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def test_subwords_equal_the_library():
@@ -28,7 +28,8 @@ def test_subwords_equal_the_library():
 
 
 def test_quality_on_held_out_labels(spark):
-    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{WIDE}/documents.parquet"), spark.read.parquet(f"{WIDE}/labels.parquet")
+    docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     taught = labels.where(F.crc32(F.col("doc_id").cast("string")) % 4 > 0)
     model = fit_quality(docs, taught)
     assert len(model.rounds) == 3
@@ -55,11 +56,11 @@ def test_permutation_is_one_to_one():
 def test_surrogates_keep_type_format_and_coreference():
     text = "Mr. John Smith, call (988) 555-2485 or +1 988 555 2485; Foo.Bar@Mail.Example.COM = foo.bar@mail.example.com; 4111 1111 1111 1111; 10.2.33.4; password=b7db7aa4a5fcc783; г-жа Анна Иванова"
     new, n = rewrite(text, b"k", {})
-    assert n == 8
+    assert n == 9
     before, after = [(k, e) for k, e, _ in find(text)], [(k, e) for k, e, _ in find(new)]
     assert [k for k, _ in before] == [k for k, _ in after]
     assert len({e for _, e in before}) == len({e for _, e in after}) and not {e for _, e in before} & {e for _, e in after}
-    assert [before[i] == before[j] for i in range(8) for j in range(8)] == [after[i] == after[j] for i in range(8) for j in range(8)]
+    assert [before[i] == before[j] for i in range(9) for j in range(9)] == [after[i] == after[j] for i in range(9) for j in range(9)]
     assert "Mr." in new and "г-жа" in new and [len(w) for w in new.split("; ")[2:5]] == [len(w) for w in text.split("; ")[2:5]]
 
 
@@ -106,7 +107,7 @@ def scorer_prefix(scorer):
 
 
 def _last(scorer, ids):
-    context, target, _ = attention.windows(np.array(ids[:-1], np.int64), np.array([len(ids) - 1]), ids[-1])
+    context, target, _ = attention.windows(np.array(ids[:-1], np.int64), np.array([len(ids) - 1]), 5999)
     absent = context < 0
     h = scorer.hidden(np.where(absent, 0, scorer.inventory.row[context]), absent)[0, len(ids) - 1][None]
     row = scorer.inventory.row[ids[-1]]
