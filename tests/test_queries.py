@@ -21,7 +21,7 @@ def duck():
 
 def plain(frame):
     def value(x):
-        if x is None or x != x or str(x) == "<NA>":
+        if x is None or str(x) == "<NA>" or x != x:
             return None
         return x if isinstance(x, (bool, str)) else float(x) if hasattr(x, "__float__") else str(x)
 
