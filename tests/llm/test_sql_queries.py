@@ -18,7 +18,7 @@ def duck():
 
 def rows(frame):
     columns = sorted(frame.columns)
-    tidy = lambda x: None if x is None or x != x or str(x) == "<NA>" else x if isinstance(x, (bool, str)) else float(x)
+    tidy = lambda x: None if x is None or str(x) == "<NA>" or x != x else x if isinstance(x, (bool, str)) else float(x)
     return sorted([tuple(map(tidy, r)) for r in frame[columns].astype(object).itertuples(index=False)], key=str)
 
 
