@@ -9,8 +9,9 @@ the distance are guaranteed to share a key. (A pair of similarity 0.8 is beyond
 Documents with equal sets are first folded into one class. No key's documents are ever collected or paired with each
 other: each meets the key's pivot (one aggregate a key), links are confirmed on the full sets, components are formed,
 and only keys that still hold several components go on, with pivots drawn anew for each key; what is left after a few
-rounds, documents of different components under one key, is joined once in full. So no link between components is lost,
-and a group of near copies costs a few comparisons a document.
+rounds, documents of different components under one key, is compared in full: blocks of a key's documents meet in pairs,
+each pair of blocks in one task, and those of the largest component are not compared with each other. So no link between
+components is lost, and neither a key nor a group of near copies lands in one task.
 
 Pairs are sifted by a bound before any text is read: a set's parity sketch holds, for each of PARITIES bins of hashes,
 whether an odd number of shingles fell into it. Two sketches differ in no more bins than the sets differ in shingles, so
@@ -138,7 +139,7 @@ def possible(a: Column, b: Column, percent: int) -> Column:
     return bound & (distance(a["sig"], b["sig"]) <= DISTANCE)
 
 
-@lru_cache(256)
+@lru_cache(32)
 def _set(text: str, width: int) -> frozenset:
     words = text.encode("utf-8", "surrogatepass").lower().split()
     return frozenset(zip(*(words[k:] for k in range(width)), strict=False)) if len(words) >= width else frozenset({tuple(words)} if words else ())
@@ -220,10 +221,7 @@ def shingle_links(
             pairs = open_.join(pivots, "key").where("component != p.component").select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"))
             near = within(pairs.distinct())
         else:
-            left = open_.join(signed_("sa"), "id").select("key", F.col("id").alias("a"), F.col("component").alias("ca"), "sa")
-            right = scratch.read(f"open{turn}").join(signed_("sb"), "id").select("key", F.col("id").alias("b"), F.col("component").alias("cb"), "sb")
-            every = left.join(right, "key").where((F.col("ca") < F.col("cb")) & possible(F.col("sa"), F.col("sb"), percent))
-            near = every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            near = across(open_.join(signed_("s"), "id").select("key", "id", "component", "s.*"), percent).distinct()
         fresh = scratch.stage(near.join(tested, ["a", "b"], "left_anti"), f"near{turn}")
         tested = tested.unionByName(fresh)
         found = scratch.stage(_confirmed(fresh, own, width, percent), f"links{turn}")
@@ -237,6 +235,63 @@ def shingle_links(
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def across(rows: DataFrame, percent: int, block_rows: int = 2048) -> DataFrame:
+    """a, b: the possible pairs of different components under one key (rows: key, id, component, n, sig, odd)."""
+    large = rows.groupBy("key").count().where(F.col("count") > block_rows).select("key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+    rows = rows.join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "id", "component", "n", "sig", "odd")
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "lo", "hi")], 1)
+            cuts = np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(names)], strict=True):
+                part = batch.slice(begin, end - begin)
+                if held and begin == 0 and [held[-1].column(c)[0] for c in ("key", "lo", "hi")] == [part.column(c)[0] for c in ("key", "lo", "hi")]:
+                    held.append(part)  # a group that goes on from the batch before
+                else:
+                    if held:
+                        yield _possible_pairs(held, percent)
+                    held = [part]
+        if held:
+            yield _possible_pairs(held, percent)
+
+    ordered = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return ordered.mapInArrow(run, "a long, b long")
+
+
+def _possible_pairs(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
+    """possible(), for the pairs of different components of one group (of two blocks: those between them)."""
+    table = pa.Table.from_batches(parts)
+    block, ids, component, n = (table.column(c).to_numpy() for c in ("block", "id", "component", "n"))
+    flat = lambda c: np.concatenate([p.column(c).flatten().to_numpy() for p in parts]).reshape(len(ids), -1)
+    names, number = np.unique(component, return_inverse=True)
+    largest = number == np.bincount(number).argmax()
+    found = []
+    if len(names) > 1:
+        odd, symbols = flat("odd").view(np.uint64), unpacked(flat("sig"))
+        rest, step = np.flatnonzero(~largest), max(1, (1 << 22) // odd.size)
+        for k in range(0, len(rest), step):
+            i = rest[k : k + step]
+            apart = np.bitwise_count(odd[i][:, None, :] ^ odd[None, :, :]).sum(2, dtype=np.int64)
+            near = apart * (100 + percent) <= (n[i][:, None] + n[None, :]) * (100 - percent)
+            near &= number[i][:, None] != number[None, :]
+            near &= largest[None, :] | (ids[i][:, None] < ids[None, :])
+            if block.min() != block.max():
+                near &= block[i][:, None] != block[None, :]
+            x, y = np.nonzero(near)
+            x = i[x]
+            close = (symbols[x] != symbols[y]).sum(1) <= DISTANCE
+            found.append((ids[x[close]], ids[y[close]]))
+    a, b = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 2
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
 def _undecided(held: DataFrame, named: DataFrame) -> DataFrame:
     """key, id, component of the keys that hold more than one component."""
     rows = held.join(named, held["id"] == named["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
