@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,9 +38,14 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 class Scratch:
     """A folder of staged tables for one call. Staging cuts lineage: a lost executor re-reads files instead of
-    recomputing everything before them. drop() frees a table that no later plan reads; the rest goes at exit."""
+    recomputing everything before them. drop() frees a table that no later plan reads; the rest goes at exit.
+
+    Rows here hold whole texts, so fewer of them than Spark's default go to Python in a batch (unless the session says
+    how many)."""
 
     def __init__(self, spark: SparkSession, label: str):
+        if spark.conf.get(_ROWS_A_BATCH) == "10000":
+            spark.conf.set(_ROWS_A_BATCH, "1000")
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         atexit.register(_delete, spark, self.root)
 
@@ -75,7 +81,7 @@ class Powers:
 
     def grow(self, n: int) -> None:
         if n >= len(self.up):
-            size = 1 << (n + 1).bit_length()
+            size = 1 << n.bit_length()
             for name, base in (("up", self.base), ("down", self.inverse)):
                 powers = np.full(size, base, np.uint64)
                 powers[0] = 1

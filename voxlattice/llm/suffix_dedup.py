@@ -331,7 +331,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
     contexts = keyed.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "body", "wanted")
     contexts = contexts.mapInArrow(cut, "key long, salt int, digest binary, lo int, hi int, x int, done boolean, context binary")
     contexts = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    spans = scratch.stage(contexts.mapInArrow(lambda batches: _sorted_groups(batches, length, 4 << 20), _SPANS), "spans")
+    spans = scratch.stage(contexts.mapInArrow(lambda batches: _sorted_groups(batches, length, 1 << 20), _SPANS), "spans")
     passed = spans.where("h1 is not null")
     # One row of each window and part: as many as a key has parts, however hot it is.
     across = passed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("open"), F.struct("digest", "a", "b"))).alias("open"))
