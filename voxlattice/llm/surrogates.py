@@ -127,7 +127,6 @@ def find(text: str | None):
             yield kind, canonical(kind, match), match
 
 
-@lru_cache(1 << 16)
 def _round(key: bytes, number: int, size: int) -> int:
     return int.from_bytes(hmac.digest(key, number.to_bytes((number.bit_length() + 7) // 8 + 1, "big"), hashlib.sha256)[:24], "big") % size
 
@@ -250,7 +249,7 @@ def rewrite(text: str | None, secret: bytes, redrawn: dict[tuple[str, str], int]
     return (text if not n else "".join([*parts, text[at:]])), n
 
 
-_cached = lru_cache(1 << 16)(surrogate)
+_cached = lru_cache(1 << 13)(surrogate)
 
 
 def entities(docs: DataFrame, text_col: str) -> DataFrame:
@@ -260,7 +259,7 @@ def entities(docs: DataFrame, text_col: str) -> DataFrame:
         seen: set[tuple[str, str]] = set()
         for part in batches:
             new = {(k, e) for t in part["text"] for k, e, _ in find(t)} - seen
-            seen = (seen | new) if len(seen) < 200_000 else new
+            seen = (seen | new) if len(seen) < 50_000 else new
             yield pd.DataFrame(sorted(new), columns=["kind", "entity"])
 
     return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, entity string").distinct()
