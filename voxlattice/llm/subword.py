@@ -41,7 +41,7 @@ class Subwords:
     """encode(texts) -> (ids, ends): all ids in one array, and where each text's ids end."""
 
     #: Characters worked on at once, and words remembered before the memory is emptied.
-    CHARS, WORDS = 1 << 20, 1_500_000
+    CHARS, WORDS = 1 << 20, 700_000
 
     def __init__(self, path: str):
         import tiktoken
