@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from voxlattice.llm import attention
+from voxlattice.llm import attention, lm_scoring
 from voxlattice.llm.lm_scoring import score_texts
 from voxlattice.llm.quality import fit_quality, score_quality
 from voxlattice.llm.subword import Subwords
@@ -135,3 +135,22 @@ def test_lm_beats_the_base_on_held_out_texts(spark):
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     sums = score_texts(docs, BPE, held).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert sums["s"] > sums["b"]
+
+
+def test_lm_learns_every_training_document_at_any_size(spark, monkeypatch):
+    texts = [f"word{i % 90} " * (i % 70) for i in range(400)] + ["one text many times"] * 200
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    staged = {}
+
+    class Kept(lm_scoring.Scratch):
+        def stage(self, frame, name):
+            staged[name] = super().stage(frame, name)
+            return staged[name]
+
+    monkeypatch.setattr(lm_scoring, "Scratch", Kept)
+    score_texts(docs, BPE, held, least=0, shard_ids=2000)
+    shards = {r["shard"]: r["weight"] for r in staged["shards"].collect()}
+    windows = [len(r["ids"]) // 4 // attention.STEP + 1 for r in staged["tokens"].where("not held_out").collect()]
+    assert len(shards) > 4 and sum(shards.values()) == sum(windows)
+    assert max(shards.values()) < 2 * sum(windows) / len(shards) + 20  # nor do the copies of a text gather

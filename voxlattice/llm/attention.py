@@ -40,26 +40,34 @@ class Inventory:
         return cls(row.astype(np.int32), np.log10(weight / np.bincount(row, weight, ROWS)[row]))
 
 
-def windows(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts' ids (end of each in `ends`): contexts (windows x 2 STEP, -1 before the text), targets (windows x STEP,
-    -1 after it) and each window's text. A text is its ids and the end id, which also stands before its first id."""
+def places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each window's text and its first place there."""
+    blocks = -(-(np.diff(ends, prepend=0) + 1) // STEP)
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    return text, (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
+
+
+def cut(ids: np.ndarray, ends: np.ndarray, end_id: int, text: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The contexts and targets of these windows."""
     n = np.diff(ends, prepend=0)
     begin = ends - n
-    blocks = -(-(n + 1) // STEP)
-    text = np.repeat(np.arange(len(n)), blocks)
-    base = (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
-    padded = np.concatenate([ids.astype(np.int64), [end_id]])
 
     def at(place: np.ndarray) -> np.ndarray:
         """Ids at places of each window's text, the end id at -1 and after the last."""
         size = n[text][:, None]
         inside = (place >= 0) & (place < size)
-        got = padded[np.where(inside, begin[text][:, None] + place, len(ids))]
+        got = np.full(place.shape, end_id, np.int64)
+        got[inside] = ids[(begin[text][:, None] + place)[inside]]
         return np.where((place < -1) | (place > size), -1, got)
 
-    context = at(base[:, None] + np.arange(-OVERLAP, STEP)[None, :] - 1)
-    target = at(base[:, None] + np.arange(STEP)[None, :])
-    return context, target, text
+    return at(base[:, None] + np.arange(-OVERLAP, STEP)[None, :] - 1), at(base[:, None] + np.arange(STEP)[None, :])
+
+
+def windows(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' ids (end of each in `ends`): contexts (windows x 2 STEP, -1 before the text), targets (windows x STEP,
+    -1 after it) and each window's text. A text is its ids and the end id, which also stands before its first id."""
+    text, base = places(ends)
+    return *cut(ids, ends, end_id, text, base), text
 
 
 def fresh(seed: int = 7) -> dict[str, np.ndarray]:
@@ -97,19 +105,14 @@ def _forward(p: dict, context: np.ndarray, absent: np.ndarray):
     return q, k, v, a, h
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
+def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
+    """Each row's probabilities (z is overwritten), and the summed loss of the options `at`."""
     z -= z.max(1, keepdims=True)
-    z -= np.log(np.exp(z).sum(1, keepdims=True))
-    return z
-
-
-def _by_class(classes: np.ndarray):
-    """(class, indices of it) for the classes that occur."""
-    order = np.argsort(classes, kind="stable")
-    cuts = np.flatnonzero(np.diff(classes[order])) + 1
-    for part in np.split(order, cuts):
-        if len(part):
-            yield int(classes[part[0]]), part
+    chosen = z[np.arange(len(at)), at]
+    np.exp(z, out=z)
+    total = z.sum(1, keepdims=True)
+    z /= total
+    return z, float((np.log(total[:, 0]) - chosen).sum())
 
 
 class Scorer:
@@ -182,14 +185,17 @@ class Scorer:
         return total
 
 
-def _gather(rows: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+def _gather(rows: np.ndarray, *gradients: np.ndarray) -> list[np.ndarray]:
     """Sums gradients of equal embedding rows."""
-    rows, gradient = rows.ravel(), gradient.reshape(rows.size, -1)
+    rows = rows.ravel().astype(np.uint16)
     order = np.argsort(rows, kind="stable")
     ranked = rows[order]
-    first = np.flatnonzero(np.diff(ranked, prepend=-1))
-    out = np.zeros((ROWS, gradient.shape[1]), gradient.dtype)
-    out[ranked[first]] = np.add.reduceat(gradient[order], first, axis=0)
+    first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
+    out = []
+    for gradient in gradients:
+        sums = np.zeros((ROWS, gradient.shape[-1]), gradient.dtype)
+        sums[ranked[first]] = np.add.reduceat(gradient.reshape(rows.size, -1)[order], first, axis=0)
+        out.append(sums)
     return out
 
 
@@ -199,22 +205,23 @@ def gradients(p: dict, context: np.ndarray, absent: np.ndarray, rows: np.ndarray
     here, real = context[:, OVERLAP:], np.flatnonzero(rows.ravel() >= 0)
     n = max(1, len(real))
     classes, member = np.divmod(rows.ravel()[real], MEMBERS)
+    order = np.argsort(classes.astype(np.uint16), kind="stable")
+    real, classes, member = real[order], classes[order], member[order]
     x = h.reshape(-1, h.shape[2])[real]
-    z = _log_softmax(x @ p["u"] + p["b"])
-    loss = -float(z[np.arange(len(real)), classes].sum())
-    dz = np.exp(z)
+    dz, loss = _softmax(x @ p["u"] + p["b"], classes)
     dz[np.arange(len(real)), classes] -= 1
     dz /= n
     dx = dz @ p["u"].T
     dw, dc = np.zeros_like(p["w"]), np.zeros_like(p["c"])
-    for c, part in _by_class(classes):
-        y = _log_softmax(x[part] @ p["w"][c] + p["c"][c])
-        loss -= float(y[np.arange(len(part)), member[part]].sum())
-        dy = np.exp(y)
-        dy[np.arange(len(part)), member[part]] -= 1
+    cuts = np.flatnonzero(np.diff(classes, prepend=-1))
+    for begin, stop in zip(cuts, [*cuts[1:], len(real)], strict=True):
+        c, own = classes[begin], x[begin:stop]
+        dy, more = _softmax(own @ p["w"][c] + p["c"][c], member[begin:stop])
+        loss += more
+        dy[np.arange(stop - begin), member[begin:stop]] -= 1
         dy /= n
-        dw[c], dc[c] = x[part].T @ dy, dy.sum(0)
-        dx[part] += dy @ p["w"][c].T
+        dw[c], dc[c] = own.T @ dy, dy.sum(0)
+        dx[begin:stop] += dy @ p["w"][c].T
     flat = np.zeros((h.shape[0] * STEP, h.shape[2]), h.dtype)
     flat[real] = dx * (1 - x * x)
     dh = flat.reshape(h.shape)
@@ -222,12 +229,14 @@ def gradients(p: dict, context: np.ndarray, absent: np.ndarray, rows: np.ndarray
     da = np.matmul(split, v.transpose(0, 1, 3, 2))
     ds = a * (da - (a * da).sum(3, keepdims=True))
     scaled = ds * np.float32(KEY**-0.5)
+    gq, gs = _gather(here, _joined(np.matmul(scaled, k)), dh)
+    gk, gv = _gather(context, _joined(np.matmul(scaled.transpose(0, 1, 3, 2), q)), _joined(np.matmul(a.transpose(0, 1, 3, 2), split)))
     return {
-        "q": _gather(here, _joined(np.matmul(scaled, k))),
-        "k": _gather(context, _joined(np.matmul(scaled.transpose(0, 1, 3, 2), q))),
-        "v": _gather(context, _joined(np.matmul(a.transpose(0, 1, 3, 2), split))),
-        "s": _gather(here, dh),
-        "r": _gather(context[:, OVERLAP - 1 : -1], dh),
+        "q": gq,
+        "k": gk,
+        "v": gv,
+        "s": gs,
+        "r": _gather(context[:, OVERLAP - 1 : -1], dh)[0],
         "u": x.T @ dz,
         "b": dz.sum(0),
         "w": dw,
@@ -236,14 +245,17 @@ def gradients(p: dict, context: np.ndarray, absent: np.ndarray, rows: np.ndarray
     }, loss / n
 
 
-def train(p: dict, inventory: Inventory, context: np.ndarray, target: np.ndarray, rate: float, batch: int = 64, seed: int = 0) -> dict:
-    """One pass of Adam over the windows, in random order, with a rate that falls to a tenth."""
+def train(p: dict, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, rate: float, batch: int = 64, seed: int = 0) -> dict:
+    """One pass of Adam over all windows of the texts, in random order, with a rate that falls to a tenth. Windows are
+    cut out a batch at a time."""
     p = {name: x.copy() for name, x in p.items()}
     m, s = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
-    order = np.random.default_rng(seed).permutation(len(context))
+    text, base = places(ends)
+    order = np.random.default_rng(seed).permutation(len(text))
     turns = range(0, len(order), batch)
     for step, at in enumerate(turns, 1):
-        c, t = context[order[at : at + batch]], target[order[at : at + batch]]
+        own = np.sort(order[at : at + batch])
+        c, t = cut(ids, ends, end_id, text[own], base[own])
         absent = c < 0
         g, _ = gradients(p, np.where(absent, 0, inventory.row[c]), absent, np.where(t >= 0, inventory.row[t], -1))
         now = np.float32(rate * (1 - 0.9 * step / max(1, len(turns))))

@@ -1,12 +1,12 @@
 """Language-model scores of whole texts: a causal self-attention model over subword ids, beside a unigram base.
 
 Both see a text as its words (runs without white space, ASCII letters in lower case) and an end. Plan: texts are
-encoded once and staged as ids; ids and words are counted over all training documents; the model is trained on a share
-of them that grows with the corpus, first in one task, then in as many tasks as the share needs, whose models are
-averaged in a tree; scoring streams over the staged ids. The base needs the count of each word of each text. Words that
-make up at least 1 / HEAVY of all tokens are at most HEAVY by count, so they are broadcast; batches of documents send
-the others, each once with the documents it stands in, to buckets of words that their counts are sent to as well, and
-get partial sums back. No word, however common, gathers its documents in one task.
+encoded once and staged as ids; ids and words are counted over all training documents; the model is trained on all of
+them, at every size: from a start that one task makes on a bounded part, in shards, whose models are averaged in a tree;
+scoring streams over the staged ids. The base needs the count of each word of each text. Words that make up at least
+1 / HEAVY of all tokens are at most HEAVY by count, so they are broadcast; batches of documents send the others, each
+once with the documents it stands in, to buckets of words that their counts are sent to as well, and get partial sums
+back. No word, however common, gathers its documents in one task.
 
 Defined results: a null text is empty (an end alone); a null id counts as the empty text (training); equal texts score
 alike; without training documents the base is that of unseen words and the model stays as it is drawn; an empty table
@@ -28,8 +28,8 @@ from . import attention
 from .common import Powers, Scratch, mix, slices
 from .subword import subwords
 
-#: Words broadcast at most; words of a bucket; bytes of text in a batch; scores a task remembers.
-HEAVY, BUCKET_WORDS, BATCH, REMEMBERED = 50_000, 300_000, 1 << 20, 1 << 16
+#: Words broadcast at most; words of a bucket; bytes of text in a batch; scores a task remembers; ids of the model's start.
+HEAVY, BUCKET_WORDS, BATCH, REMEMBERED, START_IDS = 50_000, 300_000, 1 << 20, 1 << 16, 1_200_000
 _POWERS = Powers()
 
 
@@ -123,27 +123,27 @@ def fit(tokens: DataFrame, inventory: attention.Inventory, n_ids: int, end_id: i
     """The model: trained on `share` of the training ids (`least` ids, or all, if that is more), in shards."""
     spark = tokens.sparkSession
     share = max(share, min(1.0, least / max(1, n_ids)))
-    chosen = tokens.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20))).select("digest", "ids")
-    shards = max(1, round(share * n_ids / shard_ids))
-    chosen = scratch.stage(chosen.withColumn("shard", F.pmod(F.xxhash64("digest", F.lit("shard")), F.lit(shards)).cast("int")), "sample")
+    dealt = lambda word, n: F.pmod(F.xxhash64("digest", "id", F.lit(word)), F.lit(n)).cast("int")  # noqa: E731  copies of a text are dealt by id
+    chosen = tokens.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    shards, starts = (max(1, round(share * n_ids / n)) for n in (shard_ids, START_IDS))
     context = spark.sparkContext
 
-    def trained(start: dict, rows: DataFrame, rate: float, name: str) -> dict:
+    def trained(start: dict, rows: DataFrame, left: int, rate: float, batch: int, name: str) -> dict:
         sent = context.broadcast((attention.packed(start), inventory))
 
         def run(part: pd.DataFrame) -> pd.DataFrame:
             data, own = sent.value
-            part = part.sort_values("digest")
+            part = part.sort_values(["digest", "id"])
             ids = [np.frombuffer(x, "<u4") for x in part["ids"]]
-            c, t, _ = attention.windows(np.concatenate(ids), np.cumsum([len(x) for x in ids]), end_id)
-            model = attention.train(attention.unpacked(data), own, c, t, rate, seed=int(part["shard"].iloc[0]))
-            return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "weight": [float(len(c))], "model": [attention.packed(model)]})
+            ends = np.cumsum([len(x) for x in ids])
+            model = attention.train(attention.unpacked(data), own, np.concatenate(ids), ends, end_id, rate, batch, seed=int(part["shard"].iloc[0]))
+            return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "weight": [float(len(attention.places(ends)[0]))], "model": [attention.packed(model)]})
 
         def mean(part: pd.DataFrame) -> pd.DataFrame:
             models = np.average([np.frombuffer(m, "<f4") for m in part["model"]], axis=0, weights=part["weight"]).astype("<f4")
             return pd.DataFrame({"shard": [int(part["shard"].iloc[0]) // 16], "weight": [part["weight"].sum()], "model": [models.tobytes()]})
 
-        made, left, level = scratch.stage(rows.groupBy("shard").applyInPandas(run, "shard int, weight double, model binary"), name), shards, 0
+        made, level = scratch.stage(rows.select("shard", "digest", "id", "ids").groupBy("shard").applyInPandas(run, "shard int, weight double, model binary"), name), 0
         while left > 16:  # a tree of means, 16 models at a time
             made = scratch.stage(made.groupBy(F.floor(F.col("shard") / 16)).applyInPandas(mean, "shard int, weight double, model binary"), f"{name}-{level}")
             left, level = -(-left // 16), level + 1
@@ -153,8 +153,8 @@ def fit(tokens: DataFrame, inventory: attention.Inventory, n_ids: int, end_id: i
         flat = np.average([np.frombuffer(r["model"], "<f4") for r in found], axis=0, weights=[r["weight"] for r in found])
         return attention.unpacked(flat.astype("<f4").tobytes())
 
-    model = trained(attention.fresh(), chosen.where("shard = 0"), 0.01, "first")
-    return trained(model, chosen, 0.004, "shards")
+    model = trained(attention.fresh(), chosen.withColumn("shard", dealt("start", starts)).where("shard = 0"), 1, 0.01, 64, "first")
+    return trained(model, chosen.withColumn("shard", dealt("shard", shards)), shards, 0.01, 256, "shards")
 
 
 def model_scores(tokens: DataFrame, model: dict, inventory: attention.Inventory, end_id: int) -> DataFrame:
@@ -260,7 +260,7 @@ def _part(bucket: int, names: bytes, x: bytes, y: bytes, pairs: bytes) -> pa.Rec
 
 
 def score_texts(
-    docs: DataFrame, tokenizer: str, held_out: Column, end_id: int = 50256, share: float = 0.02, least: int = 1_500_000, shard_ids: int = 1_200_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer: str, held_out: Column, end_id: int = 50256, share: float = 1.0, least: int = 0, shard_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document; those for which
     `held_out` holds teach neither model."""
