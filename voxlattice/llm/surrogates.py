@@ -64,9 +64,9 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     rf"|(?P<name>(?<!\w)(?P<title>{'|'.join(t for titles in TITLES.values() for t in titles)})\.? (?P<given>[^\W\d_]+) (?P<surname>[^\W\d_]+)(?!\w))"
 )
-#: Every entity holds or follows one of these; the pattern is tried around them alone.
+#: Every entity holds or follows one of these, or begins with a title or AKIA; the pattern is tried around them alone.
 _SIGN = re.compile(r"[@\d=:]")
-_TITLE = re.compile(rf"(?:{'|'.join(t for titles in TITLES.values() for t in titles)})\.? ")
+_BEGIN = re.compile(rf"(?:{'|'.join(t for titles in TITLES.values() for t in titles)})\.? (?=(?P<rest>[^\W\d_]+ [^\W\d_]+)?)|AKIA")
 _AROUND = 80
 
 
@@ -94,27 +94,42 @@ def canonical(kind: str, match: re.Match) -> str:
     return text.lower() if kind == "email" else text
 
 
+def _reaches(text: str):
+    """The stretch that an entity around each mark can take, but for the rest of the words at its ends."""
+    for m in _SIGN.finditer(text):
+        begin, end = m.span()
+        if text[begin] in "=:":  # a secret stands behind any amount of white space
+            while begin and text[begin - 1].isspace():
+                begin -= 1
+            while end < len(text) and text[end].isspace():
+                end += 1
+        yield max(0, begin - _AROUND), min(len(text), end + _AROUND)
+    for m in _BEGIN.finditer(text):
+        yield m.start(), max(m.end(), m.end("rest"))
+
+
 def _windows(text: str):
-    """Stretches of the text that hold all entities, from white space to white space."""
-    marks = sorted([m.start() for m in _SIGN.finditer(text)] + [m.start() for m in _TITLE.finditer(text)])
-    begin = end = 0
-    for at in marks:
-        if at < end:
+    """Stretches of the text that hold all entities whole, from white space to white space."""
+    begin = end = stop = -1
+    for a, b in sorted(_reaches(text)):
+        if a > end and begin >= 0:
+            end = stop = _word_end(text, end)
+        if begin >= 0 and a <= end:
+            end = max(end, b)
             continue
-        stop = max(0, at - _AROUND)
-        while stop > begin and not text[stop - 1].isspace():
-            stop -= 1
-        begin, end = max(end, stop), at + 1
-        # On to the first white space that has no other mark near.
-        while True:
-            near = _SIGN.search(text, end, end + _AROUND)
-            if near is None:
-                break
-            end = near.end()
-        end = min(len(text), end + _AROUND)
-        while end < len(text) and not text[end].isspace():
-            end += 1
-        yield begin, end
+        if begin >= 0:
+            yield begin, end
+        while a > max(0, stop) and not text[a - 1].isspace():
+            a -= 1
+        begin, end = a, b
+    if begin >= 0:
+        yield begin, _word_end(text, end)
+
+
+def _word_end(text: str, at: int) -> int:
+    while at < len(text) and not text[at].isspace():
+        at += 1
+    return at
 
 
 def find(text: str | None):
