@@ -75,6 +75,47 @@ def test_descent_finds_weights():
     assert w == pytest.approx([1.0, 0.5, 0.0, 0.2], abs=0.03)
 
 
+def _literal_fit(rows, w, bias, epochs, lr, l2, decay, every):
+    """The reference's loop over rows (x, y)."""
+    w = list(w)
+    for epoch in range(epochs):
+        gb, gw = 0.0, [0.0] * len(w)
+        for x, y in rows:
+            raw = 5 - bias - sum(a * b for a, b in zip(w, x, strict=True))
+            if 1 < raw < 5:
+                gb -= 2 * (raw - y)
+                gw = [g - 2 * (raw - y) * v for g, v in zip(gw, x, strict=True)]
+        bias = max(0, bias - lr * gb / len(rows))
+        w = [max(0, v - lr * (g / len(rows) + 2 * l2 * v)) for v, g in zip(w, gw, strict=True)]
+        if epoch and epoch % every == 0:
+            lr *= decay
+    return [*w, bias]
+
+
+def test_hinge_fit_sees_all_bases_and_refits_on_both_splits(spark):
+    rng = np.random.default_rng(4)
+    n = len(fusion.FEATURES)
+    values = [(*map(float, v), float(y), s) for v, y, s in zip(rng.random((9, n)), 1 + 4 * rng.random(9), ["train"] * 6 + ["dev"] * 3, strict=True)]
+    values += values[:4]  # equal rows count as often as they occur
+    rows = spark.createDataFrame(values, ", ".join(f"{c} double" for c in fusion.FEATURES) + ", truth double, split string")
+    found = fit.fit_best(rows, fusion.FEATURES, "truth", [0.0005, 0.1], 12, 20, 0.018, expand=fusion.bases(), decay=0.72, every=5, start=0.02).collect()[0]
+
+    def basis(x):
+        v, top = dict(zip(fusion.FEATURES, x, strict=True)), sorted(x)[::-1][:3]
+        pairs = [("echo", "base"), ("choppiness", "bad_interval"), ("residual", "noisiness"), ("clipping", "bad_interval"), ("visqol_speech", "base")]
+        return [max(0, z - k) for z in [*x, top[0], sum(top) / 3, *(v[a] * v[b] for a, b in pairs)] for k in fusion.KNOTS]
+
+    data = [(basis(r[:n]), r[n], r[n + 1]) for r in values]
+    trials = []
+    for l2 in (0.0005, 0.1):
+        w = _literal_fit([(x, y) for x, y, s in data if s == "train"], [0.02] * 168, 0.02, 12, 0.018, l2, 0.72, 5)
+        errors = [(min(5, max(1, 5 - w[-1] - np.dot(w[:-1], x))) - y) ** 2 for x, y, s in data if s == "dev"]
+        trials.append((np.mean(errors) ** 0.5, l2))
+    rmse, l2 = min(trials)
+    assert (found["l2"], found["rmse"]) == (l2, pytest.approx(rmse))
+    assert found["weights"] == pytest.approx(_literal_fit([(x, y) for x, y, _ in data], [0.02] * 168, 0.02, 20, 0.018, l2, 0.72, 5))
+
+
 def test_wav_round_trip_and_errors():
     x = np.sin(np.arange(500) / 9) * 0.7
     rate, back, problem = files.decode_wav(files.encode_wav(x, 8000))

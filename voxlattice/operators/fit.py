@@ -1,44 +1,69 @@
 """Monotone fits: projected gradient descent with weights that stay at or above zero. A grid of penalties is fitted in
-parallel, a group a penalty; the rows of a fit are a bounded table (labelled recordings)."""
+parallel, a group a penalty; the rows of a fit are a bounded table (labelled recordings), and equal ones are sent once,
+with their count."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from voxlattice.functions.columns import clamp
 
-def descend(x: np.ndarray, y: np.ndarray, epochs: int, rate: float, l2: float, decay: float = 0.7, every: int = 3000, start: float = 0.5, bias: float = 0.02) -> np.ndarray:
-    """Weights and, last, the bias of 5 - bias - x w. Rows whose estimate is clipped (at 1 or 5) give no gradient."""
-    w, b = np.full(x.shape[1], start), bias
+
+def descend(
+    x: np.ndarray, y: np.ndarray, epochs: int, rate: float, l2: float, decay: float = 0.7, every: int = 3000, start: float | list[float] = 0.5, bias: float = 0.02, counts: np.ndarray | None = None
+) -> np.ndarray:
+    """Weights and, last, the bias of 5 - bias - x w. Rows whose estimate is clipped (at 1 or 5) give no gradient. The
+    rate falls after epochs `every`, 2 `every` and so on, counted from 0."""
+    w, b = np.zeros(x.shape[1]) + start, bias
+    share = np.full(len(y), 1 / max(1, len(y))) if counts is None else counts / counts.sum()
     for epoch in range(epochs):
         raw = 5 - b - x @ w
         live = (raw > 1) & (raw < 5)
-        error = np.where(live, raw - y, 0) / len(y)
-        step = rate * decay ** (epoch // every)
+        error = np.where(live, raw - y, 0) * share
+        step = rate * decay ** (max(0, epoch - 1) // every)
         w = np.maximum(0, w + step * (2 * x.T @ error - 2 * l2 * w))
         b = max(0.0, b + step * 2 * error.sum())
     return np.append(w, b)
 
 
-def fit_grid(rows: DataFrame, features: list[str], label: str, penalties: list[float], epochs: int, rate: float) -> DataFrame:
-    """l2, rmse (on split dev), weights: rows have split train or dev."""
+def fit_grid(
+    rows: DataFrame, features: list[str], label: str, penalties: list[float], epochs: int, rate: float, expand: list[Column] | None = None, all_rows: bool = False, **descent
+) -> DataFrame:
+    """l2, rmse (on split dev), weights: rows have split train or dev. `all_rows`: both are learnt, and rmse is on both.
+    `expand`: what the model sees, made of the features (by default these themselves)."""
     grid = rows.sparkSession.createDataFrame([(p,) for p in penalties], "l2 double")
-    table = rows.select(*[F.col(c).cast("double").alias(c) for c in features], F.col(label).cast("double").alias("_y"), "split").crossJoin(F.broadcast(grid))
+    split = F.lit("all") if all_rows else F.col("split")
+    table = rows.select(*[F.col(c).cast("double").alias(c) for c in features], clamp(F.col(label).cast("double"), 1, 5).alias("_y"), split.alias("split"))
+    table = table.groupBy(*table.columns).agg(F.count("*").alias("_n"))
+    seen = F.array(*(expand or [F.col(c) for c in features]))
+    table = table.select(seen.alias("x"), "_y", "split", "_n", F.struct(*features).alias("_place")).crossJoin(F.broadcast(grid))
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values([*features, "_y"])
-        dev = part["split"] == "dev"
-        x, y = part[features].to_numpy(), part["_y"].to_numpy()
-        w = descend(x[~dev], y[~dev], epochs, rate, float(part["l2"].iloc[0]))
+        order = sorted(range(len(part)), key=lambda i: (*part["_place"].iloc[i].values(), part["_y"].iloc[i]))
+        part = part.iloc[order]
+        x, y, n = np.stack(part["x"].to_list()), part["_y"].to_numpy(), part["_n"].to_numpy().astype(float)
+        train, dev = (np.ones(len(y), bool),) * 2 if all_rows else ((part["split"] != "dev").to_numpy(), (part["split"] == "dev").to_numpy())
+        w = descend(x[train], y[train], epochs, rate, float(part["l2"].iloc[0]), counts=n[train], **descent)
         estimate = np.clip(5 - w[-1] - x[dev] @ w[:-1], 1, 5)
-        rmse = float(np.sqrt(np.mean((estimate - y[dev]) ** 2))) if dev.any() else 0.0
+        rmse = float(np.sqrt(np.average((estimate - y[dev]) ** 2, weights=n[dev]))) if dev.any() else 0.0
         return pd.DataFrame({"l2": [float(part["l2"].iloc[0])], "rmse": [rmse], "weights": [w.tolist()]})
 
     return table.groupBy("l2").applyInPandas(run, "l2 double, rmse double, weights array<double>")
 
 
+def fit_best(rows: DataFrame, features: list[str], label: str, penalties: list[float], epochs: int, last_epochs: int, rate: float, **fitted) -> DataFrame:
+    """l2, rmse (on split dev), weights: the penalty that is best on dev after training on train, with the weights of
+    another fit on train and dev."""
+    chosen = best(fit_grid(rows, features, label, penalties, epochs, rate, **fitted)).first()
+    if chosen is None:
+        raise ValueError("no rows")
+    final = fit_grid(rows, features, label, [chosen["l2"]], last_epochs, rate, all_rows=True, **fitted)
+    return final.select("l2", F.lit(chosen["rmse"]).alias("rmse"), "weights")
+
+
 def best(grid: DataFrame) -> DataFrame:
     """The penalty with the least error on dev; of equal ones the least."""
     return grid.orderBy("rmse", "l2").limit(1)

@@ -55,6 +55,12 @@ def derived() -> list[Column]:
     ]
 
 
+def bases() -> list[Column]:
+    """max(0, feature - knot) for all features, derived ones too, and for each all knots: what the hinge model's fit sees."""
+    top = dict(zip(DERIVED, derived(), strict=True))
+    return [F.greatest(F.lit(0.0), (top[c] if c in top else F.col(c)) - F.lit(k)) for c in [*FEATURES, *DERIVED] for k in KNOTS]
+
+
 def hinges(rows: DataFrame, key: str) -> DataFrame:
     """key, feature, knot, value: max(0, feature - knot) for all features and knots."""
     wide = rows.select(key, *FEATURES, *derived())

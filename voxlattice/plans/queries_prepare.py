@@ -165,21 +165,34 @@ def hinge_model_apply(spark, d):
 
 
 def _fit_rows(spark, d):
-    means = degradations(spark, d).groupBy("p_type", F.col("base").alias("level"), "coloration").agg(*[F.avg(c).alias(c) for c in ("missing", "added", "noisiness", "loudness")])
+    """Labelled conditions: 6 types, 11 levels and 50 colorations at most."""
+    others = [c for c in fusion.FEATURES if c not in ("base", "coloration")]
+    means = degradations(spark, d).groupBy("p_type", "base", "coloration").agg(*[F.avg(c).alias(c) for c in others])
     truth = clamp(5 - 0.3 - 1.2 * F.col("missing") - 0.8 * F.col("added") - 0.4 * F.col("loudness"), 1, 5)
-    return means.withColumn("truth", truth).withColumn("split", F.when(F.crc32(F.concat("p_type", F.col("level").cast("string"))) % 4 == 0, "dev").otherwise("train"))
+    rows = means.withColumn("truth", truth).withColumn("split", F.when(F.crc32(F.concat("p_type", F.col("base").cast("string"))) % 4 == 0, "dev").otherwise("train"))
+    return rows.select("truth", "split", *[clamp(F.col(c)).alias(c) for c in fusion.FEATURES])
+
+
+def _fit_all(rows, features, l2, epochs, rate, **descent):
+    if rows.isEmpty():
+        raise ValueError("no rows")
+    return fit.fit_grid(rows, features, "truth", [l2], epochs, rate, all_rows=True, **descent)
 
 
 def fit_base_weights(spark, d):
-    return fit.fit_grid(_fit_rows(spark, d), ["missing", "added", "noisiness", "loudness"], "truth", [0.002], 3000, 0.03)
+    rows = _fit_rows(spark, d).withColumn("expert", F.col("visqol_speech"))
+    return _fit_all(rows, list(fusion.BASE)[1:], 0.002, 12000, 0.03)
 
 
 def fit_fusion_weights(spark, d):
-    return fit.fit_grid(_fit_rows(spark, d), ["missing", "added", "loudness"], "truth", [0.001], 3000, 0.015)
+    rows = _fit_rows(spark, d)
+    rows = rows.withColumn("base", F.greatest(F.lit(0.0), 5 - fusion.base_mos()))
+    return _fit_all(rows, list(fusion.FINAL)[1:], 0.001, 16000, 0.015, every=4000, start=list(fusion.FINAL.values())[1:], bias=fusion.FINAL["bias"])
 
 
 def fit_hinge_grid(spark, d):
-    return fit.best(fit.fit_grid(_fit_rows(spark, d), ["missing", "added", "noisiness", "loudness"], "truth", [0.0, 0.0005, 0.002, 0.01], 2000, 0.03))
+    penalties = [0.0005, 0.001, 0.003, 0.01, 0.03, 0.1]
+    return fit.fit_best(_fit_rows(spark, d), fusion.FEATURES, "truth", penalties, 12000, 16000, 0.018, expand=fusion.bases(), decay=0.72, start=0.02)
 
 
 QUERIES = {f.__name__: f for f in (
