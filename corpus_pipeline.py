@@ -18,7 +18,8 @@ from voxlattice.llm.common import Scratch, table
 from voxlattice.llm.mixing import mix_sources
 from voxlattice.llm.packing import best_fit_packing
 from voxlattice.llm.quality import fit_quality, score_quality
-from voxlattice.llm.queries_text import SECRET, VOCABULARIES
+from voxlattice.llm.queries_data import BYTE_BPE
+from voxlattice.llm.queries_text import SECRET
 from voxlattice.llm.shingle_links import drop_near_duplicates
 from voxlattice.llm.surrogates import replace_entities
 
@@ -43,7 +44,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return best_fit_packing(docs, f"{VOCABULARIES}/byte_bpe_50k.json")
+    return best_fit_packing(docs, BYTE_BPE)
 
 
 STAGES = [

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from voxlattice.llm.quality import fit_quality, score_quality
 from voxlattice.llm.subword import Subwords
 from voxlattice.llm.surrogates import _PATTERN, find, permute, replace_entities, rewrite
 
-BPE = "/opt/tokenizers/byte_bpe_50k.json"
+BPE = public_tokenizers.path("byte_bpe_50k.json")
 DATA, WIDE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
@@ -21,12 +22,23 @@ def test_subwords_equal_the_library():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(BPE)
-    own.encode_special_tokens = True
-    texts = ["", " ", "  a", "a  \n b ", "it's we'll 'sx '", "x y　z 12 3a!?", "é́ ß٣ १२ 漢字 😀😀", "<|endoftext|> hi", "\n\n", "end ", "a\t b\r\n"]
+    texts = ["", " ", "  a", "a  \n b ", "it's we'll 'sx '", "x y　z 12 3a!?", "é́ ß٣ १२ 漢字 😀😀", "<|endoftext|> hi", "a<|endoftext|>b", "x <|endoftext|>", "<|endoftext|>", "<|endoftext|><|endoftext|> y <|endoftext", "\n\n", "end ", "a\t b\r\n"]
     ids, ends = Subwords(BPE).encode(texts)
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_words_with_one_hash_are_told_apart():
+    texts = ["some words and more", "other words", "some words"]
+    own = Subwords(BPE)
+    expected = [x.tolist() for x in np.split(*(lambda r: (r[0], r[1][:-1]))(own.encode(texts)))]
+    own._powers = None
+    for hashed in (lambda n: np.zeros(n, np.uint64), lambda n: np.arange(n, dtype=np.uint64)):
+        # All words share a hash; or words of one text take those of another, which is remembered.
+        own._powers = type("Same", (), {"prefix": lambda self, x: x, "span": lambda self, x, begin, end, h=hashed: h(len(begin)) - (end - begin).astype(np.uint64)})()
+        got = [np.split(*(lambda r: (r[0], r[1][:-1]))(own.encode([t])))[0].tolist() for t in texts]
+        assert got == expected
+
+
 def test_quality_on_held_out_labels(spark):
     docs, labels = spark.read.parquet(f"{WIDE}/documents.parquet"), spark.read.parquet(f"{WIDE}/labels.parquet")
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
@@ -73,54 +85,109 @@ def test_surrogates_do_not_collide_over_a_corpus(spark):
     assert (out[-1], out[-2], out[-3]) == (None, "", "no data")
 
 
+def _small_model(rng, ids, ends, n):
+    counts = np.bincount(ids, minlength=n).astype(float)
+    counts[n - 1] += len(ends)
+    inventory = attention.Inventory.of(counts)
+    end_row = int(inventory.row[n - 1])
+    flat, at, text = attention.laid_out(inventory.row[ids], ends, end_row)
+    square = attention.ROWS**2
+    cells = [np.bincount(c, minlength=square).astype(float) for c in attention.followers(flat)]
+    pair_of = attention.pairs_of(cells[0], end_row)
+    followers = attention.pair_followers(flat, pair_of)
+    paired = *np.unique(followers, return_counts=True), np.bincount(followers // attention.ROWS, minlength=attention.PAIRS).astype(float)
+    return inventory, dict(zip(("direct", "skipped", "further"), cells, strict=True)), (pair_of, *paired), flat, at, text
+
+
 def test_attention_gradients_and_probabilities():
-    rng = np.random.default_rng(0)
+    rng, n = np.random.default_rng(0), 6000
+    ids, ends = rng.integers(0, n - 1, 20_000) ** 2 // n, np.array([0, 5, 150, 166, 20_000])
+    inventory, tables, pair_of, flat, at, text = _small_model(rng, ids, ends, n)
+    window = attention.cut(flat, at)
+    target = window[:, attention.OVERLAP + 1 :] != attention.ABSENT
+    # Each token of each text, and its end, is scored once, in order.
+    assert np.bincount(text, target.sum(1)).tolist() == [1, 6, 146, 17, 19_835]
+    own = window[:, attention.OVERLAP + 1 :][text == 2][target[text == 2]]
+    assert own.tolist() == [*inventory.row[ids[5:150]].tolist(), int(inventory.row[n - 1])]
+    values = attention.Values.of(tables, *pair_of, left_out=True)
+    for name in ("direct", "skipped", "further", "anywhere", "total", "spare"):
+        setattr(values, name, getattr(values, name).astype(np.float64))
     p = {k: v.astype(np.float64) for k, v in attention.fresh().items()}
-    inventory = attention.Inventory.of(rng.integers(0, 50, 6000).astype(float), rng.random(6000) < 0.5)
-    ids = rng.integers(0, 6000, 150)
-    context, target, text = attention.windows(ids, np.array([0, 5, 150]), 5999)
-    # Each token of each text, and its end, is scored once.
-    assert (target >= 0).sum() == 153 and np.bincount(text[np.nonzero(target >= 0)[0]]).tolist() == [1, 6, 146]
-    absent = context < 0
-    rows, own = np.where(absent, 0, inventory.row[context]), np.where(target >= 0, inventory.row[target], -1)
-    g, _ = attention.gradients(p, rows, absent, own)
+    g, _ = attention.gradients(p, values, window)
     for name in p:
-        at = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
+        place = np.unravel_index(np.abs(g[name]).argmax(), g[name].shape)
         losses = []
         for step in (1e-4, -1e-4):
             moved = {k: v.copy() for k, v in p.items()}
-            moved[name][at] += step
-            losses.append(attention.gradients(moved, rows, absent, own)[1])
-        assert g[name][at] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-3)
-    scorer = attention.Scorer(attention.fresh(), inventory)
-    after = [scorer.score(np.array([7, i]), np.array([2]), 5999)[0] - scorer_end(scorer, [7, i]) for i in range(6000)]
-    assert np.log10(np.sum(10.0 ** (np.array(after) - scorer_prefix(scorer)))) == pytest.approx(0, abs=1e-3)
-
-
-def scorer_end(scorer, ids):
-    """log10 probability of the end after ids."""
-    return _last(scorer, [*ids, 5999])
-
-
-def scorer_prefix(scorer):
-    return _last(scorer, [7])
-
-
-def _last(scorer, ids):
-    context, target, _ = attention.windows(np.array(ids[:-1], np.int64), np.array([len(ids) - 1]), 5999)
-    absent = context < 0
-    h = scorer.hidden(np.where(absent, 0, scorer.inventory.row[context]), absent)[0, len(ids) - 1][None]
-    row = scorer.inventory.row[ids[-1]]
-    k, m = divmod(int(row), attention.MEMBERS)
-    z, y = h @ scorer.p["u"] + scorer.p["b"], h @ scorer.p["w"][k] + scorer.p["c"][k]
-    return float((z[0, k] - scorer._log_sum(z)[0] + y[0, m] - scorer._log_sum(y)[0]) / np.log(10) + scorer.inventory.log10_share[ids[-1]])
+            moved[name][place] += step
+            losses.append(attention.gradients(moved, values, window)[1])
+        assert g[name][place] == pytest.approx((losses[0] - losses[1]) / 2e-4, rel=1e-3)
+
+
+def test_attention_probabilities_sum_to_one():
+    rng, n = np.random.default_rng(1), 1500
+    ids, ends = rng.integers(0, 38, 3000) ** 2, np.array([1000, 3000])
+    inventory, tables, pair_of, flat, at, _ = _small_model(rng, ids, ends, n)
+    trainer = attention.Trainer(attention.fresh(), attention.Values.of(tables, *pair_of, True), 0.05, 0)
+    for _ in range(5):
+        trainer.learn(flat, at)
+    score = lambda texts: attention.score(trainer.p, values, inventory, np.concatenate(texts), np.cumsum([len(t) for t in texts]), n - 1)
+    values = attention.Values.of(tables, *pair_of)
+    for begin in ([], [4], ids[:30].tolist()):
+        # P(begin, x, end) / P(end after it) is P(begin, x): with the end itself as x they sum to P(begin).
+        nexts = [np.array([*begin, x], np.int64) for x in range(n - 1)]
+        lone = np.log10(1 - _ends(trainer.p, values, inventory, nexts, n - 1))
+        assert np.isfinite(lone).all()
+        got = 10.0 ** (score(nexts) - np.log10(_ends(trainer.p, values, inventory, nexts, n - 1)))
+        whole = 10.0 ** score([np.array(begin, np.int64)])[0]
+        before = whole / _ends(trainer.p, values, inventory, [np.array(begin, np.int64)], n - 1)[0]
+        assert (got.sum() + whole) / before == pytest.approx(1, abs=1e-4)
+
+
+def _ends(p, values, inventory, texts, end_id):
+    """The probability of the end after each text."""
+    out = []
+    for text in texts:
+        flat, at, _ = attention.laid_out(inventory.row[text], np.array([len(text)]), int(inventory.row[end_id]))
+        whole, likely = attention._attend(p, values, attention.cut(flat, at[-1:]))[:2]
+        place = len(text) % attention.STEP
+        out.append(likely[0, place] / whole[0, place] * 10.0 ** inventory.log10_share[end_id])
+    return np.array(out)
+
+
+def test_sparse_counts_are_found():
+    rng = np.random.default_rng(3)
+    cells = np.unique(rng.integers(0, 5000, 900))
+    n = rng.random(len(cells)).astype(np.float32)
+    full = np.zeros(5000, np.float32)
+    full[cells] = n
+    assert (attention.Sparse.of(cells, n, 5000).take(np.arange(5000)) == full).all()
+
+
+def test_attention_learns(spark):
+    rng, n = np.random.default_rng(2), 300
+    # What follows is decided by the id six places before: only attention can see it.
+    ids = rng.integers(0, 4, 60_000)
+    for i in range(6, 60_000, 6):
+        ids[i : i + 6] = np.where(rng.random(6) < 0.9, ids[i - 6 : i], ids[i : i + 6])
+    inventory, tables, pair_of, flat, at, _ = _small_model(rng, ids, np.array([60_000]), n)
+    tables["further"] = np.bincount(attention.followers(flat)[2], minlength=attention.ROWS**2) * 0.0
+    for i in range(4):
+        row = int(inventory.row[i])
+        tables["further"][row * attention.ROWS + row] = 1000
+    values, trainer = attention.Values.of(tables, *pair_of), attention.Trainer(attention.fresh(), attention.Values.of(tables, *pair_of), 0.05, 0)
+    before = attention.gradients(trainer.p, values, attention.cut(flat, at))[1]
+    for _ in range(20):
+        trainer.learn(flat, at)
+    assert attention.gradients(trainer.p, values, attention.cut(flat, at))[1] < 0.6 * before
+    assert trainer.p["o"].argmax() == 5
 
 
 def test_lm_scores_base_by_brute_force_and_edges(spark):
     texts = ["a b c a", "A b", None, "", "x " * 3000, "unseen words here", "a b c a", "a b\tc"]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a"), (3, "")], "doc_id long, text string").withColumn("digest", F.lit(0))
     held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    got = score_texts(docs, BPE, held, least=1000).collect()
+    got = score_texts(docs, BPE, held).collect()
     rows = [((t or "").encode().lower().split() + [None], zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2, i) for i, t in [*enumerate(texts), (None, "a"), (3, "")]]
     counts = Counter(w for words, out, _ in rows if not out for w in words)
     total = sum(counts.values())
@@ -149,11 +216,10 @@ def test_lm_learns_every_training_document_at_any_size(spark, monkeypatch):
             return staged[name]
 
     monkeypatch.setattr(lm_scoring, "Scratch", Kept)
-    score_texts(docs, BPE, held, least=0, shard_ids=2000)
-    shards = {r["shard"]: r["weight"] for r in staged["shards"].collect()}
-    windows = [len(r["ids"]) // 4 // attention.STEP + 1 for r in staged["tokens"].where("not held_out").collect()]
-    assert len(shards) > 4 and sum(shards.values()) == sum(windows)
-    assert max(shards.values()) < 2 * sum(windows) / len(shards) + 20  # nor do the copies of a text gather
+    score_texts(docs, BPE, held)
+    learnt = staged["models"]
+    windows = [len(r["ids"]) // 2 // attention.STEP + 1 for r in staged["tokens"].where("not held_out").collect()]
+    assert sum(r["weight"] for r in learnt.collect()) == sum(windows)
 
 
 def test_entities_are_found_as_in_the_whole_text():

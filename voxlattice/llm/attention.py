@@ -1,9 +1,14 @@
-"""A causal self-attention model of subword ids in numpy: training, averaging and scoring.
+"""A causal self-attention model of subword ids in numpy: counting, training and scoring.
 
-Attention over the tokens before it, and the last two of them, give a token's class, and then its row within the class; rare tokens share rows, and their training counts tell them apart, so probabilities of all tokens sum to one.
-Context windows of SPAN ids overlap by OVERLAP: each
-scores its last STEP ids once, with at least OVERLAP ids of context where the text has them. Windows are scored in batches, with a
-causal mask and a mask for what lies before the text."""
+Each place attends, with trained queries, keys and distance weights, to itself and the places before it. The value of a
+place is the distribution of the token that follows it at that distance: directly, with one token between, or further
+on; it is counted over all training texts. Two more values can be attended to: what follows the last two tokens, for
+frequent pairs, and what is frequent anywhere, so that nothing has probability zero. A mixture of distributions is one,
+so the probabilities of all tokens sum to one without a softmax over the vocabulary. Rare ids share rows of the model;
+their training counts tell them apart.
+
+Context windows of SPAN places overlap by OVERLAP: each scores its last STEP ids once, with at least OVERLAP places of
+context where the text has them. Windows go in batches; a mask hides later places, another what lies before the text."""
 
 from __future__ import annotations
 
@@ -11,259 +16,256 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEP, OVERLAP, HEADS, KEY, WIDTH, CLASSES, MEMBERS, SHARED_ROWS = 32, 16, 1, 12, 48, 64, 64, 512
+STEP, OVERLAP, KEY = 16, 8, 8
 SPAN = STEP + OVERLAP
-ROWS = CLASSES * MEMBERS
-OWN_ROWS = ROWS - SHARED_ROWS
-_CAUSAL = np.where(np.arange(SPAN)[None, :] <= np.arange(STEP)[:, None] + OVERLAP, 0, -1e9).astype(np.float32)
-_OFFSET = np.clip(np.arange(STEP)[:, None] + OVERLAP - np.arange(SPAN)[None, :], 0, SPAN - 1)
+#: Rows; rows that rare ids share; pairs of rows with values of their own; cells of these that are kept, at most.
+ROWS, SHARED, PAIRS, CELLS = 1024, 63, 1 << 16, 1 << 22
+#: The row of what is not there: places before a text and after its end.
+ABSENT = ROWS - 1
+OWN = ABSENT - SHARED
+#: Distances (tokens between) that are counted for values further on, and weight of what a value falls back to.
+FURTHER, PRIOR, LEVELS = (2, 4), 1.0, 48
+_HIDDEN = np.float32(-80)
+_BETWEEN = np.arange(STEP)[:, None] + OVERLAP - np.arange(SPAN)[None, :]
+_SEEN = _BETWEEN >= 0
+_DISTANCE = np.clip(_BETWEEN, 0, SPAN - 1)
+_PLACE = np.arange(STEP)
 
 
 @dataclass
 class Inventory:
-    """What full training counts give each subword: its row (class * MEMBERS + member) and its share of the row."""
+    """What full training counts give each subword: its row and its share of the row."""
 
     row: np.ndarray
     log10_share: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray, initial: np.ndarray) -> "Inventory":
-        """counts: training occurrences of each id; initial: whether an id begins a word. The most frequent ids have
-        rows of their own, in classes of like frequency, initial ones apart from others; all others share rows."""
-        n = len(counts)
-        order = np.lexsort((np.arange(n), -counts))
-        own, rest = order[:OWN_ROWS], order[OWN_ROWS:]
-        row = np.empty(n, np.int64)
-        row[np.concatenate([own[initial[own]], own[~initial[own]]])] = np.arange(len(own))
-        row[rest] = len(own) + np.arange(len(rest)) % (ROWS - len(own))
+    def of(cls, counts: np.ndarray) -> "Inventory":
+        """counts: training occurrences of each id. The most frequent ids have rows of their own, others share rows."""
+        order = np.lexsort((np.arange(len(counts)), -counts))
+        row = np.empty(len(counts), np.uint16)
+        row[order[:OWN]] = np.arange(min(OWN, len(order)))
+        row[order[OWN:]] = OWN + np.arange(len(order[OWN:])) % SHARED
         weight = counts + 0.05
-        return cls(row.astype(np.int32), np.log10(weight / np.bincount(row, weight, ROWS)[row]))
+        return cls(row, np.log10(weight / np.bincount(row, weight, ROWS)[row]))
+
+
+def laid_out(rows: np.ndarray, ends: np.ndarray, end_row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All texts' rows in one line, where each window begins there, and each window's text. Around a text stand OVERLAP
+    absent places and the end, which its first id follows, and the end and absent places up to a whole window."""
+    count = np.diff(ends, prepend=0)
+    blocks = count // STEP + 1
+    size = OVERLAP + 1 + blocks * STEP
+    begin = np.cumsum(size) - size
+    flat = np.full(int(size.sum()), ABSENT, np.uint16)
+    flat[begin + OVERLAP] = end_row
+    flat[np.repeat(begin + OVERLAP + 1 - (ends - count), count) + np.arange(len(rows))] = rows
+    flat[begin + OVERLAP + 1 + count] = end_row
+    text = np.repeat(np.arange(len(blocks)), blocks)
+    return flat, begin[text] + (np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP, text
 
 
-def places(ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each window's text and its first place there."""
-    blocks = -(-(np.diff(ends, prepend=0) + 1) // STEP)
-    text = np.repeat(np.arange(len(blocks)), blocks)
-    return text, (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STEP
+def cut(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Windows (SPAN places of context overlap STEP targets): all but the last place, and the last STEP, of each."""
+    return np.lib.stride_tricks.sliding_window_view(flat, SPAN + 1)[at].astype(np.int64)
 
 
-def cut(ids: np.ndarray, ends: np.ndarray, end_id: int, text: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The contexts and targets of these windows."""
-    n = np.diff(ends, prepend=0)
-    begin = ends - n
+def followers(flat: np.ndarray) -> list[np.ndarray]:
+    """Cells (row * ROWS + row) of what follows what: directly, with one token between, and further on."""
+    wide = flat.astype(np.int32)
 
-    def at(place: np.ndarray) -> np.ndarray:
-        """Ids at places of each window's text, the end id at -1 and after the last."""
-        size = n[text][:, None]
-        inside = (place >= 0) & (place < size)
-        got = np.full(place.shape, end_id, np.int64)
-        got[inside] = ids[(begin[text][:, None] + place)[inside]]
-        return np.where((place < -1) | (place > size), -1, got)
+    def cells(between: int) -> np.ndarray:
+        a, b = wide[: -1 - between], wide[1 + between :]
+        real = (a != ABSENT) & (b != ABSENT)
+        return a[real] * ROWS + b[real]
 
-    return at(base[:, None] + np.arange(-OVERLAP, STEP)[None, :] - 1), at(base[:, None] + np.arange(STEP)[None, :])
+    return [cells(0), cells(1), np.concatenate([cells(d) for d in FURTHER])]
 
 
-def windows(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts' ids (end of each in `ends`): contexts (windows x 2 STEP, -1 before the text), targets (windows x STEP,
-    -1 after it) and each window's text. A text is its ids and the end id, which also stands before its first id."""
-    text, base = places(ends)
-    return *cut(ids, ends, end_id, text, base), text
+def pair_followers(flat: np.ndarray, pair_of: np.ndarray) -> np.ndarray:
+    """Cells (pair * ROWS + row) of what follows the pairs that have a number."""
+    wide = flat.astype(np.int32)
+    pair = pair_of[wide[:-2] * ROWS + wide[1:-1]]
+    real = (pair > 0) & (wide[1:-1] != ABSENT) & (wide[2:] != ABSENT)
+    return pair[real] * ROWS + wide[2:][real]
 
 
-def fresh(seed: int = 7) -> dict[str, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    wide = HEADS * WIDTH
-    shapes = {"q": (ROWS, HEADS * KEY), "k": (ROWS, HEADS * KEY), "v": (ROWS, wide), "s": (ROWS, wide), "r": (ROWS, wide), "u": (wide, CLASSES), "w": (CLASSES, wide, MEMBERS)}
-    out = {name: rng.normal(0, 0.3 if name in "qk" else 0.1, shape).astype(np.float32) for name, shape in shapes.items()}
-    near = np.tile(-0.05 * np.arange(SPAN), (HEADS, 1))  # attention starts wide
-    return out | {"b": np.zeros(CLASSES, np.float32), "c": np.zeros((CLASSES, MEMBERS), np.float32), "o": near.astype(np.float32)}
+def pairs_of(direct: np.ndarray, end_row: int) -> np.ndarray:
+    """The number of each pair of rows (0: none of its own): a text's start, and the most frequent pairs."""
+    out = np.zeros(ROWS * ROWS, np.int32)
+    top = np.argsort(-direct, kind="stable")[: PAIRS - 2]
+    top = top[direct[top] > 0]
+    out[top] = np.arange(2, 2 + len(top))
+    out[ABSENT * ROWS + end_row] = 1
+    return out
 
 
-def _heads(x: np.ndarray) -> np.ndarray:
-    """(windows, places, HEADS * n) -> (windows, HEADS, places, n)"""
-    return x.reshape(*x.shape[:2], HEADS, -1).transpose(0, 2, 1, 3)
+@dataclass
+class Sparse:
+    """Counts of cells, found by their rank among the bits of those that are there; other cells count 0."""
 
+    bits: np.ndarray
+    before: np.ndarray
+    n: np.ndarray
 
-def _joined(x: np.ndarray) -> np.ndarray:
-    x = x.transpose(0, 2, 1, 3)
-    return x.reshape(*x.shape[:2], -1)
+    @classmethod
+    def of(cls, cells: np.ndarray, n: np.ndarray, size: int) -> "Sparse":
+        """cells: rising."""
+        bits = np.packbits(np.bincount(cells, minlength=-(-size // 64) * 64).astype(bool), bitorder="little").view("<u8")
+        there = np.bitwise_count(bits).astype(np.int32)
+        return cls(bits, np.cumsum(there, dtype=np.int32) - there, np.append(n, 0).astype(np.float32))
 
+    def take(self, cells: np.ndarray) -> np.ndarray:
+        word, bit = cells >> 6, (cells & 63).astype(np.uint64)
+        own = self.bits.take(word) >> bit
+        # Rank: the bits up to this one are those of the word less those from it on.
+        rank = self.before.take(word) + np.bitwise_count(self.bits.take(word)).astype(np.int32) - np.bitwise_count(own)
+        return self.n.take(np.where(own & np.uint64(1), rank, -1))
 
-def _forward(p: dict, context: np.ndarray, absent: np.ndarray):
-    """context: embedding rows; absent: before the text. Hidden states for the last STEP places and what made them."""
-    here = context[:, OVERLAP:]
-    q, k, v = _heads(p["q"][here]), _heads(p["k"][context]), _heads(p["v"][context])
-    a = np.matmul(q, k.transpose(0, 1, 3, 2))
-    a *= np.float32(KEY**-0.5)
-    a += p["o"][:, _OFFSET] + _CAUSAL
-    if absent.any():
-        a += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, None, :]
-    a -= a.max(3, keepdims=True)
+
+@dataclass
+class Values:
+    """Distributions of the next row: after a row directly, with one between, further on; after a pair; anywhere. What
+    a pair's cells lack of its total goes to what follows its second row directly."""
+
+    direct: np.ndarray
+    skipped: np.ndarray
+    further: np.ndarray
+    anywhere: np.ndarray
+    pair_of: np.ndarray
+    level: np.ndarray
+    cells: Sparse
+    total: np.ndarray
+    spare: np.ndarray
+    off: np.float32
+
+    @classmethod
+    def of(cls, counts: dict[str, np.ndarray], pair_of: np.ndarray, cells: np.ndarray, n: np.ndarray, totals: np.ndarray, left_out: bool = False) -> "Values":
+        """counts: dense tables of what follows rows; cells and n: of what follows pairs; totals: of pairs. left_out: what
+        a training place sees, its own count taken off, so that training does not trust values that it has made itself."""
+        anywhere = counts["direct"].reshape(ROWS, ROWS).sum(0) + 0.5
+        anywhere[ABSENT] = 0
+        anywhere /= anywhere.sum()
+
+        def smooth(n: np.ndarray) -> np.ndarray:
+            n = n.reshape(-1, ROWS)
+            total = n.sum(1, keepdims=True)
+            if left_out:
+                n, total = np.maximum(n - 1, 0), np.maximum(total - 1, 0)
+            return ((n + PRIOR * anywhere) / (total + PRIOR)).astype(np.float32)
+
+        direct, skipped, further = (smooth(counts[name]) for name in ("direct", "skipped", "further"))
+        spare = totals - np.bincount(cells // ROWS, n, PAIRS) + PRIOR
+        level = np.minimum(np.log2(totals + 1), LEVELS - 1).astype(np.int64)
+        return cls(direct, skipped, further, anywhere.astype(np.float32), pair_of, level, Sparse.of(cells, n, PAIRS * ROWS), (totals + PRIOR).astype(np.float32), spare.astype(np.float32), np.float32(left_out))
+
+    def paired(self, pair: np.ndarray, target: np.ndarray, direct: np.ndarray) -> np.ndarray:
+        """What a pair gives a target to which its second row gives `direct`."""
+        n = np.maximum(self.cells.take(pair * ROWS + target) - self.off, 0)
+        return (n + self.spare.take(pair) * direct) / np.maximum(self.total.take(pair) - self.off, np.float32(PRIOR))
+
+
+def fresh(seed: int = 7) -> dict[str, np.ndarray]:
+    """Queries q and keys k of rows, weights o of distances, g of what is frequent anywhere, c of pairs, h of how often
+    a pair occurs (its level: powers of two)."""
+    rng = np.random.default_rng(seed)
+    out = {"q": rng.normal(0, 0.1, (ROWS, KEY)), "k": rng.normal(0, 0.1, (ROWS, KEY)), "o": -0.2 * np.arange(SPAN), "g": np.full(ROWS, -2.0), "c": np.zeros(PAIRS), "h": np.full(LEVELS, 2.0)}
+    return {name: x.astype(np.float32) for name, x in out.items()}
+
+
+def _attend(p: dict, values: Values, window: np.ndarray) -> tuple:
+    """For each target its unnormalised attention to the places (a), the anywhere value (u) and the pair's (b), each
+    also times what the value gives the target; and what gradients need."""
+    context, target = window[:, :SPAN], window[:, OVERLAP + 1 :]
+    here, before = context[:, OVERLAP:], context[:, OVERLAP - 1 : -1]
+    q, k = p["q"].take(here, 0), p["k"].take(context, 0)
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += np.where(_SEEN, p["o"][_DISTANCE], _HIDDEN)
+    a += np.where(context == ABSENT, _HIDDEN, np.float32(0))[:, None, :]
     np.exp(a, out=a)
-    a /= a.sum(3, keepdims=True)
-    h = np.tanh(_joined(np.matmul(a, v)) + p["s"][here] + p["r"][context[:, OVERLAP - 1 : -1]])
-    return q, k, v, a, h
-
-
-def _softmax(z: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, float]:
-    """Each row's probabilities (z is overwritten), and the summed loss of the options `at`."""
-    z -= z.max(1, keepdims=True)
-    chosen = z[np.arange(len(at)), at]
-    np.exp(z, out=z)
-    total = z.sum(1, keepdims=True)
-    z /= total
-    return z, float((np.log(total[:, 0]) - chosen).sum())
-
-
-class Scorer:
-    """A model ready to score: scaled and masked once, and without the shift by the largest logit where the weights
-    show that no exponential can overflow."""
-
-    def __init__(self, p: dict, inventory: Inventory):
-        self.p, self.inventory = p, inventory
-        q = p["q"] * np.float32(KEY**-0.5)
-        # What one place gathers stands in one row; the ones after each head's values sum its attention.
-        values = np.concatenate([p["v"].reshape(ROWS, HEADS, WIDTH), np.ones((ROWS, HEADS, 1), np.float32)], 2).reshape(ROWS, -1)
-        self.here, self.seen = np.concatenate([q, p["s"]], 1), np.concatenate([p["k"], values], 1)
-        self.bias = p["o"][:, _OFFSET] + _CAUSAL
-        norm = lambda x: float(np.sqrt((_heads(x[None]) ** 2).sum(3)).max())
-        reach = lambda w, c: float((np.abs(w).sum(-2) + np.abs(c)).max())  # noqa: E731  |h| <= 1
-        self.flat = norm(q) * norm(p["k"]) + float(np.abs(p["o"]).max()) < 80
-        self.even = max(reach(p["u"], p["b"]), reach(p["w"], p["c"])) < 80
-        self.ones = np.ones(max(CLASSES, MEMBERS), np.float32)
-
-    def _log_sum(self, z: np.ndarray) -> np.ndarray:
-        """The log of each row's sum of exponentials; overwrites z."""
-        top = 0 if self.even else z.max(1)
-        np.exp(z if self.even else z - top[:, None], out=z)
-        return top + np.log(z @ self.ones[: z.shape[1]])
-
-    def _log_probability(self, h: np.ndarray, w: np.ndarray, c: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Of the option `at` of each row of h, under weights w and biases c."""
-        z = h @ w
-        z += c
-        chosen = z[np.arange(len(at)), at]
-        return chosen - self._log_sum(z)
-
-    def hidden(self, context: np.ndarray, absent: np.ndarray) -> np.ndarray:
-        here, seen = self.here.take(context[:, OVERLAP:], 0), self.seen.take(context, 0)
-        q, k, v = _heads(here[:, :, : HEADS * KEY]), _heads(seen[:, :, : HEADS * KEY]), _heads(seen[:, :, HEADS * KEY :])
-        a = np.matmul(q, k.transpose(0, 1, 3, 2))
-        a += self.bias
-        if absent.any():
-            a += np.where(absent, np.float32(-1e9), np.float32(0))[:, None, None, :]
-        if not self.flat:
-            a -= a.max(3, keepdims=True)
-        np.exp(a, out=a)
-        out = np.matmul(a, v)
-        h = _joined(out[..., :-1] / out[..., -1:])
-        h += here[:, :, HEADS * KEY :]
-        h += self.p["r"].take(context[:, OVERLAP - 1 : -1], 0)
-        return np.tanh(h, out=h)
-
-    def score(self, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 256) -> np.ndarray:
-        """log10 of each text's probability."""
-        p, row = self.p, self.inventory.row
-        context, target, text = windows(ids, ends, end_id)
-        total = np.zeros(len(ends))
-        for a in range(0, len(text), batch):
-            c, t = context[a : a + batch], target[a : a + batch].ravel()
-            absent = c < 0
-            h = self.hidden(np.where(absent, 0, row[c]), absent)
-            real = np.flatnonzero(t >= 0)
-            t = t[real]
-            order = np.argsort((row[t] // MEMBERS).astype(np.uint16), kind="stable")
-            real, t = real[order], t[order]
-            h = h.reshape(-1, h.shape[2])[real]
-            classes, member = np.divmod(row[t], MEMBERS)
-            logs = self._log_probability(h, p["u"], p["b"], classes)
-            cuts = np.flatnonzero(np.diff(classes, prepend=-1))
-            for begin, stop in zip(cuts, [*cuts[1:], len(t)], strict=True):
-                k = classes[begin]
-                logs[begin:stop] += self._log_probability(h[begin:stop], p["w"][k], p["c"][k], member[begin:stop])
-            total += np.bincount(np.repeat(text[a : a + batch], STEP)[real], logs / np.log(10) + self.inventory.log10_share[t], len(total))
-        return total
-
-
-def _gather(rows: np.ndarray, *gradients: np.ndarray) -> list[np.ndarray]:
-    """Sums gradients of equal embedding rows."""
+    worth = values.further.take(context[:, None, :] * ROWS + target[:, :, None])
+    direct = values.direct.take(here * ROWS + target)
+    worth[:, _PLACE, _PLACE + OVERLAP] = direct
+    worth[:, _PLACE, _PLACE + OVERLAP - 1] = values.skipped.take(before * ROWS + target)
+    worth *= a
+    pair = values.pair_of.take(before * ROWS + here)
+    u = np.exp(p["g"].take(here))
+    b = np.where(pair > 0, np.exp(p["c"].take(pair) + p["h"].take(values.level.take(pair))), np.float32(0))
+    u_worth, b_worth = u * values.anywhere.take(target), b * values.paired(pair, target, direct)
+    whole = a.sum(2) + u + b
+    return whole, worth.sum(2) + u_worth + b_worth, a, worth, (u, u_worth), (b, b_worth), (q, k, pair)
+
+
+def score(p: dict, values: Values, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 256) -> np.ndarray:
+    """log10 of each text's probability: its ids and the end."""
+    flat, at, text = laid_out(inventory.row[ids], ends, int(inventory.row[end_id]))
+    logs = np.empty(len(at))
+    for i in range(0, len(at), batch):
+        window = cut(flat, at[i : i + batch])
+        whole, likely = _attend(p, values, window)[:2]
+        real = window[:, OVERLAP + 1 :] != ABSENT
+        logs[i : i + batch] = np.log10(np.where(real, likely, 1) / np.where(real, whole, 1)).sum(1, dtype=np.float64)
+    share = np.concatenate([[0], np.cumsum(inventory.log10_share[ids])])
+    return np.bincount(text, logs, len(ends)) + np.diff(share[ends], prepend=0) + inventory.log10_share[end_id]
+
+
+def _gather(rows: np.ndarray, gradient: np.ndarray) -> np.ndarray:
+    """Sums gradients of equal rows."""
     rows = rows.ravel().astype(np.uint16)
     order = np.argsort(rows, kind="stable")
     ranked = rows[order]
     first = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-    out = []
-    for gradient in gradients:
-        sums = np.zeros((ROWS, gradient.shape[-1]), gradient.dtype)
-        sums[ranked[first]] = np.add.reduceat(gradient.reshape(rows.size, -1)[order], first, axis=0)
-        out.append(sums)
-    return out
-
-
-def gradients(p: dict, context: np.ndarray, absent: np.ndarray, rows: np.ndarray) -> tuple[dict, float]:
-    """Gradients of the mean loss over the real targets (rows >= 0), and that loss."""
-    q, k, v, a, h = _forward(p, context, absent)
-    here, real = context[:, OVERLAP:], np.flatnonzero(rows.ravel() >= 0)
-    n = max(1, len(real))
-    classes, member = np.divmod(rows.ravel()[real], MEMBERS)
-    order = np.argsort(classes.astype(np.uint16), kind="stable")
-    real, classes, member = real[order], classes[order], member[order]
-    x = h.reshape(-1, h.shape[2])[real]
-    dz, loss = _softmax(x @ p["u"] + p["b"], classes)
-    dz[np.arange(len(real)), classes] -= 1
-    dz /= n
-    dx = dz @ p["u"].T
-    dw, dc = np.zeros_like(p["w"]), np.zeros_like(p["c"])
-    cuts = np.flatnonzero(np.diff(classes, prepend=-1))
-    for begin, stop in zip(cuts, [*cuts[1:], len(real)], strict=True):
-        c, own = classes[begin], x[begin:stop]
-        dy, more = _softmax(own @ p["w"][c] + p["c"][c], member[begin:stop])
-        loss += more
-        dy[np.arange(stop - begin), member[begin:stop]] -= 1
-        dy /= n
-        dw[c], dc[c] = own.T @ dy, dy.sum(0)
-        dx[begin:stop] += dy @ p["w"][c].T
-    flat = np.zeros((h.shape[0] * STEP, h.shape[2]), h.dtype)
-    flat[real] = dx * (1 - x * x)
-    dh = flat.reshape(h.shape)
-    split = _heads(dh)
-    da = np.matmul(split, v.transpose(0, 1, 3, 2))
-    ds = a * (da - (a * da).sum(3, keepdims=True))
-    scaled = ds * np.float32(KEY**-0.5)
-    gq, gs = _gather(here, _joined(np.matmul(scaled, k)), dh)
-    gk, gv = _gather(context, _joined(np.matmul(scaled.transpose(0, 1, 3, 2), q)), _joined(np.matmul(a.transpose(0, 1, 3, 2), split)))
+    sums = np.zeros((ROWS, gradient.shape[-1]), gradient.dtype)
+    sums[ranked[first]] = np.add.reduceat(gradient.reshape(rows.size, -1)[order], first, axis=0)
+    return sums
+
+
+def gradients(p: dict, values: Values, window: np.ndarray) -> tuple[dict, float]:
+    """Gradients of the mean loss over the real targets of the windows, and that loss."""
+    whole, likely, a, worth, (u, u_worth), (b, b_worth), (q, k, pair) = _attend(p, values, window)
+    context, real = window[:, :SPAN], window[:, OVERLAP + 1 :] != ABSENT
+    here, n = context[:, OVERLAP:], max(1, int(real.sum()))
+    whole, likely = np.where(real, whole, np.float32(1)), np.where(real, likely, np.float32(1))
+    loss = float(np.log(whole / likely).sum()) / n
+    # Attention less its share in the target's probability: the gradient of the scores.
+    share = real.astype(q.dtype) / np.float32(n)
+    whole, likely = share / whole, share / likely
+    a *= whole[:, :, None]
+    worth *= likely[:, :, None]
+    a -= worth
+    kind, by_pair = q.dtype, np.bincount(pair.ravel(), (b * whole - b_worth * likely).ravel(), PAIRS)
     return {
-        "q": gq,
-        "k": gk,
-        "v": gv,
-        "s": gs,
-        "r": _gather(context[:, OVERLAP - 1 : -1], dh)[0],
-        "u": x.T @ dz,
-        "b": dz.sum(0),
-        "w": dw,
-        "c": dc,
-        "o": np.stack([np.bincount(_OFFSET.ravel(), ds[:, i].sum(0).ravel(), SPAN) for i in range(HEADS)]).astype(h.dtype),
-    }, loss / n
-
-
-def train(p: dict, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, rate: float, batch: int = 64, seed: int = 0) -> dict:
-    """One pass of Adam over all windows of the texts, in random order, with a rate that falls to a tenth. Windows are
-    cut out a batch at a time."""
-    p = {name: x.copy() for name, x in p.items()}
-    m, s = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
-    text, base = places(ends)
-    order = np.random.default_rng(seed).permutation(len(text))
-    turns = range(0, len(order), batch)
-    for step, at in enumerate(turns, 1):
-        own = np.sort(order[at : at + batch])
-        c, t = cut(ids, ends, end_id, text[own], base[own])
-        absent = c < 0
-        g, _ = gradients(p, np.where(absent, 0, inventory.row[c]), absent, np.where(t >= 0, inventory.row[t], -1))
-        now = np.float32(rate * (1 - 0.9 * step / max(1, len(turns))))
-        for name in p:
-            m[name] += np.float32(0.1) * (g[name] - m[name])
-            s[name] += np.float32(0.01) * (g[name] ** 2 - s[name])
-            p[name] -= now * (m[name] / np.float32(1 - 0.9**step)) / (np.sqrt(s[name] / np.float32(1 - 0.99**step)) + np.float32(1e-8))
-    return p
+        "q": _gather(here, np.matmul(a, k)),
+        "k": _gather(context, np.matmul(a.transpose(0, 2, 1), q)),
+        "o": np.bincount(_DISTANCE.ravel(), (a.sum(0) * _SEEN).ravel(), SPAN).astype(kind),
+        "g": np.bincount(here.ravel(), (u * whole - u_worth * likely).ravel(), ROWS).astype(kind),
+        "c": by_pair.astype(kind),
+        "h": np.bincount(values.level, by_pair, LEVELS).astype(kind),
+    }, loss
+
+
+class Trainer:
+    """Adam over the windows of texts that come in one after another, in random order among those at hand; the rate
+    falls from step to step, whatever is still to come."""
+
+    def __init__(self, p: dict, values: Values, rate: float, seed: int, batch: int = 512):
+        self.p = {name: x.copy() for name, x in p.items()}
+        self.m, self.s = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
+        self.values, self.rate, self.batch, self.steps, self.windows = values, rate, batch, 0, 0
+        self.random = np.random.default_rng(seed)
+
+    def learn(self, flat: np.ndarray, at: np.ndarray) -> None:
+        order = self.random.permutation(len(at))
+        self.windows += len(at)
+        for i in range(0, len(order), self.batch):
+            g, _ = gradients(self.p, self.values, cut(flat, at[np.sort(order[i : i + self.batch])]))
+            self.steps += 1
+            now = np.float32(self.rate / (1 + self.steps / 50) ** 0.5)
+            for name, x in g.items():
+                m, s = self.m[name], self.s[name]
+                m += np.float32(0.1) * (x - m)
+                s += np.float32(0.01) * (x * x - s)
+                self.p[name] -= now * (m / np.float32(1 - 0.9**self.steps)) / (np.sqrt(s / np.float32(1 - 0.99**self.steps)) + np.float32(1e-8))
 
 
 def packed(p: dict) -> bytes:

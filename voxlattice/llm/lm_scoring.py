@@ -1,12 +1,13 @@
 """Language-model scores of whole texts: a causal self-attention model over subword ids, beside a unigram base.
 
 Both see a text as its words (runs without white space, ASCII letters in lower case) and an end. Plan: texts are
-encoded once and staged as ids; ids and words are counted over all training documents; the model is trained on all of
-them, at every size: from a start that one task makes on a bounded part, in shards, whose models are averaged in a tree;
-scoring streams over the staged ids. The base needs the count of each word of each text. Words that make up at least
-1 / HEAVY of all tokens are at most HEAVY by count, so they are broadcast; batches of documents send the others, each
-once with the documents it stands in, to buckets of words that their counts are sent to as well, and get partial sums
-back. No word, however common, gathers its documents in one task.
+encoded once and staged as ids; ids, what follows what, and words are counted over all training documents; the model is
+trained on all of them, at every size: from a start that one task makes on a bounded part, in the table's own
+partitions, each a stream of batches, and the models are averaged in a tree; scoring streams over the staged ids. The
+base needs the count of each word of each text. Words that make up at least 1 / HEAVY of all tokens are at most HEAVY by
+count, so they are broadcast; batches of documents send the others, each once with the documents it stands in, to
+buckets of words that their counts are sent to as well, and get sums back, all sums of a batch in one row a bucket. A
+bucket with many batches is split by batch, and gets its bounded counts in every part. Words are compared as text.
 
 Defined results: a null text is empty (an end alone); a null id counts as the empty text (training); equal texts score
 alike; without training documents the base is that of unseen words and the model stays as it is drawn; an empty table
@@ -15,35 +16,30 @@ gives no rows; extra columns are ignored."""
 from __future__ import annotations
 
 import hashlib
-import json
-from functools import lru_cache
+import uuid
+import zlib
+from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyspark
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import Powers, Scratch, mix, slices
+from .common import Scratch, slices
 from .subword import subwords
 
-#: Words broadcast at most; words of a bucket; bytes of text in a batch; scores a task remembers; ids of the model's start.
-HEAVY, BUCKET_WORDS, BATCH, REMEMBERED, START_IDS = 50_000, 300_000, 1 << 20, 1 << 16, 1_200_000
-_POWERS = Powers()
-
-
-def words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The 64-bit hashes of all words of the texts, and each word's text."""
-    joined = np.frombuffer(b"\n".join(texts).lower() + b"\n", np.uint8)
-    blank = (joined == 32) | ((joined >= 9) & (joined <= 13))
-    edge = np.diff(blank.astype(np.int8), prepend=np.int8(1))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(end) > len(begin):
-        end = end[len(end) - len(begin) :]
-    hashes = mix(_POWERS.span(_POWERS.prefix(joined), begin, end) ^ (end - begin).astype(np.uint64))
-    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    return hashes, np.searchsorted(starts, begin, side="right") - 1
+#: Words broadcast at most; words of a bucket; bytes of packed words in a part of a bucket; bytes of text in a batch.
+HEAVY, BUCKET_WORDS, PART_BYTES, BATCH = 200_000, 150_000, 32 << 20, 4 << 20
+#: Words a task counts or remembers before it lets go of them; texts a task remembers scores of.
+COUNTED, REMEMBERED = 400_000, 1 << 16
+#: Ids that the model's start is trained on; ids that a task trains on at a time; ids that a task counts at a time.
+START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 2_000_000, 8_000_000
+#: Models that one task averages.
+FAN_IN = 32
 
 
 def digest(text: bytes) -> bytes:
@@ -54,34 +50,41 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [(x or "").encode("utf-8", "surrogatepass") for x in column.to_pylist()]
 
 
-@lru_cache(2)
-def _initial(tokenizer: str) -> np.ndarray:
-    """Whether an id of the vocabulary begins a word (its first byte is a space)."""
-    with open(tokenizer, encoding="utf-8") as file:
-        vocabulary = json.load(file)["model"]["vocab"]
-    out = np.zeros(max(vocabulary.values()) + 2, bool)
-    for word, i in vocabulary.items():
-        out[i] = word.startswith("Ġ")
-    return out
+def _small(size: int) -> str:
+    """The type of staged ids."""
+    return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """id, held_out, digest, n_tokens (words and the end) and ids (32 bits each) of each row of docs (id, held_out, text)."""
+def encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
+    """id, held_out, digest, n_tokens (words and the end) and ids of each row of docs (id, held_out, text). A word's ids
+    are those of a space and the word, whatever stands around it, so each different word is encoded once."""
 
     def run(batches):
-        encode = subwords(tokenizer).encode
+        encode, known, flat, starts = subwords(tokenizer).encode, {}, np.empty(0, kind), np.zeros(1, np.int64)
         for batch in batches:
             raw = _raw(batch.column(2))
             for a, b in slices(raw, BATCH):
                 split = [t.lower().split() for t in raw[a:b]]
-                ids, ends = encode([(b" " + b" ".join(w)).decode("utf-8", "replace") if w else "" for w in split])
-                parts = np.split(ids.astype("<u4"), ends[:-1])
+                if len(known) > COUNTED:
+                    known, flat, starts = {}, np.empty(0, kind), np.zeros(1, np.int64)
+                size = np.array([len(w) for w in split], np.int64)
+                fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
+                if fresh:
+                    ids, ends = encode([" " + w.decode("utf-8", "replace") for w in fresh])
+                    known.update(zip(fresh, range(len(starts) - 1, len(starts) - 1 + len(fresh)), strict=True))
+                    starts = np.concatenate([starts, starts[-1] + ends])
+                    flat = np.concatenate([flat, ids.astype(kind)])
+                word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+                begin, count = starts[word], starts[word + 1] - starts[word]
+                upto = np.cumsum(count)
+                ids = flat[np.repeat(begin - upto + count, count) + np.arange(int(count.sum()))]
+                ends = np.concatenate([[0], upto])[np.cumsum(size)] * ids.itemsize
                 yield pa.RecordBatch.from_arrays(
                     [
                         *(batch.column(c).slice(a, b - a) for c in (0, 1)),
                         pa.array([digest(t) for t in raw[a:b]], pa.binary()),
-                        pa.array([len(w) + 1 for w in split], pa.int64()),
-                        pa.array([x.tobytes() for x in parts], pa.binary()),
+                        pa.array(size + 1),
+                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(ids)]),
                     ],
                     names=["id", "held_out", "digest", "n_tokens", "ids"],
                 )
@@ -90,88 +93,180 @@ def encoded(docs: DataFrame, tokenizer: str) -> DataFrame:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word (hash), n: occurrences over all rows of texts (text)."""
+    """word, n: occurrences over all rows of texts (text)."""
+
+    def told(counts: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
 
     def run(batches):
+        counts = Counter()
         for batch in batches:
-            raw = _raw(batch.column(0))
-            for a, b in slices(raw, BATCH):
-                found, n = np.unique(words(raw[a:b])[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
+            for text in _raw(batch.column(0)):
+                counts.update(text.lower().split())
+                if len(counts) > COUNTED:
+                    yield told(counts)
+                    counts.clear()
+        yield told(counts)
+
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-    return texts.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a column of them, and where each row's end."""
+    parts = column.to_pylist()
+    return np.frombuffer(b"".join(parts), kind), np.cumsum([len(x) for x in parts], dtype=np.int64) // np.dtype(kind).itemsize
 
-def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
-    """Occurrences of each id: at most `size` sums."""
+
+def _gathered(batches, kind: str, most: int):
+    """Ids and ends of a stream of Arrow batches (ids), joined up to about `most` ids."""
+    held, n = [], 0
+    for batch in batches:
+        column = batch.column("ids")
+        held.append(column)
+        n += column.nbytes // np.dtype(kind).itemsize
+        if n >= most:
+            yield _ids(pa.chunked_array(held), kind)
+            held, n = [], 0
+    if n:
+        yield _ids(pa.chunked_array(held), kind)
+
+
+def dense_counts(tokens: DataFrame, kind: str, sizes: list[int], cells) -> list[np.ndarray]:
+    """How often each cell occurs, for each of some dense tables: cells(ids, ends) lists the cells of each table. What
+    comes to the driver is at most a row for each cell, however large the corpus."""
+    at = np.concatenate([[0], np.cumsum(sizes)])
 
     def run(batches):
-        total = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                total += np.bincount(np.frombuffer(x, "<u4"), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
-
-    out = np.zeros(size)
-    for row in tokens.select("ids").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toLocalIterator():
-        out[row["i"]] = row["n"]
-    return out
-
-
-def fit(tokens: DataFrame, inventory: attention.Inventory, n_ids: int, end_id: int, share: float, least: int, shard_ids: int, scratch: Scratch) -> dict:
-    """The model: trained on `share` of the training ids (`least` ids, or all, if that is more), in shards."""
-    spark = tokens.sparkSession
-    share = max(share, min(1.0, least / max(1, n_ids)))
-    dealt = lambda word, n: F.pmod(F.xxhash64("digest", "id", F.lit(word)), F.lit(n)).cast("int")  # noqa: E731  copies of a text are dealt by id
-    chosen = tokens.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    shards, starts = (max(1, round(share * n_ids / n)) for n in (shard_ids, START_IDS))
-    context = spark.sparkContext
+        total = np.zeros(at[-1], np.int64)
+        for ids, ends in _gathered(batches, kind, COUNT_IDS):
+            for found, a, b in zip(cells(ids, ends), at, at[1:], strict=False):
+                total[a:b] += np.bincount(found, minlength=b - a)
+        some = np.flatnonzero(total)
+        yield from _counted(some, total[some])
 
-    def trained(start: dict, rows: DataFrame, left: int, rate: float, batch: int, name: str) -> dict:
-        sent = context.broadcast((attention.packed(start), inventory))
-
-        def run(part: pd.DataFrame) -> pd.DataFrame:
-            data, own = sent.value
-            part = part.sort_values(["digest", "id"])
-            ids = [np.frombuffer(x, "<u4") for x in part["ids"]]
-            ends = np.cumsum([len(x) for x in ids])
-            model = attention.train(attention.unpacked(data), own, np.concatenate(ids), ends, end_id, rate, batch, seed=int(part["shard"].iloc[0]))
-            return pd.DataFrame({"shard": [int(part["shard"].iloc[0])], "weight": [float(len(attention.places(ends)[0]))], "model": [attention.packed(model)]})
-
-        def mean(part: pd.DataFrame) -> pd.DataFrame:
-            models = np.average([np.frombuffer(m, "<f4") for m in part["model"]], axis=0, weights=part["weight"]).astype("<f4")
-            return pd.DataFrame({"shard": [int(part["shard"].iloc[0]) // 16], "weight": [part["weight"].sum()], "model": [models.tobytes()]})
-
-        made, level = scratch.stage(rows.select("shard", "digest", "id", "ids").groupBy("shard").applyInPandas(run, "shard int, weight double, model binary"), name), 0
-        while left > 16:  # a tree of means, 16 models at a time
-            made = scratch.stage(made.groupBy(F.floor(F.col("shard") / 16)).applyInPandas(mean, "shard int, weight double, model binary"), f"{name}-{level}")
-            left, level = -(-left // 16), level + 1
-        found = made.collect()
+    sums = tokens.select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("double").alias("n"))
+    out, found = np.zeros(at[-1]), sums.toArrow()
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return [out[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
+def _counted(cells: np.ndarray, n: np.ndarray):
+    for i in range(0, len(cells), 1 << 18):
+        yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + (1 << 18)].astype(np.int32)), pa.array(n[i : i + (1 << 18)])], names=["cell", "n"])
+
+
+def pair_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The largest cells of what follows pairs (rising; attention.CELLS at most, all that count alike or none of them),
+    their counts, and the full total of each pair."""
+
+    def run(batches):
+        for ids, ends in _gathered(batches, kind, COUNT_IDS):
+            yield from _counted(*np.unique(cells(ids, ends), return_counts=True))
+
+    sums = tokens.select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    sums = scratch.stage(sums, "cells").withColumn("bin", F.floor(F.log2("n") * 8))
+    least, left = 0, attention.CELLS
+    for row in sorted(sums.groupBy("bin").count().collect(), reverse=True):  # a few hundred at most
+        left -= row["count"]
+        if left < 0:
+            break
+        least = row["bin"]
+    of_pairs = sums.groupBy(F.floor(F.col("cell") / attention.ROWS).cast("int").alias("pair")).agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(attention.PAIRS)
+    totals[of_pairs["pair"].to_numpy()] = of_pairs["n"].to_numpy()
+    kept = sums.where(F.col("bin") >= least).select("cell", F.col("n").cast("float").alias("n")).toArrow()
+    at, n = kept["cell"].to_numpy(), kept["n"].to_numpy()
+    order = np.argsort(at)
+    return at[order], n[order], totals
+
+
+#: The last model's values in this Python worker: tasks of one job share them.
+_VALUES: dict[tuple, attention.Values] = {}
+
+
+class Model:
+    """What a fit leaves: the inventory, counts (sparse, to be sent), and trained parameters."""
+
+    def __init__(self, inventory: attention.Inventory, counts: dict[str, np.ndarray], pair_of: np.ndarray, paired: tuple):
+        self.key, self.inventory, self.p, self.paired = uuid.uuid4().hex, inventory, attention.packed(attention.fresh()), paired
+        self.counts = {name: ((at := np.flatnonzero(n)).astype(np.int32), n[at].astype(np.float32)) for name, n in [*counts.items(), ("pair_of", pair_of)]}
+
+    def values(self, left_out: bool) -> attention.Values:
+        if (self.key, left_out) not in _VALUES:
+            _VALUES.clear()
+            dense = {name: np.zeros(attention.ROWS**2) for name in self.counts}
+            for name, (at, n) in self.counts.items():
+                dense[name][at] = n
+            pair_of = dense.pop("pair_of").astype(np.int32)
+            _VALUES[self.key, left_out] = attention.Values.of(dense, pair_of, *self.paired, left_out)
+        return _VALUES[self.key, left_out]
+
+
+def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int, end_id: int, scratch: Scratch) -> Model:
+    """The model of all rows of train (digest, id, ids)."""
+    spark, end_row, square = train.sparkSession, int(inventory.row[end_id]), attention.ROWS**2
+    context = spark.sparkContext
+    sent = context.broadcast(inventory)
+    names = ["direct", "skipped", "further"]
+    line = lambda ids, ends: attention.laid_out(sent.value.row[ids], ends, end_row)[0]
+    counts = dict(zip(names, dense_counts(train, kind, [square] * 3, lambda ids, ends: attention.followers(line(ids, ends))), strict=True))
+    pair_of = attention.pairs_of(counts["direct"], end_row)
+    pairs = context.broadcast(pair_of)
+    paired = pair_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch)
+    model = Model(inventory, counts, pair_of, paired)
+    told = context.broadcast(model)
+
+    def trained(rows: DataFrame, start: dict, rate: float, batch: int, name: str) -> tuple[dict, float]:
+        first = attention.packed(start)
+
+        def run(batches):
+            part = pyspark.TaskContext.get().partitionId()
+            trainer = attention.Trainer(attention.unpacked(first), told.value.values(True), rate, part, batch)
+            for ids, ends in _gathered(batches, kind, TRAIN_IDS):
+                trainer.learn(*attention.laid_out(told.value.inventory.row[ids], ends, end_row)[:2])
+            if trainer.windows:
+                model = [pa.array([part], pa.int64()), pa.array([float(trainer.windows)]), pa.array([attention.packed(trainer.p)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(model, names=["part", "weight", "model"])
+
+        def mean(group: pd.DataFrame) -> pd.DataFrame:
+            model = np.average([np.frombuffer(m, "<f4") for m in group["model"]], axis=0, weights=group["weight"]).astype("<f4")
+            return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN_IN], "weight": [group["weight"].sum()], "model": [model.tobytes()]})
+
+        shape = "part long, weight double, model binary"
+        made, level = scratch.stage(rows.select("ids").mapInArrow(run, shape), name), 0
+        while made.count() > FAN_IN:  # a tree of means
+            made = scratch.stage(made.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(mean, shape), f"{name}-{level}")
+            level += 1
+        found = made.orderBy("part").collect()
         if not found:
-            return start
-        flat = np.average([np.frombuffer(r["model"], "<f4") for r in found], axis=0, weights=[r["weight"] for r in found])
-        return attention.unpacked(flat.astype("<f4").tobytes())
+            return start, 0.0
+        weights = [r["weight"] for r in found]
+        flat = np.average([np.frombuffer(r["model"], "<f4") for r in found], axis=0, weights=weights)
+        return attention.unpacked(flat.astype("<f4").tobytes()), sum(weights)
 
-    model = trained(attention.fresh(), chosen.withColumn("shard", dealt("start", starts)).where("shard = 0"), 1, 0.01, 64, "first")
-    return trained(model, chosen.withColumn("shard", dealt("shard", shards)), shards, 0.01, 256, "shards")
+    # The start: a bounded part of the ids, chosen by hash, in one task.
+    few = max(1, round(n_ids / START_IDS))
+    first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 64, "first")
+    p, _ = trained(train, first, 0.02, 512, "models")
+    model.p = attention.packed(p)
+    return model
 
 
-def model_scores(tokens: DataFrame, model: dict, inventory: attention.Inventory, end_id: int) -> DataFrame:
-    sent = tokens.sparkSession.sparkContext.broadcast((attention.packed(model), inventory))  # of fixed size
+def model_scores(tokens: DataFrame, model: Model, kind: str, end_id: int) -> DataFrame:
+    sent = tokens.sparkSession.sparkContext.broadcast(model)  # of bounded size
 
     def run(batches):
-        scorer = attention.Scorer(attention.unpacked(sent.value[0]), sent.value[1])
+        model = sent.value
+        p, values = attention.unpacked(model.p), model.values(False)
         known: dict[bytes, float] = {}  # equal texts are scored once while they are remembered
         for batch in batches:
             if len(known) > REMEMBERED:
                 known.clear()
             digests = batch.column("digest").to_pylist()
             at = {d: i for i, d in enumerate(digests) if d not in known}
-            fresh = list(at)
-            ids = [np.frombuffer(x, "<u4") for x in batch.column("ids").take(pa.array(at.values(), pa.int64())).to_pylist()]
-            for a, b in slices(ids, 1 << 18):
-                scores = scorer.score(np.concatenate(ids[a:b]), np.cumsum([len(x) for x in ids[a:b]]), end_id)
+            fresh, ids = list(at), batch.column("ids").take(pa.array(at.values(), pa.int64()))
+            for a, b in slices(ids.to_pylist(), 1 << 20):
+                scores = attention.score(p, values, model.inventory, *_ids(ids.slice(a, b - a), kind), end_id)
                 known.update(zip(fresh[a:b], scores.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in ("id", "held_out", "digest", "n_tokens")), pa.array([known[d] for d in digests], pa.float64())],
@@ -181,105 +276,112 @@ def model_scores(tokens: DataFrame, model: dict, inventory: attention.Inventory,
     return tokens.mapInArrow(run, "id long, held_out boolean, digest binary, n_tokens long, score double")
 
 
-def base_scores(texts: DataFrame, counts: DataFrame, total: int, kinds: int, ends: int) -> DataFrame:
+def base_scores(texts: DataFrame, counts: DataFrame, total: int, kinds: int, ends: int, scratch: Scratch) -> DataFrame:
     """digest, base_score, n_known of each different text of texts (text)."""
     spark = texts.sparkSession
-    heavy = counts.where(F.col("n") * HEAVY >= total).collect()  # at most HEAVY rows
-    heavy_words = np.array(sorted(r["word"] for r in heavy), np.int64).view(np.uint64)
-    heavy_words.sort()
-    by_word = {r["word"]: r["n"] for r in heavy}
-    heavy_n = np.array([by_word[w] for w in heavy_words.view(np.int64).tolist()], np.float64)
+    heavy = counts.where(F.col("n") * HEAVY >= total).toArrow()  # at most HEAVY rows
     buckets = max(1, -(-kinds // BUCKET_WORDS))
-    sent = spark.sparkContext.broadcast((heavy_words, heavy_n))
-    level, end = np.log10(total + kinds + 1), np.log10(ends + 1) - np.log10(total + kinds + 1)
+    sent = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(heavy["word"].to_pylist())}, np.append(heavy["n"].to_numpy(), 0)))
+    level = np.log10(total + kinds + 1)
+    end = np.log10(ends + 1) - level
 
     def run(batches):
-        common, n = sent.value
-        turn = 0
+        number, n = sent.value
+        worth = np.append(np.log10(n[:-1] + 1) - level, 0)
+        part, turns = pyspark.TaskContext.get().partitionId(), 0
         for batch in batches:
             raw = _raw(batch.column(0))
             for a, b in slices(raw, BATCH):
                 unique = {digest(t): t for t in raw[a:b]}
-                hashes, text = words(list(unique.values()))
-                at = np.minimum(np.searchsorted(common, hashes), max(0, len(common) - 1))
-                known = common[at] == hashes if len(common) else np.zeros(len(hashes), bool)
-                sums = np.bincount(text[known], np.log10(n[at[known]] + 1) - level, len(unique)) + end
-                count = np.bincount(text[known], minlength=len(unique)) + (ends > 0)
-                turn += 1
-                yield _part(-1 - turn % buckets, b"".join(unique), sums.tobytes(), count.astype(np.int64).tobytes(), b"")
-                # The other words, in the order of bucket, word and text; how often each stands in each text.
-                hashes, text = hashes[~known], text[~known]
-                order = np.lexsort((text, hashes, (hashes >> np.uint64(1)) % np.uint64(buckets)))
-                hashes, text = hashes[order], text[order]
-                fresh = np.flatnonzero(np.append(True, (hashes[1:] != hashes[:-1]) | (text[1:] != text[:-1]))) if len(hashes) else np.empty(0, np.int64)
-                times = np.diff(np.append(fresh, len(hashes)))
-                hashes, text = hashes[fresh], text[fresh]
-                bucket = ((hashes >> np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+                names = b"".join(unique)
+                turn, turns = (part << 32) + turns, turns + 1
+                split = [t.lower().split() for t in unique.values()]
+                size = [len(w) for w in split]
+                text, flat = np.repeat(np.arange(len(split)), size), list(chain.from_iterable(split))
+                at = np.fromiter(map(number.get, flat, repeat(len(number))), np.int64, len(flat))
+                sums, known = np.bincount(text, worth[at], len(split)) + end, np.bincount(text, at < len(number), len(split)).astype(np.int64) + (ends > 0)
+                yield _part(-1, turn, names, b"", _sums(np.arange(len(split)), sums, known))
+                # The other words, each once, and how often each stands in which text.
+                rest = np.flatnonzero(at == len(number))
+                local: dict[bytes, int] = {}
+                word = np.fromiter((local.setdefault(flat[i], len(local)) for i in rest.tolist()), np.int64, len(rest))
+                pairs, times = np.unique(word * len(split) + text[rest], return_counts=True)
+                word, inside = np.divmod(pairs, max(1, len(split)))
+                bucket = np.fromiter((zlib.crc32(w) % buckets for w in local), np.int64, len(local))
+                others = list(local)
                 for k in np.unique(bucket).tolist():
-                    mine = bucket == k
-                    own, inside = np.unique(text[mine], return_inverse=True)
-                    names = list(unique)
-                    word, spread = np.unique(hashes[mine], return_counts=True)
-                    pairs = np.rec.fromarrays([inside.astype("<u4"), times[mine].astype("<u4")])
-                    yield _part(k, b"".join(names[i] for i in own.tolist()), word.tobytes(), spread.astype("<u4").tobytes(), pairs.tobytes())
+                    own = np.flatnonzero(bucket == k)
+                    mine = bucket[word] == k
+                    place = np.searchsorted(own, word[mine])
+                    yield _part(k, turn, b"", b"\n".join(others[i] for i in own.tolist()), np.stack([place, inside[mine], times[mine]], 1).astype("<u4").tobytes())
 
     def look(key, parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        order = np.argsort(known["word"].to_numpy().view(np.uint64)) if len(known) else np.empty(0, np.int64)
-        word = known["word"].to_numpy()[order].view(np.uint64) if len(known) else np.empty(0, np.uint64)
-        n = known["n"].to_numpy()[order].astype(np.float64) if len(known) else np.empty(0)
-        for names, x, y, pairs in zip(parts["names"], parts["x"], parts["y"], parts["pairs"], strict=True):
-            names = [names[i : i + 16] for i in range(0, len(names), 16)]
-            if key[0] < 0:
-                sums, count = np.frombuffer(x), np.frombuffer(y, np.int64)
-            else:
-                mine, spread = np.frombuffer(x, np.uint64), np.frombuffer(y, "<u4")
-                at = np.minimum(np.searchsorted(word, mine), max(0, len(word) - 1))
-                c = np.where(word[at] == mine, n[at], 0) if len(word) else np.zeros(len(mine))
-                pair = np.frombuffer(pairs, "<u4").reshape(-1, 2)
-                c = np.repeat(c, spread)
-                sums = np.bincount(pair[:, 0], (np.log10(c + 1) - level) * pair[:, 1], len(names))
-                count = np.bincount(pair[:, 0], (c > 0) * pair[:, 1], len(names)).astype(np.int64)
-            out.append(pd.DataFrame({"digest": names, "base": sums, "known": count}))
-        if not out:
-            return pd.DataFrame({"digest": pd.Series(dtype=object), "bucket": pd.Series(dtype="int32"), "base": pd.Series(dtype=float), "known": pd.Series(dtype="int64")})
-        return pd.concat(out).assign(bucket=np.int32(max(-1, key[0]))).drop_duplicates("digest")[["digest", "bucket", "base", "known"]]
-
-    parts = texts.mapInArrow(run, "bucket int, names binary, x binary, y binary, pairs binary")
-    rest = counts.where(F.col("n") * HEAVY < total).select((F.shiftrightunsigned("word", 1) % F.lit(buckets)).cast("int").alias("bucket"), "word", "n")
-    found = parts.groupBy("bucket").cogroup(rest.groupBy("bucket")).applyInPandas(look, "digest binary, bucket int, base double, known long")
+        count, out = dict(zip(known["word"], known["n"], strict=True)), []
+        for words, pairs in zip(parts["words"], parts["pairs"], strict=True):
+            c = np.fromiter(map(count.get, words.split(b"\n"), repeat(0)), np.float64)
+            place, inside, times = np.frombuffer(pairs, "<u4").reshape(-1, 3).astype(np.int64).T
+            own, inside = np.unique(inside, return_inverse=True)
+            c = c[place]
+            out.append(_sums(own, np.bincount(inside, (np.log10(c + 1) - level) * times), np.bincount(inside, (c > 0) * times)))
+        return pd.DataFrame({"turn": parts["turn"], "names": b"", "sums": out})
+
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        names = max(parts["names"], key=len)
+        names = [names[i : i + 16] for i in range(0, len(names), 16)]
+        sums, known = np.zeros(len(names)), np.zeros(len(names), np.int64)
+        for x in parts["sums"]:
+            rows = np.frombuffer(x, _SUMS)
+            sums[rows["at"]] += rows["sum"]
+            known[rows["at"]] += rows["known"]
+        return pd.DataFrame({"digest": names, "base_score": sums, "n_known": known})
+
+    parts = scratch.stage(texts.mapInArrow(run, "bucket int, turn long, names binary, words binary, pairs binary"), "parts")
+    rest = parts.where("bucket >= 0")
+    size = rest.agg(F.sum(F.length("words") + F.length("pairs"))).first()[0] or 0
+    salts = max(1, -(-size // (buckets * PART_BYTES)))
+    salted = rest.select("bucket", F.pmod(F.xxhash64("turn"), F.lit(salts)).alias("salt"), "turn", "words", "pairs")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
+    told = counts.where(F.col("n") * HEAVY < total).select((F.crc32("word") % buckets).cast("int").alias("bucket"), every, "word", "n")
+    found = salted.groupBy("bucket", "salt").cogroup(told.groupBy("bucket", "salt")).applyInPandas(look, "turn long, names binary, sums binary")
+    whole = found.unionByName(parts.where("bucket < 0").select("turn", "names", F.col("pairs").alias("sums")))
+    found = whole.groupBy("turn").applyInPandas(merge, "digest binary, base_score double, n_known long")
     # Equal texts of different batches gave equal sums: one of each counts.
-    found = found.groupBy("digest", "bucket").agg(F.min("base").alias("base"), F.min("known").alias("known"))
-    return found.groupBy("digest").agg(F.sum("base").alias("base_score"), F.sum("known").alias("n_known"))
+    return found.groupBy("digest").agg(F.min("base_score").alias("base_score"), F.min("n_known").alias("n_known"))
+
+
+#: What a batch's texts (by number) get from a bucket.
+_SUMS = np.dtype([("at", "<u4"), ("known", "<u4"), ("sum", "<f8")])
+
+
+def _sums(at: np.ndarray, sums: np.ndarray, known: np.ndarray) -> bytes:
+    out = np.empty(len(at), _SUMS)
+    out["at"], out["known"], out["sum"] = at, known, sums
+    return out.tobytes()
 
 
-def _part(bucket: int, names: bytes, x: bytes, y: bytes, pairs: bytes) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in (names, x, y, pairs))], names=["bucket", "names", "x", "y", "pairs"]
-    )
+def _part(bucket: int, turn: int, names: bytes, words: bytes, pairs: bytes) -> pa.RecordBatch:
+    columns = [pa.array([bucket], pa.int32()), pa.array([turn], pa.int64()), *(pa.array([v], pa.binary()) for v in (names, words, pairs))]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "turn", "names", "words", "pairs"])
 
 
-def score_texts(
-    docs: DataFrame, tokenizer: str, held_out: Column, end_id: int = 50256, share: float = 1.0, least: int = 0, shard_ids: int = 6_000_000, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def score_texts(docs: DataFrame, tokenizer: str, held_out: Column, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each document; those for which
     `held_out` holds teach neither model."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "lm")
+    scratch = Scratch(docs.sparkSession, "lm")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out.alias("held_out"), F.col(text_col).alias("text"))
-    tokens = scratch.stage(encoded(rows, tokenizer), "tokens")
+    size = subwords(tokenizer).size
+    kind = _small(size)
+    tokens = scratch.stage(encoded(rows, tokenizer, kind), "tokens")
     train = tokens.where("not held_out")
     counts = scratch.stage(word_counts(rows.where("not held_out").select("text")), "counts")
     kinds, in_words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = train.count()
     total, kinds = in_words + ends, kinds + (ends > 0)
 
-    initial = _initial(tokenizer)
-    by_id = id_counts(train, len(initial))
+    (by_id,) = dense_counts(train, kind, [size], lambda ids, _: [ids])
     by_id[end_id] += ends
-    inventory = attention.Inventory.of(by_id, initial)
-    model = fit(train, inventory, int(by_id.sum()), end_id, share, least, shard_ids, scratch)
-    scored = model_scores(tokens, model, inventory, end_id)
-    base = base_scores(rows.select("text"), counts, total, kinds, ends)
+    model = fit(train, attention.Inventory.of(by_id), kind, int(by_id.sum()), end_id, scratch)
+    scored = model_scores(tokens, model, kind, end_id)
+    base = base_scores(rows.select("text"), counts, total, kinds, ends, scratch)
     out = scored.join(base, "digest")
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

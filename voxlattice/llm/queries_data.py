@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +11,8 @@ from .mixing import mixing_plan
 from .packing import best_fit_packing
 from .warc import Archive
 
-#: Where the public vocabulary files are; a parameter of every operator that reads one.
-VOCABULARIES = os.environ.get("VOXLATTICE_VOCABULARIES", "/opt/tokenizers")
-BYTE_BPE = f"{VOCABULARIES}/byte_bpe_50k.json"
+#: A public vocabulary file; the path is a parameter of every operator that reads one.
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .lm_scoring import score_texts
+from .queries_data import BYTE_BPE
 from .quality import fit_quality, score_quality
 from .shingle_links import shingle_links
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_entities
 
-#: Where the public vocabulary files are.
-VOCABULARIES = os.environ.get("VOXLATTICE_VOCABULARIES", "/opt/tokenizers")
 #: The key of the surrogates: a secret of the deployment; this default serves tests.
 SECRET = os.environ.get("VOXLATTICE_SECRET", "a key for tests").encode()
 
@@ -37,7 +36,7 @@ def op8_shingle_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 7 == 2
-    return score_texts(table(spark, sf_dir, "documents"), f"{VOCABULARIES}/byte_bpe_50k.json", held_out)
+    return score_texts(table(spark, sf_dir, "documents"), BYTE_BPE, held_out)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

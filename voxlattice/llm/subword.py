@@ -2,7 +2,8 @@
 
 The vocabulary is a public tokenizer file whose path is a parameter; nothing is trained. Texts are cut into the
 pattern's words with array operations, and each different word of a task is encoded once and remembered, since words
-repeat. The ids equal those that the `tokenizers` library gives for the file (see tests)."""
+repeat; words are found by hash and then compared. Texts that hold one of the file's special tokens, or an apostrophe,
+go to a library whole. The ids equal those that the `tokenizers` library gives for the file (see tests)."""
 
 from __future__ import annotations
 
@@ -45,22 +46,33 @@ class Subwords:
 
     def __init__(self, path: str):
         import tiktoken
+        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)
-        symbols, special = _bytes_of_symbols(), {x["content"] for x in model.get("added_tokens", [])}
+        symbols, added = _bytes_of_symbols(), model.get("added_tokens", [])
+        special = {x["content"] for x in added}
         ranks = {bytes(symbols[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
+        #: One more than the largest id.
+        self.size = 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in added)])
         self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self._special, self._library = sorted(special), Tokenizer.from_file(path)
         self._powers = Powers()
         self._forget()
 
+    def _whole(self, text: str) -> list[int]:
+        if any(x in text for x in self._special):
+            return self._library.encode(text, add_special_tokens=False).ids
+        return self._encode(text)
+
     def _forget(self) -> None:
-        self._known: dict[int, int] = {}
+        self._known: dict[int, tuple[int, str]] = {}
         self._flat, self._used = np.empty(1 << 16, np.uint32), 0
-        self._start, self._count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self._start, self._count, self._stored = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
 
     def _remember(self, ids: list[int]) -> int:
-        k = len(self._known)
+        k = self._stored
+        self._stored += 1
         if k == len(self._start):
             self._start, self._count = (np.concatenate([x, np.zeros_like(x)]) for x in (self._start, self._count))
         while self._used + len(ids) > len(self._flat):
@@ -74,13 +86,13 @@ class Subwords:
         parts, counts = [], []
         for a, b in slices(texts, self.CHARS):
             # Apostrophes can start a contraction, which the array form of the pattern leaves out.
-            odd = {i for i in range(a, b) if "'" in texts[i] or _SEPARATOR in texts[i]}
+            odd = {i for i in range(a, b) if "'" in texts[i] or _SEPARATOR in texts[i] or any(x in texts[i] for x in self._special)}
             ids, ends = self._words([texts[i] for i in range(a, b) if i not in odd])
             lengths = iter(np.diff(ends, prepend=0).tolist())
             at = 0
             for i in range(a, b):
                 if i in odd:
-                    parts.append(np.array(self._encode(texts[i]), np.uint32))
+                    parts.append(np.array(self._whole(texts[i]), np.uint32))
                     counts.append(len(parts[-1]))
                 else:
                     counts.append(next(lengths))
@@ -91,10 +103,19 @@ class Subwords:
                 parts.append(ids)
         return np.concatenate(parts) if parts else np.empty(0, np.uint32), np.cumsum(counts, dtype=np.int64)
 
+    @staticmethod
+    def _same(points: np.ndarray, begin: np.ndarray, end: np.ndarray, first: np.ndarray) -> bool:
+        """Whether each word is the same as the word of this batch that stands for its hash."""
+        count = end - begin
+        if (count != count[first]).any():
+            return False
+        # Words cover all points in order: each point is compared with its like in the other word.
+        return bool((points == points[np.arange(len(points)) + np.repeat(begin[first] - begin, count)]).all())
+
     def _words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if not texts:
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self._known) > self.WORDS:
+        if self._stored > self.WORDS:
             self._forget()
         joined = _SEPARATOR.join(texts) + _SEPARATOR
         points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
@@ -122,13 +143,17 @@ class Subwords:
         fresh[0], fresh[1:] = True, ranked[1:] != ranked[:-1]
         number = np.empty(len(ranked), np.int64)
         number[order] = np.cumsum(fresh) - 1
+        first = order[fresh][number]
+        if not self._same(points, begin, end, first):
+            ids = [self._whole(text) for text in texts]
+            return np.array([i for x in ids for i in x], np.uint32), np.cumsum([len(x) for x in ids], dtype=np.int64)
         known, index = self._known, []
         for key, at in zip(ranked[fresh].tolist(), order[fresh].tolist(), strict=True):
-            k = known.get(key)
-            if k is None:
-                word = joined[begin[at] : end[at]]
+            word = joined[begin[at] : end[at]]
+            k, same = known.get(key, (0, None))
+            if same != word:  # new, or another word with the same hash
                 k = self._remember([] if word == _SEPARATOR else self._encode(word))
-                known[key] = k
+                known[key] = k, word
             index.append(k)
         words = np.array(index, np.int64)[number]
         count = self._count[words]
