@@ -18,8 +18,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 import zlib
-from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -34,12 +33,12 @@ from .subword import subwords
 
 #: Words broadcast at most; words of a bucket; bytes of packed words in a part of a bucket; bytes of text in a batch.
 HEAVY, BUCKET_WORDS, PART_BYTES, BATCH = 200_000, 150_000, 32 << 20, 4 << 20
-#: Words a task counts or remembers before it lets go of them; texts a task remembers scores of.
+#: Words a task counts before it tells their counts; texts a task remembers scores of.
 COUNTED, REMEMBERED = 400_000, 1 << 16
 #: Ids that the model's start is trained on; ids that a task trains on at a time; ids that a task counts at a time.
-START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 2_000_000, 8_000_000
-#: Models that one task averages.
-FAN_IN = 32
+START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 2_000_000, 6_000_000
+#: Models that one task averages, and tasks whose counts it sums; cells of a block of counts (16 bits).
+FAN_IN, BLOCK = 32, 1 << 16
 
 
 def digest(text: bytes) -> bytes:
@@ -55,60 +54,110 @@ def _small(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+class _Numbers(dict):
+    """A number for each different word, from 0 on, given when it is first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Seen:
+    """The words that a task has met since it last told: their ids, and how often they stood in training texts."""
+
+    def __init__(self, kind: str, size: int):
+        self.number, self.kind = _Numbers(), kind
+        self.flat, self.starts = np.empty(0, kind), np.zeros(1, np.int64)
+        self.times, self.ids = np.zeros(0, np.int64), np.zeros(size, np.int64)
+
+    def add(self, split: list[list[bytes]], size: np.ndarray, taught: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (lists of words), and where each text's end."""
+        before = len(self.number)
+        word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
+        parts = [encode(" " + w.decode("utf-8", "replace")) for w in islice(self.number, before, None)]
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(parts), self.kind)])
+        begin, count = self.starts[word], self.starts[word + 1] - self.starts[word]
+        upto = np.cumsum(count)
+        ids = self.flat[np.repeat(begin - upto + count, count) + np.arange(int(count.sum()))]
+        ends = np.concatenate([[0], upto])[np.cumsum(size)]
+        times = np.bincount(word[np.repeat(taught, size)], minlength=len(self.number))
+        times[: len(self.times)] += self.times
+        self.times = times
+        self.ids += np.bincount(ids[np.repeat(taught, np.diff(ends, prepend=0))], minlength=len(self.ids))
+        return ids, ends
+
+    def told(self) -> tuple[bytes, bytes, bytes]:
+        words = [w for w, n in zip(self.number, self.times.tolist(), strict=True) if n]
+        return b"\n".join(words), self.times[self.times > 0].astype("<i8").tobytes(), self.ids.astype("<i8").tobytes()
+
+
 def encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
     """id, held_out, digest, n_tokens (words and the end) and ids of each row of docs (id, held_out, text). A word's ids
-    are those of a space and the word, whatever stands around it, so each different word is encoded once."""
+    are those of a space and the word, whatever stands around it, so each different word is encoded once. Some rows also
+    tell what their task has counted in training texts: words, times (of each) and id_times (of all ids)."""
 
     def run(batches):
-        encode, known, flat, starts = subwords(tokenizer).encode, {}, np.empty(0, kind), np.zeros(1, np.int64)
+        coder = subwords(tokenizer)
+        seen, held = _Seen(kind, coder.size), None
+
+        def told(rows: list, counts: tuple) -> pa.RecordBatch:
+            n = len(rows[0])
+            more = [pa.array([x, *[None] * (n - 1)], pa.binary()) for x in counts]
+            return pa.RecordBatch.from_arrays([*rows, *more], names=["id", "held_out", "digest", "n_tokens", "ids", "words", "times", "id_times"])
+
         for batch in batches:
             raw = _raw(batch.column(2))
             for a, b in slices(raw, BATCH):
                 split = [t.lower().split() for t in raw[a:b]]
-                if len(known) > COUNTED:
-                    known, flat, starts = {}, np.empty(0, kind), np.zeros(1, np.int64)
-                size = np.array([len(w) for w in split], np.int64)
-                fresh = [w for w in dict.fromkeys(chain.from_iterable(split)) if w not in known]
-                if fresh:
-                    ids, ends = encode([" " + w.decode("utf-8", "replace") for w in fresh])
-                    known.update(zip(fresh, range(len(starts) - 1, len(starts) - 1 + len(fresh)), strict=True))
-                    starts = np.concatenate([starts, starts[-1] + ends])
-                    flat = np.concatenate([flat, ids.astype(kind)])
-                word = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-                begin, count = starts[word], starts[word + 1] - starts[word]
-                upto = np.cumsum(count)
-                ids = flat[np.repeat(begin - upto + count, count) + np.arange(int(count.sum()))]
-                ends = np.concatenate([[0], upto])[np.cumsum(size)] * ids.itemsize
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(a, b - a) for c in (0, 1)),
-                        pa.array([digest(t) for t in raw[a:b]], pa.binary()),
-                        pa.array(size + 1),
-                        pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.concatenate([[0], ends]).astype("<i4")), pa.py_buffer(ids)]),
-                    ],
-                    names=["id", "held_out", "digest", "n_tokens", "ids"],
-                )
-
-    return docs.mapInArrow(run, "id long, held_out boolean, digest binary, n_tokens long, ids binary")
-
-
-def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n: occurrences over all rows of texts (text)."""
-
-    def told(counts: dict) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.binary()), pa.array(counts.values(), pa.int64())], names=["word", "n"])
+                size, out = np.array([len(w) for w in split], np.int64), batch.column(1).slice(a, b - a)
+                if len(seen.number) > COUNTED:
+                    yield told(held, seen.told())
+                    seen, held = _Seen(kind, coder.size), None
+                if held:
+                    yield told(held, (None,) * 3)
+                ids, ends = seen.add(split, size, ~out.to_numpy(zero_copy_only=False).astype(bool), coder.word)
+                held = [
+                    batch.column(0).slice(a, b - a),
+                    out,
+                    pa.array([digest(t) for t in raw[a:b]], pa.binary()),
+                    pa.array(size + 1),
+                    pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.append(0, ends * ids.itemsize).astype("<i4")), pa.py_buffer(ids)]),
+                ]
+        if held:
+            yield told(held, seen.told())
+
+    return docs.mapInArrow(run, "id long, held_out boolean, digest binary, n_tokens long, ids binary, words binary, times binary, id_times binary")
+
+
+def word_counts(tokens: DataFrame) -> DataFrame:
+    """word, n: occurrences in all training texts."""
+
+    def run(batches):
+        for batch in batches:
+            for words, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words, times = words.split(b"\n") if words else [], np.frombuffer(times, "<i8")
+                for i in range(0, len(words), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)], pa.binary()), pa.array(times[i : i + (1 << 16)])], names=["word", "n"])
+
+    return tokens.where("times is not null").select("words", "times").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """Occurrences of each id in all training texts."""
 
     def run(batches):
-        counts = Counter()
+        total = np.zeros(size, np.int64)
         for batch in batches:
-            for text in _raw(batch.column(0)):
-                counts.update(text.lower().split())
-                if len(counts) > COUNTED:
-                    yield told(counts)
-                    counts.clear()
-        yield told(counts)
+            for x in batch.column(0).to_pylist():
+                total += np.frombuffer(x, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["i", "n"])
 
-    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    out = np.zeros(size)
+    sums = tokens.where("id_times is not null").select("id_times").mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()
+    out[sums["i"].to_numpy()] = sums["n"].to_numpy()
+    return out
 
 
 def _ids(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -131,53 +180,93 @@ def _gathered(batches, kind: str, most: int):
         yield _ids(pa.chunked_array(held), kind)
 
 
-def dense_counts(tokens: DataFrame, kind: str, sizes: list[int], cells) -> list[np.ndarray]:
-    """How often each cell occurs, for each of some dense tables: cells(ids, ends) lists the cells of each table. What
-    comes to the driver is at most a row for each cell, however large the corpus."""
-    at = np.concatenate([[0], np.cumsum(sizes)])
+def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str) -> DataFrame:
+    """block, cells, n: how often each cell occurs (cells(ids, ends) lists them), in blocks of BLOCK cells as arrays.
+    Parts are summed in a tree, so that a group holds FAN_IN parts of a block at most, however large the corpus."""
+    shape = "part long, block int, cells binary, n binary"
 
     def run(batches):
-        total = np.zeros(at[-1], np.int64)
-        for ids, ends in _gathered(batches, kind, COUNT_IDS):
-            for found, a, b in zip(cells(ids, ends), at, at[1:], strict=False):
-                total[a:b] += np.bincount(found, minlength=b - a)
+        task = pyspark.TaskContext.get().partitionId() << 12
+        for turn, (ids, ends) in enumerate(_gathered(batches, kind, COUNT_IDS)):
+            found, n = np.unique(cells(ids, ends), return_counts=True)
+            block = found // BLOCK
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            inside, n, stop = (found % BLOCK).astype("<u2"), n.astype("<i8"), [*first[1:], len(found)]
+            rows = [(inside[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first, stop, strict=True)]
+            for i in range(0, len(rows), 256):
+                own = rows[i : i + 256]
+                columns = [pa.array([task + turn] * len(own), pa.int64()), pa.array(block[first[i : i + 256]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*own, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "cells", "n"])
+
+    def added(group: pd.DataFrame) -> pd.DataFrame:
+        at, n = np.frombuffer(b"".join(group["cells"]), "<u2"), np.frombuffer(b"".join(group["n"]), "<i8")
+        total = np.bincount(at, n, BLOCK)
         some = np.flatnonzero(total)
-        yield from _counted(some, total[some])
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "block": [int(group["block"].iloc[0])], "cells": [some.astype("<u2").tobytes()], "n": [total[some].astype("<i8").tobytes()]})
 
-    sums = tokens.select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").cast("double").alias("n"))
-    out, found = np.zeros(at[-1]), sums.toArrow()
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return [out[a:b] for a, b in zip(at, at[1:], strict=False)]
+    # A task's parts have neighbouring numbers.
+    made, level = tokens.select("ids").mapInArrow(run, shape).withColumn("part", F.shiftright("part", 12)), 0
+    while True:
+        made = made.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInPandas(added, shape)
+        made, level = scratch.stage(made, f"{name}{level}"), level + 1
+        if not made.agg(F.max("part")).first()[0]:
+            return made.select("block", "cells", "n")
 
 
-def _counted(cells: np.ndarray, n: np.ndarray):
-    for i in range(0, len(cells), 1 << 18):
-        yield pa.RecordBatch.from_arrays([pa.array(cells[i : i + (1 << 18)].astype(np.int32)), pa.array(n[i : i + (1 << 18)])], names=["cell", "n"])
+def _cells(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Cells and counts of blocks, rising."""
+    table = table.sort_by("block")
+    cells, n = table["cells"].to_pylist(), table["n"].to_pylist()
+    base = np.repeat(table["block"].to_numpy().astype(np.int64) * BLOCK, [len(x) // 2 for x in cells])
+    return base + np.frombuffer(b"".join(cells), "<u2"), np.frombuffer(b"".join(n), "<i8").astype(np.float64)
 
 
-def pair_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The largest cells of what follows pairs (rising; attention.CELLS at most, all that count alike or none of them),
-    their counts, and the full total of each pair."""
+def largest(blocks: DataFrame, most: int) -> DataFrame:
+    """The cells that count most, `most` at the most: all that count alike, but for less than a tenth, or none of them."""
 
-    def run(batches):
-        for ids, ends in _gathered(batches, kind, COUNT_IDS):
-            yield from _counted(*np.unique(cells(ids, ends), return_counts=True))
-
-    sums = tokens.select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    sums = scratch.stage(sums, "cells").withColumn("bin", F.floor(F.log2("n") * 8))
-    least, left = 0, attention.CELLS
-    for row in sorted(sums.groupBy("bin").count().collect(), reverse=True):  # a few hundred at most
-        left -= row["count"]
+    def level(n: np.ndarray) -> np.ndarray:
+        return np.floor(np.log2(n) * 8).astype(np.int64)
+
+    def bins(batches):
+        total = np.zeros(512, np.int64)
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                total += np.bincount(level(np.frombuffer(x, "<i8")), minlength=512)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(total)), pa.array(total[total > 0])], names=["bin", "n"])
+
+    least, left = 0, most
+    for row in sorted(blocks.select("n").mapInArrow(bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect(), reverse=True):
+        left -= row["n"]
         if left < 0:
             break
         least = row["bin"]
-    of_pairs = sums.groupBy(F.floor(F.col("cell") / attention.ROWS).cast("int").alias("pair")).agg(F.sum("n").alias("n")).toArrow()
-    totals = np.zeros(attention.PAIRS)
-    totals[of_pairs["pair"].to_numpy()] = of_pairs["n"].to_numpy()
-    kept = sums.where(F.col("bin") >= least).select("cell", F.col("n").cast("float").alias("n")).toArrow()
-    at, n = kept["cell"].to_numpy(), kept["n"].to_numpy()
-    order = np.argsort(at)
-    return at[order], n[order], totals
+
+    def kept(batches):
+        for batch in batches:
+            rows = []
+            for cells, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cells, n = np.frombuffer(cells, "<u2"), np.frombuffer(n, "<i8")
+                keep = level(n) >= least
+                rows.append((cells[keep].tobytes(), n[keep].tobytes()))
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["block", "cells", "n"])
+
+    return blocks.mapInArrow(kept, "block int, cells binary, n binary")
+
+
+def pair_totals(blocks: DataFrame) -> np.ndarray:
+    """All that follows each pair, kept or not."""
+    rows = attention.ROWS
+
+    def run(batches):
+        for batch in batches:
+            for block, cells, n in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                total = np.bincount(np.frombuffer(cells, "<u2") // rows, np.frombuffer(n, "<i8"), BLOCK // rows)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total)) + block * (BLOCK // rows)), pa.array(total)], names=["pair", "n"])
+
+    out, found = np.zeros(attention.PAIRS), blocks.mapInArrow(run, "pair long, n double").toArrow()
+    out[found["pair"].to_numpy()] = found["n"].to_numpy()
+    return out
 
 
 #: The last model's values in this Python worker: tasks of one job share them.
@@ -207,12 +296,20 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
     spark, end_row, square = train.sparkSession, int(inventory.row[end_id]), attention.ROWS**2
     context = spark.sparkContext
     sent = context.broadcast(inventory)
-    names = ["direct", "skipped", "further"]
     line = lambda ids, ends: attention.laid_out(sent.value.row[ids], ends, end_row)[0]
-    counts = dict(zip(names, dense_counts(train, kind, [square] * 3, lambda ids, ends: attention.followers(line(ids, ends))), strict=True))
+
+    def after(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return np.concatenate([cells + i * square for i, cells in enumerate(attention.followers(line(ids, ends)))])
+
+    at, n = _cells(cell_counts(train, kind, after, scratch, "after").toArrow())  # a number for each two rows at most
+    dense = np.zeros(3 * square)
+    dense[at] = n
+    counts = dict(zip(["direct", "skipped", "further"], dense.reshape(3, square), strict=True))
     pair_of = attention.pairs_of(counts["direct"], end_row)
     pairs = context.broadcast(pair_of)
-    paired = pair_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch)
+    paired = cell_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch, "paired")
+    at, n = _cells(largest(paired, attention.CELLS).toArrow())
+    paired = at.astype(np.int32), n.astype(np.float32), pair_totals(paired)
     model = Model(inventory, counts, pair_of, paired)
     told = context.broadcast(model)
 
@@ -373,12 +470,12 @@ def score_texts(docs: DataFrame, tokenizer: str, held_out: Column, end_id: int =
     kind = _small(size)
     tokens = scratch.stage(encoded(rows, tokenizer, kind), "tokens")
     train = tokens.where("not held_out")
-    counts = scratch.stage(word_counts(rows.where("not held_out").select("text")), "counts")
+    counts = scratch.stage(word_counts(tokens), "counts")
     kinds, in_words = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     ends = train.count()
     total, kinds = in_words + ends, kinds + (ends > 0)
 
-    (by_id,) = dense_counts(train, kind, [size], lambda ids, _: [ids])
+    by_id = id_counts(tokens, size)
     by_id[end_id] += ends
     model = fit(train, attention.Inventory.of(by_id), kind, int(by_id.sum()), end_id, scratch)
     scored = model_scores(tokens, model, kind, end_id)

@@ -56,6 +56,8 @@ class Subwords:
         #: One more than the largest id.
         self.size = 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in added)])
         self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        #: Ids of one short text without special tokens.
+        self.word = self._encode
         self._special, self._library = sorted(special), Tokenizer.from_file(path)
         self._powers = Powers()
         self._forget()
