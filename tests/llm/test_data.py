@@ -95,20 +95,53 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
     assert mix_sources(docs.limit(0)).count() == 0
 
 
-def test_top_k_equals_brute_force(spark):
-    x = RNG.integers(-3, 4, (500, 5))
+def brute_top_k(ids, vectors, asks, k):
+    """[(query_id, [(score, vec_id)])], one for each query row."""
+    fit = [i is not None and v is not None and len(v) > 0 and None not in v for i, v in zip(ids, vectors, strict=True)]
+    out = []
+    for a, q in enumerate(ids):
+        if fit[a] and asks(q):
+            scored = [(sum(x * y for x, y in zip(vectors[a], vectors[b], strict=True)), i) for b, i in enumerate(ids) if b != a and fit[b] and len(vectors[b]) == len(vectors[a])]
+            out.append((q, sorted(scored, key=lambda s: (-s[0], s[1]))[:k]))
+    return sorted(out)
+
+
+def found_top_k(rows, asks, **options):
+    got = defaultdict(lambda: defaultdict(list))
+    for r in exact_top_k(rows, asks, **options).collect():
+        got[r["query_id"]][r["rank"]].append((r["score"], r["vec_id"]))
+    # Rows of one id that ask alike are told apart by nothing: their results are compared as sets.
+    return {q: {rank: sorted(x) for rank, x in ranks.items()} for q, ranks in got.items()}
+
+
+def as_found(brute):
+    out = defaultdict(lambda: defaultdict(list))
+    for q, scored in brute:
+        for rank, x in enumerate(scored, 1):
+            out[q][rank].append(x)
+    return {q: {rank: sorted(x) for rank, x in ranks.items()} for q, ranks in out.items()}
+
+
+@pytest.mark.parametrize("far", [4, 1 << 22, 1 << 29])
+def test_top_k_equals_brute_force(spark, far):
+    x = RNG.integers(-far + 1, far, (500, 5))
     vectors = [v.tolist() for v in x] + [None, [], [None, 1, 1, 1, 1], [1, 2], [3, 4]]
     ids = [*range(500), 500, 501, 502, 520, 521]
-    rows = spark.createDataFrame([*zip(ids, vectors, strict=True), (0, vectors[0]), (None, [1] * 5)], "vec_id long, vector array<bigint>").withColumn("dim", F.lit("clash"))
-    got = defaultdict(list)
-    for r in exact_top_k(rows, F.col("vec_id") % 20 == 0, k=7, shard_rows=90, block_rows=9, leaf_rows=8).orderBy("query_id", "rank").collect():
-        got[r["query_id"]].append((r["score"], r["vec_id"]))
-    for q in range(0, 500, 20):
-        assert got[q] == sorted([(int(x[q] @ x[j]), j) for j in range(500) if j != q], key=lambda s: (-s[0], s[1]))[:7]
-    assert got[520] == [(11, 521)] and not set(got) - {*range(0, 500, 20), 520}
+    ids, vectors = [*ids, 0, 0, 7, None], [*vectors, vectors[0], vectors[33], vectors[7], [1] * 5]
+    rows = spark.createDataFrame([*zip(ids, vectors, strict=True)], "vec_id long, vector array<bigint>").withColumn("dim", F.lit("clash")).withColumn("row", F.lit(1))
+    found = found_top_k(rows, F.col("vec_id") % 20 == 0, k=7, shard_rows=90, block_rows=9, leaf_rows=8)
+    assert found == as_found(brute_top_k(ids, vectors, lambda i: i % 20 == 0, 7))
+
+
+def test_top_k_edges(spark):
     big = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 20, 3]), (2, [1 << 20, 2])], "vec_id long, vector array<bigint>")
     assert [(r["vec_id"], r["score"]) for r in exact_top_k(big, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, (1 << 60) + 3), (2, (1 << 60) + 2)]
-    assert exact_top_k(rows.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    twice = spark.createDataFrame([(1, [2, 0]), (1, [2, 0]), (20, [1, 1])], "vec_id long, vector array<bigint>")
+    assert [(r["rank"], r["vec_id"], r["score"]) for r in exact_top_k(twice, F.col("vec_id") == 20).orderBy("rank").collect()] == [(1, 1, 2), (2, 1, 2)]
+    assert exact_top_k(big.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    over = spark.createDataFrame([(0, [1 << 40, 1]), (1, [1 << 40, 3])], "vec_id long, vector array<bigint>")
+    with pytest.raises(Exception, match="64 bits"):
+        exact_top_k(over, F.col("vec_id") == 0).collect()
 
 
 def test_records_round_trip():

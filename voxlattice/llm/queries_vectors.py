@@ -25,12 +25,12 @@ QUERIES = {"op4_exact_top_k": op4_exact_top_k, "op7_vector_links": op7_vector_li
 SQL = {
     "op4_exact_top_k": """
 with v as (
-  select distinct vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
+  select row_number() over () as row, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as q from embeddings
   where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 s as (
-  select a.vec_id as query_id, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
-  from v a join v b on a.vec_id % 20 = 0 and a.vec_id <> b.vec_id and len(a.q) = len(b.q)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+  select a.row as query_row, a.vec_id as query_id, b.row, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+  from v a join v b on a.vec_id % 20 = 0 and a.row <> b.row and len(a.q) = len(b.q)),
+r as (select *, row_number() over (partition by query_row order by score desc, vec_id, row) as n from s)
 select query_id, cast(n as integer) as rank, vec_id, score from r where n <= 20
 """,
     "op7_vector_links": """
