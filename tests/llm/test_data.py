@@ -93,6 +93,22 @@ def test_mixing_reaches_targets_and_reruns_agree(spark):
     mixed = sorted(map(str, mix_sources(docs).collect()))
     assert mixed == sorted(map(str, mix_sources(docs.repartition(7)).collect())) and len(mixed) == sum(len(r["shards"]) for r in plan)
     assert mix_sources(docs.limit(0)).count() == 0
+    # Shards have partitions of their own, several if they are large.
+    assert mix_sources(docs, shards=4, part_words=2000).rdd.getNumPartitions() == 24
+    assert sorted(map(str, mix_sources(docs, part_words=2000).collect())) == mixed
+
+
+@pytest.mark.parametrize("text", [["w " * 10], [f"w{i} " * 10 for i in range(7)]])
+def test_mixing_splits_rows_of_one_id(spark, text):
+    """Rows of null or repeated ids, equal or not: the target is still met to within a row."""
+    rows = [(None, text[i % len(text)], "a") for i in range(500)] + [(3, "x " * 10, "b")] * 500 + [(i, "y " * 10, "c") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing_plan(docs.repartition(5), Scratch(spark, "test")).collect():
+        taken[r["source"]] += r["size"] * len(r["shards"])
+        target[r["source"]] = r["target"]
+        assert len(r["shards"]) <= 3
+    assert all(abs(taken[s] - target[s]) <= 10 for s in target)
 
 
 def brute_top_k(ids, vectors, asks, k):

@@ -10,8 +10,12 @@ are cut at the quotas, so shards hold disjoint blocks. Rows are shuffled within
 What is joined to the rows is one line for each (source, block): broadcast only if the number of sources, which is
 counted first, keeps it small; joined by shuffle otherwise, on keys that split the hottest source `blocks` ways.
 
+Rows are drawn by a hash of id and text. Equal rows share it; of those at the bound of the block that is drawn in part,
+the number is taken that leaves the source nearest to its target, whichever they are.
+
 Defined results: null text has size 0; a null source is a source of its own, after all others; an empty table gives no
-rows; equal rows are separate rows that share their fate; rows of size 0 count as part of their block."""
+rows; rows that share an id but not a text are drawn apart; equal rows are separate rows; rows of size 0 count as part
+of their block."""
 
 from __future__ import annotations
 
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, uniform
 
-#: Blocks of a source, and lines of the block table up to which it may be broadcast (about 60 bytes each).
-BLOCKS, BROADCAST_LINES = 256, 1 << 16
+#: Blocks of a source, at least, and rows for which there is one block more; lines of the block table up to which it may
+#: be broadcast (about 60 bytes each); words of an output partition.
+BLOCKS, BLOCK_ROWS, BROADCAST_LINES, PART_WORDS = 256, 1 << 20, 1 << 16, 4_000_000
 
 
 def words(text: Column) -> Column:
@@ -111,12 +116,17 @@ def mixing_plan(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
-    blocks: int = BLOCKS,
+    least_blocks: int = BLOCKS,
 ) -> DataFrame:
-    """The rows of docs with size, source_size, target and shards (the output shard of each time the row is taken)."""
-    keyed = docs.withColumns({"size": words(F.col(text_col)), "mix_hash": uniform(F.lit(seed), F.col(id_col))})
-    keyed = keyed.withColumn("mix_block", (F.col("mix_hash") % blocks).cast("int"))
-    slim = scratch.stage(keyed.select(F.col(source_col).alias("source"), "size", "mix_hash", "mix_block"), "sizes")
+    """The rows of docs with size, source_size, target, shards (the output shard of each time the row is taken) and
+    mix_hash."""
+    keyed = docs.withColumns({"size": words(F.col(text_col)), "mix_hash": uniform(F.lit(seed), F.col(id_col), F.md5(F.col(text_col)))})
+    slim = scratch.stage(keyed.select(F.col(source_col).alias("source"), "size", "mix_hash"), "sizes")
+    blocks = least_blocks
+    while blocks * BLOCK_ROWS < slim.count():
+        blocks *= 2
+    in_block = lambda h: (h % blocks).cast("int")
+    keyed, slim = (x.withColumn("mix_block", in_block(F.col("mix_hash"))) for x in (keyed, slim))
 
     sized = slim.groupBy("source", "mix_block").agg(F.sum("size").alias("words"))
     sources = targets(sized.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -133,9 +143,15 @@ def mixing_plan(
     # Of the block at the edge, the rows up to the hash bound that leaves the source nearest to its target.
     edge = block.where("parted").select(F.col("source").alias("edge_source"), F.col("mix_block").alias("edge_block"), "gap")
     inside = slim.join(edge, slim["source"].eqNullSafe(F.col("edge_source")) & (F.col("mix_block") == F.col("edge_block")))
-    rising = Window.partitionBy("source").orderBy("mix_hash")
-    inside = inside.withColumn("run", F.sum("size").over(rising)).where(F.col("run") - F.col("size") / 2 <= F.col("gap"))
-    bound = inside.groupBy(F.col("source").alias("edge_source")).agg(F.max("mix_hash").alias("bound"))
+    # Equal hashes are one line with a number of rows: a group of equal rows is not sorted.
+    inside = inside.groupBy("source", "mix_hash", "gap").agg(F.max("size").alias("each"), F.count("*").alias("n"), F.sum("size").alias("all"))
+    before = F.sum("all").over(Window.partitionBy("source").orderBy("mix_hash")) - F.col("all")
+    # As many rows of a line as leave the source nearest: those whose middle is within the gap.
+    fit = F.floor((F.col("gap") - before) / F.col("each") + 0.5)
+    inside = inside.withColumn("fit", F.when(F.col("each") > 0, F.least(F.greatest(fit, F.lit(0)), F.col("n"))).when(before <= F.col("gap"), F.col("n")).otherwise(0).cast("long"))
+    last = F.max(F.when(F.col("fit") > 0, F.struct("mix_hash", "fit", "n")))
+    bound = inside.groupBy(F.col("source").alias("edge_source")).agg(last.alias("last")).where("last is not null")
+    bound = bound.select("edge_source", F.col("last.mix_hash").alias("bound"), (F.col("last.n") > F.col("last.fit")).alias("tied"), F.col("last.fit").alias("fit"))
     block = scratch.stage(block.join(bound, block["source"].eqNullSafe(F.col("edge_source")) & F.col("parted"), "left").drop("edge_source"), "blocks")
 
     # What is dealt to shards: a block for each whole pass, once more if it is drawn, and the part of the one at the edge.
@@ -154,21 +170,41 @@ def mixing_plan(
     dealt = dealt.groupBy("source_no", "mix_block").agg(
         F.sort_array(F.collect_list(F.when(~F.col("in_part"), F.col("shard")))).alias("whole"), F.max(F.when(F.col("in_part"), F.col("shard"))).alias("part")
     )
-    lines = block.select(F.col("source").alias("of_source"), F.col("mix_block").alias("of_block"), "source_no", "source_size", "target", "bound")
+    lines = block.select(F.col("source").alias("of_source"), F.col("mix_block").alias("of_block"), "source_no", "source_size", "target", "bound", "tied", "fit")
     lines = lines.join(dealt, (lines["source_no"] == dealt["source_no"]) & (lines["of_block"] == dealt["mix_block"]), "left")
-    lines = scratch.stage(lines.select("of_source", "of_block", "source_size", "target", "bound", "whole", "part"), "lines")
+    lines = scratch.stage(lines.select("of_source", "of_block", "source_size", "target", "bound", "tied", "fit", "whole", "part"), "lines")
 
-    if lines.count() <= BROADCAST_LINES:
+    n, ties = lines.agg(F.count("*"), F.count_if("tied")).first()
+    if n <= BROADCAST_LINES:
         lines = F.broadcast(lines)
     out = keyed.join(lines, F.col(source_col).eqNullSafe(F.col("of_source")) & (F.col("mix_block") == F.col("of_block")))
     taken = F.coalesce("whole", F.array().cast("array<int>"))
-    partly = F.when(F.col("part").isNotNull() & (F.col("mix_hash") <= F.col("bound")), F.array("part")).otherwise(F.array().cast("array<int>"))
-    return out.withColumn("shards", F.concat(taken, partly)).drop("of_source", "of_block", "bound", "whole", "part", "mix_block")
-
-
-def mix_sources(docs: DataFrame, shards: int = 16, seed: str = "mix", **options) -> DataFrame:
-    """The mix: the columns of docs, a row as often as it is taken, each shard in its own partition and shuffled."""
-    plan = mixing_plan(docs, Scratch(docs.sparkSession, "mixing"), shards=shards, seed=seed, **options)
+    none = F.array().cast("array<int>")
+
+    def decided(rows: DataFrame, partly: Column) -> DataFrame:
+        rows = rows.withColumn("shards", F.concat(taken, F.when(F.col("part").isNotNull() & partly, F.array("part")).otherwise(none)))
+        return rows.select(*docs.columns, "size", "source_size", "target", "shards", "mix_hash")
+
+    if not ties:
+        return decided(out, F.col("mix_hash") <= F.col("bound"))
+    # Equal rows at a bound, of which some are taken: they are told apart by their place in the input.
+    at_bound = F.coalesce(F.col("tied") & (F.col("mix_hash") == F.col("bound")), F.lit(False))
+    equal = scratch.stage(out.where(at_bound).withColumn("mix_place", F.monotonically_increasing_id()), "ties")
+    few = F.row_number().over(Window.partitionBy("of_source").orderBy("mix_place")) <= F.col("fit")
+    chosen = equal.withColumn("mix_few", few)
+    return decided(out.where(~at_bound), F.col("mix_hash") <= F.col("bound")).unionByName(decided(chosen, F.col("mix_few")))
+
+
+def mix_sources(docs: DataFrame, shards: int = 16, seed: str = "mix", part_words: int = PART_WORDS, **options) -> DataFrame:
+    """The mix: the columns of docs, a row as often as it is taken. Each shard has partitions of its own, as many as its
+    words ask for; within a shard rows stand in the order of a keyed hash."""
+    scratch = Scratch(docs.sparkSession, "mixing")
+    plan = mixing_plan(docs, scratch, shards=shards, seed=seed, **options)
+    # What is taken is known before any text moves: all sizes, near enough.
+    total = scratch.read("sizes").agg(F.sum("size")).first()[0] or 0
+    each = max(1, -(-total // (part_words * shards)))
     mixed = plan.select(*docs.columns, "mix_hash", F.posexplode("shards").alias("mix_take", "mix_shard"))
-    shuffled = mixed.repartition(shards, "mix_shard").sortWithinPartitions("mix_shard", uniform(F.lit(seed), F.col("mix_hash"), F.col("mix_take")))
-    return shuffled.select(*docs.columns)
+    mixed = mixed.withColumn("mix_order", uniform(F.lit(seed), F.col("mix_hash"), F.col("mix_take")))
+    # A shard's partitions are stretches of its order, and each has its number.
+    part = F.col("mix_shard") * each + F.least((F.col("mix_order") / (float(1 << 60) / each)).cast("int"), F.lit(each - 1))
+    return mixed.repartitionById(shards * each, part).sortWithinPartitions("mix_order").select(*docs.columns)

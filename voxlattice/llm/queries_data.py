@@ -46,8 +46,9 @@ from p left join k on p.digest = k.digest
     "op9_mix_sources": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-    cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id as varchar), 'null')), 1, 15) as bigint) as h
+    cast('0x' || substr(md5('mix|' || coalesce(cast(doc_id as varchar), 'null') || '|' || coalesce(md5(text), 'null')), 1, 15) as bigint) as h
   from documents),
+n as (select *, row_number() over (partition by source, h) as place from d),
 s0 as (
   select source, cast(sum(size) as bigint) as source_size,
     row_number() over (order by source is null, encode(source)) - 1 as no from d group by source),
@@ -69,12 +70,16 @@ b2 as (
   select *, sum(words) over (partition by no order by cast('0x' || substr(md5('mix|block|' || no || '|' || block), 1, 15) as bigint), block) as upto from b),
 b3 as (select *, upto <= rest as drawn, upto > rest and rest - upto + words > 0 as parted, rest - upto + words as gap from b2),
 i as (
-  select d.source, h, size, gap, sum(size) over (partition by d.source order by h) as run
-  from d join b3 on d.source is not distinct from b3.source and h % 256 = block and parted),
-e as (select source, max(h) as bound from i where run - size / 2 <= gap group by source)
-select d.doc_id, cast(d.size as bigint) as size, b3.source_size, b3.target,
-  cast(d.size * (b3.passes + case when drawn or (parted and h <= e.bound) then 1 else 0 end) as bigint) as taken
-from d join b3 on d.source is not distinct from b3.source and d.h % 256 = b3.block
-  left join e on d.source is not distinct from e.source
+  select d.source, h, gap, max(size) as each, count(*) as c, sum(size) as whole
+  from d join b3 on d.source is not distinct from b3.source and h % 256 = block and parted group by all),
+i2 as (
+  select *, coalesce(sum(whole) over (partition by source order by h rows between unbounded preceding and 1 preceding), 0) as before from i),
+i3 as (
+  select *, case when each > 0 then least(greatest(floor((gap - before) / each + 0.5), 0), c) when before <= gap then c else 0 end as fit from i2),
+e as (select source, max(h) as bound, arg_max(fit, h) as fit from i3 where fit > 0 group by source)
+select n.doc_id, cast(n.size as bigint) as size, b3.source_size, b3.target,
+  cast(n.size * (b3.passes + case when drawn or (parted and (h < e.bound or (h = e.bound and place <= e.fit))) then 1 else 0 end) as bigint) as taken
+from n join b3 on n.source is not distinct from b3.source and n.h % 256 = b3.block
+  left join e on n.source is not distinct from e.source
 """,
 }
