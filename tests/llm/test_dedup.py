@@ -44,11 +44,30 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 200)
 
 
+def test_salted_parts_compare_bytes(spark, monkeypatch):
+    """With hashes that all agree across parts, only equal bytes go."""
+    import voxlattice.llm.suffix_dedup as D
+
+    gram = "0123456789abcdefghijklmnopqrstuv" * 2  # the anchor may lie in what all share; what stands around it differs
+    texts = [prose(40)[:150] + gram + prose(40)[:150] for _ in range(30)]
+    texts += [texts[0] + " x", texts[1] + " y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    keyed = docs.select(F.struct(F.lit(True).alias("known"), F.col("doc_id").alias("id")).alias("id"), F.encode("text", "UTF-8").alias("body"), F.unhex(F.sha2("text", 256)).alias("digest"))
+    same = keyed.select(F.lit(1).cast("long").alias("h1"), F.lit(1).cast("long").alias("h2"), "digest", F.lit(0).cast("long").alias("a"), F.lit(True).alias("open"))
+    found = D._same_windows(same, keyed, keyed.select("digest", "id"), 200, D.Scratch(spark, "test"))
+    named = {r["digest"]: r["id"]["id"] for r in keyed.collect()}
+    assert sorted(named[r["digest"]] for r in found.collect()) == [0, 1, 30, 31]
+    got = {r["doc_id"]: r["n_removed"] for r in remove_repeats(docs, hot=2).collect()}
+    assert [got[i] for i in range(len(texts))] == [b[1] for b in brute_spans(texts, 200)]
+
+
 def test_suffix_dedup_edges(spark):
     schema = "doc_id long, text string"
     assert remove_repeats(spark.createDataFrame([], schema)).count() == 0
     long = prose(60)
     rows = remove_repeats(spark.createDataFrame([(1, long), (1, long), (None, "a"), (2, None)], schema)).collect()
+    least = remove_repeats(spark.createDataFrame([(-(1 << 63), "a"), (None, "b")], schema)).collect()
+    assert {r["doc_id"] for r in least} == {-(1 << 63), None}
     assert sorted((r["doc_id"] or 0, r["n_bytes"], r["n_removed"]) for r in rows) == [(0, 1, 0), (1, len(long.encode()), len(long.encode())), (1, len(long.encode()), len(long.encode())), (2, 0, 0)]
 
 

@@ -9,8 +9,9 @@ the joined contexts gives the longest common extension of any two by binary sear
 bytes are compared, so that a hash collision cannot remove anything.
 
 Equal texts are folded first, equal contexts in each batch and group. A key with more than `hot` anchors is salted:
-each part is sorted by itself and passes on one of each different window (by 128 bits of hash), and parts are compared
-by these. Texts move twice: to the contexts that repeat, and to the spans that go.
+each part is sorted by itself and passes on one of each different window; where parts agree in 128 bits of hash, the
+windows' bytes are fetched and compared. Keys that make up much of all anchors are looked up by broadcast, so that they
+never gather. Texts move twice: to the contexts that repeat, and to the spans that go.
 
 Defined results: null texts are empty; texts shorter than `length` keep all bytes; equal rows are copies of each other
 and lose all bytes; a null id stays null; an empty table gives no rows; extra columns are ignored."""
@@ -28,7 +29,8 @@ from .common import Powers, Scratch, mix, ragged, slices
 
 _POWERS, _OTHER = Powers(), Powers(0xC2B2AE3D27D4EB4F)
 _GRAM = 32
-_NO_ID = -(1 << 63)
+#: Keys that are looked up by broadcast, at most: those with more than this share of all anchors.
+_FREQUENT = 1 << 16
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
@@ -182,6 +184,8 @@ def _runs(start: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(start[np.append(0, cut + 1)].tolist(), (start[np.append(cut, len(start) - 1)] + length).tolist(), strict=True))
 
 
+#: An id, and whether there is one: null ids are joined like others.
+_ID = "struct<known: boolean, id: long>"
 _SPANS = "digest binary, a long, b long, h1 long, h2 long, open boolean"
 
 
@@ -264,7 +268,7 @@ def _merged(spans) -> list[tuple[int, int]]:
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: int = 2000) -> tuple[DataFrame, DataFrame]:
     """docs (id, text) -> (digest, spans) of the texts that lose bytes, spans being [a, b) in any order."""
-    keyed = docs.select(F.coalesce("id", F.lit(_NO_ID)).alias("id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
+    keyed = docs.select(F.struct(F.col("id").isNotNull().alias("known"), F.coalesce("id", F.lit(0)).alias("id")).alias("id"), F.coalesce(F.encode("text", "UTF-8"), F.lit(b"")).alias("body"))
     keyed = keyed.withColumn("digest", F.unhex(F.sha2("body", 256)))
 
     def find(batches):
@@ -283,7 +287,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
                     names=["id", "digest", "size", "keys", "at"],
                 )
 
-    found = scratch.stage(keyed.mapInArrow(find, "id long, digest binary, size long, keys binary, at binary"), "anchors")
+    found = scratch.stage(keyed.mapInArrow(find, f"id {_ID}, digest binary, size long, keys binary, at binary"), "anchors")
     texts = found.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"))
     texts = scratch.stage(texts, "texts")
 
@@ -301,11 +305,15 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
 
     # One row of each different text: equal rows of one id and text are told apart by nothing and count once.
     first = found.join(texts.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    each = first.select("id", "digest", "keys", "at").mapInArrow(spread, "key long, id long, digest binary, x int, lo int, hi int")
+    each = first.select("id", "digest", "keys", "at").mapInArrow(spread, f"key long, id {_ID}, digest binary, x int, lo int, hi int")
     each = scratch.stage(each, "each")
     scratch.drop("anchors")
-    often = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = each.join(often, "key").groupBy("id", "digest").agg(F.collect_list(F.struct("key", "n", "x", "lo", "hi")).alias("wanted"))
+    often = scratch.stage(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # Keys with more than a share of all anchors are no more than its inverse: these are broadcast and never gather.
+    much = F.lit(max(hot, each.count() // _FREQUENT))
+    frequent = F.broadcast(often.where(F.col("n") > much))
+    rest = each.join(frequent.select("key"), "key", "left_anti").join(often.where(F.col("n") <= much), "key")
+    wanted = each.join(frequent, "key").unionByName(rest).groupBy("id", "digest").agg(F.collect_list(F.struct("key", "n", "x", "lo", "hi")).alias("wanted"))
     wanted = scratch.stage(wanted, "wanted")
     scratch.drop("each")
 
@@ -334,14 +342,36 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
     spans = scratch.stage(contexts.mapInArrow(lambda batches: _sorted_groups(batches, length, 1 << 20), _SPANS), "spans")
     passed = spans.where("h1 is not null")
     # One row of each window and part: as many as a key has parts, however hot it is.
-    across = passed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("open"), F.struct("digest", "a", "b"))).alias("open"))
-    across = across.where("n > 1").select(F.explode("open").alias("s")).select("s.*")
+    rows = F.collect_list(F.struct("digest", "a", "open"))
+    across = passed.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("open").alias("some"), rows.alias("rows")).where("n > 1 and some")
+    across = scratch.stage(across.select("h1", "h2", F.explode("rows").alias("s")).select("h1", "h2", "s.*"), "across")
+    across = _same_windows(across, keyed, texts, length, scratch) if across.limit(1).count() else across.select("digest", "a", F.col("a").alias("b")).limit(0)
     copied = texts.where(F.col("copies") > 1).where(F.col("size") >= length).select("digest", F.lit(0).cast("long").alias("a"), F.col("size").alias("b"))
     all_spans = spans.where("h1 is null").select("digest", "a", "b").unionByName(across).unionByName(copied)
     grouped = all_spans.groupBy("digest").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     return keyed, scratch.stage(grouped, "grouped")
 
 
+def _same_windows(rows: DataFrame, keyed: DataFrame, texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
+    """digest, a, b of the open rows (h1, h2, digest, a, open) whose bytes another row of the same hashes has as well."""
+    own = rows.groupBy("digest").agg(F.collect_list(F.struct("h1", "h2", "a", "open")).alias("own")).join(texts.select("digest", "id"), "digest")
+
+    def cut(batches):
+        for batch in batches:
+            for digest, body, own in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "own")), strict=True):
+                for i in range(0, len(own), 1 << 14):
+                    part = own[i : i + (1 << 14)]
+                    columns = [pa.array([w[c] for w in part], k) for c, k in (("h1", pa.int64()), ("h2", pa.int64()), ("a", pa.int64()), ("open", pa.bool_()))]
+                    columns += [pa.array([digest] * len(part), pa.binary()), pa.array([body[w["a"] : w["a"] + length] for w in part], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "a", "open", "digest", "window"])
+
+    found = keyed.join(own, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "body", "own")
+    found = found.mapInArrow(cut, "h1 long, h2 long, a long, open boolean, digest binary, window binary")
+    same = found.groupBy("h1", "h2", "window").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("open"), F.struct("digest", "a"))).alias("open"))
+    same = same.where("n > 1").select(F.explode("open").alias("s")).select("s.*")
+    return scratch.stage(same.withColumn("b", F.col("a") + length), "same")
+
+
 def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text", hot: int = 2000, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans and, with keep_bytes, kept (the bytes that stay)."""
     scratch = Scratch(docs.sparkSession, "suffixes")
@@ -358,7 +388,7 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
                     kept.append(body[at:a])
                     at = b
                 kept = b"".join([*kept, body[at:]])
-                out.append((None if i == _NO_ID else i, len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in gone], kept if keep_bytes else None))
+                out.append((i["id"] if i["known"] else None, len(body), len(body) - len(kept), len(gone), hashlib.sha256(kept).hexdigest(), [{"a": a, "b": b} for a, b in gone], kept if keep_bytes else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.binary())
             columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"])
