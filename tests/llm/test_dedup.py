@@ -127,6 +127,18 @@ def test_near_duplicates_leave_one_and_edges(spark):
     assert sorted(r["doc_id"] or 0 for r in S.drop_near_duplicates(docs).collect()) == [0, 1, 5, 6]
 
 
+def test_rows_of_one_id_are_linked_each_by_its_text(spark):
+    a, b, c = prose(60), prose(60), prose(60)
+    near = b.rsplit(" ", 1)[0]
+    docs = spark.createDataFrame([(5, a), (5, b), (9, near), (3, c), (7, c), (3, c)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in S.shingle_links(docs).collect())
+    assert got == [(3, 56, 3, True), (3, 56, 3, True), (5, 56, 5, True), (5, 56, 5, True), (7, 56, 3, False), (9, 55, 5, False)]
+    assert sorted(map(tuple, S.drop_near_duplicates(docs).collect())) == sorted([(5, a), (5, b), (3, c)])
+    # A row of a shared id whose text is a near copy of a smaller id's goes alone.
+    docs = spark.createDataFrame([(5, a), (5, near), (1, b)], "doc_id long, text string")
+    assert sorted(map(tuple, S.drop_near_duplicates(docs).collect())) == sorted([(5, a), (1, b)])
+
+
 def test_keys_guarantee_pairs_within_the_distance():
     a = RNG.integers(0, 1 << S.BITS, (200, S.SYMBOLS)).astype(np.uint64)
     b = a.copy()

@@ -6,7 +6,7 @@ chunk i may hold `errors[i]` wrong symbols with sum(errors[i] + 1) > distance, s
 in some chunk up to that chunk's errors. A document has a key for each way to leave those symbols out, and pairs within
 the distance are guaranteed to share a key. (A pair of similarity 0.8 is beyond the distance with odds below 1e-4.)
 
-Documents with equal sets are first folded into one class. No key's documents are ever collected or paired with each
+Equal texts (by SHA-256) are first folded into one class, a node of its own, whatever the ids of its rows. No key's documents are ever collected or paired with each
 other: each meets the key's pivot (one aggregate a key), links are confirmed on the full sets, components are formed,
 and only keys that still hold several components go on, with pivots drawn anew for each key; what is left after a few
 rounds, documents of different components under one key, is compared in full: blocks of a key's documents meet in pairs,
@@ -19,12 +19,12 @@ a pair whose sketches differ more than the similarity allows cannot be similar;
 
 Defined results: words are runs without white space, ASCII letters in lower case; a text with fewer words than a
 shingle is one shingle; null and blank texts have no shingles, link with nothing and stay; rows with a null id are
-never linked and always kept; equal rows share a class, and every row of the smallest id is kept; an empty table gives
-no rows; extra columns are ignored."""
+never linked and always kept; equal rows share a class, and every row of the smallest id is kept; rows of one id with
+different texts are linked each by its own text (drop_near_duplicates() keeps one row of a group, and of rows that
+share an id those whose groups differ); an empty table gives no rows; extra columns are ignored."""
 
 from __future__ import annotations
 
-import hashlib
 from functools import lru_cache
 from itertools import combinations
 
@@ -37,6 +37,8 @@ from .common import Powers, Scratch, mix, slices
 from .components import components
 
 SYMBOLS, BITS, CHUNK, DISTANCE, PARITIES = 64, 19, 4, 26, 1024
+#: Groups of the pairs of one text.
+SPREAD = 1024
 #: Three symbols of 20 bits (one to spare) in each long.
 LANES, LONGS = 3, -(-SYMBOLS // 3)
 _POWERS = Powers()
@@ -153,11 +155,11 @@ def similar(a: str, b: str, width: int, percent: int) -> bool:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """id, n, digest (of the whole set), sig and odd of each row of docs (id, text); a text without words has no sig."""
+    """id, n, digest, sig and odd of each row of docs (id, digest, text); a text without words has no sig."""
 
     def run(batches):
         for batch in batches:
-            ids, texts = batch.column(0), [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0), [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(2).to_pylist()]
             for a, b in slices(texts, 1 << 20):
                 sets = shingle_hashes(texts[a:b], width)
                 sigs = packed(np.array([signature(h) for h in sets]))
@@ -166,7 +168,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     [
                         ids.slice(a, b - a),
                         pa.array([len(h) for h in sets], pa.int64()),
-                        pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets], pa.binary()),
+                        batch.column(1).slice(a, b - a),
                         pa.array([s.tolist() if f else None for s, f in zip(sigs, full, strict=True)], pa.list_(pa.int64())),
                         pa.array([parities(h).tolist() if f else None for h, f in zip(sets, full, strict=True)], pa.list_(pa.int64())),
                     ],
@@ -176,15 +178,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, digest binary, sig array<long>, odd array<long>")
 
 
-def shingle_links(
-    docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1, scratch: Scratch | None = None
-) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each document."""
-    scratch = scratch or Scratch(docs.sparkSession, "shingles")
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+def _linked(docs: DataFrame, width: int, percent: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """docs (id, text) -> signed rows (id, n, digest, ...), and of each class (digest) its smallest id (rep), its component,
+    and the component's smallest id and the digest that it stands for."""
+    texts = docs.withColumn("digest", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).select("id", "digest", "text")
     signed = scratch.stage(signatures(texts, width), "signed")
-    classes = signed.where("n > 0 and id is not null").groupBy("n", "digest").agg(F.min_by(F.struct("id", "sig", "odd"), "id").alias("s"))
-    classes = classes.select("n", "digest", F.col("s.id").alias("rep"), "s.sig", "s.odd")
+    classes = signed.where("n > 0 and id is not null").groupBy("digest").agg(F.min_by(F.struct("id", "n", "sig", "odd"), "id").alias("s"))
+    # A class's number is fixed once it is written.
+    classes = classes.select(F.monotonically_increasing_id().alias("class"), "digest", F.col("s.id").alias("rep"), "s.n", "s.sig", "s.odd")
     classes = scratch.stage(classes, "classes")
 
     def spread(batches):
@@ -193,11 +194,11 @@ def shingle_links(
                 found = keys(unpacked(np.array(batch.column(1).to_pylist(), np.int64).reshape(batch.num_rows, LONGS)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), found.shape[1])), pa.array(found.ravel())], names=["id", "key"])
 
-    keyed = classes.select(F.col("rep").alias("id"), "sig").mapInArrow(spread, "id long, key long")
+    keyed = classes.select(F.col("class").alias("id"), "sig").mapInArrow(spread, "id long, key long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot != most").select("key", "pivot")
     shared = scratch.stage(shared, "shared")
     held = scratch.stage(keyed.join(shared, "key"), "held")  # (key, id, pivot) of keys with several classes
-    signed_ = lambda name: scratch.read("classes").select(F.col("rep").alias("id"), F.struct("n", "sig", "odd").alias(name))
+    signed_ = lambda name: scratch.read("classes").select(F.col("class").alias("id"), F.struct("n", "sig", "odd").alias(name))
 
     def within(pairs: DataFrame) -> DataFrame:
         a, b = signed_("sa").withColumnRenamed("id", "a"), signed_("sb").withColumnRenamed("id", "b")
@@ -207,8 +208,8 @@ def shingle_links(
     tested = scratch.stage(near, "near0")
 
     # The texts that any later round may ask for, moved once.
-    wanted = scratch.read("held").select("id").distinct()
-    own = scratch.stage(texts.where("id is not null").join(wanted, "id", "left_semi").dropDuplicates(["id"]), "texts")
+    wanted = scratch.read("held").select(F.col("id").alias("class")).distinct().join(scratch.read("classes").select("class", F.col("rep").alias("id"), "digest"), "class")
+    own = scratch.stage(texts.join(wanted, ["id", "digest"]).select(F.col("class").alias("id"), "text").dropDuplicates(["id"]), "texts")
     links = scratch.stage(_confirmed(tested, own, width, percent), "links0")
     named = scratch.stage(components(links, scratch, "stars0-"), "named0")
     for turn in range(1, rounds + 2):
@@ -229,8 +230,17 @@ def shingle_links(
             links = links.unionByName(found)
             named = scratch.stage(components(links, scratch, f"stars{turn}-"), f"named{turn}")
 
-    known = classes.join(named, classes["rep"] == named["node"], "left").select(F.col("n").alias("of_n"), F.col("digest").alias("of"), F.coalesce("component", "rep").alias("component_id"))
-    out = signed.join(known, (F.col("n") == F.col("of_n")) & (F.col("digest") == F.col("of")) & F.col("id").isNotNull(), "left")
+    known = classes.join(named, classes["class"] == named["node"], "left").select("class", "digest", "rep", F.coalesce("component", "class").alias("component"))
+    owner = known.groupBy("component").agg(F.min(F.struct("rep", "digest")).alias("owner"))
+    return signed, scratch.stage(known.join(owner, "component").select("digest", "rep", "owner"), "known")
+
+
+def shingle_links(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", rounds: int = 1) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each document."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    signed, known = _linked(rows, width, percent, rounds, Scratch(docs.sparkSession, "shingles"))
+    known = known.select(F.col("digest").alias("of"), F.col("owner.rep").alias("component_id"))
+    out = signed.join(known, (F.col("digest") == F.col("of")) & F.col("id").isNotNull() & (F.col("n") > 0), "left")
     out = out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -307,13 +317,29 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
             yes = [similar(x, y, width, percent) for x, y in zip(part["ta"], part["tb"], strict=True)]
             yield part.loc[np.array(yes, bool), ["a", "b"]]
 
-    a, b = texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").mapInPandas(run, "a long, b long")
+    # A text that many pairs share is sent once for each of SPREAD groups of them, not once for each.
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
+    first = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    second = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, one document of each group of near duplicates (that of the smallest id, once)."""
-    found = shingle_links(docs, width, percent, id_col, text_col)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rest = docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
-    return rest.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rest.where(F.col(id_col).isNull()))
+    """The columns of docs, one row of each group of near duplicates: of its smallest id, and of that id's text."""
+    scratch = Scratch(docs.sparkSession, "shingles")
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
+    signed, known = _linked(rows, width, percent, 1, scratch)
+    known = known.select(F.col("digest").alias("of"), "owner")
+    linked = signed.where("n > 0 and id is not null").select("id", "digest").join(known, F.col("digest") == F.col("of"))
+    stays = (F.col("id") == F.col("owner.rep")) & (F.col("digest") == F.col("owner.digest"))
+    gone = linked.where(~stays).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    own = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+    rest = docs.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (own == F.col("_digest")), "left_anti")
+    again = scratch.stage(linked.where(stays).groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).count().where("count > 1").drop("count"), "again")
+    if not again.limit(1).count():
+        return rest
+    # Rows equal in id and text: one of them stays.
+    same = (F.col(id_col).cast("long") == F.col("_id")) & (own == F.col("_digest"))
+    one = rest.join(again, same).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
+    return rest.join(again, same, "left_anti").unionByName(one)
