@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEP, OVERLAP, KEY = 16, 8, 8
+STEP, OVERLAP, KEY = 8, 4, 8
 SPAN = STEP + OVERLAP
 #: Rows; rows that rare ids share; pairs of rows with values of their own; cells of these that are kept, at most.
 ROWS, SHARED, PAIRS, CELLS = 1024, 63, 1 << 16, 1 << 22
@@ -116,10 +116,12 @@ class Sparse:
         return cls(bits, np.cumsum(there, dtype=np.int32) - there, np.append(n, 0).astype(np.float32))
 
     def take(self, cells: np.ndarray) -> np.ndarray:
-        word, bit = cells >> 6, (cells & 63).astype(np.uint64)
-        own = self.bits.take(word) >> bit
+        word = cells >> 6
+        bits = self.bits.take(word)
+        own = bits >> (cells & 63).astype(np.uint64)
         # Rank: the bits up to this one are those of the word less those from it on.
-        rank = self.before.take(word) + np.bitwise_count(self.bits.take(word)).astype(np.int32) - np.bitwise_count(own)
+        rank = self.before.take(word) + np.bitwise_count(bits)
+        rank -= np.bitwise_count(own)
         return self.n.take(np.where(own & np.uint64(1), rank, -1))
 
 
@@ -177,26 +179,36 @@ def _attend(p: dict, values: Values, window: np.ndarray) -> tuple:
     """For each target its unnormalised attention to the places (a), the anywhere value (u) and the pair's (b), each
     also times what the value gives the target; and what gradients need."""
     context, target = window[:, :SPAN], window[:, OVERLAP + 1 :]
-    here, before = context[:, OVERLAP:], context[:, OVERLAP - 1 : -1]
+    here = context[:, OVERLAP:]
     q, k = p["q"].take(here, 0), p["k"].take(context, 0)
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += np.where(_SEEN, p["o"][_DISTANCE], _HIDDEN)
-    a += np.where(context == ABSENT, _HIDDEN, np.float32(0))[:, None, :]
+    absent = context == ABSENT
+    if absent.any():
+        some = np.flatnonzero(absent.any(1))
+        a[some] += np.where(absent[some], _HIDDEN, np.float32(0))[:, None, :]
     np.exp(a, out=a)
-    worth = values.further.take(context[:, None, :] * ROWS + target[:, :, None])
-    direct = values.direct.take(here * ROWS + target)
+    after = context * ROWS
+    worth = values.further.take(after[:, None, :] + target[:, :, None])
+    direct = values.direct.take(after[:, OVERLAP:] + target)
     worth[:, _PLACE, _PLACE + OVERLAP] = direct
-    worth[:, _PLACE, _PLACE + OVERLAP - 1] = values.skipped.take(before * ROWS + target)
+    worth[:, _PLACE, _PLACE + OVERLAP - 1] = values.skipped.take(after[:, OVERLAP - 1 : -1] + target)
     worth *= a
-    pair = values.pair_of.take(before * ROWS + here)
+    pair = values.pair_of.take(after[:, OVERLAP - 1 : -1] + here)
     u = np.exp(p["g"].take(here))
-    b = np.where(pair > 0, np.exp(p["c"].take(pair) + p["h"].take(values.level.take(pair))), np.float32(0))
+    b = np.exp(p["c"].take(pair) + p["h"].take(values.level.take(pair)))
+    b *= pair > 0
     u_worth, b_worth = u * values.anywhere.take(target), b * values.paired(pair, target, direct)
-    whole = a.sum(2) + u + b
-    return whole, worth.sum(2) + u_worth + b_worth, a, worth, (u, u_worth), (b, b_worth), (q, k, pair)
+    whole = _summed(a) + u + b
+    return whole, _summed(worth) + u_worth + b_worth, a, worth, (u, u_worth), (b, b_worth), (q, k, pair)
 
 
-def score(p: dict, values: Values, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 256) -> np.ndarray:
+def _summed(x: np.ndarray) -> np.ndarray:
+    """Sums of the last, short axis: as a product."""
+    return (x.reshape(-1, x.shape[2]) @ np.ones(x.shape[2], x.dtype)).reshape(x.shape[:2])
+
+
+def score(p: dict, values: Values, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 1024) -> np.ndarray:
     """log10 of each text's probability: its ids and the end."""
     flat, at, text = laid_out(inventory.row[ids], ends, int(inventory.row[end_id]))
     logs = np.empty(len(at))
@@ -248,7 +260,7 @@ class Trainer:
     """Adam over the windows of texts that come in one after another, in random order among those at hand; the rate
     falls from step to step, whatever is still to come."""
 
-    def __init__(self, p: dict, values: Values, rate: float, seed: int, batch: int = 512):
+    def __init__(self, p: dict, values: Values, rate: float, seed: int, batch: int = 2048):
         self.p = {name: x.copy() for name, x in p.items()}
         self.m, self.s = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
         self.values, self.rate, self.batch, self.steps, self.windows = values, rate, batch, 0, 0

@@ -4,10 +4,10 @@ Both see a text as its words (runs without white space, ASCII letters in lower c
 encoded once and staged as ids; ids, what follows what, and words are counted over all training documents; the model is
 trained on all of them, at every size: from a start that one task makes on a bounded part, in the table's own
 partitions, each a stream of batches, and the models are averaged in a tree; scoring streams over the staged ids. The
-base needs the count of each word of each text. Words that make up at least 1 / HEAVY of all tokens are at most HEAVY by
-count, so they are broadcast; batches of documents send the others, each once with the documents it stands in, to
-buckets of words that their counts are sent to as well, and get sums back, all sums of a batch in one row a bucket. A
-bucket with many batches is split by batch, and gets its bounded counts in every part. Words are compared as text.
+base needs the count of each word of each text. A task numbers its different words while it encodes and stages the texts
+as numbers too; it asks for the counts of its words, each once, from buckets of words, and its texts' sums are then
+taken from an array. A bucket that many tasks ask is split by task, and gets its bounded counts in every part. Words are
+compared as text. No word, however common, gathers its documents.
 
 Defined results: a null text is empty (an end alone); a null id counts as the empty text (training); equal texts score
 alike; without training documents the base is that of unseen words and the model stays as it is drawn; an empty table
@@ -31,10 +31,11 @@ from . import attention
 from .common import Scratch, slices
 from .subword import subwords
 
-#: Words broadcast at most; words of a bucket; bytes of packed words in a part of a bucket; bytes of text in a batch.
-HEAVY, BUCKET_WORDS, PART_BYTES, BATCH = 200_000, 150_000, 32 << 20, 4 << 20
-#: Words a task counts before it tells their counts; texts a task remembers scores of.
-COUNTED, REMEMBERED = 400_000, 1 << 16
+#: Words of a bucket; bytes of words in a part of a bucket; bytes of text in a batch.
+BUCKET_WORDS, PART_BYTES, BATCH = 100_000, 16 << 20, 4 << 20
+#: Different words, and words, of a turn: what a task numbers before it tells and starts anew; texts a task remembers
+#: scores of.
+COUNTED, TURN_WORDS, REMEMBERED = 400_000, 6_000_000, 1 << 16
 #: Ids that the model's start is trained on; ids that a task trains on at a time; ids that a task counts at a time.
 START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 2_000_000, 6_000_000
 #: Models that one task averages, and tasks whose counts it sums; cells of a block of counts (16 bits).
@@ -69,9 +70,10 @@ class _Seen:
         self.number, self.kind = _Numbers(), kind
         self.flat, self.starts = np.empty(0, kind), np.zeros(1, np.int64)
         self.times, self.ids = np.zeros(0, np.int64), np.zeros(size, np.int64)
+        self.texts = self.words = 0
 
-    def add(self, split: list[list[bytes]], size: np.ndarray, taught: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts (lists of words), and where each text's end."""
+    def add(self, split: list[list[bytes]], size: np.ndarray, taught: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words' numbers and the ids of all texts (lists of words), and where each text's ids end."""
         before = len(self.number)
         word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
         parts = [encode(" " + w.decode("utf-8", "replace")) for w in islice(self.number, before, None)]
@@ -85,49 +87,54 @@ class _Seen:
         times[: len(self.times)] += self.times
         self.times = times
         self.ids += np.bincount(ids[np.repeat(taught, np.diff(ends, prepend=0))], minlength=len(self.ids))
-        return ids, ends
+        self.texts, self.words = self.texts + len(split), self.words + len(word)
+        return word, ids, ends
 
     def told(self) -> tuple[bytes, bytes, bytes]:
-        words = [w for w, n in zip(self.number, self.times.tolist(), strict=True) if n]
-        return b"\n".join(words), self.times[self.times > 0].astype("<i8").tobytes(), self.ids.astype("<i8").tobytes()
+        return b"\n".join(self.number), self.times.astype("<i8").tobytes(), self.ids.astype("<i8").tobytes()
+
+
+def _flat(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """values[0 : ends[0]], values[ends[0] : ends[1]], ... as binaries."""
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * values.itemsize).astype("<i4")), pa.py_buffer(values)])
+
+
+_ENCODED = "turn long, at int, id long, held_out boolean, digest binary, n_tokens long, ids binary, marks binary, words binary, times binary, id_times binary"
 
 
 def encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
     """id, held_out, digest, n_tokens (words and the end) and ids of each row of docs (id, held_out, text). A word's ids
-    are those of a space and the word, whatever stands around it, so each different word is encoded once. Some rows also
-    tell what their task has counted in training texts: words, times (of each) and id_times (of all ids)."""
+    are those of a space and the word, whatever stands around it, so each different word is encoded once. marks are the
+    numbers of a text's words in its task's turn; (turn, at) name a row. One row of each turn tells its words, in the
+    order of their numbers, and what was counted in training texts: times of each word, id_times of all ids."""
+    names = [x.split()[0] for x in _ENCODED.split(", ")]
 
     def run(batches):
-        coder = subwords(tokenizer)
+        coder, turn = subwords(tokenizer), pyspark.TaskContext.get().partitionId() << 20
         seen, held = _Seen(kind, coder.size), None
 
         def told(rows: list, counts: tuple) -> pa.RecordBatch:
-            n = len(rows[0])
-            more = [pa.array([x, *[None] * (n - 1)], pa.binary()) for x in counts]
-            return pa.RecordBatch.from_arrays([*rows, *more], names=["id", "held_out", "digest", "n_tokens", "ids", "words", "times", "id_times"])
+            more = [pa.array([x, *[None] * (len(rows[0]) - 1)], pa.binary()) for x in counts]
+            return pa.RecordBatch.from_arrays([*rows, *more], names=names)
 
         for batch in batches:
             raw = _raw(batch.column(2))
             for a, b in slices(raw, BATCH):
                 split = [t.lower().split() for t in raw[a:b]]
                 size, out = np.array([len(w) for w in split], np.int64), batch.column(1).slice(a, b - a)
-                if len(seen.number) > COUNTED:
+                if held and (len(seen.number) > COUNTED or seen.words > TURN_WORDS):
                     yield told(held, seen.told())
-                    seen, held = _Seen(kind, coder.size), None
+                    seen, held, turn = _Seen(kind, coder.size), None, turn + 1
                 if held:
                     yield told(held, (None,) * 3)
-                ids, ends = seen.add(split, size, ~out.to_numpy(zero_copy_only=False).astype(bool), coder.word)
-                held = [
-                    batch.column(0).slice(a, b - a),
-                    out,
-                    pa.array([digest(t) for t in raw[a:b]], pa.binary()),
-                    pa.array(size + 1),
-                    pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(np.append(0, ends * ids.itemsize).astype("<i4")), pa.py_buffer(ids)]),
-                ]
+                at = np.arange(seen.texts, seen.texts + b - a, dtype=np.int32)
+                marks, ids, ends = seen.add(split, size, ~out.to_numpy(zero_copy_only=False).astype(bool), coder.word)
+                digests = pa.array([digest(t) for t in raw[a:b]], pa.binary())
+                held = [pa.array(np.full(b - a, turn)), pa.array(at), batch.column(0).slice(a, b - a), out, digests, pa.array(size + 1), _flat(ids, ends), _flat(marks.astype("<u4"), np.cumsum(size))]
         if held:
             yield told(held, seen.told())
 
-    return docs.mapInArrow(run, "id long, held_out boolean, digest binary, n_tokens long, ids binary, words binary, times binary, id_times binary")
+    return docs.mapInArrow(run, _ENCODED)
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -137,6 +144,7 @@ def word_counts(tokens: DataFrame) -> DataFrame:
         for batch in batches:
             for words, times in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words, times = words.split(b"\n") if words else [], np.frombuffer(times, "<i8")
+                words, times = [w for w, n in zip(words, times.tolist(), strict=True) if n], times[times > 0]
                 for i in range(0, len(words), 1 << 16):
                     yield pa.RecordBatch.from_arrays([pa.array(words[i : i + (1 << 16)], pa.binary()), pa.array(times[i : i + (1 << 16)])], names=["word", "n"])
 
@@ -343,8 +351,8 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
 
     # The start: a bounded part of the ids, chosen by hash, in one task.
     few = max(1, round(n_ids / START_IDS))
-    first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 64, "first")
-    p, _ = trained(train, first, 0.02, 512, "models")
+    first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 128, "first")
+    p, _ = trained(train, first, 0.02, 2048, "models")
     model.p = attention.packed(p)
     return model
 
@@ -366,99 +374,54 @@ def model_scores(tokens: DataFrame, model: Model, kind: str, end_id: int) -> Dat
                 scores = attention.score(p, values, model.inventory, *_ids(ids.slice(a, b - a), kind), end_id)
                 known.update(zip(fresh[a:b], scores.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("id", "held_out", "digest", "n_tokens")), pa.array([known[d] for d in digests], pa.float64())],
-                names=["id", "held_out", "digest", "n_tokens", "score"],
+                [*(batch.column(c) for c in ("turn", "at", "id", "held_out", "n_tokens")), pa.array([known[d] for d in digests], pa.float64())],
+                names=["turn", "at", "id", "held_out", "n_tokens", "score"],
             )
 
-    return tokens.mapInArrow(run, "id long, held_out boolean, digest binary, n_tokens long, score double")
+    rows = tokens.select("turn", "at", "id", "held_out", "digest", "n_tokens", "ids")
+    return rows.mapInArrow(run, "turn long, at int, id long, held_out boolean, n_tokens long, score double")
 
 
-def base_scores(texts: DataFrame, counts: DataFrame, total: int, kinds: int, ends: int, scratch: Scratch) -> DataFrame:
-    """digest, base_score, n_known of each different text of texts (text)."""
-    spark = texts.sparkSession
-    heavy = counts.where(F.col("n") * HEAVY >= total).toArrow()  # at most HEAVY rows
+def base_scores(tokens: DataFrame, counts: DataFrame, total: int, kinds: int, ends: int) -> DataFrame:
+    """turn, at, base_score, n_known of each row of tokens."""
+    told = tokens.where("times is not null").select("turn", "words")
     buckets = max(1, -(-kinds // BUCKET_WORDS))
-    sent = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(heavy["word"].to_pylist())}, np.append(heavy["n"].to_numpy(), 0)))
+    salts = max(1, -(-(told.agg(F.sum(F.length("words"))).first()[0] or 0) // (buckets * PART_BYTES)))
     level = np.log10(total + kinds + 1)
     end = np.log10(ends + 1) - level
 
-    def run(batches):
-        number, n = sent.value
-        worth = np.append(np.log10(n[:-1] + 1) - level, 0)
-        part, turns = pyspark.TaskContext.get().partitionId(), 0
+    def ask(batches):
         for batch in batches:
-            raw = _raw(batch.column(0))
-            for a, b in slices(raw, BATCH):
-                unique = {digest(t): t for t in raw[a:b]}
-                names = b"".join(unique)
-                turn, turns = (part << 32) + turns, turns + 1
-                split = [t.lower().split() for t in unique.values()]
-                size = [len(w) for w in split]
-                text, flat = np.repeat(np.arange(len(split)), size), list(chain.from_iterable(split))
-                at = np.fromiter(map(number.get, flat, repeat(len(number))), np.int64, len(flat))
-                sums, known = np.bincount(text, worth[at], len(split)) + end, np.bincount(text, at < len(number), len(split)).astype(np.int64) + (ends > 0)
-                yield _part(-1, turn, names, b"", _sums(np.arange(len(split)), sums, known))
-                # The other words, each once, and how often each stands in which text.
-                rest = np.flatnonzero(at == len(number))
-                local: dict[bytes, int] = {}
-                word = np.fromiter((local.setdefault(flat[i], len(local)) for i in rest.tolist()), np.int64, len(rest))
-                pairs, times = np.unique(word * len(split) + text[rest], return_counts=True)
-                word, inside = np.divmod(pairs, max(1, len(split)))
-                bucket = np.fromiter((zlib.crc32(w) % buckets for w in local), np.int64, len(local))
-                others = list(local)
-                for k in np.unique(bucket).tolist():
-                    own = np.flatnonzero(bucket == k)
-                    mine = bucket[word] == k
-                    place = np.searchsorted(own, word[mine])
-                    yield _part(k, turn, b"", b"\n".join(others[i] for i in own.tolist()), np.stack([place, inside[mine], times[mine]], 1).astype("<u4").tobytes())
-
-    def look(key, parts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        count, out = dict(zip(known["word"], known["n"], strict=True)), []
-        for words, pairs in zip(parts["words"], parts["pairs"], strict=True):
-            c = np.fromiter(map(count.get, words.split(b"\n"), repeat(0)), np.float64)
-            place, inside, times = np.frombuffer(pairs, "<u4").reshape(-1, 3).astype(np.int64).T
-            own, inside = np.unique(inside, return_inverse=True)
-            c = c[place]
-            out.append(_sums(own, np.bincount(inside, (np.log10(c + 1) - level) * times), np.bincount(inside, (c > 0) * times)))
-        return pd.DataFrame({"turn": parts["turn"], "names": b"", "sums": out})
-
-    def merge(parts: pd.DataFrame) -> pd.DataFrame:
-        names = max(parts["names"], key=len)
-        names = [names[i : i + 16] for i in range(0, len(names), 16)]
-        sums, known = np.zeros(len(names)), np.zeros(len(names), np.int64)
-        for x in parts["sums"]:
-            rows = np.frombuffer(x, _SUMS)
-            sums[rows["at"]] += rows["sum"]
-            known[rows["at"]] += rows["known"]
-        return pd.DataFrame({"digest": names, "base_score": sums, "n_known": known})
-
-    parts = scratch.stage(texts.mapInArrow(run, "bucket int, turn long, names binary, words binary, pairs binary"), "parts")
-    rest = parts.where("bucket >= 0")
-    size = rest.agg(F.sum(F.length("words") + F.length("pairs"))).first()[0] or 0
-    salts = max(1, -(-size // (buckets * PART_BYTES)))
-    salted = rest.select("bucket", F.pmod(F.xxhash64("turn"), F.lit(salts)).alias("salt"), "turn", "words", "pairs")
+            for turn, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = words.split(b"\n") if words else []
+                bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+                order = np.argsort(bucket, kind="stable")
+                for own in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1) if len(words) else ():
+                    columns = [pa.array([int(bucket[own[0]])], pa.int32()), pa.array([turn], pa.int64())]
+                    columns += [pa.array([x], pa.binary()) for x in (b"\n".join(words[i] for i in own.tolist()), own.astype("<u4").tobytes())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["bucket", "turn", "words", "places"])
+
+    def look(key, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        count = dict(zip(known["word"], known["n"].tolist(), strict=True))
+        found = [np.fromiter(map(count.get, words.split(b"\n"), repeat(0)), "<i8").tobytes() for words in asked["words"]]
+        return pd.DataFrame({"turn": asked["turn"], "places": asked["places"], "n": found})
+
+    def add(key, texts: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        places, n = np.frombuffer(b"".join(found["places"]), "<u4"), np.frombuffer(b"".join(found["n"]), "<i8")
+        count = np.zeros(len(places), np.int64)
+        count[places] = n
+        marks = np.frombuffer(b"".join(texts["marks"]), "<u4")
+        text = np.repeat(np.arange(len(texts)), [len(x) // 4 for x in texts["marks"]])
+        base = np.bincount(text, (np.log10(count + 1) - level)[marks], len(texts)) + end
+        known = np.bincount(text, (count > 0)[marks], len(texts)).astype(np.int64) + (ends > 0)
+        return pd.DataFrame({"turn": texts["turn"], "at": texts["at"], "base_score": base, "n_known": known})
+
+    asked = told.mapInArrow(ask, "bucket int, turn long, words binary, places binary").withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(salts)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
-    told = counts.where(F.col("n") * HEAVY < total).select((F.crc32("word") % buckets).cast("int").alias("bucket"), every, "word", "n")
-    found = salted.groupBy("bucket", "salt").cogroup(told.groupBy("bucket", "salt")).applyInPandas(look, "turn long, names binary, sums binary")
-    whole = found.unionByName(parts.where("bucket < 0").select("turn", "names", F.col("pairs").alias("sums")))
-    found = whole.groupBy("turn").applyInPandas(merge, "digest binary, base_score double, n_known long")
-    # Equal texts of different batches gave equal sums: one of each counts.
-    return found.groupBy("digest").agg(F.min("base_score").alias("base_score"), F.min("n_known").alias("n_known"))
-
-
-#: What a batch's texts (by number) get from a bucket.
-_SUMS = np.dtype([("at", "<u4"), ("known", "<u4"), ("sum", "<f8")])
-
-
-def _sums(at: np.ndarray, sums: np.ndarray, known: np.ndarray) -> bytes:
-    out = np.empty(len(at), _SUMS)
-    out["at"], out["known"], out["sum"] = at, known, sums
-    return out.tobytes()
-
-
-def _part(bucket: int, turn: int, names: bytes, words: bytes, pairs: bytes) -> pa.RecordBatch:
-    columns = [pa.array([bucket], pa.int32()), pa.array([turn], pa.int64()), *(pa.array([v], pa.binary()) for v in (names, words, pairs))]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "turn", "names", "words", "pairs"])
+    known = counts.select((F.crc32("word") % buckets).cast("int").alias("bucket"), every, "word", "n")
+    found = asked.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInPandas(look, "turn long, places binary, n binary")
+    texts = tokens.select("turn", "at", "marks")
+    return texts.groupBy("turn").cogroup(found.groupBy("turn")).applyInPandas(add, "turn long, at int, base_score double, n_known long")
 
 
 def score_texts(docs: DataFrame, tokenizer: str, held_out: Column, end_id: int = 50256, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -479,6 +442,6 @@ def score_texts(docs: DataFrame, tokenizer: str, held_out: Column, end_id: int =
     by_id[end_id] += ends
     model = fit(train, attention.Inventory.of(by_id), kind, int(by_id.sum()), end_id, scratch)
     scored = model_scores(tokens, model, kind, end_id)
-    base = base_scores(rows.select("text"), counts, total, kinds, ends, scratch)
-    out = scored.join(base, "digest")
+    base = base_scores(tokens, counts, total, kinds, ends)
+    out = scored.join(base, ["turn", "at"])
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
