@@ -61,6 +61,44 @@ def test_quality_edges(spark):
     assert score_quality(docs.limit(0), fit_quality(docs.limit(0), labels)).count() == 0
 
 
+def test_quality_scores_equal_brute_force_and_all_unlabelled_rows_can_teach(spark, monkeypatch):
+    from voxlattice.llm import quality as Q
+
+    rng = np.random.default_rng(4)
+    good, bad = ["river", "garden", "winter", "letter", "window"], ["BUY", "$$$", "click", "!!!", "win|now"]
+    make = lambda kind: " ".join(rng.choice(good if kind else bad, 30))
+    kinds = [int(i % 3 > 0) for i in range(600)]
+    rows = [(i, make(k), ["web", "book"][k] if i % 5 else None, "en", 100 + i) for i, k in enumerate(kinds)]
+    rows += [(599, make(1), "book", "en", 5), (None, make(0), "web", "en", 7), (700, None, None, None, None), (701, "word " * 50_000, "book", "en", 250_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(i, kinds[i], 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    given = []
+    train = Q.co_train
+
+    def spied(views, features, y, held, rounds, pick):
+        def kept(logits, rate, turn):
+            given.append((logits, pick(logits, rate, turn)))
+            return given[-1][1]
+
+        return train(views, features, y, held, rounds, kept)
+
+    monkeypatch.setattr(Q, "co_train", spied)
+    model = fit_quality(docs, labels, told=10_000, sure=0.8)
+    # What each view passes on are all unlabelled rows that it is sure of.
+    free = [r for r in rows if r[0] is None or r[0] >= 120]
+    x = [model.views.text([r[1] or "" for r in free]), model.views.metadata([[r[2] for r in free], [r[3] for r in free]], [r[4] or 0 for r in free])]
+    for logits, told in given:
+        for k in (0, 1):
+            p = 1 / (1 + np.exp(-(x[k] @ logits[k][:-1] + logits[k][-1])))
+            assert sorted(told[k][1].tolist()) == [0.0] * int((1 - p >= 0.8).sum()) + [1.0] * int((p >= 0.8).sum())
+    assert len(given) == 3 and sum(len(t[1]) for _, told in given for t in told) > 500
+    got = sorted((str(r["doc_id"]), r["n_chars"] or 0, round(r["score"], 9)) for r in score_quality(docs, model).collect())
+    scores = model.score([r[1] or "" for r in rows], [[r[2] for r in rows], [r[3] for r in rows]], [r[4] or 0 for r in rows])[2]
+    assert got == sorted((str(r[0]), r[4] or 0, round(s, 9)) for r, s in zip(rows, scores.tolist(), strict=True))
+    right = [(s >= 0.5) == k for s, k in zip(scores[120:600], kinds[120:], strict=True)]
+    assert np.mean(right) > 0.98
+
+
 def test_permutation_is_one_to_one():
     assert sorted(permute(i, 1000, b"k") for i in range(1000)) == list(range(1000))
 

@@ -2,11 +2,13 @@
 
 One view is the text (statistics of its characters, words and lines, and the presence of telling words and word
 beginnings); the other is what the page's record says without its text (source, language, length). Each view has a
-logistic model trained in numpy. Per round, each view labels the documents of an unlabelled pool that it is sure of for
-the other view's training set. Held-out labelled documents calibrate each view and fit the weights of their sum.
+logistic model trained in numpy. Per round, each view scores all unlabelled documents, and some of those that it is sure
+of, drawn by hash, teach the other view. Held-out labelled documents calibrate each view and fit the weights of their
+sum.
 
-What is fitted comes from bounded samples whose sizes are parameters (`labelled`, `pool`; taken by hash over all rows);
-scoring is one pass over all documents and whole texts, without a shuffle.
+The rows that a model is fitted on are bounded by parameters: `labelled` labelled documents, and `told` documents that a
+view passes on in a round, both drawn by hash over all rows. Features of all documents are computed once and staged;
+rounds read these alone, without a shuffle. Scoring is one pass over all documents and whole texts.
 
 A document is good if its label says quality 1 and none of the `against` columns (toxic) is set. Defined results: null
 and empty texts are scored like any other, null metadata is a value of its own; rows are scored one by one, equal rows
@@ -162,33 +164,28 @@ def _platt(logit: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(0.0, float(a / scale)), float(b)
 
 
-def co_train(views: Views, features: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], held: np.ndarray, rounds: int, sure: float, share: float) -> CoTrained:
-    """features, y: labelled rows, of which `held` calibrates; pool: unlabelled rows. In each round, each view passes
-    the other up to `share` of the pool, as many good and bad as the labels' rates give, of what it is `sure` of."""
+def co_train(views: Views, features: list[np.ndarray], y: np.ndarray, held: np.ndarray, rounds: int, pick) -> CoTrained:
+    """features, y: labelled rows, of which `held` calibrates. pick(logits, rate, turn): for each view, the rows that it
+    is sure of as features of the other view, and what it says of them; logits: weights of each view, calibrated."""
     train = ~held
-    extra = [np.full(len(pool[0]), np.nan) for _ in features]
+    extra = [[(f[:0], y[:0])] for f in features]
     rate, log = float(y[train].mean()), []
 
     def fit(k: int) -> np.ndarray:
-        told = ~np.isnan(extra[k])
-        x = np.vstack([features[k][train], pool[k][told]])
-        target = np.concatenate([y[train], extra[k][told]])
-        return fit_logistic(x, target, np.concatenate([np.ones(train.sum()), np.full(told.sum(), 0.5)]))
+        x, target = (np.concatenate(z) for z in zip(*extra[k], strict=True))
+        weight = np.concatenate([np.ones(train.sum()), np.full(len(target), 0.5)])
+        return fit_logistic(np.vstack([features[k][train], x]), np.concatenate([y[train], target]), weight)
 
     models = [fit(k) for k in (0, 1)]
-    for _ in range(rounds):
-        told = []
+    for turn in range(rounds):
+        logits = []
         for k in (0, 1):
-            scale = _platt(features[k][held] @ models[k][:-1] + models[k][-1], y[held])
-            p = _sigmoid(scale[0] * (pool[k] @ models[k][:-1] + models[k][-1]) + scale[1])
-            other, count = extra[1 - k], 0
-            for label, confidence, part in ((1.0, p, rate), (0.0, 1 - p, 1 - rate)):
-                free = np.flatnonzero(np.isnan(other) & (confidence >= sure))
-                best = free[np.argsort(-confidence[free], kind="stable")][: int(np.ceil(share * part * len(p)))]
-                other[best] = label
-                count += len(best)
-            told.append(count)
-        log.append({"text_told": told[0], "metadata_told": told[1]})
+            a, b = _platt(features[k][held] @ models[k][:-1] + models[k][-1], y[held])
+            logits.append(np.append(models[k][:-1] * a, models[k][-1] * a + b))
+        told = pick(logits, rate, turn)
+        for k in (0, 1):
+            extra[1 - k].append(told[k])
+        log.append({"text_told": len(told[0][1]), "metadata_told": len(told[1][1])})
         models = [fit(k) for k in (0, 1)]
     out = CoTrained(views, models, [(1.0, 0.0)] * 2, np.array([1.0, 1.0, 0.0]), rate, log)
     out.scales = [_platt(x, y[held]) for x in out.logits([f[held] for f in features])]
@@ -205,18 +202,19 @@ def fit_quality(
     docs: DataFrame,
     labels: DataFrame,
     labelled: int = 6000,
-    pool: int = 3000,
+    told: int = 1500,
     vocabulary: int = 1024,
     rounds: int = 3,
     sure: float = 0.97,
-    share: float = 0.1,
     against: tuple[str, ...] = ("toxic",),
     id_col: str = "doc_id",
     text_col: str = "text",
     meta_cols: tuple[str, ...] = ("source", "lang"),
     length_col: str = "n_chars",
 ) -> CoTrained:
-    """Fits on `labelled` labelled and `pool` unlabelled documents, each chosen by the hash of its id."""
+    """Fits on `labelled` labelled documents, drawn by the hash of their ids, and `told` more for each view and round,
+    drawn by hash from all unlabelled documents that the other view is `sure` of, as many good and bad ones as the
+    labels' rates give."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     good = F.col("quality") == 1
@@ -224,14 +222,13 @@ def fit_quality(
         good = good & ~F.coalesce(F.col(column) != 0, F.lit(False))
     known = labels.where(F.col("quality").isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id"), good.cast("int").alias("good"))
     known = known.groupBy("label_id").agg(F.min("good").alias("good"))
-    # Ids of the sample: `labelled` + `pool` at most, so they may be broadcast, and no text moves to find them.
-    by_hash = lambda c: F.xxhash64(F.col(c), F.lit("quality"))
+    # Ids of the sample: `labelled` at most, so they may be broadcast, and no text moves to find them.
     ids = docs.select(F.col(id_col).alias("label_id")).where("label_id is not null").distinct()
-    found = scratch.stage(known.join(ids, "label_id").orderBy(by_hash("label_id"), "label_id").limit(labelled), "labelled")
-    free = ids.join(known, "label_id", "left_anti").orderBy(by_hash("label_id"), "label_id").limit(pool).withColumn("good", F.lit(None).cast("int"))
-    chosen = scratch.stage(found.unionByName(free), "chosen")
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"])
-    sample = sample.select("label_id", "good", F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(f"meta{k}") for k, c in enumerate(meta_cols)], F.col(length_col).cast("double").alias("length"))
+    by_hash = F.xxhash64(F.col("label_id"), F.lit("quality"))
+    chosen = scratch.stage(known.join(ids, "label_id").orderBy(by_hash, "label_id").limit(labelled), "labelled")
+    metas = [f"meta{k}" for k in range(len(meta_cols))]
+    plain = [F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(m) for c, m in zip(meta_cols, metas, strict=True)], F.col(length_col).cast("double").alias("length")]
+    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select("label_id", "good", *plain)
     sample = scratch.stage(sample.dropDuplicates(["label_id"]), "sample")
 
     kinds = {r["good"]: r["count"] for r in sample.groupBy("good").count().collect()}
@@ -240,43 +237,75 @@ def fit_quality(
         return CoTrained(None, [], [], np.zeros(3), base)
 
     # The terms whose presence differs most between good and bad documents, counted where the documents are.
-    split = F.udf(lambda t: sorted(terms(t)), "array<string>")
-    counts = sample.where("good is not null").select("good", F.explode(split("text")).alias("term")).groupBy("term").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
+    split = F.pandas_udf(lambda texts: texts.map(lambda t: sorted(terms(t))), "array<string>")
+    counts = sample.select("good", F.explode(split("text")).alias("term")).groupBy("term").agg(F.sum("good").alias("g"), F.sum(1 - F.col("good")).alias("b"))
     lift = F.abs(F.ln((F.col("g") + 1.0) / (kinds[1] + 2.0)) - F.ln((F.col("b") + 1.0) / (kinds[0] + 2.0))) * F.sqrt(F.col("g") + F.col("b"))
-    told = counts.where((F.col("g") + F.col("b") >= 8) & (F.length("term") > 1)).withColumn("lift", lift).orderBy(F.desc("lift"), "term").limit(vocabulary)
-    chosen_terms = [r["term"] for r in told.select("term").collect()]
-
-    metas = [f"meta{k}" for k in range(len(meta_cols))]
+    telling = counts.where((F.col("g") + F.col("b") >= 8) & (F.length("term") > 1)).withColumn("lift", lift).orderBy(F.desc("lift"), "term").limit(vocabulary)
+    chosen_terms = [r["term"] for r in telling.select("term").collect()]
 
     def numbers(batches):
         for part in batches:
             yield pd.DataFrame({"s": [statistics(t) for t in part["text"]], "length": part["length"].fillna(0)})
 
-    plain = sample.select("text", "length").mapInPandas(numbers, "s array<double>, length double").toPandas()
-    views = Views(chosen_terms, Bins.of(np.array(plain["s"].tolist()), 8), Bins.of(_lengths(plain["length"].tolist()), 8))
+    numbered = sample.select("text", "length").mapInPandas(numbers, "s array<double>, length double").toPandas()
+    views = Views(chosen_terms, Bins.of(np.array(numbered["s"].tolist()), 8), Bins.of(_lengths(numbered["length"].tolist()), 8))
+    widths = [views.text([""]).shape[1], views.metadata([[""]] * len(metas), [0]).shape[1]]
+    sent = spark.sparkContext.broadcast(views)  # sizes are fixed by parameters
 
     def featured(batches):
         for part in batches:
-            x = views.text(part["text"].tolist())
-            m = views.metadata([part[c].tolist() for c in metas], part["length"].tolist())
-            yield pd.DataFrame({"label_id": part["label_id"], "good": part["good"], "x": [np.flatnonzero(r).tolist() for r in x], "m": [np.flatnonzero(r).tolist() for r in m]})
-
-    rows = sample.mapInPandas(featured, "label_id long, good double, x array<int>, m array<int>").toPandas().sort_values("label_id", ignore_index=True)
-    widths = [views.text([""]).shape[1], views.metadata([[""]] * len(metas), [0]).shape[1]]
-    dense = []
-    for column, width in zip(("x", "m"), widths, strict=True):
-        out = np.zeros((len(rows), width), np.float32)
-        for r, at in zip(out, rows[column], strict=True):
-            r[at] = 1
-        dense.append(out)
-    has = rows["good"].notna().to_numpy()
-    y = rows["good"][has].to_numpy(np.float64)
-    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["label_id"][has]])
+            for a in range(0, len(part), 512):
+                cut = part.iloc[a : a + 512]
+                x = sent.value.text(cut["text"].tolist()), sent.value.metadata([cut[c].tolist() for c in metas], cut["length"].fillna(0).tolist())
+                yield pd.DataFrame({"id": cut["label_id"], "good": cut["good"]} | {c: [np.flatnonzero(r).astype("<u2").tobytes() for r in m] for c, m in zip("xm", x, strict=True)})
+
+    shape = "id long, good double, x binary, m binary"
+    rows = sample.mapInPandas(featured, shape).toPandas().sort_values("id", ignore_index=True)
+    dense = [_dense(rows[c], width) for c, width in zip("xm", widths, strict=True)]
+    y = rows["good"].to_numpy(np.float64)
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["id"]])
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         held = np.arange(len(y)) % 2 == 0
     if len(set(y[held])) < 2 or len(set(y[~held])) < 2:
         return CoTrained(None, [], [], np.zeros(3), float(y.mean()))
-    return co_train(views, [d[has] for d in dense], y, [d[~has] for d in dense], held, rounds, sure, share)
+
+    # All documents without a label, as features; a row's number is fixed once it is written.
+    every = docs.select(F.col(id_col).cast("long").alias("label_id"), F.lit(None).cast("double").alias("good"), *plain)
+    every = scratch.stage(every.mapInPandas(featured, shape).select("id", "x", "m", F.monotonically_increasing_id().alias("row")), "features")
+    free = every.join(known, every["id"] == known["label_id"], "left_anti")
+
+    def pick(logits: list[np.ndarray], rate: float, turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        def score(batches):
+            for part in batches:
+                z = [_sparse_logits(part[c], w) for c, w in zip("xm", logits, strict=True)]
+                yield pd.DataFrame({"row": part["row"], "p0": _sigmoid(z[0]), "p1": _sigmoid(z[1])})
+
+        scored = scratch.stage(free.select("x", "m", "row").mapInPandas(score, "row long, p0 double, p1 double").where(F.greatest("p0", "p1", 1 - F.col("p0"), 1 - F.col("p1")) >= sure), f"round{turn}")
+        out = []
+        for k, other in ((0, 1), (1, 0)):
+            draws = []
+            for label, p, part in ((1.0, F.col(f"p{k}"), rate), (0.0, 1 - F.col(f"p{k}"), 1 - rate)):
+                drawn = scored.where(p >= sure).orderBy(F.xxhash64("row", F.lit(turn), F.lit(k)), "row").limit(max(1, round(told * part)))
+                draws.append(drawn.select("row", F.lit(label).alias("label")))
+            taught = every.join(F.broadcast(draws[0].unionByName(draws[1])), "row").select("row", "label", "xm"[other]).toPandas().sort_values("row")
+            out.append((_dense(taught["xm"[other]], widths[other]), taught["label"].to_numpy(np.float64)))
+        return out
+
+    return co_train(views, dense, y, held, rounds, pick)
+
+
+def _dense(packed, width: int) -> np.ndarray:
+    out = np.zeros((len(packed), width), np.float32)
+    for r, at in zip(out, packed, strict=True):
+        r[np.frombuffer(at, "<u2")] = 1
+    return out
+
+
+def _sparse_logits(packed, w: np.ndarray) -> np.ndarray:
+    """w (weights and, last, the bias) applied to rows of packed places."""
+    count = np.array([len(x) // 2 for x in packed], np.int64)
+    at = np.frombuffer(b"".join(packed), "<u2")
+    return np.bincount(np.repeat(np.arange(len(count)), count), w[at], len(count)) + w[-1]
 
 
 def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), length_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
