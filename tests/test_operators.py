@@ -61,7 +61,7 @@ def test_hinges_match_a_direct_sum(spark):
     rng = np.random.default_rng(1)
     values = rng.random(len(fusion.FEATURES))
     rows = spark.createDataFrame([(1, *map(float, values))], "key int, " + ", ".join(f"{c} double" for c in fusion.FEATURES))
-    model = spark.createDataFrame([("echo", 0.15, 0.5), ("largest", 0.0, 0.25), ("top3", 0.3, 0.1), ("base", 0.0, 0.0)], "feature string, knot double, weight double")
+    model = spark.createDataFrame([("echo", 0.15, 0.5), ("__max", 0.0, 0.25), ("__top3mean", 0.3, 0.1), ("base", 0.0, 0.0)], "feature string, knot double, weight double")
     v = dict(zip(fusion.FEATURES, values, strict=True))
     top = sorted(values)[::-1][:3]
     expected = 5 - 0.1 - 0.5 * max(0, v["echo"] - 0.15) - 0.25 * top[0] - 0.1 * max(0, sum(top) / 3 - 0.3)
@@ -136,6 +136,65 @@ def test_calibration_rejects_what_is_no_number(spark):
         files.calibration(files.numbered_lines(spark, ["unknown=abc"]), {"bias": 0.0}).collect()
 
 
+def test_sinc_equals_the_sum_by_hand():
+    x = np.random.default_rng(0).normal(size=60)
+    for rate, to in ((16000, 48000), (48000, 16000), (44100, 48000)):
+        ratio = to / rate
+        cut, out = min(1.0, ratio) * 0.94, []
+        for n in range(int(len(x) * ratio + 0.5)):
+            place, total, norm = n / ratio, 0.0, 0.0
+            for k in range(len(x)):
+                d = place - k
+                if math.floor(place) - 16 < k <= math.floor(place) + 16 and abs(d) <= 16:
+                    w = cut * (math.sin(math.pi * cut * d) / (math.pi * cut * d) if d else 1.0) * (1 + math.cos(math.pi * d / 16)) / 2
+                    total, norm = total + w * x[k], norm + w
+            out.append(total / norm)
+        assert pair.resample_sinc(x, rate, to) == pytest.approx(out, abs=1e-6)
+
+
+def test_alignment_finds_delay_and_drift():
+    rng = np.random.default_rng(3)
+    a = rng.random(4000)
+    for delay, ppm in ((40, 0), (-25, 2000), (120, -3000)):
+        at = np.arange(4000)
+        place = at - delay - np.floor(at * ppm * 1e-6).astype(int)
+        b = np.where((place >= 0) & (place < 4000), a[np.clip(place, 0, 3999)], 0) * 0.8 + rng.random(4000) * 0.1
+        whole, drift = pair.alignment(a, b)
+        assert abs(whole - delay - 2000 * ppm * 1e-6) <= 10 and drift == pytest.approx(ppm, abs=500)
+
+
+def analysed(spark, cases):
+    audio = "struct<sample_rate: int, samples: array<double>>"
+    told = lambda x: None if x is None else (x[0], x[1].tolist())
+    rows = spark.createDataFrame([(k, told(x), told(y)) for k, (x, y) in cases.items()], f"pair_id string, ref {audio}, deg {audio}")
+    return {r["pair_id"]: r for r in pair.analyse(rows).collect()}
+
+
+def test_events_dimensions_and_errors(spark):
+    x = pair.speech_like(seconds=4.0)
+    gone = x.copy()
+    gone[16000 : 16000 + 16000 // 3] = 0
+    loud = np.clip(x * 9, -1, 1)
+    nothing = np.zeros(16000)
+    cases = {"same": ((16000, x), (16000, x)), "gone": ((16000, x), (16000, gone)), "loud": ((16000, x), (16000, loud)), "silent": ((16000, nothing), (16000, nothing))}
+    cases |= {"rate": ((0, x), (16000, x)), "empty": ((16000, x), (16000, np.zeros(0))), "null": ((16000, x), None)}
+    got = analysed(spark, cases)
+    assert got["same"]["mos"] > 4.5 and got["same"]["confidence"] > 0.7 and not got["same"]["events"] and abs(got["same"]["drift_ppm"]) < 1
+    drops = [e for e in got["gone"]["events"] if e["type"] == "dropout"]
+    assert drops and abs(drops[0]["start_ms"] - 1000) < 60 and got["gone"]["mos"] < got["same"]["mos"]
+    assert got["gone"]["dim_discontinuity"] < got["same"]["dim_discontinuity"]
+    assert [e["type"] for e in got["loud"]["events"] if e["type"] == "clipping"] and got["loud"]["clipping_ratio"] > 0.001 and got["loud"]["mos"] < got["same"]["mos"]
+    assert got["loud"]["dim_loudness"] < 4.5
+    assert (got["silent"]["mos"], got["silent"]["confidence"], got["silent"]["events"]) == (1.0, 0.0, [])
+    assert [got[k]["error"] for k in ("rate", "empty", "null", "same")] == ["invalid sample rate", "empty audio", "invalid sample rate", None]
+    assert got["rate"]["mos"] is None
+
+
+def test_hinge_model_refuses_unknown_features(spark):
+    with pytest.raises(ValueError, match="no such"):
+        fusion.hinge_mos(spark.createDataFrame([("largest", 0.0, 1.0)], "feature string, knot double, weight double"), 0.0)
+
+
 def test_sinc_keeps_a_tone():
     t = np.arange(1600) / 16000
     y = pair.resample_sinc(np.sin(2 * math.pi * 440 * t), 16000, 48000)

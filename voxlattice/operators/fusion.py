@@ -18,7 +18,8 @@ FEATURES = [
     "base", "missing", "added", "coloration", "noisiness", "discontinuity", "loudness", "clipping", "bad_section", "multi_resolution", "temporal",
     "modulation", "asymmetry", "tilt", "level", "bad_interval", "echo", "choppiness", "residual", "visqol_speech", "visqol_audio",
 ]
-DERIVED = ["largest", "top3", "echo_base", "choppiness_bad_interval", "residual_noisiness", "clipping_bad_interval", "visqol_speech_base"]
+# The names that model files give the derived terms, in order.
+DERIVED = ["__max", "__top3mean", "__echo_base", "__chop_bad", "__res_noise", "__clip_bad", "__visqol_base"]
 KNOTS = [0.0, 0.15, 0.30, 0.45, 0.60, 0.75]
 
 
@@ -43,16 +44,24 @@ def final_mos(base: Column, weights: dict[str, float] = FINAL) -> Column:
 def derived() -> list[Column]:
     """The interactions of the features, as columns."""
     top = F.slice(F.sort_array(F.array(*FEATURES), asc=False), 1, 3)
-    product = lambda a, b, name: (F.col(a) * F.col(b)).alias(name)
-    return [
-        F.greatest(*FEATURES).alias("largest"),
-        (F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / 3).alias("top3"),
-        product("echo", "base", "echo_base"),
-        product("choppiness", "bad_interval", "choppiness_bad_interval"),
-        product("residual", "noisiness", "residual_noisiness"),
-        product("clipping", "bad_interval", "clipping_bad_interval"),
-        product("visqol_speech", "base", "visqol_speech_base"),
-    ]
+    products = [("echo", "base"), ("choppiness", "bad_interval"), ("residual", "noisiness"), ("clipping", "bad_interval"), ("visqol_speech", "base")]
+    found = [F.greatest(*FEATURES), F.aggregate(top, F.lit(0.0), lambda s, x: s + x) / 3, *(F.col(a) * F.col(b) for a, b in products)]
+    return [x.alias(name) for x, name in zip(found, DERIVED, strict=True)]
+
+
+def hybrid_features() -> list[Column]:
+    """The hinge model's features out of a result's fields (mos, disturbances, dimensions, ratios, similarities) and the
+    experts' scores, each in [0, 1]: 0 is no degradation."""
+    lack = lambda score: (5 - F.col(score)) / 4
+    found = {
+        "base": lack("mos"), "missing": F.col("missing_disturbance"), "added": F.col("added_disturbance"), "coloration": lack("dim_coloration"),
+        "noisiness": lack("dim_noisiness"), "discontinuity": lack("dim_discontinuity"), "loudness": lack("dim_loudness"), "clipping": F.col("clipping_ratio") * 40,
+        "bad_section": F.col("bad_section_fraction"), "multi_resolution": 1 - F.col("multi_resolution_similarity"), "temporal": 1 - F.col("temporal_envelope_similarity"),
+        "modulation": 1 - F.col("modulation_similarity"), "asymmetry": F.col("asymmetric_disturbance"), "tilt": F.col("spectral_tilt_error"), "level": F.col("active_level_delta_db") / 18,
+        "bad_interval": F.col("bad_interval_severity"), "echo": F.col("echo_score"), "choppiness": F.col("choppiness_score"), "residual": F.col("residual_intrusion"),
+        "visqol_speech": lack("visqol_speech_mos"), "visqol_audio": lack("visqol_audio_mos"),
+    }
+    return [clamp(found[name]).alias(name) for name in FEATURES]
 
 
 def bases() -> list[Column]:
@@ -68,8 +77,19 @@ def hinges(rows: DataFrame, key: str) -> DataFrame:
     return long.select(key, "feature", "x", F.explode(F.array(*map(F.lit, KNOTS))).alias("knot")).select(key, "feature", "knot", F.greatest(F.lit(0.0), F.col("x") - F.col("knot")).alias("value"))
 
 
+def hinge_mos(model: DataFrame, bias: float) -> Column:
+    """The hinge model's estimate, as one expression over the features. model: feature, knot, weight (a few hundred rows
+    at most, by the number of features and knots; other features are refused)."""
+    terms = sorted(map(tuple, model.where("weight > 0").select("feature", "knot", "weight").collect()))
+    own = dict(zip(DERIVED, derived(), strict=True)) | {name: F.col(name) for name in FEATURES}
+    if unknown := {name for name, _, _ in terms} - set(own):
+        raise ValueError(f"no such features: {sorted(unknown)}")
+    penalty = F.lit(float(bias))
+    for name, knot, weight in terms:
+        penalty = penalty + weight * F.greatest(F.lit(0.0), own[name] - F.lit(knot))
+    return clamp(5 - penalty, 1, 5)
+
+
 def apply_hinges(rows: DataFrame, key: str, model: DataFrame, bias: float) -> DataFrame:
-    """key, mos. model: feature, knot, weight (a few hundred rows at most, by the number of features and knots)."""
-    terms = hinges(rows, key).join(F.broadcast(model.where("weight > 0")), ["feature", "knot"])
-    penalty = terms.groupBy(key).agg(F.sum(F.col("weight") * F.col("value")).alias("penalty"))
-    return rows.select(key).join(penalty, key, "left").select(key, clamp(5 - bias - F.coalesce("penalty", F.lit(0.0)), 1, 5).alias("mos"))
+    """key, mos."""
+    return rows.select(key, hinge_mos(model, bias).alias("mos"))

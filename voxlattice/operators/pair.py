@@ -1,5 +1,7 @@
 """Analysis of (reference, degraded) pairs. The kernel does what columns cannot (resampling, alignment, spectra) for a
-batch of pairs and emits one row a frame: levels and band energies. Everything after it is a query over frames."""
+batch of pairs and emits one row a frame: levels and band energies, beside what holds for the pair. Everything after it
+is a query over frames. A pair that cannot be analysed (a rate that is not positive, an empty signal) has one row that
+says why; it does not fail the others."""
 
 from __future__ import annotations
 
@@ -8,19 +10,25 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from voxlattice.functions.columns import array_pearson, clamp, db, quantile_floor
 from voxlattice.operators.evaluate import r6
 from voxlattice.operators.fusion import base_mos
-from voxlattice.operators.signal import compare_frame
+from voxlattice.operators.signal import compare_frame, dimensions, events
 
 RATE, FRAME, HOP, BANDS = 48_000, 960, 480, 32
-FRAMES = "pair_id string, i int, ref_rms double, deg_rms double, a array<double>, b array<double>, delay_ms double, clipped double"
+# Bins of an envelope a second; the longest delay in them; parts of a recording that are aligned apart.
+ENVELOPE, LONGEST, PARTS = 200, 300, 5
+FRAMES = (
+    "pair_id string, i int, ref_rms double, deg_rms double, a array<double>, b array<double>, peak double, floor double, delay_ms double, drift_ppm double, "
+    "clipped double, seconds double, bandwidth string, error string"
+)
 
 
 def resample_sinc(x: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Hann-windowed sinc of 32 taps, weights renormalised, back in float32."""
+    """Hann-windowed sinc of 32 taps (the window reaches zero 16 places away), weights renormalised, back in float32."""
     if rate <= 0 or to <= 0:
         raise ValueError("a rate must be positive")
     if rate == to or not len(x):
@@ -29,7 +37,7 @@ def resample_sinc(x: np.ndarray, rate: int, to: int) -> np.ndarray:
     cut, place = min(1.0, ratio) * 0.94, np.arange(int(np.floor(len(x) * ratio + 0.5))) / ratio
     near = np.floor(place).astype(np.int64)[:, None] + np.arange(-15, 17)[None, :]
     away = place[:, None] - near
-    w = cut * np.sinc(cut * away) * (0.5 + 0.5 * np.cos(np.pi * away / 17))
+    w = cut * np.sinc(cut * away) * (0.5 + 0.5 * np.cos(np.pi * away / 16))
     w *= (near >= 0) & (near < len(x))
     return ((w * x[np.clip(near, 0, len(x) - 1)]).sum(1) / w.sum(1)).astype(np.float32)
 
@@ -39,17 +47,39 @@ def prepare(x: np.ndarray, rate: int) -> np.ndarray:
     return (x - x.mean()).astype(np.float32).astype(np.float64)
 
 
-def delay_bins(a: np.ndarray, b: np.ndarray, radius: int) -> int:
-    """The shift of b against a with the largest uncentred correlation; of equal ones the lowest."""
-    best, found = -2.0, 0
-    for lag in range(-radius, radius + 1):
-        x, y = a[max(0, -lag) : len(b) - lag], b[max(0, lag) :]
+def delay_bins(a: np.ndarray, b: np.ndarray, lags: range) -> tuple[int, float]:
+    """The shift of b against a with the largest uncentred correlation, of equal ones the lowest; and that correlation. a
+    is indexed from `lags`' own zero: b may begin before it."""
+    best, found = -2.0, lags[0]
+    for lag in lags:
+        x, y = a[max(0, -lag) : max(0, len(b) - lag)], b[max(0, lag) :]
         n = min(len(x), len(y))
-        energy = (x[:n] ** 2).sum() * (y[:n] ** 2).sum() if n >= 8 else 0.0
-        c = (x[:n] * y[:n]).sum() / np.sqrt(energy) if energy > 1e-12 else -1.0
+        xx, yy = (x[:n] ** 2).sum(), (y[:n] ** 2).sum()
+        c = (x[:n] * y[:n]).sum() / np.sqrt(xx * yy) if n >= 8 and xx >= 1e-12 and yy >= 1e-12 else -1.0
         if c > best:
             best, found = c, lag
-    return found
+    return found, best
+
+
+def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
+    """Of two envelopes: the delay in bins, and the drift in millionths from the delays of parts around it."""
+    whole, _ = delay_bins(a, b, range(-LONGEST, LONGEST + 1))
+    middles, delays = [], []
+    radius = ENVELOPE // 20
+    for part in range(PARTS):
+        begin, end = len(a) * part // PARTS, len(a) * (part + 1) // PARTS
+        if end <= begin + 20:
+            continue
+        # The part's own lag 0 is lag `begin` of b.
+        lag, c = delay_bins(a[begin:end], b, range(begin + whole - radius, begin + whole + radius + 1))
+        if c > 0.15:
+            middles.append((begin + end) / 2 / ENVELOPE)
+            delays.append((lag - begin) / ENVELOPE)
+    if len(middles) < 3:
+        return whole, 0.0
+    t = np.array(middles) - np.mean(middles)
+    square = (t * t).sum()
+    return whole, float(np.clip((t * (np.array(delays) - np.mean(delays))).sum() / square * 1e6, -5000, 5000)) if square > 1e-12 else 0.0
 
 
 def band_edges() -> list[tuple[int, int]]:
@@ -70,61 +100,133 @@ def bands(frames: np.ndarray) -> np.ndarray:
     return np.stack([10 * np.log10((sums[:, b] - sums[:, a]) / (b - a) + 1e-14) for a, b in band_edges()], 1)
 
 
-def frame_rows(pair_id: str, ref: np.ndarray, ref_rate: int, deg: np.ndarray, deg_rate: int) -> pd.DataFrame:
+def _rms(frames: np.ndarray) -> np.ndarray:
+    return np.sqrt((frames * frames).mean(-1))
+
+
+def _db(x: np.ndarray) -> np.ndarray:
+    return 20 * np.log10(np.maximum(x, 1e-9))
+
+
+def _envelope(x: np.ndarray) -> np.ndarray:
+    at = np.arange(0, len(x), RATE // ENVELOPE)
+    return np.add.reduceat(np.abs(x), at) / np.minimum(RATE // ENVELOPE, len(x) - at)
+
+
+def similarity(a: np.ndarray, b: np.ndarray, rms_a: np.ndarray, rms_b: np.ndarray) -> np.ndarray:
+    """compare_frame()'s similarity of many frames: what local alignment chooses by."""
+    x, y = a - a.mean(-1, keepdims=True), b - b.mean(-1, keepdims=True)
+    xx, yy = (x * x).sum(-1), (y * y).sum(-1)
+    r = np.where((xx >= 1e-12) & (yy >= 1e-12), (x * y).sum(-1) / np.sqrt(np.maximum(xx * yy, 1e-300)), 0)
+    level = np.clip(np.abs(_db(rms_b + 1e-9) - _db(rms_a + 1e-9)) / 24, 0, 1)
+    return np.clip(0.75 * (np.clip(r, -1, 1) + 1) / 2 + 0.25 * (1 - level), 0, 1)
+
+
+def bandwidth(x: np.ndarray) -> str:
+    """NB, WB, SWB or FB of up to four seconds, by the share of power above 3.4, 7 and 14 kHz."""
+    x = x[: RATE * 4]
+    size = 1 << max(0, len(x) - 1).bit_length()
+    power = np.abs(np.fft.rfft(x * np.hanning(len(x)), size)) ** 2 + 1e-14
+    top = min(len(power), int(np.ceil(20_000 * size / RATE)))
+    above = lambda low: power[min(len(power) - 1, int(low * size / RATE)) : top].sum()
+    whole = above(80) + 1e-12
+    for name, low, share in (("NB", 3400, 0.003), ("WB", 7000, 0.003), ("SWB", 14_000, 0.002)):
+        if above(low) / whole < share:
+            return name
+    return "FB"
+
+
+def frame_rows(pair_id: str, ref: np.ndarray | None, ref_rate: int | None, deg: np.ndarray | None, deg_rate: int | None) -> pd.DataFrame:
+    """The pair's active frames, each with the degraded frame that fits it best; a pair without one has a row without."""
+    bad = "invalid sample rate" if not all(r and r > 0 for r in (ref_rate, deg_rate)) else "empty audio" if any(x is None or not len(x) for x in (ref, deg)) else None
+    own = {"pair_id": pair_id, "peak": 0.0, "floor": 0.0, "delay_ms": 0.0, "drift_ppm": 0.0, "clipped": 0.0, "seconds": 0.0, "bandwidth": None, "error": bad}
+    nothing = {"i": None, "ref_rms": None, "deg_rms": None, "a": None, "b": None}
+    if bad:
+        return pd.DataFrame([own | nothing])
     a, b = prepare(ref, ref_rate), prepare(deg, deg_rate)
-    block = RATE // 200
-    envelope = lambda x: np.add.reduceat(np.abs(x), np.arange(0, len(x), block)) / np.minimum(block, len(x) - np.arange(0, len(x), block))
-    shift = delay_bins(envelope(a), envelope(b), 300)
-    delay = shift * block
-    starts = np.arange(0, len(a) - FRAME + 1, HOP)
-    starts = starts[(starts + delay >= 0) & (starts + delay + FRAME <= len(b))]
+    shift, drift = alignment(_envelope(a), _envelope(b))
     cut = np.arange(FRAME)
-    x, y = a[starts[:, None] + cut], b[starts[:, None] + delay + cut]
-    rms = lambda f: np.sqrt((f * f).mean(1))
-    return pd.DataFrame({
-        "pair_id": pair_id, "i": (starts // HOP).astype(np.int32), "ref_rms": rms(x), "deg_rms": rms(y), "a": list(bands(x)), "b": list(bands(y)),
-        "delay_ms": shift * 5.0, "clipped": float((np.abs(b) >= 0.995).mean()),
-    })
+    starts = np.arange(0, len(a) - FRAME + 1, HOP)
+    level = _rms(a[starts[:, None] + cut]) if len(starts) else np.zeros(0)
+    heard = np.arange(0, len(b) - FRAME + 1, HOP)
+    floors = np.sort(_db(_rms(b[heard[:, None] + cut]) + 1e-9)) if len(heard) else np.zeros(1)
+    peak = float(level.max()) if len(level) else 0.0
+    own |= {
+        "peak": peak, "floor": float(floors[int(0.15 * (len(floors) - 1))]), "delay_ms": shift * 1000.0 / ENVELOPE, "drift_ppm": drift,
+        "clipped": float((np.abs(b.astype(np.float32)) >= np.float32(0.995)).mean()), "seconds": len(b) / RATE, "bandwidth": bandwidth(b),
+    }
+    away = lambda x: np.sign(x) * np.floor(np.abs(x) + 0.5)  # noqa: E731  halves away from zero
+    there = (starts + away(shift * RATE / ENVELOPE) + away(starts * drift * 1e-6)).astype(np.int64)
+    use = (_db(level) >= max(-55.0, float(_db(np.array(peak + 1e-9))) - 36)) & (there >= 0) & (there + FRAME <= len(b))
+    starts, there, level = starts[use], there[use], level[use]
+    if not len(starts):
+        return pd.DataFrame([own | nothing])
+    x = bands(a[starts[:, None] + cut])
+    found, loud = bands(b[there[:, None] + cut]), _rms(b[there[:, None] + cut])
+    best, moves = similarity(x, found, level, loud), loud > 0.2 * level
+    for delta in range(-RATE // 100, RATE // 100 + 1, RATE // 1000):  # ten milliseconds either way, one at a time
+        at = np.flatnonzero(moves & (there + delta >= 0) & (there + delta + FRAME <= len(b)))
+        if len(at):
+            frames = b[there[at, None] + delta + cut]
+            spectrum, rms = bands(frames), _rms(frames)
+            better = (s := similarity(x[at], spectrum, level[at], rms)) > best[at]
+            at = at[better]
+            best[at], found[at], loud[at] = s[better], spectrum[better], rms[better]
+    return pd.DataFrame(own | {"i": (starts // HOP).astype(np.int32), "ref_rms": level, "deg_rms": loud, "a": list(x), "b": list(found)}, columns=[c.split()[0] for c in FRAMES.split(", ")])
 
 
 def frames(pairs: DataFrame) -> DataFrame:
     """pairs: pair_id, ref and deg (structs of sample_rate and samples) -> frame rows; a few pairs a batch."""
+    names = [c.split()[0] for c in FRAMES.split(", ")]
+    part_of = lambda x, name: None if x is None else x[name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             for pair, ref, deg in zip(part["pair_id"], part["ref"], part["deg"], strict=True):
-                yield frame_rows(pair, ref["samples"], ref["sample_rate"], deg["samples"], deg["sample_rate"])
+                signals = [part_of(x, n) for x in (ref, deg) for n in ("samples", "sample_rate")]
+                yield frame_rows(pair, *signals)[names].astype({"i": "Int32"})
 
     return pairs.select("pair_id", "ref", "deg").mapInPandas(run, FRAMES)
 
 
 def analyse(pairs: DataFrame) -> DataFrame:
-    """pair_id, mos, confidence, delay_ms and what they are made of; without an active frame, mos 1 and confidence 0."""
+    """pair_id, mos, confidence, delay, drift, bandwidth, the four dimensions, disturbances, ratios and events (type,
+    start_ms, duration_ms, severity) of each pair; without an active frame, mos 1 and confidence 0; with an error, nothing
+    but the error."""
     rows = frames(pairs)
-    peak = rows.groupBy("pair_id").agg(F.max("ref_rms").alias("peak"))
-    rows = rows.join(peak, "pair_id").withColumn("active", db(F.col("ref_rms")) >= F.greatest(F.lit(-55.0), db(F.col("peak")) - 36))
-    a, b = F.col("a"), F.col("b")
+    a, b, active = F.col("a"), F.col("b"), F.col("i").isNotNull()
     compared = rows.withColumn("r", array_pearson(a, b))
-    compared = compared.select("*", *[x.alias(k) for k, x in compare_frame(a, b, F.col("r")).items()])
-    active = lambda x: F.when(F.col("active"), x)
+    compared = compared.select("*", *[x.alias(k) for k, x in compare_frame(a, b, F.col("r"), F.col("ref_rms"), F.col("deg_rms")).items()]).drop("a", "b", "r")
     level = F.abs(db(F.col("deg_rms") + 1e-9) - db(F.col("ref_rms") + 1e-9))
-    worst = quantile_floor(F.collect_list(active(F.col("discontinuity"))), 0.9)
+    once = ("peak", "floor", "delay_ms", "drift_ppm", "clipped", "seconds", "bandwidth", "error")
     sums = compared.groupBy("pair_id").agg(
-        F.max("delay_ms").alias("delay_ms"), F.max("clipped").alias("clipping_ratio"), F.count_if("active").alias("frames"), worst.alias("worst"),
-        *[F.avg(active(F.col(c))).alias(c) for c in ("missing", "added", "coloration", "similarity")], F.avg(active(F.col("discontinuity"))).alias("gaps"),
-        F.avg(active((F.col("discontinuity") > 0.45).cast("int"))).alias("bad_section"), F.avg(active(level)).alias("level"),
-        quantile_floor(F.collect_list(db(F.col("deg_rms") + 1e-9)), 0.15).alias("floor"), F.max(db(F.col("peak") + 1e-9)).alias("speech"),
+        *[F.first(c).alias(c) for c in once], F.count("i").alias("frames"), quantile_floor(F.collect_list(F.when(active, F.col("discontinuity"))), 0.9).alias("worst"),
+        *[F.avg(c).alias(c) for c in ("missing", "added", "similarity")], F.avg("coloration").alias("color"), F.avg("discontinuity").alias("gaps"),
+        F.avg((F.col("discontinuity") > 0.45).cast("int")).alias("bad_section"), F.avg(level).alias("level"),
     )
-    sums = sums.withColumns({
-        "noisiness": clamp((28 - (F.col("speech") - F.col("floor"))) / 28) * 0.65 + F.col("added") * 0.35,
-        "discontinuity": clamp(0.55 * F.col("gaps") + 0.45 * F.col("worst")), "loudness": clamp(F.col("level") / 18), "clipping": clamp(F.col("clipping_ratio") * 40),
-    })
-    confidence = clamp(0.25 + 0.45 * clamp(F.col("frames") * 0.01 / 3) + 0.30 * clamp(F.col("similarity")))
-    silent = F.col("frames") == 0
-    return sums.select(
-        "pair_id", "delay_ms", "frames", r6(F.when(silent, 1.0).otherwise(base_mos())).alias("mos"), r6(F.when(silent, 0.0).otherwise(confidence)).alias("confidence"),
-        r6(F.coalesce("discontinuity", F.lit(0.0))).alias("discontinuity"), r6(F.col("clipping_ratio")).alias("clipping_ratio"),
+    dims = dimensions(F.col("color"), F.col("added"), F.col("gaps"), F.col("worst"), db(F.col("peak") + 1e-9) - F.col("floor"), F.col("level"))
+    sums = sums.withColumns({f"dim_{k}": x for k, x in dims.items()})
+    sums = sums.withColumns({k: (5 - F.col(f"dim_{k}")) / 4 for k in dims} | {"clipping": clamp(F.col("clipped") * 40)})
+    seconds = F.col("frames") * (HOP / RATE)
+    confidence = clamp(0.25 + 0.45 * clamp(seconds / 3) + 0.30 * clamp(F.col("similarity")))
+    ok, silent = F.col("error").isNull(), F.col("frames") == 0
+    told = sums.select(
+        "pair_id", "error", "bandwidth", r6(F.when(ok, F.when(silent, 1.0).otherwise(base_mos()))).alias("mos"), r6(F.when(ok, F.when(silent, 0.0).otherwise(confidence))).alias("confidence"),
+        "delay_ms", r6(F.col("drift_ppm")).alias("drift_ppm"), r6(seconds).alias("active_seconds"), *[r6(F.col(f"dim_{k}")).alias(f"dim_{k}") for k in dims],
+        r6(F.col("missing")).alias("missing"), r6(F.col("added")).alias("added"), r6(F.col("bad_section")).alias("bad_section"), r6(F.col("clipped")).alias("clipping_ratio"),
+        F.when((F.col("clipped") > 0.0005) & ~silent, F.struct(F.lit("clipping").alias("type"), F.lit(0.0).alias("start_ms"), (F.col("seconds") * 1000).alias("duration_ms"), r6(clamp(F.col("clipped") * 80)).alias("severity"))).alias("clip"),
     )
+    # Dropouts: runs over active frames, which need not touch each other.
+    order = W.partitionBy("pair_id").orderBy("place")
+    numbered = compared.where(active).select("pair_id", F.col("i").alias("place"), F.col("discontinuity").alias("q"))
+    numbered = numbered.withColumn("i", (F.row_number().over(order) - 1).cast("long"))
+    drops = events(numbered.select("pair_id", "i", "q"), ["pair_id"]).join(numbered.select("pair_id", F.col("i").alias("first"), "place"), ["pair_id", "first"])
+    ms = 1000 * HOP / RATE
+    drops = drops.select("pair_id", F.struct(F.lit("dropout").alias("type"), (F.col("place") * ms).alias("start_ms"), (F.col("frames") * ms + 1000 * FRAME / RATE).alias("duration_ms"), r6(F.col("severity")).alias("severity")).alias("e"))
+    heard = drops.groupBy("pair_id").agg(F.array_sort(F.collect_list("e")).alias("drops"))
+    none = F.array().cast("array<struct<type: string, start_ms: double, duration_ms: double, severity: double>>")
+    joined = told.join(heard, "pair_id", "left")
+    return joined.withColumn("events", F.concat(F.coalesce("drops", none), F.when(F.col("clip").isNotNull(), F.array("clip")).otherwise(none))).drop("drops", "clip")
 
 
 def speech_like(rate: int = 16_000, seconds: float = 3.0) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlattice.functions.columns import clamp, cosine, dot, quantile_floor, slope, total
+from voxlattice.functions.columns import clamp, cosine, db, dot, quantile_floor, slope, total
 
 
 def unit_sum(a: Column) -> Column:
@@ -57,16 +57,17 @@ def bandwidth(power: Column, bins: int, rate: float) -> Column:
     return F.when(band(3400) / all_ < 0.003, "NB").when(band(7000) / all_ < 0.003, "WB").when(band(14000) / all_ < 0.002, "SWB").otherwise("FB")
 
 
-def compare_frame(a: Column, b: Column, pearson: Column) -> dict[str, Column]:
-    """coloration, missing, added, similarity, discontinuity of two band vectors in dB."""
+def compare_frame(a: Column, b: Column, pearson: Column, rms_a: Column, rms_b: Column) -> dict[str, Column]:
+    """coloration, missing, added, similarity, discontinuity of two frames: their band vectors in dB, and their RMS, which
+    gives the level penalty and the holes."""
     n = F.size(a)
     mean_a, mean_b = total(a) / n, total(b) / n
     color = total(F.zip_with(a, b, lambda x, y: F.abs((y - mean_b) - (x - mean_a))))
     missing = total(F.zip_with(a, b, lambda x, y: F.greatest(F.lit(0.0), x - y - 1.5)))
     added = total(F.zip_with(a, b, lambda x, y: F.greatest(F.lit(0.0), y - x - 1.5)))
-    level = clamp(F.abs(mean_b - mean_a) / 24)
+    level = clamp(F.abs(db(rms_b + 1e-9) - db(rms_a + 1e-9)) / 24)
     similarity = clamp(0.75 * (pearson + 1) / 2 + 0.25 * (1 - level))
-    ratio = F.pow(F.lit(10.0), (mean_b - mean_a) / 20)
+    ratio = rms_b / (rms_a + 1e-9)
     hole = F.when(ratio < 0.22, clamp((0.22 - ratio) / 0.22)).otherwise(0.0)
     return {
         "coloration": clamp(color / (n * 18.0)),
@@ -77,6 +78,13 @@ def compare_frame(a: Column, b: Column, pearson: Column) -> dict[str, Column]:
     }
 
 
+def dimensions(color: Column, added: Column, gaps: Column, worst: Column, snr: Column, level: Column) -> dict[str, Column]:
+    """coloration, noisiness, discontinuity and loudness from 1 to 5, of means over active frames (color, added, gaps: the
+    discontinuity, level: the difference in dB), the gaps' worst decile, and the distance of speech and noise floor in dB."""
+    lacks = {"coloration": color, "noisiness": clamp((28 - snr) / 28) * 0.65 + added * 0.35, "discontinuity": clamp(0.55 * gaps + 0.45 * worst), "loudness": clamp(level / 18)}
+    return {name: clamp(5 - 4 * x, 1, 5) for name, x in lacks.items()}
+
+
 def dft_power(samples: DataFrame, keys: list[str], bins: int) -> DataFrame:
     """keys, k, power: of series rows (keys, i from 0, x, n), Hann-windowed, bins 1..bins as cycles a series."""
     w = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("i") / F.greatest(F.lit(1), F.col("n") - 1))
@@ -108,11 +116,15 @@ def events(frames: DataFrame, keys: list[str], threshold: float = 0.58) -> DataF
     is the 0.9 quantile of all frames up to the one that closes the run, 1 for a run that stays open."""
     order = W.partitionBy(*keys).orderBy("i")
     bad = F.col("q") > threshold
-    marked = frames.withColumn("run", F.col("i") - F.sum(bad.cast("int")).over(order)).withColumn("so_far", F.collect_list("q").over(order.rowsBetween(W.unboundedPreceding, 1)))
-    marked = marked.withColumn("ends", F.lead("i").over(order).isNull())
-    runs = marked.where(bad).groupBy(*keys, "run").agg(F.min("i").alias("first"), F.count("*").alias("frames"), F.max_by("so_far", "i").alias("upto"), F.max("ends").alias("open"))
-    severity = F.when(F.col("open"), 1.0).otherwise(clamp(quantile_floor(F.col("upto"), 0.9)))
-    return runs.select(*keys, "first", "frames", severity.alias("severity"))
+    marked = frames.withColumn("run", F.col("i") - F.sum(bad.cast("int")).over(order)).withColumn("ends", F.lead("i").over(order).isNull())
+    runs = marked.where(bad).groupBy(*keys, "run").agg(F.min("i").alias("first"), F.count("*").alias("frames"), F.max("i").alias("last"), F.max("ends").alias("open"))
+    # One array of frames a key, and one of runs: each run looks at the beginning of the same array.
+    told = runs.groupBy(*keys).agg(F.collect_list(F.struct("first", "frames", "last", "open")).alias("runs"))
+    heard = frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("all"))
+    upto = lambda r: F.slice("all", F.lit(1), (r["last"] + 2).cast("int"))
+    severity = lambda r: F.when(r["open"], 1.0).otherwise(clamp(quantile_floor(upto(r), 0.9)))
+    judged = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["frames"].alias("frames"), severity(r).alias("severity")))
+    return told.join(heard, keys).select(*keys, F.explode(judged).alias("e")).select(*keys, "e.*")
 
 
 __all__ = ["asymmetry", "bandwidth", "best_lag", "blocks", "compare_frame", "cosine", "dft_power", "dot", "events", "lag_correlation", "log_band_energies", "tilt", "unit_sum"]

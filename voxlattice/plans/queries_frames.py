@@ -14,7 +14,7 @@ from voxlattice.operators import packets as P
 from voxlattice.operators import pair
 from voxlattice.operators import signal as S
 from voxlattice.operators.evaluate import condition_means, metrics, r6
-from voxlattice.plans.queries_signal import _NUMBERED, _numbered, _pairs
+from voxlattice.plans.queries_signal import _NUMBERED, _numbered
 from voxlattice.sources import files
 from voxlattice.sources.lenses import MANIFEST, PACKETS, SERIES, manifest, packets, read, series
 from voxlattice.streaming import packets as live
@@ -58,9 +58,14 @@ def noise_floor_snr(spark, d):
 
 
 def dimensions(spark, d):
-    rows = _frames(spark, d).where("active").groupBy("user_id").agg(F.avg("q").alias("mean"), quantile_floor(F.collect_list("q"), 0.9).alias("worst"))
-    gap = clamp(0.55 * F.col("mean") + 0.45 * F.col("worst"))
-    return rows.select("user_id", r6(clamp(5 - 4 * gap, 1, 5)).alias("discontinuity"))
+    """Coloration from the frames' distance to their mean, noisiness, discontinuity and loudness, each from 1 to 5."""
+    rows, level = _frames(spark, d).withColumn("mean", F.avg("q").over(W.partitionBy("user_id"))), db(F.col("x"))
+    active = lambda x: F.when(F.col("active"), x)
+    found = rows.groupBy("user_id").agg(
+        F.avg(active(F.abs(F.col("q") - F.col("mean")))).alias("color"), F.avg(active(F.col("q"))).alias("gaps"), quantile_floor(F.collect_list(active(F.col("q"))), 0.9).alias("worst"),
+        quantile_floor(F.collect_list(level), 0.15).alias("floor"), F.max(level).alias("speech"), F.avg(active(F.abs(level - db(F.col("peak"))))).alias("apart"),
+    )
+    return found.select("user_id", *[r6(x).alias(c) for c, x in S.dimensions(F.col("color"), F.col("gaps"), F.col("gaps"), F.col("worst"), F.col("speech") - F.col("floor"), F.col("apart")).items()])
 
 
 def confidence(spark, d):
@@ -82,8 +87,7 @@ def dropout_events(spark, d):
 
 def _aligned(spark, d):
     """Reference x and its copy y in place, y with a tenth of the hour before last."""
-    a, b = _pairs(spark, d)
-    met = a.join(b.select("user_id", (F.col("i") - 2).alias("i"), F.col("x").alias("y")), ["user_id", "i"])
+    met = _numbered(spark, d).select("user_id", "i", "x", (F.col("x") * 0.9).alias("y"))
     echo = F.coalesce(F.lag("x", 2).over(W.partitionBy("user_id").orderBy("i")), F.lit(0.0))
     return met.withColumn("y", F.col("y") + 0.3 * echo)
 
@@ -207,6 +211,8 @@ def loss_accounting(spark, d):
 
 def _folder(spark) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors see")
     return f"{shared}/stream-{np.random.default_rng().integers(1 << 60)}" if shared else tempfile.mkdtemp(prefix="voxlattice-stream-")
 
 
@@ -248,7 +254,7 @@ def csv_manifest_roundtrip(spark, d):
 
 def model_json_scan(spark, d):
     folder = _folder(spark)
-    model = spark.range(1).select(F.array(F.lit("base"), F.lit("echo")).alias("features"), F.array(F.lit("largest")).alias("derived_names"), F.array(F.lit(0.0), F.lit(0.3)).alias("knots"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x / 10.0).alias("weights"))
+    model = spark.range(1).select(F.array(F.lit("base"), F.lit("echo")).alias("features"), F.array(F.lit("__max")).alias("derived_names"), F.array(F.lit(0.0), F.lit(0.3)).alias("knots"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x / 10.0).alias("weights"))
     model.write.json(f"{folder}/model")
     return files.model_terms(spark.read.schema("features array<string>, derived_names array<string>, knots array<double>, weights array<double>").json(f"{folder}/model"))
 
@@ -299,7 +305,7 @@ def _analysed(spark, scenarios):
 
 
 def analyze_pair_synthetic(spark, d):
-    return _analysed(spark, _SCENARIOS[:5])
+    return _analysed(spark, _SCENARIOS)
 
 
 def scenario_matrix(spark, d):
@@ -360,7 +366,13 @@ SQL = {
     "clipping_ratio": f"with {_FRAMES}, g as (select user_id, avg(cast(x >= peak * 0.995e0 as int)) as r from f group by 1) select user_id, round(r, 6) as ratio, round(case when r > 0.0005 then least(1e0, r * 80) end, 6) as severity from g",
     "noise_floor_snr": f"""with {_FRAMES}, l as (select *, 20 * log10(greatest(x, 1e-9)) as v from f), g as (select user_id, {_Q.format(x='v', q=0.15)} as fl, max(v) as sp, avg(q) as ad from l group by 1)
         select user_id, round(fl, 6) as floor, round(least(1e0, greatest(0e0, (28 - (sp - fl)) / 28)) * 0.65e0 + ad * 0.35e0, 6) as penalty from g""",
-    "dimensions": f"with {_FRAMES} select user_id, round(least(5e0, greatest(1e0, 5 - 4 * least(1e0, 0.55e0 * avg(q) + 0.45e0 * {_Q.format(x='q', q=0.9)}))), 6) as discontinuity from f where active group by 1",
+    "dimensions": f"""with {_FRAMES}, m as (select *, avg(q) over (partition by user_id) as mean, 20 * log10(greatest(x, 1e-9)) as level, 20 * log10(greatest(peak, 1e-9)) as top from f),
+        g as (select user_id, avg(case when active then abs(q - mean) end) as color, avg(case when active then q end) as gaps, {_Q.format(x='level', q=0.15)} as floor, max(level) as speech,
+          list_sort(list(q) filter (where active))[cast(floor(0.9 * (count(*) filter (where active) - 1)) as int) + 1] as worst, avg(case when active then abs(level - top) end) as apart from m group by 1)
+        select user_id, round(least(5e0, greatest(1e0, 5 - 4 * color)), 6) as coloration,
+          round(least(5e0, greatest(1e0, 5 - 4 * (0.65e0 * least(1e0, greatest(0e0, (28 - (speech - floor)) / 28)) + 0.35e0 * gaps))), 6) as noisiness,
+          round(least(5e0, greatest(1e0, 5 - 4 * least(1e0, 0.55e0 * gaps + 0.45e0 * worst))), 6) as discontinuity,
+          round(least(5e0, greatest(1e0, 5 - 4 * least(1e0, apart / 18))), 6) as loudness from g""",
     "confidence": f"""with {_FRAMES}, g as (select user_id, count(*) filter (where active) * 0.01e0 as s, avg(case when active then 1 - q end) as m from f group by 1),
         h as (select user_id, least(1e0, 0.25e0 + 0.45e0 * least(1e0, s / 3) + 0.3e0 * coalesce(m, 0)) as b from g) select user_id, round(b, 6) as base, round(least(1e0, 0.65e0 * b + 0.35e0), 6) as blended from h""",
     "no_speech_defaults": f"""with {_FRAMES}, g as (select user_id, avg(q) as q from f where active and user_id % 7 > 0 group by 1)
@@ -391,7 +403,7 @@ SQL = {
         select ssrc, count(*) as frames, round(sum(out), 6) as total from o group by 1""",
     "calibration_kv_parse": "select * from (values ('bias', 0.05e0), ('missing', 1.25e0), ('added', 0.7e0), ('coloration', 0.45e0), ('noisiness', 0.55e0), ('discontinuity', 0.95e0), ('loudness', 0.35e0), ('clipping', 0.65e0), ('bad_section', 0.8e0), ('expert', 1e0)) t(key, value)",
     "csv_manifest_roundtrip": f"with {MANIFEST} select family, condition, round(avg(truth), 6) as truth, round(avg(pred), 6) as pred from m group by 1, 2",
-    "model_json_scan": "select * from (values ('base', 0e0, 0.1e0), ('base', 0.3e0, 0.2e0), ('echo', 0e0, 0.3e0), ('echo', 0.3e0, 0.4e0), ('largest', 0e0, 0.5e0), ('largest', 0.3e0, 0.6e0)) t(feature, knot, weight)",
+    "model_json_scan": "select * from (values ('base', 0e0, 0.1e0), ('base', 0.3e0, 0.2e0), ('echo', 0e0, 0.3e0), ('echo', 0.3e0, 0.4e0), ('__max', 0e0, 0.5e0), ('__max', 0.3e0, 0.6e0)) t(feature, knot, weight)",
     "report_json": f"with {MANIFEST} select family, count(*) as n, round(sqrt(avg((pred - truth) * (pred - truth))), 6) as rmse, round(avg(pred - truth), 6) as bias from m group by 1",
     "result_json_roundtrip": "select case when event_id % 2 = 0 then 'm1' end as model, count(*) as n, round(sum(round(value, 6)), 4) as total from events group by 1",
     "wav_decode_roundtrip": "select i as recording, true as exact from range(50) t(i)",

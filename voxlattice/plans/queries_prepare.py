@@ -139,8 +139,18 @@ def expert_gate_score(spark, d):
     return _by_type(rows.withColumn("hybrid_applied", both.cast("int")).withColumn("score", F.when(both, hybrid).otherwise(F.col("mos"))), "hybrid_applied", "score")
 
 
+def _raw_results():
+    """A result's fields out of the degradations, some beyond the range of a feature."""
+    return {"mos": "5 - 5 * base", "missing_disturbance": "1.2e0 * missing", "added_disturbance": "added", "dim_coloration": "5 - 4 * coloration", "dim_noisiness": "5 - 3 * noisiness",
+        "dim_discontinuity": "5 - 4.5e0 * discontinuity", "dim_loudness": "5 - 2 * loudness", "clipping_ratio": "clipping / 20", "bad_section_fraction": "bad_section",
+        "multi_resolution_similarity": "1 - multi_resolution", "temporal_envelope_similarity": "1 - 1.5e0 * temporal", "modulation_similarity": "1 - modulation", "asymmetric_disturbance": "asymmetry",
+        "spectral_tilt_error": "tilt", "active_level_delta_db": "level * 30", "bad_interval_severity": "bad_interval", "echo_score": "echo", "choppiness_score": "choppiness", "residual_intrusion": "residual",
+        "visqol_speech_mos": "5 - 4.4e0 * visqol_speech", "visqol_audio_mos": "5 - 3.6e0 * visqol_audio"}
+
+
 def hybrid_features(spark, d):
-    return _by_type(degradations(spark, d), *fusion.FEATURES[:8])
+    raw = degradations(spark, d).select("p_type", *[F.expr(x).alias(c) for c, x in _raw_results().items()])
+    return _by_type(raw.select("p_type", *fusion.hybrid_features()), *fusion.FEATURES)
 
 
 def derived_interactions(spark, d):
@@ -157,10 +167,7 @@ def _model(spark):
 
 
 def hinge_model_apply(spark, d):
-    rows = degradations(spark, d)
-    rows = rows.withColumn("key", F.xxhash64(*rows.columns)).groupBy("key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in fusion.FEATURES])
-    scored = fusion.apply_hinges(rows, "key", _model(spark), 0.1).join(rows.select("key", "copies"), "key")
-    scored = scored.select("mos", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    scored = degradations(spark, d).select(fusion.hinge_mos(_model(spark), 0.1).alias("mos"))
     return scored.agg(F.count("*").alias("n"), F.round(F.avg("mos"), 8).alias("mos"))
 
 
@@ -210,9 +217,17 @@ u as (select family, condition, case when place > n - (case when n >= 3 then sha
 w as (select u.split, u.family, u.condition, p_retailprice from part join u on p_type = u.family and p_size = u.condition)"""
 _FINAL = f"least(5e0, greatest(1e0, 5 - (0.58e0 * least(4e0, greatest(0e0, 5 - {_BASE})) + " + " + ".join(f"{w}e0 * {k}" for k, w in list(fusion.FINAL.items())[2:]) + ")))"
 _ARRAY = "list_reverse_sort([" + ", ".join(fusion.FEATURES) + "])"
+# The conversions of a result's fields into features, one by one.
+_CONVERTED = {
+    "base": "(5 - mos) / 4", "missing": "missing_disturbance", "added": "added_disturbance", "coloration": "(5 - dim_coloration) / 4", "noisiness": "(5 - dim_noisiness) / 4",
+    "discontinuity": "(5 - dim_discontinuity) / 4", "loudness": "(5 - dim_loudness) / 4", "clipping": "40 * clipping_ratio", "bad_section": "bad_section_fraction",
+    "multi_resolution": "1 - multi_resolution_similarity", "temporal": "1 - temporal_envelope_similarity", "modulation": "1 - modulation_similarity", "asymmetry": "asymmetric_disturbance",
+    "tilt": "spectral_tilt_error", "level": "active_level_delta_db / 18", "bad_interval": "bad_interval_severity", "echo": "echo_score", "choppiness": "choppiness_score",
+    "residual": "residual_intrusion", "visqol_speech": "(5 - visqol_speech_mos) / 4", "visqol_audio": "(5 - visqol_audio_mos) / 4",
+}
 _DERIVED = {
-    "largest": f"({_ARRAY})[1]", "top3": f"(({_ARRAY})[1] + ({_ARRAY})[2] + ({_ARRAY})[3]) / 3", "echo_base": "echo * base", "choppiness_bad_interval": "choppiness * bad_interval",
-    "residual_noisiness": "residual * noisiness", "clipping_bad_interval": "clipping * bad_interval", "visqol_speech_base": "visqol_speech * base",
+    "__max": f"({_ARRAY})[1]", "__top3mean": f"(({_ARRAY})[1] + ({_ARRAY})[2] + ({_ARRAY})[3]) / 3", "__echo_base": "echo * base", "__chop_bad": "choppiness * bad_interval",
+    "__res_noise": "residual * noisiness", "__clip_bad": "clipping * bad_interval", "__visqol_base": "visqol_speech * base",
 }
 
 SQL = {
@@ -241,7 +256,8 @@ SQL = {
     "expert_gate_score": f"""with {_GRID}, x as (select p_type, {_FINAL} as mos, case when row_id % 3 > 0 then 5 - 4 * visqol_speech end as a, case when row_id % 5 > 0 then 5 - 4 * visqol_audio end as b from g)
         select p_type, count(*) as n, round(avg(cast(a is not null and b is not null as int)), 6) as hybrid_applied,
           round(avg(case when a is not null and b is not null then (least(5e0, greatest(1e0, a)) + least(5e0, greatest(1e0, b))) / 2 else mos end), 6) as score from x group by 1""",
-    "hybrid_features": f"with {_GRID} select p_type, count(*) as n, " + ", ".join(f"round(avg({c}), 6) as {c}" for c in fusion.FEATURES[:8]) + " from g group by 1",
+    "hybrid_features": f"with {_GRID}, r as (select p_type, " + ", ".join(f"{x} as {c}" for c, x in _raw_results().items()) + " from g) select p_type, count(*) as n, "
+        + ", ".join(f"round(avg(least(1e0, greatest(0e0, {x}))), 6) as {c}" for c, x in _CONVERTED.items()) + " from r group by 1",
     "derived_interactions": f"with {_GRID} select p_type, count(*) as n, " + ", ".join(f"round(avg({x}), 6) as {c}" for c, x in _DERIVED.items()) + " from g group by 1",
     "hinge_basis": f"with {_GRID}, w as (select *, " + ", ".join(f"{x} as {c}" for c, x in _DERIVED.items()) + " from g), f as (" + " union all ".join(f"select '{c}' as feature, {c} as x from w" for c in [*fusion.FEATURES, *_DERIVED]) + "), k as (select unnest([0e0, 0.15e0, 0.3e0, 0.45e0, 0.6e0, 0.75e0]) as knot) select feature, knot, round(avg(greatest(0e0, x - knot)), 8) as mean from f, k group by 1, 2",
     "hinge_model_apply": f"with {_GRID}, w as (select *, " + ", ".join(f"{x} as {c}" for c, x in _DERIVED.items()) + " from g) select count(*) as n, round(avg(least(5e0, greatest(1e0, 4.9e0 - (" + " + ".join(f"{round(0.05 * (1 - k), 6)}e0 * greatest(0e0, {c} - {k}e0)" for c in [*fusion.FEATURES, *fusion.DERIVED][::2] for k in fusion.KNOTS[::2]) + ")))), 8) as mos from w",

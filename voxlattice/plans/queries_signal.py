@@ -27,19 +27,19 @@ def asymmetry_tilt(spark, d):
 
 def multi_resolution_rollup(spark, d):
     """Mean and worst decile of the similarity at three block widths, then over the widths."""
-    rows = spectra(spark, d)
-    each = None
-    for width in (1, 2, 4):
-        part = rows.select("label", F.lit(width).alias("width"), cosine(S.blocks(F.col("a"), width), S.blocks(F.col("b"), width)).alias("c"))
-        each = part if each is None else each.unionByName(part)
+    width = lambda w: F.struct(F.lit(w).alias("width"), cosine(S.blocks(F.col("a"), w), S.blocks(F.col("b"), w)).alias("c"))
+    each = spectra(spark, d).select("label", F.explode(F.array(*map(width, (1, 2, 4)))).alias("e")).select("label", "e.*")
     per = each.groupBy("label", "width").agg(F.avg("c").alias("similarity"), (1 - quantile_floor(F.collect_list("c"), 0.1)).alias("bad"))
     return per.groupBy("label").agg(r6(F.avg("similarity")).alias("similarity"), r6(F.max("bad")).alias("bad"), r6(F.max(F.when(F.col("width") == 1, F.col("similarity")))).alias("finest"))
 
 
 def frame_compare(spark, d):
+    """Band vectors and, apart from them, levels: the root of the mean power, the second one's faded by its number."""
     dbs = spectra(spark, d).select("id", F.transform("a", lambda x: 10 * F.log10(x)).alias("a"), F.transform("b", lambda x: 10 * F.log10(x)).alias("b"))
     found = dbs.withColumn("r", array_pearson(F.col("a"), F.col("b")))
-    return found.select("id", *[r6(x).alias(k) for k, x in S.compare_frame(F.col("a"), F.col("b"), F.col("r")).items()])
+    rms = spectra(spark, d).select("id", *[F.sqrt(total(F.col(c)) / F.size(c) * (1 - F.lit(k) * (F.col("id") % 9) / 9)).alias(f"rms_{c}") for c, k in (("a", 0.0), ("b", 1.0))])
+    compared = S.compare_frame(F.col("a"), F.col("b"), F.col("r"), F.col("rms_a"), F.col("rms_b"))
+    return found.join(rms, "id").select("id", *[r6(x).alias(k) for k, x in compared.items()])
 
 
 def quantile_floor_by_user(spark, d):
@@ -134,7 +134,7 @@ def sinc_resample(spark, d):
     taps = out.withColumn("tap", F.explode(F.sequence(F.lit(-15), F.lit(16)))).withColumn("i", F.floor("place") + F.col("tap"))
     away = F.col("place") - F.col("i")
     sinc = F.when(F.abs(away) < 1e-12, cut).otherwise(F.sin(math.pi * cut * away) / (math.pi * away))
-    weight = sinc * (0.5 + 0.5 * F.cos(math.pi * away / 17))
+    weight = sinc * (0.5 + 0.5 * F.cos(math.pi * away / 16))
     met = taps.withColumn("w", weight).join(F.broadcast(source), "i")
     return met.groupBy("j").agg(r6(F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
 
@@ -168,9 +168,10 @@ def time_scale_resample(spark, d):
 
 
 def _pairs(spark, d):
-    """A user's series, and itself two hours later, a fifth of it replaced by the next user's."""
+    """A user's series, and itself shifted by -2 to 2 hours (by the user), each fifth hour of it lost."""
     a = _numbered(spark, d).select("user_id", "i", "x")
-    b = a.select("user_id", (F.col("i") + 2).alias("i"), (F.col("x") * 0.9).alias("x"))
+    kept = F.when(F.col("i") % 5 == 0, 50.0).otherwise(F.col("x") * 0.9)
+    b = a.select("user_id", (F.col("i") + F.col("user_id") % 5 - 2).alias("i"), kept.alias("x")).where("i >= 0")
     return a, b
 
 
@@ -179,20 +180,37 @@ def xcorr_delay_argmax(spark, d):
     return S.best_lag(S.lag_correlation(a, b, ["user_id"], 6), ["user_id"]).select("user_id", "lag", r6(F.col("c")).alias("c"))
 
 
+#: Bins of an envelope, and the search radius around nothing and around the global delay.
+_BINS, _WIDE, _LOCAL = 2000, 60, 10
+
+
+def _drifting(spark):
+    """Eight pairs of envelopes (pair, i, x): the second runs late by 10 to 38 bins and drifts by -4000 to 3000 millionths,
+    with a tenth of its level replaced by something else."""
+    rows = spark.range(8).select(F.col("id").alias("pair")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BINS - 1).cast("long"))))
+    tone = lambda i: (i * i * 31 + i * 17 + F.col("pair") * 13) % 1009 / 1009.0
+    a = rows.select("pair", "i", tone(F.col("i")).alias("x"))
+    from_ = F.col("i") - 10 - 4 * F.col("pair") - F.floor(F.col("i") * (F.col("pair") - 4) / 1000.0).cast("long")
+    b = rows.withColumn("from", from_).where("from >= 0").select("pair", "i", (0.9 * tone(F.col("from")) + 0.1 * ((F.col("i") * F.col("i") * 57 + F.col("i") * 29) % 503 / 503.0)).alias("x"))
+    return a, b
+
+
 def delay_and_drift(spark, d):
-    """The lag of each fifth of the series, where it correlates, and their slope."""
-    a, b = _pairs(spark, d)
-    n = a.groupBy("user_id").agg(F.count("*").cast("long").alias("n"))
-    a = a.join(n, "user_id").withColumn("segment", F.floor((F.col("i") * 5 + 4) / F.col("n")).cast("long")).where("segment < 5")
-    each = b.crossJoin(F.broadcast(spark.range(5).select(F.col("id").alias("segment"))))
-    best = S.best_lag(S.lag_correlation(a.select("user_id", "segment", "i", "x"), each, ["user_id", "segment"], 4, least=4), ["user_id", "segment"]).where("c > 0.15")
-    slope = F.coalesce(F.regr_slope(F.col("lag").cast("double"), F.col("segment").cast("double")), F.lit(0.0))
-    return best.groupBy("user_id").agg(F.count("*").alias("segments"), r6(F.when(F.count("*") >= 3, clamp(slope * 1e6, -5000, 5000)).otherwise(0.0)).alias("drift"))
+    """The delay of all, and around it that of each fifth where it correlates; their slope over the fifths' middles."""
+    a, b = _drifting(spark)
+    whole = S.best_lag(S.lag_correlation(a, b, ["pair"], _WIDE), ["pair"]).select("pair", F.col("lag").alias("delay"))
+    parts = a.withColumn("segment", F.floor(F.col("i") * 5 / _BINS).cast("long")).join(F.broadcast(whole), "pair")
+    shifted = parts.select("pair", "segment", (F.col("i") + F.col("delay")).alias("i"), "x")  # lags count from the delay of all
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("segment")
+    best = S.best_lag(S.lag_correlation(shifted, b.select("pair", each, "i", "x"), ["pair", "segment"], _LOCAL), ["pair", "segment"]).where("c > 0.15")
+    slope = F.coalesce(F.regr_slope(F.col("lag").cast("double"), (F.col("segment") + 0.5) * (_BINS / 5)), F.lit(0.0))
+    drift = best.groupBy("pair").agg(F.count("*").alias("segments"), r6(F.when(F.count("*") >= 3, clamp(slope * 1e6, -5000, 5000)).otherwise(0.0)).alias("drift"))
+    return drift.join(whole, "pair").select("pair", "delay", "segments", "drift")
 
 
 def aligned_trim(spark, d):
     a, b = _pairs(spark, d)
-    met = a.join(b.select("user_id", (F.col("i") - 2).alias("i"), F.col("x").alias("y")), ["user_id", "i"])
+    met = a.join(b.select("user_id", (F.col("i") - F.col("user_id") % 5 + 2).alias("i"), F.col("x").alias("y")), ["user_id", "i"])
     return met.groupBy("user_id").agg(F.count("*").alias("n"), r6(F.sum(F.col("x") * F.col("y"))).alias("xy"))
 
 
@@ -242,7 +260,7 @@ def _blocked(v: str, w: int) -> str:
 _LAG = """c as (select {k}, l.lag, count(*) as n, sum(a.x * b.x) as xy, sum(a.x * a.x) as xx, sum(b.x * b.x) as yy from {a} a, (select unnest(range(-{r}, {r} + 1)) as lag) l, b
   where a.user_id = b.user_id and b.i = a.i + l.lag group by all),
 d as (select *, round(case when n < {least} or xx < 1e-12 or yy < 1e-12 then -1 else xy / sqrt(xx * yy) end, 9) as c from c)"""
-_PAIR = f"{_NUMBERED}, a as (select user_id, i, x, n from z), b as (select user_id, i + 2 as i, x * 0.9e0 as x from z)"
+_PAIR = f"{_NUMBERED}, a as (select user_id, i, x, n from z), b as (select user_id, i + user_id % 5 - 2 as i, case when i % 5 = 0 then 50e0 else x * 0.9e0 end as x from z where i + user_id % 5 - 2 >= 0)"
 
 SQL = {
     "cosine_pairs": f"with {SPECTRA} select id, round(list_cosine_similarity(a, b), 6) as cosine from p",
@@ -252,12 +270,13 @@ SQL = {
     "multi_resolution_rollup": f"with {SPECTRA}, e as (" + " union all ".join(f"select label, {w} as width, list_cosine_similarity({_blocked('a', w)}, {_blocked('b', w)}) as c from p" for w in (1, 2, 4)) + """),
         g as (select label, width, avg(c) as similarity, 1 - list_sort(list(c))[cast(floor(0.1 * (count(*) - 1)) as int) + 1] as bad from e group by 1, 2)
         select label, round(avg(similarity), 6) as similarity, round(max(bad), 6) as bad, round(max(case when width = 1 then similarity end), 6) as finest from g group by 1""",
-    "frame_compare": f"""with {SPECTRA}, f as (select id, list_transform(a, lambda x: 10 * log10(x)) as a, list_transform(b, lambda x: 10 * log10(x)) as b from p),
+    "frame_compare": f"""with {SPECTRA}, f as (select id, list_transform(a, lambda x: 10 * log10(x)) as a, list_transform(b, lambda x: 10 * log10(x)) as b,
+          sqrt(list_avg(a)) as la, sqrt(list_avg(b) * (1 - (id % 9) / 9e0)) as lb from p),
         g as (select *, {_PEARSON.format(a='a', b='b')} as r, list_avg(a) as ma, list_avg(b) as mb, list_zip(a, b) as z from f),
         h as (select id, least(1e0, list_sum(list_transform(z, lambda t: abs((t[2] - mb) - (t[1] - ma)))) / (64 * 18e0)) as coloration,
           least(1e0, list_sum(list_transform(z, lambda t: greatest(0e0, t[1] - t[2] - 1.5e0))) / (64 * 22e0)) as missing,
           least(1e0, list_sum(list_transform(z, lambda t: greatest(0e0, t[2] - t[1] - 1.5e0))) / (64 * 22e0)) as added,
-          least(1e0, greatest(0e0, 0.75e0 * (r + 1) / 2 + 0.25e0 * (1 - least(1e0, abs(mb - ma) / 24)))) as similarity, pow(10e0, (mb - ma) / 20) as ratio from g)
+          least(1e0, greatest(0e0, 0.75e0 * (r + 1) / 2 + 0.25e0 * (1 - least(1e0, abs(20 * log10(greatest(lb + 1e-9, 1e-9)) - 20 * log10(greatest(la + 1e-9, 1e-9))) / 24)))) as similarity, lb / (la + 1e-9) as ratio from g)
         select id, round(coloration, 6) as coloration, round(missing, 6) as missing, round(added, 6) as added, round(similarity, 6) as similarity,
           round(least(1e0, greatest(0e0, case when ratio < 0.22 then (0.22e0 - ratio) / 0.22e0 else 0e0 end, (0.45e0 - similarity) * 1.8e0)), 6) as discontinuity from h""",
     "quantile_floor_by_user": f"with {SERIES} select user_id, " + ", ".join(f"round(list_sort(list(x))[cast(floor({q} * (count(*) - 1)) as int) + 1], 6) as {n}" for n, q in (("q15", 0.15), ("median", 0.5), ("q90", 0.9))) + " from s group by 1",
@@ -285,7 +304,7 @@ SQL = {
     "synth_signal": f"with {_SYNTH.format(n=400)} select i, round(x, 9) as x from y",
     "sinc_resample": f"""with {_SYNTH.format(n=400)}, o as (select j, j / 1.5e0 as place from range(600) t(j)),
         t as (select j, place, cast(floor(place) as bigint) + k as i from o, range(-15, 17) t(k)),
-        w as (select j, i, (case when abs(place - i) < 1e-12 then 0.94e0 else sin(pi() * 0.94e0 * (place - i)) / (pi() * (place - i)) end) * (0.5e0 + 0.5e0 * cos(pi() * (place - i) / 17)) as w from t)
+        w as (select j, i, (case when abs(place - i) < 1e-12 then 0.94e0 else sin(pi() * 0.94e0 * (place - i)) / (pi() * (place - i)) end) * (0.5e0 + 0.5e0 * cos(pi() * (place - i) / 16)) as w from t)
         select j, round(sum(w * x) / sum(w), 6) as x from w join y on w.i = y.i group by j""",
     "pcm16_scale_downmix_db": f"""with {_SYNTH.format(n=400)}, p as (select i, cast(round(least(0.999969e0, greatest(-1e0, x)) * 32768) as int) as l from y), q as (select i, l, l - l % 7 as r from p),
         m as (select i, l, r, (l / 32768e0 + r / 32768e0) / 2 as mono from q)
@@ -298,11 +317,20 @@ SQL = {
         select j, round(x + (z - x) * (place - k.i), 9) as x from k join q on q.i = k.i""",
     "xcorr_delay_argmax": f"""with {_PAIR}, {_LAG.format(k='a.user_id', a='a', r=6, least=8)}, r as (select *, row_number() over (partition by user_id order by c desc, lag) as k from d)
         select user_id, cast(lag as integer) as lag, round(c, 6) as c from r where k = 1""",
-    "delay_and_drift": f"""with {_PAIR}, a5 as (select user_id, i, x, cast(floor((i * 5 + 4) / n) as bigint) as segment from a), a6 as (select * from a5 where segment < 5),
-        {_LAG.format(k='a.user_id, a.segment', a='a6', r=4, least=4)}, r as (select *, row_number() over (partition by user_id, segment order by c desc, lag) as k from d),
-        e as (select * from r where k = 1 and c > 0.15)
-        select user_id, count(*) as segments, round(case when count(*) >= 3 then least(5000e0, greatest(-5000e0, coalesce(regr_slope(lag, segment), 0) * 1e6)) else 0 end, 6) as drift from e group by 1""",
-    "aligned_trim": f"with {_PAIR} select a.user_id, count(*) as n, round(sum(a.x * b.x), 6) as xy from a join b on a.user_id = b.user_id and b.i = a.i + 2 group by 1",
+    "delay_and_drift": """with r as (select p as pair, i from range(8) t(p), range(2000) u(i)),
+        a as (select pair, i, ((i * i * 31 + i * 17 + pair * 13) % 1009) / 1009e0 as x from r),
+        f as (select pair, i, i - 10 - 4 * pair - cast(floor(i * (pair - 4) / 1000e0) as bigint) as k from r),
+        b as (select pair, i, 0.9e0 * (((k * k * 31 + k * 17 + pair * 13) % 1009) / 1009e0) + 0.1e0 * (((i * i * 57 + i * 29) % 503) / 503e0) as x from f where k >= 0),
+        c as (select a.pair, lag, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 9) as c
+          from a, range(-60, 61) l(lag), b where a.pair = b.pair and b.i = a.i + lag group by all having count(*) >= 8),
+        w as (select pair, lag as delay from (select *, row_number() over (partition by pair order by c desc, lag) as k from c) where k = 1),
+        e as (select a.pair, a.i // 400 as segment, lag, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 9) as c
+          from a join w on a.pair = w.pair, range(-10, 11) l(lag), b where a.pair = b.pair and b.i = a.i + delay + lag group by all having count(*) >= 8),
+        g as (select * from (select *, row_number() over (partition by pair, segment order by c desc, lag) as k from e) where k = 1 and c > 0.15)
+        select w.pair, cast(w.delay as integer) as delay, count(*) as segments,
+          round(case when count(*) >= 3 then least(5000e0, greatest(-5000e0, coalesce(regr_slope(lag, (segment * 400 + (segment + 1) * 400) / 2e0), 0) * 1e6)) else 0 end, 6) as drift
+        from g join w on w.pair = g.pair group by all""",
+    "aligned_trim": f"with {_PAIR} select a.user_id, count(*) as n, round(sum(a.x * b.x), 6) as xy from a join b on a.user_id = b.user_id and b.i = a.i + a.user_id % 5 - 2 group by 1",
     "local_align_candidates": f"""with {SPECTRA}, t as (select id, a, h, case when h >= 0 then list_concat(b[h + 1:64], b[1:h]) else list_concat(b[65 + h:64], b[1:64 + h]) end as b from p, range(-2, 3) t(h)),
         s as (select id, h, round(list_cosine_similarity(a, b), 9) as c from t), r as (select *, row_number() over (partition by id order by c desc, h) as k from s)
         select id, cast(h as integer) as shift, round(c, 6) as c from r where k = 1""",
