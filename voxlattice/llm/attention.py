@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-STEP, OVERLAP, KEY = 8, 4, 8
+STEP, OVERLAP, KEY = 8, 4, 4
 SPAN = STEP + OVERLAP
 #: Rows; rows that rare ids share; pairs of rows with values of their own; cells of these that are kept, at most.
 ROWS, SHARED, PAIRS, CELLS = 1024, 63, 1 << 16, 1 << 22
@@ -24,7 +24,7 @@ ROWS, SHARED, PAIRS, CELLS = 1024, 63, 1 << 16, 1 << 22
 ABSENT = ROWS - 1
 OWN = ABSENT - SHARED
 #: Distances (tokens between) that are counted for values further on, and weight of what a value falls back to.
-FURTHER, PRIOR, LEVELS = (2, 4), 1.0, 48
+FURTHER, PRIOR, LEVELS = (3,), 1.0, 48
 _HIDDEN = np.float32(-80)
 _BETWEEN = np.arange(STEP)[:, None] + OVERLAP - np.arange(SPAN)[None, :]
 _SEEN = _BETWEEN >= 0
@@ -208,7 +208,7 @@ def _summed(x: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[2]) @ np.ones(x.shape[2], x.dtype)).reshape(x.shape[:2])
 
 
-def score(p: dict, values: Values, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 1024) -> np.ndarray:
+def score(p: dict, values: Values, inventory: Inventory, ids: np.ndarray, ends: np.ndarray, end_id: int, batch: int = 2048) -> np.ndarray:
     """log10 of each text's probability: its ids and the end."""
     flat, at, text = laid_out(inventory.row[ids], ends, int(inventory.row[end_id]))
     logs = np.empty(len(at))
@@ -260,7 +260,7 @@ class Trainer:
     """Adam over the windows of texts that come in one after another, in random order among those at hand; the rate
     falls from step to step, whatever is still to come."""
 
-    def __init__(self, p: dict, values: Values, rate: float, seed: int, batch: int = 2048):
+    def __init__(self, p: dict, values: Values, rate: float, seed: int, batch: int = 4096):
         self.p = {name: x.copy() for name, x in p.items()}
         self.m, self.s = ({name: np.zeros_like(x) for name, x in p.items()} for _ in range(2))
         self.values, self.rate, self.batch, self.steps, self.windows = values, rate, batch, 0, 0

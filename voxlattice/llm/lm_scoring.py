@@ -32,12 +32,12 @@ from .common import Scratch, slices
 from .subword import subwords
 
 #: Words of a bucket; bytes of words in a part of a bucket; bytes of text in a batch.
-BUCKET_WORDS, PART_BYTES, BATCH = 100_000, 16 << 20, 4 << 20
+BUCKET_WORDS, PART_BYTES, BATCH = 100_000, 16 << 20, 2 << 20
 #: Different words, and words, of a turn: what a task numbers before it tells and starts anew; texts a task remembers
 #: scores of.
-COUNTED, TURN_WORDS, REMEMBERED = 400_000, 6_000_000, 1 << 16
+COUNTED, TURN_WORDS, REMEMBERED = 300_000, 4_000_000, 1 << 14
 #: Ids that the model's start is trained on; ids that a task trains on at a time; ids that a task counts at a time.
-START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 2_000_000, 6_000_000
+START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 1_000_000, 2_000_000
 #: Models that one task averages, and tasks whose counts it sums; cells of a block of counts (16 bits).
 FAN_IN, BLOCK = 32, 1 << 16
 
@@ -352,7 +352,7 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
     # The start: a bounded part of the ids, chosen by hash, in one task.
     few = max(1, round(n_ids / START_IDS))
     first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 128, "first")
-    p, _ = trained(train, first, 0.02, 2048, "models")
+    p, _ = trained(train, first, 0.02, 4096, "models")
     model.p = attention.packed(p)
     return model
 
@@ -370,7 +370,7 @@ def model_scores(tokens: DataFrame, model: Model, kind: str, end_id: int) -> Dat
             digests = batch.column("digest").to_pylist()
             at = {d: i for i, d in enumerate(digests) if d not in known}
             fresh, ids = list(at), batch.column("ids").take(pa.array(at.values(), pa.int64()))
-            for a, b in slices(ids.to_pylist(), 1 << 20):
+            for a, b in slices(ids.to_pylist(), 1 << 19):
                 scores = attention.score(p, values, model.inventory, *_ids(ids.slice(a, b - a), kind), end_id)
                 known.update(zip(fresh[a:b], scores.tolist(), strict=True))
             yield pa.RecordBatch.from_arrays(
