@@ -12,7 +12,7 @@ from voxlattice.llm import attention, lm_scoring
 from voxlattice.llm.lm_scoring import score_texts
 from voxlattice.llm.quality import fit_quality, score_quality
 from voxlattice.llm.subword import Subwords
-from voxlattice.llm.surrogates import _PATTERN, find, permute, replace_entities, rewrite
+from voxlattice.llm.surrogates import _PATTERN, ENDINGS, GIVEN, find, permute, replace_entities, rewrite
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 DATA, WIDE = "/root/testdata/sf0.01", "/root/testdata/sf0.1"
@@ -114,6 +114,63 @@ def test_surrogates_keep_type_format_and_coreference():
     assert "Mr." in new and "г-жа" in new and [len(w) for w in new.split("; ")[2:5]] == [len(w) for w in text.split("; ")[2:5]]
 
 
+def test_surrogates_over_a_mixed_corpus(spark):
+    """Coreference, gender, script, format and distinctness, held against the entities that the texts were made of."""
+    men = [f"{g} {s}" for g in ("John", "Robert", "Omar", "Peter") for s in ("Smith", "Brown", "Lind")]
+    women = [f"{g} {s}" for g in ("Mary", "Aisha", "Anna") for s in ("Smith", "Stone", "Olsen")]
+    rows = [f"Mr. {m} met Dr. {m}. {m} left, and so did Mr {m.split()[1]}. {m.upper()} came." for m in men]
+    rows += [f"Mrs {w} and Prof. {w} are one; ask {w}." for w in women]
+    rows += ["Dr. John Smith again", "Dr Quentin Zorn is here", "г-жа Анна Иванова и д-р Анна Иванова", "Mr Kim Park and Mrs Kim Park"]
+    rows += [f"host {a}.{b}.0.1 up" for a in (10, 172) for b in (1, 33, 200)] + ["v6 2001:0db8:0000:0000:0000:ff00:0042:8329 and GB82 WEST 1234 5698 7654 32"]
+    docs = spark.createDataFrame([(i, t, 5) for i, t in enumerate(rows)], "doc_id long, text string, n_replaced int")
+    done = replace_entities(docs, b"k")
+    assert done.columns == ["doc_id", "text", "n_replaced"]
+    new = {r["doc_id"]: r["text"] for r in done.collect()}
+    full = {}
+    for i, m in enumerate(men):
+        words = new[i].replace(".", "").replace(",", "").split()
+        given, surname = words[1], words[2]
+        assert new[i] == f"Mr. {given} {surname} met Dr. {given} {surname}. {given} {surname} left, and so did Mr {surname}. {given.upper()} {surname.upper()} came."
+        full[m] = (given, surname)
+    for i, w in enumerate(women, len(men)):
+        given, surname = new[i].split()[1:3]
+        assert new[i] == f"Mrs {given} {surname} and Prof. {given} {surname} are one; ask {given} {surname}."
+        full[w] = (given, surname)
+    k = len(men) + len(women)
+    assert new[k] == f"Dr. {' '.join(full['John Smith'])} again"
+    # Parts map one to one, and no surrogate occurs in the corpus.
+    for part in (0, 1):
+        pairs = {(m.split()[part], x[part]) for m, x in full.items()}
+        assert len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+        assert not {a for a, _ in pairs} & {b for _, b in pairs}
+    of = lambda name, g: name in GIVEN["latin"][g] or any(name.endswith(e) for e in ENDINGS["latin"][g])
+    assert all(of(full[m][0], "m") for m in men) and all(of(full[w][0], "f") for w in women)
+    assert of(new[k + 1].split()[1], "n") and new[k + 2].split()[1:3] == new[k + 2].split()[5:7]
+    assert new[k + 2].split()[1] in GIVEN["cyrillic"]["f"] or any(new[k + 2].split()[1].endswith(e) for e in ENDINGS["cyrillic"]["f"])
+    ips = [new[k + 4 + i].split()[1] for i in range(6)]
+    assert len(set(ips)) == 6 and all([len(x) for x in ip.split(".")] == [len(x) for x in rows[k + 4 + i].split()[1].split(".")] and max(map(int, ip.split("."))) < 256 for i, ip in enumerate(ips))
+    last = new[k + 10]
+    assert [e for e in find(last)][1][0] == "iban" and len(last) == len(rows[k + 10]) and last.split()[3][:2] == "GB" and last != rows[k + 10]
+    again = {r["doc_id"]: r["text"] for r in replace_entities(docs.repartition(7), b"k").collect()}
+    assert again == new
+    monkey = [r["text"] for r in replace_entities(docs.limit(0), b"k").collect()]
+    assert monkey == []
+
+
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_crowded_formats_end_and_stay_distinct(spark, monkeypatch, few):
+    import voxlattice.llm.surrogates as S
+
+    monkeypatch.setattr(S, "BROADCAST_REDRAWN", few)
+    ips = [f"{a}.{b}.{c}.1" for a in range(1, 10) for b in range(10) for c in range(9)]  # most of a shape's 10,000
+    ips += [f"{a}.{b}.{c}.{d}" for a in range(10) for b in range(10) for c in range(10) for d in range(2, 9)]
+    docs = spark.createDataFrame([(i, f"at {ip} now, by Mr. Jon{chr(97 + i % 26)} Doe{chr(97 + i // 26 % 26)}") for i, ip in enumerate(ips)], "doc_id long, text string")
+    new = [r["text"] for r in replace_entities(docs, b"k", redraws=3).orderBy("doc_id").collect()]
+    assert len({t.split()[1] for t in new}) == len(set(ips))
+    names = {(docs_ip.split("Mr. ")[1], t.split("Mr. ")[1]) for docs_ip, t in zip([f"Mr. Jon{chr(97 + i % 26)} Doe{chr(97 + i // 26 % 26)}" for i in range(len(ips))], new, strict=True)}
+    assert len({a for a, _ in names}) == len({b for _, b in names}) == len(names)
+
+
 def test_surrogates_do_not_collide_over_a_corpus(spark):
     numbers = [f"+1 (988) 555-{i:04d}" for i in range(3000)]
     docs = spark.createDataFrame([(i, f"call {n} now") for i, n in enumerate(numbers)] + [(-1, None), (-2, ""), (-3, "no data")], "doc_id long, text string").withColumn("kind", F.lit("x"))
@@ -261,7 +318,8 @@ def test_lm_learns_every_training_document_at_any_size(spark, monkeypatch):
 
 
 def test_entities_are_found_as_in_the_whole_text():
-    whole = lambda text: [m.span() for m in _PATTERN.finditer(text) if m["name"] is None or m["given"][0].isupper() and m["surname"][0].isupper()]
+    fine = lambda m: (m["name"] is None or m["given"][0].isupper() and m["surname"][0].isupper()) and m["iban"] is None
+    whole = lambda text: [m.span() for m in _PATTERN.finditer(text) if fine(m)]
     prose = "some plain prose goes on " * 12
     texts = [f"in 7 {prose[:n]} Mr. John Smith said {prose[:m]} so" for n in range(200) for m in (0, 90)]
     texts += [f"7 {prose[:n]} xMr. Dr {'Jo' * 60} Smith, Frau Anna" for n in range(60, 100)]
@@ -271,4 +329,5 @@ def test_entities_are_found_as_in_the_whole_text():
     texts += [" ".join(words[i] for i in rng.integers(0, len(words), 60)) for _ in range(300)]
     for text in texts:
         assert [m.span() for _, _, m in find(text)] == whole(text), text
+    assert [k for k, _, _ in find("ID12 4111 1111 1111 1111 and GB82 WEST 1234 5698 7654 33")] == ["card"]
     assert "John" not in rewrite(f"7 {prose[:76]} Mr. John Smith", b"k", {})[0]
