@@ -178,3 +178,6 @@ def test_vector_links_equal_brute_force(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vector_links(rows, tile_rows=20).collect()}
     assert [got[i] for i in range(len(vectors))] == brute_vectors(vectors)
     assert vector_links(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+    same = spark.createDataFrame([(5, [1.0, 0.0]), (5, [0.0, 1.0]), (9, [0.01, 1.0]), (7, [1.0, 0.01]), (None, [1.0, 0.02])], "vec_id long, embedding array<float>")
+    got = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"]) for r in vector_links(same).collect())
+    assert got == [(0, 2, 5), (5, 1, 5), (5, 2, 5), (7, 2, 5), (9, 1, 5)]

@@ -9,7 +9,8 @@ its links, never all pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
 different lengths do not link; equal rows are separate vectors that link; an empty table gives no rows; extra columns
-are ignored. A null id is returned as it is, and never stands for a component."""
+are ignored. A null id is returned as it is, and never stands for a component; rows of one id with different vectors are
+linked each by its own vector."""
 
 from __future__ import annotations
 
@@ -86,9 +87,10 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
     rows = rows.withColumn("fit", sound(F.col("v")) & F.exists("v", lambda x: x != 0))
     classes = rows.where("fit").groupBy("v").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
-    classes = scratch.stage(classes.withColumn("class", F.xxhash64("v")).withColumn("dim", F.size("v")), "classes")
+    # A class is a node of its own, whatever its rows' ids; its number is fixed once it is written.
+    classes = scratch.stage(classes.withColumn("class", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "classes")
 
-    centres = classes.orderBy("class").limit(CENTRES).select("dim", "v").collect()
+    centres = classes.orderBy(F.xxhash64("v"), "v").limit(CENTRES).select("dim", "v").collect()
     by_dim = {d: _unit([r["v"] for r in centres if r["dim"] == d]) for d in {r["dim"] for r in centres}}
 
     @F.pandas_udf("int")
@@ -105,7 +107,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     # A cell of many rows makes several tiles; the number of tiles of all is rows / tile_rows + centres at most.
     counted = counted.join(F.broadcast(sizes.withColumn("parts", F.ceil(F.col("count") / tile_rows).cast("int")).drop("count")), ["dim", "cell"])
     tile = F.concat_ws("-", "dim", "cell", F.pmod(F.col("class"), F.col("parts")))
-    tiled = scratch.stage(counted.withColumn("tile", tile).select("dim", "tile", "class", "low", "copies", "v"), "tiled")
+    tiled = scratch.stage(counted.withColumn("tile", tile).select("dim", "tile", "class", "copies", "v"), "tiled")
 
     def summary(part: pd.DataFrame) -> pd.DataFrame:
         unit = _unit(part["v"].tolist())
@@ -131,10 +133,9 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
         at_left = np.bincount(i, right["copies"].to_numpy()[j], len(left))
         at_right = np.bincount(j, left["copies"].to_numpy()[i], len(right))
         ids_a, ids_b = left["class"].to_numpy(), right["class"].to_numpy()
-        low_a, low_b = left["low"].to_numpy(), right["low"].to_numpy()
         links = np.concatenate([at_left, at_right]).astype(np.int64)
         ids = np.concatenate([ids_a, ids_b])
-        tree = _forest(low_a[i], low_b[j])
+        tree = _forest(ids_a[i], ids_b[j])
         known = links > 0
         return pd.DataFrame(
             {
@@ -145,7 +146,7 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
             }
         )
 
-    slim = ("tile", "class", "low", "copies", "v")
+    slim = ("tile", "class", "copies", "v")
     left = meet.select("tile", "pair").join(tiled.select(*slim), "tile")
     right = scratch.read("meet").where("tile != tile2").select(F.col("tile2").alias("tile"), "pair").join(scratch.read("tiled").select(*slim), "tile")
     found = left.groupBy("pair").cogroup(right.groupBy("pair")).applyInPandas(product, "class long, links long, a long, b long")
@@ -154,11 +155,12 @@ def vector_links(vectors: DataFrame, threshold: float = 0.95, id_col: str = "vec
     named = components(found.where("a is not null").select("a", "b"), scratch)
     per_class = found.where("class is not null").groupBy("class").agg(F.sum("links").alias("links"))
     known = classes.select("class", "v", "low", "copies").join(per_class, "class", "left")
-    known = known.join(named, known["low"] == named["node"], "left")
-    known = known.select(
+    known = known.join(named, known["class"] == named["node"], "left").withColumn("component", F.coalesce("component", "class"))
+    least = known.groupBy("component").agg(F.min("low").alias("component_id"))
+    known = known.join(least, "component").select(
         F.col("v").alias("of"),
         (F.coalesce("links", F.lit(0).cast("long")) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("component", "low").alias("component_id"),
+        "component_id",
     )
     fit = rows.where("fit").join(known, F.col("v") == F.col("of")).select("vec_id", "n_links", "component_id")
     rest = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
