@@ -27,6 +27,13 @@ def test_subwords_equal_the_library():
     assert [x.tolist() for x in np.split(ids, ends[:-1])] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_single_words_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, words = Tokenizer.from_file(BPE), ["solche", "ofthstthor,", "é́", "ß", "x.", "'s", "a's", "ab12", "漢字!", "a!!", "!", "漢字", "ⅷ", "ª?", "naïve:", "²"]
+    assert [Subwords(BPE).word(w) for w in words] == [own.encode(" " + w, add_special_tokens=False).ids for w in words]
+
+
 def test_words_with_one_hash_are_told_apart():
     texts = ["some words and more", "other words", "some words"]
     own = Subwords(BPE)

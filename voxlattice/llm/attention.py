@@ -111,7 +111,10 @@ class Sparse:
     @classmethod
     def of(cls, cells: np.ndarray, n: np.ndarray, size: int) -> "Sparse":
         """cells: rising."""
-        bits = np.packbits(np.bincount(cells, minlength=-(-size // 64) * 64).astype(bool), bitorder="little").view("<u8")
+        bits = np.zeros(-(-size // 64), np.uint64)
+        first = np.flatnonzero(np.diff(cells >> 6, prepend=-1))
+        if len(first):
+            bits[cells[first] >> 6] = np.bitwise_or.reduceat(np.uint64(1) << (cells & 63).astype(np.uint64), first)
         there = np.bitwise_count(bits).astype(np.int32)
         return cls(bits, np.cumsum(there, dtype=np.int32) - there, np.append(n, 0).astype(np.float32))
 

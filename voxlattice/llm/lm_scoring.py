@@ -37,7 +37,7 @@ BUCKET_WORDS, PART_BYTES, BATCH = 100_000, 16 << 20, 2 << 20
 #: scores of.
 COUNTED, TURN_WORDS, REMEMBERED = 300_000, 4_000_000, 1 << 14
 #: Ids that the model's start is trained on; ids that a task trains on at a time; ids that a task counts at a time.
-START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 1_000_000, 2_000_000
+START_IDS, TRAIN_IDS, COUNT_IDS = 1_200_000, 1_000_000, 6_000_000
 #: Models that one task averages, and tasks whose counts it sums; cells of a block of counts (16 bits).
 FAN_IN, BLOCK = 32, 1 << 16
 
@@ -76,7 +76,7 @@ class _Seen:
         """The words' numbers and the ids of all texts (lists of words), and where each text's ids end."""
         before = len(self.number)
         word = np.fromiter(map(self.number.__getitem__, chain.from_iterable(split)), np.int64, int(size.sum()))
-        parts = [encode(" " + w.decode("utf-8", "replace")) for w in islice(self.number, before, None)]
+        parts = [encode(w.decode("utf-8", "replace")) for w in islice(self.number, before, None)]
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in parts], dtype=np.int64)])
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(parts), self.kind)])
         begin, count = self.starts[word], self.starts[word + 1] - self.starts[word]
@@ -188,34 +188,38 @@ def _gathered(batches, kind: str, most: int):
         yield _ids(pa.chunked_array(held), kind)
 
 
-def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str) -> DataFrame:
+def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str, most: int) -> DataFrame:
     """block, cells, n: how often each cell occurs (cells(ids, ends) lists them), in blocks of BLOCK cells as arrays.
-    Parts are summed in a tree, so that a group holds FAN_IN parts of a block at most, however large the corpus."""
+    A task works on about `most` ids at a time. Parts are summed in a tree, so that a group holds FAN_IN parts of a block at
+    most, however large the corpus."""
     shape = "part long, block int, cells binary, n binary"
 
     def run(batches):
         task = pyspark.TaskContext.get().partitionId() << 12
-        for turn, (ids, ends) in enumerate(_gathered(batches, kind, COUNT_IDS)):
+        for turn, (ids, ends) in enumerate(_gathered(batches, kind, most)):
             found, n = np.unique(cells(ids, ends), return_counts=True)
             block = found // BLOCK
             first = np.flatnonzero(np.diff(block, prepend=-1))
-            inside, n, stop = (found % BLOCK).astype("<u2"), n.astype("<i8"), [*first[1:], len(found)]
+            inside, n, stop = (found % BLOCK).astype("<u2"), n.astype("<u4"), [*first[1:], len(found)]
             rows = [(inside[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(first, stop, strict=True)]
             for i in range(0, len(rows), 256):
                 own = rows[i : i + 256]
                 columns = [pa.array([task + turn] * len(own), pa.int64()), pa.array(block[first[i : i + 256]].astype(np.int32)), *(pa.array(x, pa.binary()) for x in zip(*own, strict=True))]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "block", "cells", "n"])
 
-    def added(group: pd.DataFrame) -> pd.DataFrame:
-        at, n = np.frombuffer(b"".join(group["cells"]), "<u2"), np.frombuffer(b"".join(group["n"]), "<i8")
-        total = np.bincount(at, n, BLOCK)
-        some = np.flatnonzero(total)
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "block": [int(group["block"].iloc[0])], "cells": [some.astype("<u2").tobytes()], "n": [total[some].astype("<i8").tobytes()]})
+    def adder(width: str):
+        def added(group: pd.DataFrame) -> pd.DataFrame:
+            at, n = np.frombuffer(b"".join(group["cells"]), "<u2"), np.frombuffer(b"".join(group["n"]), width)
+            total = np.bincount(at, n, BLOCK)
+            some = np.flatnonzero(total)
+            return pd.DataFrame({"part": [int(group["part"].iloc[0])], "block": [int(group["block"].iloc[0])], "cells": [some.astype("<u2").tobytes()], "n": [total[some].astype("<i8").tobytes()]})
+
+        return added
 
     # A task's parts have neighbouring numbers.
     made, level = tokens.select("ids").mapInArrow(run, shape).withColumn("part", F.shiftright("part", 12)), 0
     while True:
-        made = made.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInPandas(added, shape)
+        made = made.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInPandas(adder("<i8" if level else "<u4"), shape)
         made, level = scratch.stage(made, f"{name}{level}"), level + 1
         if not made.agg(F.max("part")).first()[0]:
             return made.select("block", "cells", "n")
@@ -309,13 +313,13 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
     def after(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.concatenate([cells + i * square for i, cells in enumerate(attention.followers(line(ids, ends)))])
 
-    at, n = _cells(cell_counts(train, kind, after, scratch, "after").toArrow())  # a number for each two rows at most
+    at, n = _cells(cell_counts(train, kind, after, scratch, "after", COUNT_IDS // 3).toArrow())  # a number for each two rows at most
     dense = np.zeros(3 * square)
     dense[at] = n
     counts = dict(zip(["direct", "skipped", "further"], dense.reshape(3, square), strict=True))
     pair_of = attention.pairs_of(counts["direct"], end_row)
     pairs = context.broadcast(pair_of)
-    paired = cell_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch, "paired")
+    paired = cell_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch, "paired", COUNT_IDS)
     at, n = _cells(largest(paired, attention.CELLS).toArrow())
     paired = at.astype(np.int32), n.astype(np.float32), pair_totals(paired)
     model = Model(inventory, counts, pair_of, paired)

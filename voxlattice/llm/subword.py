@@ -55,13 +55,21 @@ class Subwords:
         ranks = {bytes(symbols[c] for c in word): i for word, i in model["model"]["vocab"].items() if word not in special}
         #: One more than the largest id.
         self.size = 1 + max([*model["model"]["vocab"].values(), *(x["id"] for x in added)])
-        self._encode = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        #: Ids of one short text without special tokens.
-        self.word = self._encode
+        encoding = tiktoken.Encoding("own", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._encode, self._piece = encoding.encode_ordinary, encoding._encode_single_piece
         self._special, self._library = sorted(special), Tokenizer.from_file(path)
         self._powers = Powers()
         self._forget()
 
+    def word(self, word: str) -> list[int]:
+        """Ids of a space and a word, whatever its letters spell: letters, or letters and one sign, are pieces of the
+        pattern by themselves."""
+        if word.isalpha():
+            return self._piece(" " + word)
+        if word[:-1].isalpha() and word[-1] in ".,;:!?":
+            return self._piece(" " + word[:-1]) + self._piece(word[-1])
+        return self._encode(" " + word)
+
     def _whole(self, text: str) -> list[int]:
         if any(x in text for x in self._special):
             return self._library.encode(text, add_special_tokens=False).ids
