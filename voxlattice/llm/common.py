@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or a local one where the session names none (tests)."""
+    """The folder every executor sees: spark.checkpoint.dir, or a local one where a local session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors see")
         named = "file://" + tempfile.mkdtemp(prefix="voxlattice-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")

@@ -26,14 +26,16 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     while True:
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003)).first()
         files = ceil(state[0] / ROWS_A_FILE)
-        if state == seen or not state[0]:
+        # Sums that agree are a hint; the links themselves decide.
+        if not state[0] or state == seen and not stars.join(past, ["u", "v"], "left_anti").limit(1).count():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen, turn = state, turn + 1
+        seen, past, turn = state, scratch.read(f"{name}{turn}"), turn + 1
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = both.join(hook(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
         large = scratch.stage(large.coalesce(2 * files), f"{name}{turn}large")
         small = large.join(hook(large), "u")
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        last, stars = turn - 1, scratch.stage(small.distinct().coalesce(files), f"{name}{turn}")
-        scratch.drop(f"{name}{last}")
+        stars = scratch.stage(small.distinct().coalesce(files), f"{name}{turn}")
+        if turn > 1:
+            scratch.drop(f"{name}{turn - 2}")
         scratch.drop(f"{name}{turn}large")

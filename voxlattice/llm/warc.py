@@ -38,6 +38,8 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 DATE = "2000-01-01T00:00:00Z"
+#: Records that one task of a look-up reads.
+RECORDS_A_TASK = 10_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PLACES = "page_id long, key string, url string, file string, offset long, length long"
 DIRECTORY = "first string, last string, file string, offset long, length long"
@@ -249,7 +251,9 @@ class Archive:
                 if rows:
                     yield _records(rows)
 
-        asked = keys.select("key").distinct().repartitionByRange("key").sortWithinPartitions("key")
+        asked = keys.select("key").distinct()
+        # As many partitions as there are records to read, not as the few bytes of their keys ask for.
+        asked = asked.repartitionByRange(max(1, -(-asked.count() // RECORDS_A_TASK)), "key").sortWithinPartitions("key")
         return asked.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
