@@ -190,6 +190,26 @@ def test_events_dimensions_and_errors(spark):
     assert got["rate"]["mos"] is None
 
 
+def test_scenarios_are_complete_and_damage_does_what_it_says():
+    found = pair.scenarios()
+    assert len(found) == 71 + 120 and found == pair.scenarios() and len({(f, level) for f, level, *_ in found}) == 191
+    x = pair.speech_like(48000, 5.0)
+    assert (pair.degrade(x, "repeated", 3, 48000) == 0).sum() >= 3 * 80 * 48
+    quiet = pair.degrade(x, "pole", 2200, 48000)
+    loud = lambda y, f: np.abs(np.fft.rfft(y)[int(f * 5) - 50 : int(f * 5) + 50]).max()
+    assert loud(quiet, 5200) < 0.1 * loud(x, 5200) and loud(quiet, 180) > 0.9 * loud(x, 180)
+    assert len(pair.degrade(x, "drift", 1000, 48000)) == 240240 and len(pair.degrade(x, "stretch", 2, 48000)) == 244800
+    noisy = pair.degrade(x, "noise", 20, 48000, 5)
+    assert 18 < 20 * math.log10(np.sqrt((x * x).mean()) / np.sqrt(((noisy - x) ** 2).mean())) < 22
+
+
+def test_csv_asks_for_its_columns(spark, tmp_path):
+    (tmp_path / "a_file.csv").write_text("\ufeffMos,con\n1,2\n", encoding="utf-8")
+    assert files.read_csv(spark, f"{tmp_path}/*_file.csv", ["Mos"]).collect() == [("1", "2")]
+    with pytest.raises(ValueError, match="no column family"):
+        files.read_csv(spark, f"{tmp_path}/*_file.csv", ["family"])
+
+
 def test_hinge_model_refuses_unknown_features(spark):
     with pytest.raises(ValueError, match="no such"):
         fusion.hinge_mos(spark.createDataFrame([("largest", 0.0, 1.0)], "feature string, knot double, weight double"), 0.0)

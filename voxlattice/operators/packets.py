@@ -33,3 +33,11 @@ def concealed(frames: DataFrame) -> DataFrame:
     good = F.when(F.col("state") == "ok", F.col("value"))
     before = W.partitionBy("ssrc").orderBy("seq").rowsBetween(W.unboundedPreceding, 0)
     return frames.withColumn("out", F.coalesce(F.last(good, ignorenulls=True).over(before), F.lit(0.0)))
+
+
+def lab_gates(rows: DataFrame) -> DataFrame:
+    """gate, value, passed: of scenarios clean, loss1 and loss10 (rows: scenario, loss in percent, mos)."""
+    of = lambda name, x: F.avg(F.when(F.col("scenario") == name, F.col(x)))
+    found = rows.agg(of("clean", "mos").alias("clean"), F.max(F.when(F.col("scenario") == "clean", F.col("loss"))).alias("lost"), (of("loss10", "mos") - of("loss1", "mos")).alias("gain"))
+    gates = [("clean_mos", "clean", F.col("clean") >= 4.4), ("clean_loss", "lost", F.col("lost") == 0), ("loss_order", "gain", F.col("gain") <= 0.15)]
+    return found.select(F.explode(F.array(*[F.struct(F.lit(n).alias("gate"), F.round(c, 6).alias("value"), p.alias("passed")) for n, c, p in gates])).alias("g")).select("g.*")

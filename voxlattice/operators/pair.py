@@ -235,18 +235,27 @@ def speech_like(rate: int = 16_000, seconds: float = 3.0) -> np.ndarray:
     return (0.45 + 0.45 * np.sin(2 * np.pi * 2.7 * t)) * (0.65 + 0.35 * np.sin(2 * np.pi * 0.83 * t * t)) * sum(g * np.sin(2 * np.pi * f * t) for g, f in parts)
 
 
-def degrade(x: np.ndarray, op: str, arg: float, rate: int = 16_000) -> np.ndarray:
-    """delay (ms), dropout (ms from a third on), noise (dB below), clip (gain), gain (dB), lowpass (share of the step)."""
+def degrade(x: np.ndarray, op: str, arg: float, rate: int = 16_000, more: float | None = None) -> np.ndarray:
+    """delay (ms), dropout (ms, from a third or from `more` seconds on), repeated (a number of 80 ms dropouts), noise (dB
+    below; seed `more`), clip (gain), threshold, gain (dB), lowpass (share of the step), pole (Hz, three in a row), drift
+    (millionths), stretch (percent)."""
     if op == "delay":
         return np.concatenate([np.zeros(int(rate * arg / 1000)), x])
     if op == "dropout":
-        out, a = x.copy(), len(x) // 3
+        out, a = x.copy(), len(x) // 3 if more is None else int(more * rate)
         out[a : a + int(rate * arg / 1000)] = 0
         return out
+    if op == "repeated":
+        for i in range(int(arg)):
+            x = degrade(x, "dropout", 80, rate, 0.9 + 0.8 * i)
+        return x
     if op == "noise":
-        return x + np.random.default_rng(1).normal(0, np.sqrt((x * x).mean()) * 10 ** (-arg / 20), len(x))
+        noisy = x + np.random.default_rng(int(more or 1)).normal(0, np.sqrt((x * x).mean()) * 10 ** (-arg / 20), len(x))
+        return noisy if more is None else np.clip(noisy, -1, 1)
     if op == "clip":
         return np.clip(x * arg, -1, 1)
+    if op == "threshold":
+        return np.clip(x, -arg, arg)
     if op == "gain":
         return x * 10 ** (arg / 20)
     if op == "lowpass":
@@ -255,4 +264,51 @@ def degrade(x: np.ndarray, op: str, arg: float, rate: int = 16_000) -> np.ndarra
             y += arg * (v - y)
             out[i] = y
         return out
+    if op == "pole":
+        keep = np.exp(-2 * np.pi * arg / rate)
+        size = 1 << (2 * len(x)).bit_length()
+        response = (1 - keep) / (1 - keep * np.exp(-2j * np.pi * np.arange(size // 2 + 1) / size))
+        return np.fft.irfft(np.fft.rfft(x, size) * response**3, size)[: len(x)]
+    if op in ("drift", "stretch"):
+        factor = 1 + arg * (1e-6 if op == "drift" else 0.01)
+        place = np.arange(int(round(len(x) * factor))) / factor
+        return np.interp(place, np.arange(len(x)), x)
     return x
+
+
+def scenarios(fuzz: int = 120) -> list[tuple[str, float, int, list[tuple[str, float, float | None]]]]:
+    """(family, level, rate of both signals, steps): one damage each at rising levels, clean material at other rates, three
+    mixtures, and random compositions from a fixed seed."""
+    # The levels of each family.
+    single = {
+        "delay": ("delay", [25, 50, 100, 200, 400, 800, 1200], lambda v: v),
+        "dropout": ("dropout", [10, 20, 40, 80, 160, 320, 640, 1000], lambda v: v),
+        "dropout_count": ("repeated", [1, 2, 3, 4, 5], lambda v: v),
+        "noise": ("noise", [40, 30, 20, 15, 10, 5, 0], lambda v: 50 - v),
+        "lowpass": ("pole", [18000, 14000, 10000, 7000, 4000, 3400, 2200], lambda v: 20000 - v),
+        "clipping": ("threshold", [0.95, 0.70, 0.50, 0.35, 0.25, 0.15, 0.08], lambda v: 1 - v),
+        "attenuation": ("gain", [-1, -3, -6, -9, -12, -18, -24], abs),
+        "clock_drift": ("drift", [25, 50, 100, 250, 500, 1000, 2000], lambda v: v),
+        "time_scale": ("stretch", [0.25, 0.5, 1, 2, 4, 8], lambda v: v),
+    }
+    mixed = [
+        [("dropout", 20.0, 2.15), ("noise", 30.0, 42.0)],
+        [("pole", 7000.0, None), ("dropout", 80.0, 2.15), ("noise", 18.0, 42.0)],
+        [("gain", -8.0, None), ("pole", 3400.0, None), ("dropout", 320.0, 2.15), ("noise", 8.0, 42.0)],
+    ]
+    out = [("clean", 0.0, RATE, [])]
+    for family, (op, values, level) in single.items():
+        more = {"dropout": 2.15, "noise": 42.0}.get(family)
+        out += [(family, float(level(v)), RATE, [(op, float(v), more)]) for v in values]
+    out += [("sample_rate", float(rate), rate, []) for rate in (8000, 16000, 24000, 32000, 44100, 48000)]
+    out += [("mixed", float(i), RATE, steps) for i, steps in enumerate(mixed, 1)]
+    random = np.random.default_rng(123456)
+    # How often a step occurs in a composition, and its range.
+    chances = [(0.75, "noise", 0, 45), (0.65, "gain", -30, 8), (0.60, "dropout", 1, 1100), (0.45, "threshold", 0.05, 0.95), (0.40, "pole", 1800, 18000), (0.25, "delay", 0, 1400)]
+    for i in range(fuzz):
+        steps = []
+        for chance, op, low, high in chances:
+            if random.random() < chance:
+                steps.append((op, float(random.uniform(low, high)), {"noise": 1000.0 + i, "dropout": float(random.uniform(0.3, 4.8))}.get(op)))
+        out.append(("fuzz", float(i), RATE, steps))
+    return out

@@ -45,6 +45,18 @@ def log_band_energies(power: Column, bins: int, rate: float, bands: int, low: fl
     return F.array(*out)
 
 
+def erb_loudness(power: Column, bins: int, rate: float, bands: int = 32) -> Column:
+    """Compressed mean power in bands of equal width on the ERB scale, at least one bin in each."""
+    to_erb, to_hertz = lambda f: 21.4 * math.log10(1 + 0.00437 * f), lambda e: (10 ** (e / 21.4) - 1) / 0.00437
+    low, high, size, out = to_erb(50.0), to_erb(min(20000.0, rate * 0.48)), (bins - 1) * 2, []
+    for band in range(bands):
+        lo, hi = (to_hertz(low + (high - low) * k / bands) for k in (band, band + 1))
+        k0 = min(int(lo * size / rate), bins - 1)
+        k1 = max(min(math.ceil(hi * size / rate), bins), k0 + 1)
+        out.append(F.pow(total(F.slice(power, k0 + 1, k1 - k0)) / (k1 - k0) + 1e-15, F.lit(0.23)))
+    return F.array(*out)
+
+
 def bandwidth(power: Column, bins: int, rate: float) -> Column:
     """NB, WB, SWB or FB by the share of power above 3.4, 7 and 14 kHz."""
     size, top = (bins - 1) * 2, min(20000.0, rate * 0.49)

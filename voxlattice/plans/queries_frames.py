@@ -14,9 +14,10 @@ from voxlattice.operators import packets as P
 from voxlattice.operators import pair
 from voxlattice.operators import signal as S
 from voxlattice.operators.evaluate import condition_means, metrics, r6
+from voxlattice.operators.fusion import BASE
 from voxlattice.plans.queries_signal import _NUMBERED, _numbered
 from voxlattice.sources import files
-from voxlattice.sources.lenses import MANIFEST, PACKETS, SERIES, manifest, packets, read, series
+from voxlattice.sources.lenses import MANIFEST, PACKETS, SERIES, SPECTRA, manifest, packets, read, series, spectra
 from voxlattice.streaming import packets as live
 
 
@@ -240,8 +241,6 @@ _LINES = ["# comment", "", "bias=0.05", "missing=1.5", "no number here", "other=
 
 
 def calibration_kv_parse(spark, d):
-    from voxlattice.operators.fusion import BASE
-
     return files.calibration(files.numbered_lines(spark, _LINES), BASE)
 
 
@@ -286,33 +285,70 @@ def wav_decode_roundtrip(spark, d):
     return spark.range(50).select(F.col("id").alias("recording"), (error("id") <= 1 / 32768).alias("exact"))
 
 
-_SCENARIOS = [("clean", 0, "none", 0.0), ("delay", 1, "delay", 100.0), ("delay", 2, "delay", 400.0), ("dropout", 1, "dropout", 60.0), ("dropout", 2, "dropout", 250.0),
-    ("noise", 1, "noise", 30.0), ("noise", 2, "noise", 10.0), ("clipping", 1, "clip", 4.0), ("clipping", 2, "clip", 12.0), ("attenuation", 1, "gain", -6.0), ("lowpass", 1, "lowpass", 0.2)]
-
-
 def _analysed(spark, scenarios):
-    table = spark.createDataFrame(scenarios, "family string, level int, op string, arg double").repartition(len(scenarios))
+    """The analysis of scenarios (family, level, rate, steps), a case a task."""
+    shape = "family string, level double, rate int, steps array<struct<op: string, arg: double, more: double>>"
+    table = spark.createDataFrame(scenarios, shape).repartition(len(scenarios))
     audio = "struct<sample_rate: int, samples: array<double>>"
 
     def synthesise(batches):
         for part in batches:
-            x = pair.speech_like()
-            made = [pair.degrade(x, op, arg) for op, arg in zip(part["op"], part["arg"], strict=True)]
-            name = part["family"] + "/" + part["level"].astype(str)
-            yield pd.DataFrame({"pair_id": name, "ref": [{"sample_rate": 16000, "samples": x.tolist()}] * len(part), "deg": [{"sample_rate": 16000, "samples": y.tolist()} for y in made]})
+            for family, level, rate, steps in part.itertuples(index=False):
+                x = pair.speech_like(rate, 5.0)
+                y = x
+                for step in steps:
+                    y = pair.degrade(y, step["op"], step["arg"], rate, step["more"])
+                made = [{"sample_rate": rate, "samples": z.tolist()} for z in (x, y)]
+                yield pd.DataFrame({"pair_id": [f"{family}/{level:g}"], "ref": made[:1], "deg": made[1:]})
 
     return pair.analyse(table.mapInPandas(synthesise, f"pair_id string, ref {audio}, deg {audio}"))
 
 
 def analyze_pair_synthetic(spark, d):
-    return _analysed(spark, _SCENARIOS)
+    """All that an analysis tells, of one damage each, clean material and mixtures."""
+    chosen = {"clean/0", "delay/200", "dropout/320", "dropout_count/3", "noise/40", "lowpass/16000", "clipping/0.92", "attenuation/12", "clock_drift/1000", "time_scale/1", "sample_rate/16000", "mixed/2"}
+    return _analysed(spark, [x for x in pair.scenarios(0) if f"{x[0]}/{x[1]:g}" in chosen])
 
 
 def scenario_matrix(spark, d):
-    """All scenarios, a family's scores against the clean one."""
-    rows = _analysed(spark, _SCENARIOS).withColumn("family", F.split("pair_id", "/")[0])
+    """All scenarios and compositions, a family's scores against the clean one."""
+    rows = _analysed(spark, pair.scenarios()).withColumn("family", F.split("pair_id", "/")[0])
     clean = rows.where("family = 'clean'").select(F.col("mos").alias("clean"))
-    return rows.join(F.broadcast(clean)).groupBy("family").agg(F.count("*").alias("cases"), r6(F.max(F.abs(F.col("mos") - F.col("clean")))).alias("most"))
+    told = [F.count("*").alias("cases"), r6(F.max(F.abs(F.col("mos") - F.col("clean")))).alias("most"), r6(F.min("mos")).alias("low"), r6(F.max("mos")).alias("high")]
+    return rows.join(F.broadcast(clean)).groupBy("family").agg(*told)
+
+
+def erb_loudness(spark, d):
+    return spectra(spark, d).select("id", F.posexplode(S.erb_loudness(F.col("a"), 64, 16000.0, 8)).alias("band", "loudness")).select("id", "band", r6(F.col("loudness")).alias("loudness"))
+
+
+def bom_csv_scan(spark, d):
+    """A CSV file that begins with a byte-order mark, under a name that only its ending tells."""
+    folder = _folder(spark)
+    rows = condition_means(manifest(spark, d), "family", "condition").select("family", "condition", F.round("truth", 6).alias("truth"))
+    lines = rows.select(F.concat_ws(",", "family", "condition", "truth").alias("value"))
+    head = spark.createDataFrame([("\ufefffamily,condition,truth",)], "value string")
+    head.unionByName(lines).coalesce(1).sortWithinPartitions(~F.col("value").startswith("\ufeff")).write.text(f"{folder}/db_file.csv")
+    found = files.read_csv(spark, f"{folder}/*_file.csv", ["family", "condition", "truth"])
+    return found.select("family", F.col("condition").cast("int").alias("condition"), F.col("truth").cast("double").alias("truth"))
+
+
+def calibration_sink(spark, d):
+    """A fit's weights and figures written as key=value lines, and read again."""
+    folder = _folder(spark)
+    weights = spark.createDataFrame([(k, v / 3) for k, v in BASE.items()], "key string, value double")
+    files.write_calibration(weights, {"training_rmse": 0.25, "training_pearson": 2 / 3}, f"{folder}/calibration")
+    lines = spark.read.text(f"{folder}/calibration").withColumn("line_no", F.lit(0))
+    return files.calibration(lines, {k: 0.0 for k in BASE})
+
+
+def lab_gates(spark, d):
+    """Scenarios of loss: clean streams lose nothing and score at least 4.4; a tenth of loss does not score better than a
+    hundredth by more than 0.15."""
+    rows = P.spine(_late(spark, d)).groupBy("ssrc").agg((100.0 * F.count_if(F.col("state") != "ok") / F.count("*")).alias("percent"))
+    rows = rows.withColumn("scenario", F.when(F.col("ssrc") % 3 == 0, "clean").when(F.col("ssrc") % 3 == 1, "loss1").otherwise("loss10"))
+    rows = rows.withColumn("loss", F.when(F.col("scenario") == "clean", 0.0).when(F.col("scenario") == "loss1", F.col("percent") / 10).otherwise(F.col("percent")))
+    return P.lab_gates(rows.withColumn("mos", clamp(4.5 - F.col("loss") / 20, 1, 5)))
 
 
 def session_window_users(spark, d):
@@ -341,9 +377,21 @@ QUERIES = {f.__name__: f for f in (
     direct_path_residual, echo_lag_search, echo_quarters, residual_intrusion, level_delta, temporal_similarity, hole_component, transition_lag, freeze_ratio,
     choppiness, packetise_tumbling, packet_dedup_first, late_discard, gap_spine, plc_last_value, loss_accounting, stream_dedup_watermark,
     stream_sliding_frames, stream_plc_state, calibration_kv_parse, csv_manifest_roundtrip, model_json_scan, report_json, result_json_roundtrip,
-    wav_decode_roundtrip, analyze_pair_synthetic, scenario_matrix, session_window_users, interval_join_events, except_intersect_ids,
+    wav_decode_roundtrip, analyze_pair_synthetic, scenario_matrix, erb_loudness, bom_csv_scan, calibration_sink, lab_gates, session_window_users, interval_join_events, except_intersect_ids,
 )}
 
+def _erb_bands(bins: int, rate: float, bands: int) -> str:
+    """Equal steps in 21.4 log10(1 + 0.00437 f) between 50 Hz and the top, as list sums."""
+    top = min(20000.0, rate * 0.48)
+    ratio, out, size = (1 + 0.00437 * top) / (1 + 0.00437 * 50.0), [], 2 * (bins - 1)
+    for band in range(bands):
+        lo, hi = (((1 + 0.00437 * 50.0) * ratio ** (k / bands) - 1) / 0.00437 for k in (band, band + 1))
+        first = min(int(lo * size / rate), bins - 1)
+        last = max(first + 1, min(bins, int(np.ceil(hi * size / rate))))
+        out.append(f"pow(list_sum(a[{first + 1}:{last}]) / {last - first} + 1e-15, 0.23e0)")
+    return "[" + ", ".join(out) + "]"
+
+
 _Q = "list_sort(list({x}))[cast(floor({q} * (count(*) - 1)) as int) + 1]"
 _PEAR = "coalesce(covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0), 0)"
 _ECHO = _RESIDUAL + """, lg as (select a.user_id, l.lag, cast(floor(4 * b.i / a.n) as bigint) as quarter, a.x, b.res from re a, (select unnest([1, 2, 3, 4]) as lag) l, re b where a.user_id = b.user_id and b.i = a.i + l.lag)"""
@@ -401,6 +449,14 @@ SQL = {
     "stream_plc_state": f"""with {PACKETS}, fa as (select ssrc, seq, arg_min(value, (arrived, event_id)) as value from a group by ssrc, seq), ev as (select ssrc, unnest(range(max(seq) + 1)) as seq from fa group by ssrc),
         o as (select ev.ssrc, coalesce(last_value(value ignore nulls) over (partition by ev.ssrc order by ev.seq), 0) as out from ev left join fa on fa.ssrc = ev.ssrc and fa.seq = ev.seq)
         select ssrc, count(*) as frames, round(sum(out), 6) as total from o group by 1""",
+    "erb_loudness": f"with {SPECTRA}, g as (select id, {_erb_bands(64, 16000.0, 8)} as e from p) select id, cast(unnest(range(8)) as integer) as band, round(unnest(e), 6) as loudness from g",
+    "bom_csv_scan": f"with {MANIFEST} select family, condition, round(avg(truth), 6) as truth from m group by 1, 2",
+    "calibration_sink": "select * from (values " + ", ".join(f"('{k}', {v / 3:.9f}e0)" for k, v in BASE.items()) + ") t(key, value)",
+    "lab_gates": f"""with {_STATE}, lg1 as (select ssrc, 100e0 * count(*) filter (where state <> 'ok') / count(*) as percent from st group by 1),
+        lg2 as (select case ssrc % 3 when 0 then 'clean' when 1 then 'loss1' else 'loss10' end as scenario, case ssrc % 3 when 0 then 0e0 when 1 then percent / 10 else percent end as loss from lg1),
+        lg3 as (select *, least(5e0, greatest(1e0, 4.5e0 - loss / 20)) as mos from lg2),
+        lg4 as (select avg(mos) filter (where scenario = 'clean') as c, max(loss) filter (where scenario = 'clean') as z, avg(mos) filter (where scenario = 'loss10') - avg(mos) filter (where scenario = 'loss1') as d from lg3)
+        select 'clean_mos' as gate, round(c, 6) as value, c >= 4.4 as passed from lg4 union all select 'clean_loss', round(z, 6), z = 0 from lg4 union all select 'loss_order', round(d, 6), d <= 0.15 from lg4""",
     "calibration_kv_parse": "select * from (values ('bias', 0.05e0), ('missing', 1.25e0), ('added', 0.7e0), ('coloration', 0.45e0), ('noisiness', 0.55e0), ('discontinuity', 0.95e0), ('loudness', 0.35e0), ('clipping', 0.65e0), ('bad_section', 0.8e0), ('expert', 1e0)) t(key, value)",
     "csv_manifest_roundtrip": f"with {MANIFEST} select family, condition, round(avg(truth), 6) as truth, round(avg(pred), 6) as pred from m group by 1, 2",
     "model_json_scan": "select * from (values ('base', 0e0, 0.1e0), ('base', 0.3e0, 0.2e0), ('echo', 0e0, 0.3e0), ('echo', 0.3e0, 0.4e0), ('__max', 0e0, 0.5e0), ('__max', 0.3e0, 0.6e0)) t(feature, knot, weight)",

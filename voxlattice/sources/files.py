@@ -54,6 +54,23 @@ def read_wavs(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", decoded("content").alias("wav"))
 
 
+def read_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
+    """The files of a pattern, with a header, as text columns; a byte-order mark before the first name is taken off, and
+    columns that are asked for must be there."""
+    rows = spark.read.csv(path, header=True)
+    rows = rows.toDF(*[c.removeprefix("\ufeff").strip() for c in rows.columns])
+    if missing := sorted(set(required) - set(rows.columns)):
+        raise ValueError(f"no column {', '.join(missing)} in {path}")
+    return rows
+
+
+def write_calibration(weights: DataFrame, figures: dict[str, float], path: str) -> None:
+    """key=value lines of nine decimals, the figures of the fit after them, in one file."""
+    more = weights.sparkSession.createDataFrame(list(figures.items()), "key string, value double")
+    lines = weights.select("key", F.col("value").cast("double").alias("value")).unionByName(more)
+    lines.select(F.format_string("%s=%.9f", "key", "value").alias("value")).coalesce(1).write.text(path)
+
+
 def calibration(lines: DataFrame, defaults: dict[str, float]) -> DataFrame:
     """key, value for each default, overridden by key=value lines (columns line_no, value): blanks, comments and lines
     without = are skipped, the last of a key wins, other keys are ignored; a value that is no number fails."""
