@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import Scratch, slices
+from .common import Scratch, freed, slices
 from .subword import subwords
 
 #: Words of a bucket; bytes of words in a part of a bucket; bytes of text in a batch.
@@ -134,7 +134,7 @@ def encoded(docs: DataFrame, tokenizer: str, kind: str) -> DataFrame:
         if held:
             yield told(held, seen.told())
 
-    return docs.mapInArrow(run, _ENCODED)
+    return docs.mapInArrow(freed(run), _ENCODED)
 
 
 def word_counts(tokens: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str
         return added
 
     # A task's parts have neighbouring numbers.
-    made, level = tokens.select("ids").mapInArrow(run, shape).withColumn("part", F.shiftright("part", 12)), 0
+    made, level = tokens.select("ids").mapInArrow(freed(run), shape).withColumn("part", F.shiftright("part", 12)), 0
     while True:
         made = made.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("block", "part").applyInPandas(adder("<i8" if level else "<u4"), shape)
         made, level = scratch.stage(made, f"{name}{level}"), level + 1
@@ -342,7 +342,7 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
             return pd.DataFrame({"part": [int(group["part"].iloc[0]) // FAN_IN], "weight": [group["weight"].sum()], "model": [model.tobytes()]})
 
         shape = "part long, weight double, model binary"
-        made, level = scratch.stage(rows.select("ids").mapInArrow(run, shape), name), 0
+        made, level = scratch.stage(rows.select("ids").mapInArrow(freed(run), shape), name), 0
         while made.count() > FAN_IN:  # a tree of means
             made = scratch.stage(made.groupBy(F.floor(F.col("part") / FAN_IN)).applyInPandas(mean, shape), f"{name}-{level}")
             level += 1
@@ -383,7 +383,7 @@ def model_scores(tokens: DataFrame, model: Model, kind: str, end_id: int) -> Dat
             )
 
     rows = tokens.select("turn", "at", "id", "held_out", "digest", "n_tokens", "ids")
-    return rows.mapInArrow(run, "turn long, at int, id long, held_out boolean, n_tokens long, score double")
+    return rows.mapInArrow(freed(run), "turn long, at int, id long, held_out boolean, n_tokens long, score double")
 
 
 def base_scores(tokens: DataFrame, counts: DataFrame, total: int, kinds: int, ends: int) -> DataFrame:
@@ -420,7 +420,7 @@ def base_scores(tokens: DataFrame, counts: DataFrame, total: int, kinds: int, en
         known = np.bincount(text, (count > 0)[marks], len(texts)).astype(np.int64) + (ends > 0)
         return pd.DataFrame({"turn": texts["turn"], "at": texts["at"], "base_score": base, "n_known": known})
 
-    asked = told.mapInArrow(ask, "bucket int, turn long, words binary, places binary").withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(salts)))
+    asked = told.mapInArrow(freed(ask), "bucket int, turn long, words binary, places binary").withColumn("salt", F.pmod(F.xxhash64("turn"), F.lit(salts)))
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt")
     known = counts.select((F.crc32("word") % buckets).cast("int").alias("bucket"), every, "word", "n")
     found = asked.groupBy("bucket", "salt").cogroup(known.groupBy("bucket", "salt")).applyInPandas(look, "turn long, places binary, n binary")

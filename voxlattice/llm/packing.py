@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, bucket, slices
+from .common import Scratch, bucket, freed, slices
 from .subword import subwords
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(freed(run), PIECES)
 
 
 class _Left:

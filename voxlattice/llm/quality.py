@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, freed
 
 _STATISTICS = 12
 _KEEP = bytes(b for b in range(256) if not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 or b in b" \t\r\n"))
@@ -260,7 +260,7 @@ def fit_quality(
                 yield pd.DataFrame({"id": cut["label_id"], "good": cut["good"]} | {c: [np.flatnonzero(r).astype("<u2").tobytes() for r in m] for c, m in zip("xm", x, strict=True)})
 
     shape = "id long, good double, x binary, m binary"
-    rows = sample.mapInPandas(featured, shape).toPandas().sort_values("id", ignore_index=True)
+    rows = sample.mapInPandas(freed(featured), shape).toPandas().sort_values("id", ignore_index=True)
     dense = [_dense(rows[c], width) for c, width in zip("xm", widths, strict=True)]
     y = rows["good"].to_numpy(np.float64)
     held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in rows["id"]])
@@ -271,7 +271,7 @@ def fit_quality(
 
     # All documents without a label, as features; a row's number is fixed once it is written.
     every = docs.select(F.col(id_col).cast("long").alias("label_id"), F.lit(None).cast("double").alias("good"), *plain)
-    every = scratch.stage(every.mapInPandas(featured, shape).select("id", "x", "m", F.monotonically_increasing_id().alias("row")), "features")
+    every = scratch.stage(every.mapInPandas(freed(featured), shape).select("id", "x", "m", F.monotonically_increasing_id().alias("row")), "features")
     free = every.join(known, every["id"] == known["label_id"], "left_anti")
 
     def pick(logits: list[np.ndarray], rate: float, turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -280,7 +280,7 @@ def fit_quality(
                 z = [_sparse_logits(part[c], w) for c, w in zip("xm", logits, strict=True)]
                 yield pd.DataFrame({"row": part["row"], "p0": _sigmoid(z[0]), "p1": _sigmoid(z[1])})
 
-        scored = scratch.stage(free.select("x", "m", "row").mapInPandas(score, "row long, p0 double, p1 double").where(F.greatest("p0", "p1", 1 - F.col("p0"), 1 - F.col("p1")) >= sure), f"round{turn}")
+        scored = scratch.stage(free.select("x", "m", "row").mapInPandas(freed(score), "row long, p0 double, p1 double").where(F.greatest("p0", "p1", 1 - F.col("p0"), 1 - F.col("p1")) >= sure), f"round{turn}")
         out = []
         for k, other in ((0, 1), (1, 0)):
             draws = []

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, Scratch, mix, slices
+from .common import Powers, Scratch, freed, mix, slices
 from .components import components
 
 SYMBOLS, BITS, CHUNK, DISTANCE, PARITIES = 64, 19, 4, 26, 1024
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     names=["id", "n", "digest", "sig", "odd"],
                 )
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, sig array<long>, odd array<long>")
+    return docs.mapInArrow(freed(run), "id long, n long, digest binary, sig array<long>, odd array<long>")
 
 
 def _linked(docs: DataFrame, width: int, percent: int, rounds: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
@@ -194,7 +194,7 @@ def _linked(docs: DataFrame, width: int, percent: int, rounds: int, scratch: Scr
                 found = keys(unpacked(np.array(batch.column(1).to_pylist(), np.int64).reshape(batch.num_rows, LONGS)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), found.shape[1])), pa.array(found.ravel())], names=["id", "key"])
 
-    keyed = classes.select(F.col("class").alias("id"), "sig").mapInArrow(spread, "id long, key long")
+    keyed = classes.select(F.col("class").alias("id"), "sig").mapInArrow(freed(spread), "id long, key long")
     shared = keyed.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("most")).where("pivot != most").select("key", "pivot")
     shared = scratch.stage(shared, "shared")
     held = scratch.stage(keyed.join(shared, "key"), "held")  # (key, id, pivot) of keys with several classes
@@ -272,7 +272,7 @@ def across(rows: DataFrame, percent: int, block_rows: int = 2048) -> DataFrame:
             yield _possible_pairs(held, percent)
 
     ordered = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return ordered.mapInArrow(run, "a long, b long")
+    return ordered.mapInArrow(freed(run), "a long, b long")
 
 
 def _possible_pairs(parts: list[pa.RecordBatch], percent: int) -> pa.RecordBatch:
@@ -321,7 +321,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SPREAD)))
     first = pairs.select("a", "salt").distinct().join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     second = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+    return pairs.join(second, "b").join(first, ["a", "salt"]).select("a", "b", "ta", "tb").mapInPandas(freed(run), "a long, b long")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

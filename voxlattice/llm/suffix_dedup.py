@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Powers, Scratch, mix, ragged, slices
+from .common import Powers, Scratch, freed, mix, ragged, slices
 
 _POWERS, _OTHER = Powers(), Powers(0xC2B2AE3D27D4EB4F)
 _GRAM = 32
@@ -287,7 +287,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
                     names=["id", "digest", "size", "keys", "at"],
                 )
 
-    found = scratch.stage(keyed.mapInArrow(find, f"id {_ID}, digest binary, size long, keys binary, at binary"), "anchors")
+    found = scratch.stage(keyed.mapInArrow(freed(find), f"id {_ID}, digest binary, size long, keys binary, at binary"), "anchors")
     texts = found.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("size").alias("size"))
     texts = scratch.stage(texts, "texts")
 
@@ -305,7 +305,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
 
     # One row of each different text: equal rows of one id and text are told apart by nothing and count once.
     first = found.join(texts.select("id", "digest"), ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    each = first.select("id", "digest", "keys", "at").mapInArrow(spread, f"key long, id {_ID}, digest binary, x int, lo int, hi int")
+    each = first.select("id", "digest", "keys", "at").mapInArrow(freed(spread), f"key long, id {_ID}, digest binary, x int, lo int, hi int")
     each = scratch.stage(each, "each")
     scratch.drop("anchors")
     often = scratch.stage(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
@@ -337,9 +337,9 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = 200, hot: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "salt", "digest", "lo", "hi", "x", "done", "context"])
 
     contexts = keyed.join(wanted, ["id", "digest"]).dropDuplicates(["id", "digest"]).select("digest", "body", "wanted")
-    contexts = contexts.mapInArrow(cut, "key long, salt int, digest binary, lo int, hi int, x int, done boolean, context binary")
+    contexts = contexts.mapInArrow(freed(cut), "key long, salt int, digest binary, lo int, hi int, x int, done boolean, context binary")
     contexts = contexts.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    spans = scratch.stage(contexts.mapInArrow(lambda batches: _sorted_groups(batches, length, 1 << 20), _SPANS), "spans")
+    spans = scratch.stage(contexts.mapInArrow(freed(lambda batches: _sorted_groups(batches, length, 1 << 20)), _SPANS), "spans")
     passed = spans.where("h1 is not null")
     # One row of each window and part: as many as a key has parts, however hot it is.
     rows = F.collect_list(F.struct("digest", "a", "open"))

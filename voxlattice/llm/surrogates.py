@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, freed
 
 #: Entities that drew again, up to which they are broadcast (under 100 bytes each).
 BROADCAST_REDRAWN = 100_000
@@ -383,7 +383,7 @@ def entities(docs: DataFrame, text_col: str) -> DataFrame:
             seen = (seen | new) if len(seen) < 50_000 else new
             yield pd.DataFrame(sorted(new), columns=["kind", "entity", "told"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInPandas(run, "kind string, entity string, told string").distinct()
+    return docs.select(F.col(text_col).alias("text")).mapInPandas(freed(run), "kind string, entity string, told string").distinct()
 
 
 def genders(found: DataFrame) -> DataFrame:
