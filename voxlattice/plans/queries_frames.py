@@ -232,7 +232,8 @@ def stream_sliding_frames(spark, d):
 
 def stream_plc_state(spark, d):
     folder = _folder(spark)
-    table = packets(spark, d).select(F.col("ssrc").cast("long").alias("ssrc"), F.col("seq").cast("int").alias("seq"), "arrival", "event_id", "value").coalesce(1)
+    table = packets(spark, d).select(F.col("ssrc").cast("long").alias("ssrc"), F.col("seq").cast("int").alias("seq"), "arrival", "event_id", "value")
+    table = table.repartition("ssrc").sortWithinPartitions("ssrc", "seq")  # a stream's packets in one file, in order
     out = live.drained(live.concealing(live.replay(spark, table, f"{folder}/in")), folder)
     return out.groupBy("ssrc").agg(F.count("*").alias("frames"), r6(F.sum("out")).alias("total"))
 
