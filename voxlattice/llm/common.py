@@ -85,12 +85,13 @@ def freed(run):
         try:
             yield from run(batches)
         finally:
-            _release()
+            release()
 
     return wrapped
 
 
-def _release() -> None:
+def release() -> None:
+    """Gives freed memory back to the machine."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library has it

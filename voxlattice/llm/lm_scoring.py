@@ -24,11 +24,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyspark
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import attention
-from .common import Scratch, freed, slices
+from .common import Scratch, freed, release, slices
 from .subword import subwords
 
 #: Words of a bucket; bytes of words in a part of a bucket; bytes of text in a batch.
@@ -188,16 +189,27 @@ def _gathered(batches, kind: str, most: int):
         yield _ids(pa.chunked_array(held), kind)
 
 
-def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str, most: int) -> DataFrame:
+def cell_counts(tokens: DataFrame, kind: str, cells, scratch: Scratch, name: str, size: int = 0) -> DataFrame:
     """block, cells, n: how often each cell occurs (cells(ids, ends) lists them), in blocks of BLOCK cells as arrays.
-    A task works on about `most` ids at a time. Parts are summed in a tree, so that a group holds FAN_IN parts of a block at
+    With a `size`, a task counts in an array of so many cells. Parts are summed in a tree, so that a group holds FAN_IN parts of a block at
     most, however large the corpus."""
     shape = "part long, block int, cells binary, n binary"
 
+    def counted(batches):
+        if not size:
+            for ids, ends in _gathered(batches, kind, COUNT_IDS):
+                yield np.unique(cells(ids, ends), return_counts=True)
+            return
+        total = np.zeros(size, np.int64)
+        for ids, ends in _gathered(batches, kind, COUNT_IDS // 3):
+            total += np.bincount(cells(ids, ends), minlength=size)
+        yield (some := np.flatnonzero(total)), total[some]
+
     def run(batches):
         task = pyspark.TaskContext.get().partitionId() << 12
-        for turn, (ids, ends) in enumerate(_gathered(batches, kind, most)):
-            found, n = np.unique(cells(ids, ends), return_counts=True)
+        for turn, (found, n) in enumerate(counted(batches)):
+            if not len(found):
+                continue
             block = found // BLOCK
             first = np.flatnonzero(np.diff(block, prepend=-1))
             inside, n, stop = (found % BLOCK).astype("<u2"), n.astype("<u4"), [*first[1:], len(found)]
@@ -230,7 +242,7 @@ def _cells(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     table = table.sort_by("block")
     cells, n = table["cells"].to_pylist(), table["n"].to_pylist()
     base = np.repeat(table["block"].to_numpy().astype(np.int64) * BLOCK, [len(x) // 2 for x in cells])
-    return base + np.frombuffer(b"".join(cells), "<u2"), np.frombuffer(b"".join(n), "<i8").astype(np.float64)
+    return (base + np.frombuffer(b"".join(cells), "<u2")).astype(np.int32), np.frombuffer(b"".join(n), "<i8").astype(np.float32)
 
 
 def largest(blocks: DataFrame, most: int) -> DataFrame:
@@ -286,10 +298,10 @@ _VALUES: dict[tuple, attention.Values] = {}
 
 
 class Model:
-    """What a fit leaves: the inventory, counts (sparse, to be sent), and trained parameters."""
+    """What is counted for a model: its inventory and cells (sparse, to be sent once)."""
 
     def __init__(self, inventory: attention.Inventory, counts: dict[str, np.ndarray], pair_of: np.ndarray, paired: tuple):
-        self.key, self.inventory, self.p, self.paired = uuid.uuid4().hex, inventory, attention.packed(attention.fresh()), paired
+        self.key, self.inventory, self.paired = uuid.uuid4().hex, inventory, paired
         self.counts = {name: ((at := np.flatnonzero(n)).astype(np.int32), n[at].astype(np.float32)) for name, n in [*counts.items(), ("pair_of", pair_of)]}
 
     def values(self, left_out: bool) -> attention.Values:
@@ -303,8 +315,8 @@ class Model:
         return _VALUES[self.key, left_out]
 
 
-def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int, end_id: int, scratch: Scratch) -> Model:
-    """The model of all rows of train (digest, id, ids)."""
+def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int, end_id: int, scratch: Scratch) -> tuple[Broadcast, dict]:
+    """The model of all rows of train (digest, id, ids): its counts, sent, and its parameters."""
     spark, end_row, square = train.sparkSession, int(inventory.row[end_id]), attention.ROWS**2
     context = spark.sparkContext
     sent = context.broadcast(inventory)
@@ -313,17 +325,19 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
     def after(ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return np.concatenate([cells + i * square for i, cells in enumerate(attention.followers(line(ids, ends)))])
 
-    at, n = _cells(cell_counts(train, kind, after, scratch, "after", COUNT_IDS // 3).toArrow())  # a number for each two rows at most
+    at, n = _cells(cell_counts(train, kind, after, scratch, "after", 3 * square).toArrow())  # a number for each two rows at most
     dense = np.zeros(3 * square)
     dense[at] = n
     counts = dict(zip(["direct", "skipped", "further"], dense.reshape(3, square), strict=True))
     pair_of = attention.pairs_of(counts["direct"], end_row)
     pairs = context.broadcast(pair_of)
-    paired = cell_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch, "paired", COUNT_IDS)
+    paired = cell_counts(train, kind, lambda ids, ends: attention.pair_followers(line(ids, ends), pairs.value), scratch, "paired")
     at, n = _cells(largest(paired, attention.CELLS).toArrow())
-    paired = at.astype(np.int32), n.astype(np.float32), pair_totals(paired)
+    paired = at, n, pair_totals(paired)
     model = Model(inventory, counts, pair_of, paired)
     told = context.broadcast(model)
+    del dense, counts, paired, model
+    release()
 
     def trained(rows: DataFrame, start: dict, rate: float, batch: int, name: str) -> tuple[dict, float]:
         first = attention.packed(start)
@@ -356,17 +370,15 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
     # The start: a bounded part of the ids, chosen by hash, in one task.
     few = max(1, round(n_ids / START_IDS))
     first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 128, "first")
-    p, _ = trained(train, first, 0.02, 4096, "models")
-    model.p = attention.packed(p)
-    return model
+    return told, trained(train, first, 0.02, 4096, "models")[0]
 
 
-def model_scores(tokens: DataFrame, model: Model, kind: str, end_id: int) -> DataFrame:
-    sent = tokens.sparkSession.sparkContext.broadcast(model)  # of bounded size
+def model_scores(tokens: DataFrame, sent: Broadcast, p: dict, kind: str, end_id: int) -> DataFrame:
+    packed = attention.packed(p)
 
     def run(batches):
         model = sent.value
-        p, values = attention.unpacked(model.p), model.values(False)
+        p, values = attention.unpacked(packed), model.values(False)
         known: dict[bytes, float] = {}  # equal texts are scored once while they are remembered
         for batch in batches:
             if len(known) > REMEMBERED:
@@ -444,8 +456,8 @@ def score_texts(docs: DataFrame, tokenizer: str, held_out: Column, end_id: int =
 
     by_id = id_counts(tokens, size)
     by_id[end_id] += ends
-    model = fit(train, attention.Inventory.of(by_id), kind, int(by_id.sum()), end_id, scratch)
-    scored = model_scores(tokens, model, kind, end_id)
+    counted, p = fit(train, attention.Inventory.of(by_id), kind, int(by_id.sum()), end_id, scratch)
+    scored = model_scores(tokens, counted, p, kind, end_id)
     base = base_scores(tokens, counts, total, kinds, ends)
     out = scored.join(base, ["turn", "at"])
     return out.select(F.col("id").alias("doc_id"), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
