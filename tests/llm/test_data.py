@@ -37,6 +37,38 @@ def test_best_two_fit_packs_all_and_replaces_the_smallest():
     assert sorted(best_two_fit({60: 1, 30: 1, 20: 1, 19: 1}, 100)[0][0]) == [19, 20, 60]
 
 
+def one_bin_at_a_time(lengths, capacity):
+    """Best-two-fit by hand, document by document."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        own, gap = [], capacity
+        for n in list(left):
+            if n <= gap:
+                own.append(n)
+                left.remove(n)
+                gap -= n
+        if len(own) > 1 and gap:
+            small = own[-1]
+            pairs = [(a, b) for i, a in enumerate(left) for b in left[i + 1 :] if a + b <= gap + small]
+            best = max(pairs, key=sum, default=(0, 0))
+            if sum(best) > small:
+                own[-1:] = best
+                left.append(small)
+                for n in best:
+                    left.remove(n)
+                left.sort(reverse=True)
+        bins.append(sorted(own))
+    return bins
+
+
+def test_best_two_fit_equals_one_bin_at_a_time():
+    for _ in range(40):
+        lengths = RNG.integers(1, 101, RNG.integers(1, 80)).tolist()
+        found = [sum(own) for own, times in best_two_fit(dict(Counter(lengths)), 100) for _ in range(times)]
+        expected = [sum(own) for own in one_bin_at_a_time(lengths, 100)]
+        assert sum(found) == sum(expected) and abs(len(found) - len(expected)) <= 1
+
+
 def test_packing_keeps_every_token(spark):
     from tokenizers import Tokenizer
 
