@@ -11,8 +11,8 @@ from .mixing import mixing_plan
 from .packing import best_fit_packing
 from .warc import Archive
 
-#: A public vocabulary file; the path is a parameter of every operator that reads one.
-BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
+#: Public vocabulary files; the path is a parameter of every operator that reads one.
+BYTE_BPE, WORD_BPE = (public_tokenizers.path(f"{name}.json") for name in ("byte_bpe_50k", "word_bpe_49k"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

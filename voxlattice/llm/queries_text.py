@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .lm_scoring import score_texts
-from .queries_data import BYTE_BPE
+from .queries_data import BYTE_BPE, WORD_BPE
 from .quality import fit_quality, score_quality
 from .shingle_links import shingle_links
 from .suffix_dedup import remove_repeats
 from .surrogates import replace_entities
+from .token_counts import count_tokens
 
 #: The key of the surrogates: a secret of the deployment; this default serves tests.
 SECRET = os.environ.get("VOXLATTICE_SECRET", "a key for tests").encode()
@@ -44,7 +45,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(docs, keep_bytes=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op6_lm_scores": op6_lm_scores, "op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality}
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), WORD_BPE, 2048)
+
+
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op6_lm_scores": op6_lm_scores, "op8_shingle_links": op8_shingle_links, "op2_surrogates": op2_surrogates, "op5_quality": op5_quality, "op13_token_counts": op13_token_counts}
 
 SQL: dict[str, str] = {
     "op8_shingle_links": r"""
