@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,7 +14,9 @@ from voxlattice.operators import pair
 from voxlattice.operators import signal as S
 from voxlattice.operators.evaluate import condition_means, metrics, r6
 from voxlattice.operators.fusion import BASE
+from voxlattice.operators.order_statistics import order_statistics
 from voxlattice.plans.queries_signal import _NUMBERED, _numbered
+from voxlattice.session import shared_folder, staged
 from voxlattice.sources import files
 from voxlattice.sources.lenses import MANIFEST, PACKETS, SERIES, SPECTRA, manifest, packets, read, series, spectra
 from voxlattice.streaming import packets as live
@@ -38,7 +39,9 @@ def vad_filter(spark, d):
 
 
 def frame_aggregates(spark, d):
-    return _frames(spark, d).where("active").groupBy("user_id").agg(r6(F.avg("q")).alias("mean"), r6(quantile_floor(F.collect_list("q"), 0.9)).alias("q90"))
+    rows = _frames(spark, d).where("active")
+    worst = order_statistics(rows, ["user_id"], "q", {"q90": 0.9})
+    return rows.groupBy("user_id").agg(r6(F.avg("q")).alias("mean")).join(worst, "user_id").select("user_id", "mean", r6(F.col("q90")).alias("q90"))
 
 
 def bad_section_fraction(spark, d):
@@ -52,20 +55,25 @@ def clipping_ratio(spark, d):
 
 
 def noise_floor_snr(spark, d):
-    level = db(F.col("x"))
-    found = _frames(spark, d).groupBy("user_id").agg(quantile_floor(F.collect_list(level), 0.15).alias("floor"), F.max(level).alias("speech"), F.avg("q").alias("added"))
+    rows = _frames(spark, d).withColumn("level", db(F.col("x")))
+    found = rows.groupBy("user_id").agg(F.max("level").alias("speech"), F.avg("q").alias("added"))
+    found = found.join(order_statistics(rows, ["user_id"], "level", {"floor": 0.15}), "user_id")
     penalty = clamp((28 - (F.col("speech") - F.col("floor"))) / 28) * 0.65 + F.col("added") * 0.35
     return found.select("user_id", r6(F.col("floor")).alias("floor"), r6(penalty).alias("penalty"))
 
 
 def dimensions(spark, d):
     """Coloration from the frames' distance to their mean, noisiness, discontinuity and loudness, each from 1 to 5."""
-    rows, level = _frames(spark, d).withColumn("mean", F.avg("q").over(W.partitionBy("user_id"))), db(F.col("x"))
+    rows = _frames(spark, d).withColumns({"mean": F.avg("q").over(W.partitionBy("user_id")), "level": db(F.col("x"))})
     active = lambda x: F.when(F.col("active"), x)
     found = rows.groupBy("user_id").agg(
-        F.avg(active(F.abs(F.col("q") - F.col("mean")))).alias("color"), F.avg(active(F.col("q"))).alias("gaps"), quantile_floor(F.collect_list(active(F.col("q"))), 0.9).alias("worst"),
-        quantile_floor(F.collect_list(level), 0.15).alias("floor"), F.max(level).alias("speech"), F.avg(active(F.abs(level - db(F.col("peak"))))).alias("apart"),
+        F.avg(active(F.abs(F.col("q") - F.col("mean")))).alias("color"), F.avg(active(F.col("q"))).alias("gaps"),
+        F.max("level").alias("speech"), F.avg(active(F.abs(F.col("level") - db(F.col("peak"))))).alias("apart"),
     )
+    measured = rows.select("user_id", F.explode(F.array(F.struct(F.lit("q").alias("of"), active(F.col("q")).alias("v")), F.struct(F.lit("level").alias("of"), F.col("level").alias("v")))).alias("m")).select("user_id", "m.*")
+    places = order_statistics(measured, ["user_id", "of"], "v", {"p15": 0.15, "p90": 0.9}).groupBy("user_id")
+    places = places.agg(F.max(F.when(F.col("of") == "level", F.col("p15"))).alias("floor"), F.coalesce(F.max(F.when(F.col("of") == "q", F.col("p90"))), F.lit(0.0)).alias("worst"))
+    found = found.join(places, "user_id")
     return found.select("user_id", *[r6(x).alias(c) for c, x in S.dimensions(F.col("color"), F.col("gaps"), F.col("gaps"), F.col("worst"), F.col("speech") - F.col("floor"), F.col("apart")).items()])
 
 
@@ -146,8 +154,9 @@ def _ratios(spark, d):
     """Active hours with the ratio of copy and reference over its median."""
     own = W.partitionBy("user_id")
     rows = _aligned(spark, d).withColumn("peak", F.max("x").over(own)).where("x >= peak * 0.04").withColumn("ratio", F.col("y") / (F.col("x") + 1e-9))
-    median = rows.groupBy("user_id").agg(F.greatest(F.lit(1e-6), quantile_floor(F.collect_list("ratio"), 0.5)).alias("median"), F.count("*").alias("m")).where("m >= 8")
-    return rows.join(median, "user_id").withColumn("raw", F.col("ratio") / F.col("median")).withColumn("q", clamp(F.col("raw"), 0, 2.5))
+    enough = rows.groupBy("user_id").agg(F.count("*").alias("m")).where("m >= 8")
+    median = order_statistics(rows, ["user_id"], "ratio", {"p50": 0.5}).select("user_id", F.greatest(F.lit(1e-6), "p50").alias("median"))
+    return rows.join(median, "user_id").join(enough, "user_id").withColumn("raw", F.col("ratio") / F.col("median")).withColumn("q", clamp(F.col("raw"), 0, 2.5))
 
 
 _RATIOS = f"""{_ALIGNED}, ra as (select user_id, i, y / (x + 1e-9) as ratio from (select *, max(x) over (partition by user_id) as peak from al) where x >= peak * 0.04e0),
@@ -155,28 +164,45 @@ md as (select user_id, greatest(1e-6, list_sort(list(ratio))[cast(floor(0.5 * (c
 rq as (select user_id, i, ratio / median as raw, least(2.5e0, greatest(0e0, ratio / median)) as q from ra join md using (user_id))"""
 
 
+def _hole() -> Column:
+    return F.avg(clamp((0.65 - F.col("q")) / 0.65))
+
+
 def hole_component(spark, d):
-    return _ratios(spark, d).groupBy("user_id").agg(r6(F.avg(clamp((0.65 - F.col("q")) / 0.65))).alias("hole"))
+    return _ratios(spark, d).groupBy("user_id").agg(r6(_hole()).alias("hole"))
 
 
-def transition_lag(spark, d):
+def _transitions(ratios):
     before = F.coalesce(F.lag("q").over(W.partitionBy("user_id").orderBy("i")), F.col("raw"))
-    steps = _ratios(spark, d).withColumn("t", clamp(F.abs(F.col("q") - before) / 1.2))
-    return steps.groupBy("user_id").agg(r6(quantile_floor(F.collect_list("t"), 0.9)).alias("transition"))
+    return ratios.withColumn("v", clamp(F.abs(F.col("q") - before) / 1.2))
 
 
-def freeze_ratio(spark, d):
-    """How much less the copy changes from hour to hour than the reference, where that changes."""
+def transition_lag(spark, d):
+    return order_statistics(_transitions(_ratios(spark, d)), ["user_id"], "v", {"p": 0.9}).select("user_id", r6(F.col("p")).alias("transition"))
+
+
+def _freezes(spark, d):
     order = W.partitionBy("user_id").orderBy("i")
     rows = _aligned(spark, d).withColumns({"x0": F.lag("x").over(order), "y0": F.lag("y").over(order)}).where("x0 is not null")
     change = lambda a, b: F.abs(F.col(a) - F.col(b)) / F.sqrt(F.col(a) * F.col(a) + F.col(b) * F.col(b) + 1e-12)
     moved = rows.withColumns({"nr": change("x", "x0"), "nd": change("y", "y0")}).where("nr > 0.08")
-    return moved.groupBy("user_id").agg(r6(quantile_floor(F.collect_list(clamp((0.55 - F.col("nd") / (F.col("nr") + 1e-9)) / 0.55)), 0.9)).alias("freeze"))
+    return moved.withColumn("v", clamp((0.55 - F.col("nd") / (F.col("nr") + 1e-9)) / 0.55))
+
+
+def freeze_ratio(spark, d):
+    """How much less the copy changes from hour to hour than the reference, where that changes."""
+    return order_statistics(_freezes(spark, d), ["user_id"], "v", {"p": 0.9}).select("user_id", r6(F.col("p")).alias("freeze"))
 
 
 def choppiness(spark, d):
-    parts = hole_component(spark, d).join(transition_lag(spark, d), "user_id").join(freeze_ratio(spark, d), "user_id")
-    return parts.select("user_id", r6(clamp(0.46 * F.col("hole") + 0.18 * F.col("transition") + 0.36 * F.col("freeze"))).alias("choppiness"))
+    """Holes, transitions and freezes together; both upper deciles are found in one pass."""
+    ratios = staged(_ratios(spark, d), "ratios")
+    both = _transitions(ratios).select("user_id", F.lit("transition").alias("of"), "v").unionByName(_freezes(spark, d).select("user_id", F.lit("freeze").alias("of"), "v"))
+    own = lambda name: F.max(F.when(F.col("of") == name, F.col("p"))).alias(name)
+    upper = order_statistics(both, ["user_id", "of"], "v", {"p": 0.9}).groupBy("user_id").agg(own("transition"), own("freeze")).where("transition is not null and freeze is not null")
+    parts = ratios.groupBy("user_id").agg(_hole().alias("hole")).join(upper, "user_id")
+    rounded = {c: r6(F.col(c)) for c in ("hole", "transition", "freeze")}
+    return parts.select("user_id", r6(clamp(0.46 * rounded["hole"] + 0.18 * rounded["transition"] + 0.36 * rounded["freeze"])).alias("choppiness"))
 
 
 def packetise_tumbling(spark, d):
@@ -211,10 +237,7 @@ def loss_accounting(spark, d):
 
 
 def _folder(spark) -> str:
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors see")
-    return f"{shared}/stream-{np.random.default_rng().integers(1 << 60)}" if shared else tempfile.mkdtemp(prefix="voxlattice-stream-")
+    return shared_folder(spark, "stream")
 
 
 def stream_dedup_watermark(spark, d):

@@ -7,9 +7,11 @@ import math
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlattice.functions.columns import array_pearson, clamp, cosine, db, erb, erb_to_hertz, pearson, quantile_floor, total
+from voxlattice.functions.columns import array_pearson, clamp, cosine, db, erb, erb_to_hertz, pearson, total
 from voxlattice.operators import signal as S
 from voxlattice.operators.evaluate import r6
+from voxlattice.operators.order_statistics import order_statistics
+from voxlattice.session import staged
 from voxlattice.sources.lenses import SERIES, SPECTRA, read, series, spectra
 
 def cosine_pairs(spark, d):
@@ -29,7 +31,9 @@ def multi_resolution_rollup(spark, d):
     """Mean and worst decile of the similarity at three block widths, then over the widths."""
     width = lambda w: F.struct(F.lit(w).alias("width"), cosine(S.blocks(F.col("a"), w), S.blocks(F.col("b"), w)).alias("c"))
     each = spectra(spark, d).select("label", F.explode(F.array(*map(width, (1, 2, 4)))).alias("e")).select("label", "e.*")
-    per = each.groupBy("label", "width").agg(F.avg("c").alias("similarity"), (1 - quantile_floor(F.collect_list("c"), 0.1)).alias("bad"))
+    each = staged(each, "resolutions")
+    low = order_statistics(each, ["label", "width"], "c", {"low": 0.1}).select("label", "width", (1 - F.col("low")).alias("bad"))
+    per = each.groupBy("label", "width").agg(F.avg("c").alias("similarity")).join(low, ["label", "width"])
     return per.groupBy("label").agg(r6(F.avg("similarity")).alias("similarity"), r6(F.max("bad")).alias("bad"), r6(F.max(F.when(F.col("width") == 1, F.col("similarity")))).alias("finest"))
 
 
@@ -43,7 +47,8 @@ def frame_compare(spark, d):
 
 
 def quantile_floor_by_user(spark, d):
-    return series(spark, d).groupBy("user_id").agg(*[r6(quantile_floor(F.collect_list("x"), q)).alias(n) for n, q in (("q15", 0.15), ("median", 0.5), ("q90", 0.9))])
+    found = order_statistics(series(spark, d), ["user_id"], "x", {"q15": 0.15, "median": 0.5, "q90": 0.9})
+    return found.select("user_id", *[r6(F.col(n)).alias(n) for n in ("q15", "median", "q90")])
 
 
 def band_energies(spark, d):
