@@ -1,7 +1,8 @@
 """Analysis of (reference, degraded) pairs. The kernel does what columns cannot (resampling, alignment, spectra) for a
-batch of pairs and emits one row a frame: levels and band energies, beside what holds for the pair. Everything after it
-is a query over frames. A pair that cannot be analysed (a rate that is not positive, an empty signal) has one row that
-says why; it does not fail the others."""
+batch of pairs and emits one row a frame: levels and band energies, beside what holds for the pair, and the rows of the
+advanced analysis, whose delay the same pass has found. Everything after it is a query over those rows, which are
+staged once. A pair that cannot be analysed (a rate that is not positive, an empty signal) has one row that says why; it
+does not fail the others."""
 
 from __future__ import annotations
 
@@ -9,22 +10,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlattice.functions.columns import array_pearson, clamp, db, quantile_floor
+from voxlattice.functions.columns import array_pearson, clamp, db
+from voxlattice.operators.advanced import PARTS as ADVANCED
+from voxlattice.operators.advanced import diagnostics, part_rows, resample_linear
 from voxlattice.operators.evaluate import r6
-from voxlattice.operators.fusion import base_mos
+from voxlattice.operators.fusion import FINAL, base_mos, final_mos, hybrid_features
+from voxlattice.operators.order_statistics import order_statistics
 from voxlattice.operators.signal import compare_frame, dimensions, events
+from voxlattice.session import staged
 
 RATE, FRAME, HOP, BANDS = 48_000, 960, 480, 32
 # Bins of an envelope a second; the longest delay in them; parts of a recording that are aligned apart.
-ENVELOPE, LONGEST, PARTS = 200, 300, 5
+ENVELOPE, LONGEST, ALIGNED = 200, 300, 5
 FRAMES = (
     "pair_id string, i int, ref_rms double, deg_rms double, a array<double>, b array<double>, peak double, floor double, delay_ms double, drift_ppm double, "
-    "clipped double, seconds double, bandwidth string, error string"
+    "clipped double, seconds double, bandwidth string, error string, kind string, x double, y double, z double"
 )
+assert {c.strip() for c in ADVANCED.split(",")} <= {c.strip() for c in FRAMES.split(",")}
 
 
 def resample_sinc(x: np.ndarray, rate: int, to: int) -> np.ndarray:
@@ -66,8 +72,8 @@ def alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, float]:
     whole, _ = delay_bins(a, b, range(-LONGEST, LONGEST + 1))
     middles, delays = [], []
     radius = ENVELOPE // 20
-    for part in range(PARTS):
-        begin, end = len(a) * part // PARTS, len(a) * (part + 1) // PARTS
+    for part in range(ALIGNED):
+        begin, end = len(a) * part // ALIGNED, len(a) * (part + 1) // ALIGNED
         if end <= begin + 20:
             continue
         # The part's own lag 0 is lag `begin` of b.
@@ -175,8 +181,17 @@ def frame_rows(pair_id: str, ref: np.ndarray | None, ref_rate: int | None, deg:
     return pd.DataFrame(own | {"i": (starts // HOP).astype(np.int32), "ref_rms": level, "deg_rms": loud, "a": list(x), "b": list(found)}, columns=[c.split()[0] for c in FRAMES.split(", ")])
 
 
+def advanced_rows(pair_id: str, ref: np.ndarray, ref_rate: int, deg: np.ndarray, deg_rate: int, delay_ms: float) -> pd.DataFrame:
+    """What the advanced analysis sees: the recordings as they are, at one rate, with the delay that was found."""
+    r, d = (resample_linear(np.asarray(x, np.float64), rate, RATE) for x, rate in ((ref, ref_rate), (deg, deg_rate)))
+    made = part_rows(r, d, RATE, round(delay_ms * RATE / 1000))
+    made.insert(0, "pair_id", pair_id)
+    return made
+
+
 def frames(pairs: DataFrame) -> DataFrame:
-    """pairs: pair_id, ref and deg (structs of sample_rate and samples) -> frame rows; a few pairs a batch."""
+    """pairs: pair_id, ref and deg (structs of sample_rate and samples) -> rows of kind `base`, one a frame, and those of
+    the advanced analysis; a few pairs a batch."""
     names = [c.split()[0] for c in FRAMES.split(", ")]
     part_of = lambda x, name: None if x is None else x[name]
 
@@ -184,36 +199,50 @@ def frames(pairs: DataFrame) -> DataFrame:
         for part in batches:
             for pair, ref, deg in zip(part["pair_id"], part["ref"], part["deg"], strict=True):
                 signals = [part_of(x, n) for x in (ref, deg) for n in ("samples", "sample_rate")]
-                yield frame_rows(pair, *signals)[names].astype({"i": "Int32"})
+                base = frame_rows(pair, *signals).assign(kind="base", x=np.nan, y=np.nan, z=np.nan)
+                yield base[names].astype({"i": "Int32"})
+                if base["error"].isna().all():
+                    more = advanced_rows(pair, *signals, float(base["delay_ms"].iloc[0]))
+                    yield pd.DataFrame({c: more[c] if c in more else [None] * len(more) for c in names})
 
-    return pairs.select("pair_id", "ref", "deg").mapInPandas(run, FRAMES)
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+    return pairs.select("pair_id", "ref", "deg").mapInPandas(run, FRAMES.replace("pair_id string", f"pair_id {kind}", 1))
 
 
 def analyse(pairs: DataFrame) -> DataFrame:
     """pair_id, mos, confidence, delay, drift, bandwidth, the four dimensions, disturbances, ratios and events (type,
-    start_ms, duration_ms, severity) of each pair; without an active frame, mos 1 and confidence 0; with an error, nothing
-    but the error."""
-    rows = frames(pairs)
+    start_ms, duration_ms, severity) of each pair. Without an active frame: mos 1, confidence 0, dimensions 1, no
+    disturbance, no event; with an error, nothing but the error."""
+    return base_results(staged(frames(pairs), "frames"))
+
+
+def base_results(rows: DataFrame) -> DataFrame:
+    """analyse() of staged frame rows."""
+    rows = rows.where("kind = 'base'")
     a, b, active = F.col("a"), F.col("b"), F.col("i").isNotNull()
     compared = rows.withColumn("r", array_pearson(a, b))
-    compared = compared.select("*", *[x.alias(k) for k, x in compare_frame(a, b, F.col("r"), F.col("ref_rms"), F.col("deg_rms")).items()]).drop("a", "b", "r")
+    compared = compared.select("*", *[x.alias(k) for k, x in compare_frame(a, b, F.col("r"), F.col("ref_rms"), F.col("deg_rms")).items()])
     level = F.abs(db(F.col("deg_rms") + 1e-9) - db(F.col("ref_rms") + 1e-9))
     once = ("peak", "floor", "delay_ms", "drift_ppm", "clipped", "seconds", "bandwidth", "error")
+    compared = staged(compared.withColumn("level", level).drop("a", "b", "r", "kind", "x", "y", "z"), "compared")
     sums = compared.groupBy("pair_id").agg(
-        *[F.first(c).alias(c) for c in once], F.count("i").alias("frames"), quantile_floor(F.collect_list(F.when(active, F.col("discontinuity"))), 0.9).alias("worst"),
-        *[F.avg(c).alias(c) for c in ("missing", "added", "similarity")], F.avg("coloration").alias("color"), F.avg("discontinuity").alias("gaps"),
-        F.avg((F.col("discontinuity") > 0.45).cast("int")).alias("bad_section"), F.avg(level).alias("level"),
+        *[F.first(c).alias(c) for c in once], F.count("i").alias("frames"), *[F.avg(c).alias(c) for c in ("missing", "added", "similarity", "level")],
+        F.avg("coloration").alias("color"), F.avg("discontinuity").alias("gaps"), F.avg((F.col("discontinuity") > 0.45).cast("int")).alias("bad_section"),
     )
+    worst = order_statistics(compared.where(active), ["pair_id"], "discontinuity", {"worst": 0.9})
+    sums = sums.join(worst, "pair_id", "left")
     dims = dimensions(F.col("color"), F.col("added"), F.col("gaps"), F.col("worst"), db(F.col("peak") + 1e-9) - F.col("floor"), F.col("level"))
     sums = sums.withColumns({f"dim_{k}": x for k, x in dims.items()})
     sums = sums.withColumns({k: (5 - F.col(f"dim_{k}")) / 4 for k in dims} | {"clipping": clamp(F.col("clipped") * 40)})
     seconds = F.col("frames") * (HOP / RATE)
     confidence = clamp(0.25 + 0.45 * clamp(seconds / 3) + 0.30 * clamp(F.col("similarity")))
     ok, silent = F.col("error").isNull(), F.col("frames") == 0
+    # A pair without speech is told by fixed values, one with an error by none.
+    heard = lambda x, otherwise: F.when(ok, F.when(silent, F.lit(otherwise)).otherwise(x))
     told = sums.select(
-        "pair_id", "error", "bandwidth", r6(F.when(ok, F.when(silent, 1.0).otherwise(base_mos()))).alias("mos"), r6(F.when(ok, F.when(silent, 0.0).otherwise(confidence))).alias("confidence"),
-        "delay_ms", r6(F.col("drift_ppm")).alias("drift_ppm"), r6(seconds).alias("active_seconds"), *[r6(F.col(f"dim_{k}")).alias(f"dim_{k}") for k in dims],
-        r6(F.col("missing")).alias("missing"), r6(F.col("added")).alias("added"), r6(F.col("bad_section")).alias("bad_section"), r6(F.col("clipped")).alias("clipping_ratio"),
+        "pair_id", "error", "bandwidth", r6(heard(base_mos(), 1.0)).alias("mos"), r6(heard(confidence, 0.0)).alias("confidence"),
+        F.when(ok, F.col("delay_ms")).alias("delay_ms"), r6(F.when(ok, F.col("drift_ppm"))).alias("drift_ppm"), r6(F.when(ok, seconds)).alias("active_seconds"), *[r6(heard(F.col(f"dim_{k}"), 1.0)).alias(f"dim_{k}") for k in dims],
+        *[r6(heard(F.col(c), 0.0)).alias(n) for c, n in (("missing", "missing"), ("added", "added"), ("bad_section", "bad_section"), ("clipped", "clipping_ratio"))],
         F.when((F.col("clipped") > 0.0005) & ~silent, F.struct(F.lit("clipping").alias("type"), F.lit(0.0).alias("start_ms"), (F.col("seconds") * 1000).alias("duration_ms"), r6(clamp(F.col("clipped") * 80)).alias("severity"))).alias("clip"),
     )
     # Dropouts: runs over active frames, which need not touch each other.
@@ -229,6 +258,47 @@ def analyse(pairs: DataFrame) -> DataFrame:
     return joined.withColumn("events", F.concat(F.coalesce("drops", none), F.when(F.col("clip").isNotNull(), F.array("clip")).otherwise(none))).drop("drops", "clip")
 
 
+def analyse_advanced(pairs: DataFrame, weights: dict[str, float] = FINAL) -> DataFrame:
+    """analyse()'s columns and the diagnostics of the advanced analysis; mos is the final estimate, base_mos the base one,
+    and the confidence is blended with the share of resolutions that have frames. With an error, nothing but the
+    error; a pair without speech still has diagnostics."""
+    rows = staged(frames(pairs), "frames")
+    base = base_results(rows).withColumnsRenamed({"mos": "base_mos", "confidence": "base_confidence"})
+    found = base.join(diagnostics(rows), "pair_id", "left")
+    lacks = {
+        "multi_resolution": 1 - F.col("multi_resolution_similarity"), "temporal": 1 - F.col("temporal_envelope_similarity"), "modulation": 1 - F.col("modulation_similarity"),
+        "asymmetry": F.col("asymmetric_disturbance"), "tilt": F.col("spectral_tilt_error"), "level": clamp(F.col("active_level_delta_db") / 18), "bad_interval": F.col("bad_interval_severity"),
+        "echo": F.col("echo_score"), "choppiness": F.col("choppiness_score"), "residual": F.col("residual_intrusion"),
+    }
+    found = found.withColumns(lacks)
+    confidence = clamp(0.65 * F.col("base_confidence") + 0.35 * clamp(F.col("resolutions") / 3))
+    return found.withColumns({"mos": r6(final_mos(F.col("base_mos"), weights)), "confidence": r6(confidence)}).drop(*lacks)
+
+
+def feature_rows(results: DataFrame, experts: DataFrame) -> DataFrame:
+    """The training row of each analysed pair: pair_id and the hinge model's features, out of analyse_advanced() and the
+    experts' scores (pair_id, visqol_speech_mos, visqol_audio_mos, clipped to 1 to 5); without scores, null features."""
+    named = results.withColumnsRenamed({"missing": "missing_disturbance", "added": "added_disturbance", "bad_section": "bad_section_fraction"})
+    named = named.join(experts.select("pair_id", *[clamp(F.col(c), 1, 5).alias(c) for c in ("visqol_speech_mos", "visqol_audio_mos")]), "pair_id", "left")
+    return named.where("error is null").select("pair_id", *hybrid_features())
+
+
+#: The fields of a result's advanced object, in order.
+DIAGNOSTICS = [
+    "erb_similarity", "multi_resolution_similarity", "temporal_envelope_similarity", "modulation_similarity", "asymmetric_disturbance", "spectral_tilt_error",
+    "active_level_delta_db", "bad_interval_severity", "echo_score", "choppiness_score", "residual_intrusion",
+]
+
+
+def result_json() -> Column:
+    """A row of analyse_advanced() as a result document: the base fields, dimensions and events, and an advanced object."""
+    dims = F.struct(*[F.col(f"dim_{k}").alias(k) for k in ("coloration", "noisiness", "discontinuity", "loudness")])
+    plain = ["mos", "confidence", "bandwidth", "delay_ms"]
+    named = {"clock_drift_ppm": "drift_ppm", "active_speech_seconds": "active_seconds", "clipping_ratio": "clipping_ratio", "missing_disturbance": "missing", "added_disturbance": "added", "bad_section_fraction": "bad_section"}
+    fields = [*map(F.col, plain), *[F.col(c).alias(n) for n, c in named.items()], dims.alias("dimensions"), F.col("events"), F.col("base_mos")]
+    return F.to_json(F.struct(*fields, F.lit(False).alias("hybrid_applied"), F.struct(*[r6(F.col(c)).alias(c) for c in DIAGNOSTICS]).alias("advanced")))
+
+
 def speech_like(rate: int = 16_000, seconds: float = 3.0) -> np.ndarray:
     t = np.arange(int(rate * seconds)) / rate
     parts = ((0.28, 180), (0.16, 720), (0.08, 2100), (0.04, 5200))

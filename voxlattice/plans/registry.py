@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_evaluate, queries_frames, queries_prepare, queries_signal
+from . import queries_analysis, queries_evaluate, queries_frames, queries_prepare, queries_signal
 
-_MODULES = (queries_evaluate, queries_prepare, queries_signal, queries_frames)
+_MODULES = (queries_analysis, queries_evaluate, queries_prepare, queries_signal, queries_frames)
 
 
 def queries() -> dict:
