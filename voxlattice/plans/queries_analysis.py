@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from voxlattice.operators import advanced, pair
@@ -10,11 +12,17 @@ from voxlattice.session import staged
 from voxlattice.sources.lenses import read
 
 
+def _dealt(pairs):
+    """Pairs over all tasks: an analysis takes far longer than its texts' size tells, so they are not dealt by bytes."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair_id")
+
+
 def _sides(spark, d):
     """A conversation's two sides, each as one recording, and a delay of three samples at most either way."""
     turns = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", F.col("text")).alias("u"), F.when(F.col("role") != "user", F.col("text")).alias("v"))
     whole = lambda c: F.encode(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("turn", c)))), lambda t: t[c]), ""), "UTF-8")
-    return turns.groupBy(F.col("conv_id").alias("pair_id")).agg(whole("u").alias("ref"), whole("v").alias("deg")).withColumn("delay", (F.col("pair_id") % 7 - 3).cast("int"))
+    sides = turns.groupBy(F.col("conv_id").alias("pair_id")).agg(whole("u").alias("ref"), whole("v").alias("deg"))
+    return _dealt(sides).withColumn("delay", (F.col("pair_id") % 7 - 3).cast("int"))
 
 
 def advanced_diagnostics(spark, d):
@@ -30,27 +38,23 @@ def resolution_frames(spark, d):
 
 
 def _recordings(spark, d):
-    """Each document's bytes as a recording of 8 kHz, against the next document's."""
-    docs = read(spark, d, "documents").where("doc_id is not null").dropDuplicates(["doc_id"])
+    """A conversation's two sides as recordings of 2 kHz."""
 
     @F.pandas_udf("array<double>")
-    def samples(texts):
-        import numpy as np
-        import pandas as pd
-
-        return pd.Series([((np.frombuffer(x.encode(), np.uint8) - 128.0) / 128).tolist() for x in texts.fillna("")])
+    def samples(sides: pd.Series) -> pd.Series:
+        return pd.Series([((np.frombuffer(x, np.uint8) - 128.0) / 128).tolist() for x in sides])
 
-    side = lambda name, key: docs.select(key.alias("pair_id"), F.struct(F.lit(8000).alias("sample_rate"), samples("text").alias("samples")).alias(name))
-    return side("ref", F.col("doc_id")).join(side("deg", F.col("doc_id") - 1), "pair_id")
+    side = lambda c: F.struct(F.lit(2000).alias("sample_rate"), samples(c).alias("samples")).alias(c)
+    return _sides(spark, d).select("pair_id", side("ref"), side("deg"))
 
 
 def analyze_recordings(spark, d):
-    """The whole analysis, base and advanced, of documents as recordings; result documents beside the columns."""
+    """The whole analysis, base and advanced, of conversations as recordings; result documents beside the columns."""
     return pair.analyse_advanced(_recordings(spark, d)).withColumn("result", pair.result_json()).drop("events")
 
 
 def feature_map(spark, d):
-    """Training rows out of whole analyses, with experts' scores that follow from the document's number."""
+    """Training rows out of whole analyses, with experts' scores that follow from the conversation's number."""
     results = pair.analyse_advanced(_recordings(spark, d))
     experts = results.select("pair_id", (1 + F.col("pair_id") % 5).alias("visqol_speech_mos"), (6 - F.col("pair_id") % 7).alias("visqol_audio_mos"))
     return pair.feature_rows(results, experts)
