@@ -20,6 +20,7 @@ from voxlattice.session import shared_folder, staged
 from voxlattice.sources import files
 from voxlattice.sources.lenses import MANIFEST, PACKETS, SERIES, SPECTRA, manifest, packets, read, series, spectra
 from voxlattice.streaming import packets as live
+from voxlattice.streaming import playout
 
 
 def _frames(spark, d):
@@ -261,6 +262,19 @@ def stream_plc_state(spark, d):
     return out.groupBy("ssrc").agg(F.count("*").alias("frames"), r6(F.sum("out")).alias("total"))
 
 
+def stream_plc_frames(spark, d):
+    """plc_last_value of a stream that arrives in three parts, with packets that come up to 80 seconds out of order across
+    them; a marker an hour after the last arrival ends each stream."""
+    folder = _folder(spark)
+    table = packets(spark, d).select(F.col("ssrc").cast("long").alias("ssrc"), F.col("seq").cast("long").alias("seq"), "arrival", "event_id", "value")
+    seconds = F.unix_timestamp("arrival")
+    first, last = table.agg(F.min(seconds), F.max(seconds)).first()
+    dealt = table.withColumn("part", F.floor((seconds - F.lit(first) + F.col("event_id") % 3 * 40) * 3 / F.lit(last - first + 81)))
+    ends = table.select("ssrc").distinct().select("ssrc", F.lit(None).cast("long").alias("seq"), F.timestamp_seconds(F.lit(last + 3600)).alias("arrival"), F.lit(0).cast("long").alias("event_id"), F.lit(0.0).alias("value"))
+    slices = [*[dealt.where(F.col("part") == k).drop("part") for k in range(3)], ends]
+    return playout.frames(live.in_turn(spark, slices, playout.played, folder)).select("ssrc", "seq", "state", r6(F.col("out")).alias("out"))
+
+
 _LINES = ["# comment", "", "bias=0.05", "missing=1.5", "no number here", "other=3", "missing=1.25", " added = 0.7 "]
 
 
@@ -400,7 +414,7 @@ QUERIES = {f.__name__: f for f in (
     vad_filter, frame_aggregates, bad_section_fraction, clipping_ratio, noise_floor_snr, dimensions, confidence, no_speech_defaults, dropout_events,
     direct_path_residual, echo_lag_search, echo_quarters, residual_intrusion, level_delta, temporal_similarity, hole_component, transition_lag, freeze_ratio,
     choppiness, packetise_tumbling, packet_dedup_first, late_discard, gap_spine, plc_last_value, loss_accounting, stream_dedup_watermark,
-    stream_sliding_frames, stream_plc_state, calibration_kv_parse, csv_manifest_roundtrip, model_json_scan, report_json, result_json_roundtrip,
+    stream_sliding_frames, stream_plc_state, stream_plc_frames, calibration_kv_parse, csv_manifest_roundtrip, model_json_scan, report_json, result_json_roundtrip,
     wav_decode_roundtrip, analyze_pair_synthetic, scenario_matrix, erb_loudness, bom_csv_scan, calibration_sink, lab_gates, session_window_users, interval_join_events, except_intersect_ids,
 )}
 
@@ -468,6 +482,7 @@ SQL = {
     "late_discard": f"with {_STATE} select ssrc, count(*) as received, count(*) filter (where late) as late from la group by 1",
     "gap_spine": f"with {_STATE} select ssrc, state, count(*) as n from st group by 1, 2",
     "plc_last_value": f"with {_STATE} select ssrc, seq, state, round(coalesce(last_value(case when state = 'ok' then value end ignore nulls) over (partition by ssrc order by seq), 0), 6) as out from st",
+    "stream_plc_frames": f"with {_STATE} select ssrc, seq, state, round(coalesce(last_value(case when state = 'ok' then value end ignore nulls) over (partition by ssrc order by seq), 0), 6) as out from st",
     "loss_accounting": f"with {_STATE} select ssrc, count(*) as sent, count(*) filter (where state = 'missing') as missing, count(*) filter (where state = 'late') as late, round(100e0 * count(*) filter (where state <> 'ok') / count(*), 6) as percent from st group by 1",
     "stream_dedup_watermark": f"with {PACKETS} select ssrc, count(distinct seq) as packets from a group by 1",
     "stream_plc_state": f"""with {PACKETS}, fa as (select ssrc, seq, arg_min(value, (arrived, event_id)) as value from a group by ssrc, seq), ev as (select ssrc, unnest(range(max(seq) + 1)) as seq from fa group by ssrc),

@@ -4,7 +4,7 @@ The batch rule for late packets needs a stream's least arrival of all; a stream
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +14,29 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 def replay(spark: SparkSession, table: DataFrame, folder: str) -> DataFrame:
     """A table as a stream of its files."""
-    table.write.mode("overwrite").parquet(folder)
+    table.write.mode("append").parquet(folder)
     return spark.readStream.schema(table.schema).parquet(folder)
 
 
 def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """What the stream emits once all its input is read."""
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/out")
+    """What the stream emits once all its input is read. State is kept in RocksDB, outside the heap."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out")
+
+
+def in_turn(spark: SparkSession, slices: list[DataFrame], through: Callable[[DataFrame], DataFrame], folder: str) -> DataFrame:
+    """What a stream emits for tables that arrive one after the other; each is a run that takes up the state where the
+    run before has left it."""
+    for part in slices:
+        out = drained(through(replay(spark, part, f"{folder}/in")), folder)
+    return out
 
 
 def without_repeats(packets: DataFrame, delay: str = "30 days") -> DataFrame:
