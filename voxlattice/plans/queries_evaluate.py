@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from voxlattice.functions.columns import average_rank, pearson
 from voxlattice.operators import evaluate as E
 from voxlattice.operators.evaluate import r6
+from voxlattice.operators.order_statistics import order_statistics
+from voxlattice.operators.rank_bootstrap import cluster_correlations
+from voxlattice.session import staged
 from voxlattice.sources.lenses import MANIFEST, manifest, read
 
 _METRICS = """count(*) as n, round(sqrt(avg(({p} - truth) * ({p} - truth))), 6) as rmse, round(avg(abs({p} - truth)), 6) as mae,
@@ -98,6 +101,24 @@ def cluster_bootstrap_ci(spark, d):
     return E.interval(E.cluster_bootstrap(manifest(spark, d), 200, "cluster"))
 
 
+def _correlation_intervals(spark, d, turns):
+    deltas = staged(cluster_correlations(manifest(spark, d), turns, "cluster"), "deltas")
+    measured = deltas.select(F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(f"delta_{c}").alias("v")) for c in ("pearson", "spearman")])).alias("m")).select("m.*")
+    told = measured.where("v is not null").groupBy("measure").agg(F.count("*").alias("draws"), r6(F.avg("v")).alias("mean_delta"))
+    places = order_statistics(measured, ["measure"], "v", {"low": 0.025, "high": 0.975})
+    return told.join(places, "measure").select("measure", "draws", "mean_delta", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+
+
+def cluster_bootstrap_correlations(spark, d):
+    """Pearson and Spearman deltas of 200 draws: what SQL can follow."""
+    return _correlation_intervals(spark, d, 200)
+
+
+def cluster_bootstrap_report(spark, d):
+    """Pearson and Spearman deltas of 10,000 draws."""
+    return _correlation_intervals(spark, d, 10_000)
+
+
 def noninferiority_verdict(spark, d):
     limits = E.interval(E.row_bootstrap(_conditions(spark, d), 200, "row"))
     return limits.select("high", F.lit(0.1).alias("margin"), (F.col("high") < 0.1).alias("noninferior"))
@@ -144,7 +165,7 @@ def suite_summary(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     eval_utterance_metrics, eval_by_family, eval_by_condition, eval_condition_key_variant, avg_ranks, spearman_by_family, grouping_sets_report,
-    multi_baseline_unpivot, worst_residuals_topk, mapped_rmse_linear, mapped_rmse_cubic, row_bootstrap_delta_ci, cluster_bootstrap_ci,
+    multi_baseline_unpivot, worst_residuals_topk, mapped_rmse_linear, mapped_rmse_cubic, row_bootstrap_delta_ci, cluster_bootstrap_ci, cluster_bootstrap_correlations, cluster_bootstrap_report,
     noninferiority_verdict, null_aware_pairs, paired_correlation_delta, monotonicity_report, engineering_gates, suite_summary,
 )}
 
@@ -193,6 +214,16 @@ SQL = {
         delta as (select (n * tp - t * p) / sqrt((n * tt - t * t) * (n * pp - p * p)) - (n * tq - t * q) / sqrt((n * tt - t * t) * (n * qq - q * q)) as delta from s)
         select round(avg(delta), 6) as mean_delta, round(list_sort(list(delta))[cast(floor(0.025 * 199) as int) + 1], 6) as low,
           round(list_sort(list(delta))[cast(floor(0.975 * 199) as int) + 1], 6) as high from delta""",
+    "cluster_bootstrap_correlations": f"""with {MANIFEST}, g as (select cluster, row_number() over (order by cluster) - 1 as pos, count(*) over () as clusters from (select distinct cluster from m)),
+        drawn as (select b.turn, {_DRAW.format(seed='cluster', no='g.pos', n='g.clusters')} as pos from (select unnest(range(200)) as turn) b, g),
+        times as (select turn, cluster, cast(count(*) as double) as w from drawn join g using (pos) group by all),
+        r as (select turn, w, truth as t, pred as p, pred2 as q from times join m using (cluster)),
+        k as (select turn, w, t, p, q, """ + ", ".join(f"sum(w) over (partition by turn order by {x} range between unbounded preceding and current row) - sum(w) over (partition by turn, {x}) / 2 + 0.5e0 as r{x}" for x in "tpq") + """ from r),
+        s as (select turn, sum(w) as n, """ + ", ".join(f"sum(w * {f}{x}) as {f}{x}, sum(w * {f}{x} * {f}{y}) as {f}{x}{y}" if x == y else f"sum(w * {f}{x} * {f}{y}) as {f}{x}{y}" for f in ("", "r") for x, y in ("tt", "pp", "qq", "tp", "tq")) + """ from k group by turn),
+        d as (select turn, """ + ", ".join("(n * {0}tp - {0}t * {0}p) / sqrt((n * {0}tt - {0}t * {0}t) * (n * {0}pp - {0}p * {0}p)) - (n * {0}tq - {0}t * {0}q) / sqrt((n * {0}tt - {0}t * {0}t) * (n * {0}qq - {0}q * {0}q)) as {1}".format(f, n) for f, n in (("", "pearson"), ("r", "spearman"))) + """ from s),
+        u as (select 'pearson' as measure, pearson as v from d union all select 'spearman', spearman from d)
+        select measure, count(*) as draws, round(avg(v), 6) as mean_delta, round(list_sort(list(v))[cast(floor(0.025 * (count(*) - 1)) as int) + 1], 6) as low,
+          round(list_sort(list(v))[cast(floor(0.975 * (count(*) - 1)) as int) + 1], 6) as high from u where isfinite(v) group by measure""",
     "null_aware_pairs": """select lang, count(*) as n, count(quality) as n_scored, round(avg(quality), 6) as mean_quality
         from documents left join labels using (doc_id) group by lang""",
     "paired_correlation_delta": f"""with {MANIFEST} select family, count(*) as n, round(covar_pop(pred, truth) / (stddev_pop(pred) * stddev_pop(truth))
