@@ -95,6 +95,10 @@ class Bins:
         return np.hstack([np.eye(len(e) + 1, dtype=np.float32)[np.searchsorted(e, column, side="right")] for e, column in zip(self.edges, values.T, strict=True)])
 
 
+#: Held-out labels that a view must be sure of before it teaches.
+BORNE_OUT = 5
+
+
 @dataclass
 class Views:
     """Both views' features. All sizes are fixed: `vocabulary` terms, `slots` hashed metadata values."""
@@ -214,7 +218,7 @@ def fit_quality(
 ) -> CoTrained:
     """Fits on `labelled` labelled documents, drawn by the hash of their ids, and `told` more for each view and round,
     drawn by hash from all unlabelled documents that the other view is `sure` of, as many good and bad ones as the
-    labels' rates give."""
+    labels' rates give. A view teaches good or bad documents only where held-out labels bear its sureness out."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "quality")
     good = F.col("quality") == 1
@@ -229,7 +233,7 @@ def fit_quality(
     metas = [f"meta{k}" for k in range(len(meta_cols))]
     plain = [F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).cast("string").alias(m) for c, m in zip(meta_cols, metas, strict=True)], F.col(length_col).cast("double").alias("length")]
     sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["label_id"]).select("label_id", "good", *plain)
-    sample = scratch.stage(sample.dropDuplicates(["label_id"]), "sample")
+    sample = scratch.stage(sample.groupBy("label_id").agg(F.min(F.struct("text", *metas, "length", "good")).alias("s")).select("label_id", "s.*"), "sample")
 
     kinds = {r["good"]: r["count"] for r in sample.groupBy("good").count().collect()}
     if not kinds.get(0) or not kinds.get(1):
@@ -272,20 +276,26 @@ def fit_quality(
     # All documents without a label, as features; a row's number is fixed once it is written.
     every = docs.select(F.col(id_col).cast("long").alias("label_id"), F.lit(None).cast("double").alias("good"), *plain)
     every = scratch.stage(every.mapInPandas(freed(featured), shape).select("id", "x", "m", F.monotonically_increasing_id().alias("row")), "features")
-    free = every.join(known, every["id"] == known["label_id"], "left_anti")
+    # Drawn by what a row holds, not by its number: reruns agree, however the rows are dealt.
+    free = every.join(known, every["id"] == known["label_id"], "left_anti").withColumn("lot", F.xxhash64("id", "x", "m"))
+
+    def borne_out(p: np.ndarray, label: float) -> bool:
+        """Whether held-out labels agree with a view where it is sure: else it does not teach that side."""
+        told = (p if label else 1 - p) >= sure
+        return told.sum() >= BORNE_OUT and bool((y[held][told] == label).mean() >= sure)
 
     def pick(logits: list[np.ndarray], rate: float, turn: int) -> list[tuple[np.ndarray, np.ndarray]]:
         def score(batches):
             for part in batches:
                 z = [_sparse_logits(part[c], w) for c, w in zip("xm", logits, strict=True)]
-                yield pd.DataFrame({"row": part["row"], "p0": _sigmoid(z[0]), "p1": _sigmoid(z[1])})
+                yield pd.DataFrame({"row": part["row"], "lot": part["lot"], "p0": _sigmoid(z[0]), "p1": _sigmoid(z[1])})
 
-        scored = scratch.stage(free.select("x", "m", "row").mapInPandas(freed(score), "row long, p0 double, p1 double").where(F.greatest("p0", "p1", 1 - F.col("p0"), 1 - F.col("p1")) >= sure), f"round{turn}")
+        scored = scratch.stage(free.select("x", "m", "row", "lot").mapInPandas(freed(score), "row long, lot long, p0 double, p1 double").where(F.greatest("p0", "p1", 1 - F.col("p0"), 1 - F.col("p1")) >= sure), f"round{turn}")
         out = []
         for k, other in ((0, 1), (1, 0)):
-            draws = []
+            draws, own = [], _sigmoid(dense[k][held] @ logits[k][:-1] + logits[k][-1])
             for label, p, part in ((1.0, F.col(f"p{k}"), rate), (0.0, 1 - F.col(f"p{k}"), 1 - rate)):
-                drawn = scored.where(p >= sure).orderBy(F.xxhash64("row", F.lit(turn), F.lit(k)), "row").limit(max(1, round(told * part)))
+                drawn = scored.where(p >= sure if borne_out(own, label) else F.lit(False)).orderBy(F.xxhash64("lot", F.lit(turn), F.lit(k)), "lot", "row").limit(max(1, round(told * part)))
                 draws.append(drawn.select("row", F.lit(label).alias("label")))
             taught = every.join(F.broadcast(draws[0].unionByName(draws[1])), "row").select("row", "label", "xm"[other]).toPandas().sort_values("row")
             out.append((_dense(taught["xm"[other]], widths[other]), taught["label"].to_numpy(np.float64)))
