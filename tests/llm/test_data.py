@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voxlattice.llm.common import Scratch
-from voxlattice.llm.mixing import mix_sources, mixing_plan, split
+from voxlattice.llm.mixing import mix_sources, mixing_plan, split, targets
 from voxlattice.llm.packing import best_fit_packing, best_two_fit, cut
 from voxlattice.llm.topk import exact_top_k
 from voxlattice.llm.warc import Archive, parse, record, sort_key, url_key
@@ -108,6 +108,26 @@ def test_splitting_tree_is_exact(spark):
     assert max(by_shard.values()) - min(by_shard.values()) <= 3 and len(by_shard) == 7
 
 
+@pytest.mark.parametrize("sizes, wanted", [([20] * 6, [10, 20, 30, 10, 20, 30]), ([100, 100, 7, 100, 100, 7], None), ([20] * 30, [10, 20, 30] * 10), ([1, 1000, 1000], None)])
+def test_targets_share_all_words_where_sources_tie(spark, sizes, wanted):
+    table = spark.createDataFrame([(f"s{i:02}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+    got = [r["target"] for r in targets(table, (1, 2, 3), 3).orderBy("source").collect()]
+    assert sum(got) == pytest.approx(sum(sizes))
+    weights = [1 + i % 3 for i in range(len(sizes))]
+    free = [t / w for t, w, n in zip(got, weights, sizes, strict=True) if t < 3 * n - 1e-9]
+    assert all(t <= 3 * n + 1e-9 for t, n in zip(got, sizes, strict=True)) and max(free) - min(free) < 1e-9
+    if wanted:
+        assert got == pytest.approx(wanted)
+
+
+def test_columns_of_any_name_stay(spark):
+    names = ["size", "source_size", "target", "bound", "fit", "part", "whole", "shards", "mix_hash", "mix_block", "words", "level", "score", "kept", "_id"]
+    docs = spark.createDataFrame([(i, "a b c", "xy"[i % 2]) for i in range(40)], "doc_id long, text string, source string").withColumns({c: F.lit(f"own {c}") for c in names})
+    mixed = mix_sources(docs)
+    assert mixed.columns == docs.columns
+    assert all(r[c] == f"own {c}" for r in mixed.collect() for c in names) and mixed.count() > 20
+
+
 def test_mixing_reaches_targets_and_reruns_agree(spark):
     rows = [(i, " ".join(["w"] * int(RNG.integers(0, 60))), ["a", "b", "c", None][min(3, int(RNG.integers(0, 9)))]) for i in range(1500)]
     rows += [(1, None, "a"), (1, "w w", "a"), (None, "w", "tiny"), (None, "w", "tiny")]

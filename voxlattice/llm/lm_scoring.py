@@ -369,7 +369,7 @@ def fit(train: DataFrame, inventory: attention.Inventory, kind: str, n_ids: int,
 
     # The start: a bounded part of the ids, chosen by hash, in one task.
     few = max(1, round(n_ids / START_IDS))
-    first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).coalesce(1), attention.fresh(), 0.05, 128, "first")
+    first, _ = trained(train.where(F.pmod(F.xxhash64("digest", "id"), F.lit(few)) == 0).repartition(1), attention.fresh(), 0.05, 128, "first")
     return told, trained(train, first, 0.02, 4096, "models")[0]
 
 

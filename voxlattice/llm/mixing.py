@@ -44,8 +44,9 @@ def targets(sources: DataFrame, weights: tuple[int, ...], most: int) -> DataFram
     stopped = F.coalesce(F.sum("bound").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     left = F.sum("weight").over(rising.rowsBetween(0, Window.unboundedFollowing))
     out = out.withColumn("words", F.sum("source_size").over(everything)).withColumn("level", (F.col("words") - stopped) / left)
-    # The first source that its share does not stop sets the level for all after it.
-    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("bound"), F.struct(F.col("bound") / F.col("weight"), "level"))).over(everything)["level"]
+    # The first source that its share does not stop sets the level for all after it; of those alike in bound / weight, too.
+    out = out.withColumn("turn", F.row_number().over(rising))
+    level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("bound"), F.struct("turn", "level"))).over(everything)["level"]
     share = F.when(level.isNull(), F.col("bound")).otherwise(F.least(F.col("bound"), level * F.col("weight")))
     return out.withColumn("target", share.cast("double")).select("source", "source_size", "target")
 
@@ -196,15 +197,18 @@ def mixing_plan(
 
 
 def mix_sources(docs: DataFrame, shards: int = 16, seed: str = "mix", part_words: int = PART_WORDS, **options) -> DataFrame:
-    """The mix: the columns of docs, a row as often as it is taken. Each shard has partitions of its own, as many as its
-    words ask for; within a shard rows stand in the order of a keyed hash."""
+    """The mix: the columns of docs, whatever their names, a row as often as it is taken. Each shard has partitions of its
+    own, as many as its words ask for; within a shard rows stand in the order of a keyed hash."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    plan = mixing_plan(docs, scratch, shards=shards, seed=seed, **options)
+    # A row travels as one column: no name of its columns meets one of the plan's.
+    named = {c: options.pop(c, d) for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))}
+    rows = docs.select(F.struct(*docs.columns).alias("mix_row"), *[F.col(v).alias(f"mix_{k}") for k, v in named.items()])
+    plan = mixing_plan(rows, scratch, shards=shards, seed=seed, **{k: f"mix_{k}" for k in named}, **options)
     # What is taken is known before any text moves: all sizes, near enough.
     total = scratch.read("sizes").agg(F.sum("size")).first()[0] or 0
     each = max(1, -(-total // (part_words * shards)))
-    mixed = plan.select(*docs.columns, "mix_hash", F.posexplode("shards").alias("mix_take", "mix_shard"))
+    mixed = plan.select("mix_row", "mix_hash", F.posexplode("shards").alias("mix_take", "mix_shard"))
     mixed = mixed.withColumn("mix_order", uniform(F.lit(seed), F.col("mix_hash"), F.col("mix_take")))
     # A shard's partitions are stretches of its order, and each has its number.
     part = F.col("mix_shard") * each + F.least((F.col("mix_order") / (float(1 << 60) / each)).cast("int"), F.lit(each - 1))
-    return mixed.repartitionById(shards * each, part).sortWithinPartitions("mix_order").select(*docs.columns)
+    return mixed.repartitionById(shards * each, part).sortWithinPartitions("mix_order").select("mix_row.*")

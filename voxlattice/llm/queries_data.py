@@ -55,10 +55,10 @@ s0 as (
 s1 as (select *, 1 + no % 3 as w, 3 * source_size as most from s0),
 s2 as (
   select *, coalesce(sum(most) over (r rows between unbounded preceding and 1 preceding), 0) as stopped,
-    sum(w) over (r rows between current row and unbounded following) as ws, sum(source_size) over () as total
+    sum(w) over (r rows between current row and unbounded following) as ws, sum(source_size) over () as total, row_number() over r as turn
   from s1 window r as (order by most / w, source is null, source)),
 s3 as (select *, cast(total - stopped as double) / cast(ws as double) as level from s2),
-s4 as (select *, (select arg_min(level, most / w) from s3 where level * w <= most) as l from s3),
+s4 as (select *, (select arg_min(level, turn) from s3 where level * w <= most) as l from s3),
 s as (
   select source, source_size, no, case when l is null then cast(most as double) else least(cast(most as double), l * w) end as target from s4),
 s5 as (
