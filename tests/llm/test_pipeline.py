@@ -3,11 +3,13 @@
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from voxlattice.llm.surrogates import find
 
 DATA = "/root/testdata/sf0.001"
+CLASHING = ["size", "target", "source_size", "bound", "score", "text_score", "kept", "label_id", "good", "_id", "_digest", "digest", "row", "mix_hash"]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -43,12 +45,14 @@ def test_stages_on_odd_rows(spark, tmp_path, empty):
     rows += [(None, None, None, None, None), (2, "", "en", "web", 0), (3, " \n ", "de", "book", 3), (4, long, "en", "book", len(long)), (5, long + " end", "en", "book", len(long) + 4)]
     rows += [(None, "mail a.b@example.com of Mr. John Smith", None, "web", 1), (6, "mail a.b@example.com of Dr. John Smith", "en", "web", 1)]
     docs = spark.createDataFrame([] if empty else rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumns({c: F.lit(f"own {c}") for c in CLASHING})
     kept = {}
     for name, stage in corpus_pipeline.STAGES:
         stage(spark, docs, DATA).write.parquet(str(tmp_path / name))
         docs = kept[name] = spark.read.parquet(str(tmp_path / name))
     names = list(kept)
-    assert all(kept[n].columns == COLUMNS for n in names[:-1])
+    assert all(kept[n].columns == [*COLUMNS, *CLASHING] for n in names[:-1])
+    assert all(r[c] == f"own {c}" for n in names[:-1] for r in kept[n].collect() for c in CLASHING)
     if empty:
         assert not any(kept[n].count() for n in names)
         return

@@ -319,7 +319,7 @@ def _sparse_logits(packed, w: np.ndarray) -> np.ndarray:
 
 
 def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", meta_cols: tuple[str, ...] = ("source", "lang"), length_col: str = "n_chars", threshold: float = 0.5) -> DataFrame:
-    """The columns of docs and text_score, metadata_score, score, kept."""
+    """The columns of docs and text_score, metadata_score, score, kept, which take the place of columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # sizes are fixed by parameters
 
     @F.pandas_udf("text_score double, metadata_score double, score double")
@@ -333,6 +333,7 @@ def score_quality(docs: DataFrame, model: CoTrained, text_col: str = "text", met
         return pd.DataFrame(dict(zip(("text_score", "metadata_score", "score"), both, strict=True)))
 
     q = scored(F.col(text_col), F.col(length_col).cast("double"), *[F.col(c).cast("string") for c in meta_cols])
-    out = docs.withColumn("_quality", q)
-    out = out.select(*docs.columns, *[F.col(f"_quality.{c}").alias(c) for c in ("text_score", "metadata_score", "score")])
-    return out.withColumn("kept", F.col("score") >= threshold)
+    scores = ("text_score", "metadata_score", "score")
+    rest = [c for c in docs.columns if c not in (*scores, "kept")]
+    out = docs.select(F.struct(*rest).alias("row"), q.alias("quality"))
+    return out.select("row.*", *[F.col(f"quality.{c}").alias(c) for c in scores], (F.col("quality.score") >= threshold).alias("kept"))

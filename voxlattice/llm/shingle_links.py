@@ -335,11 +335,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_
     stays = (F.col("id") == F.col("owner.rep")) & (F.col("digest") == F.col("owner.digest"))
     gone = linked.where(~stays).select(F.col("id").alias("_id"), F.col("digest").alias("_digest")).distinct()
     own = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
-    rest = docs.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (own == F.col("_digest")), "left_anti")
+    # A row travels as one column: no name of its columns meets one of ours.
+    every = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("row_id"), own.alias("row_digest"))
+    same = (F.col("row_id") == F.col("_id")) & (F.col("row_digest") == F.col("_digest"))
+    rest = every.join(gone, same, "left_anti")
     again = scratch.stage(linked.where(stays).groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).count().where("count > 1").drop("count"), "again")
     if not again.limit(1).count():
-        return rest
+        return rest.select("row.*")
     # Rows equal in id and text: one of them stays.
-    same = (F.col(id_col).cast("long") == F.col("_id")) & (own == F.col("_digest"))
-    one = rest.join(again, same).dropDuplicates(["_id", "_digest"]).select(*docs.columns)
-    return rest.join(again, same, "left_anti").unionByName(one)
+    one = rest.join(again, same).dropDuplicates(["_id", "_digest"]).select("row.*")
+    return rest.join(again, same, "left_anti").select("row.*").unionByName(one)
