@@ -25,8 +25,10 @@ from voxlattice.llm.surrogates import replace_entities
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("kept").select(*docs.columns)
+    seen = docs.select("doc_id", "text", "source", "lang", "n_chars")
+    model = fit_quality(seen, table(spark, sf_dir, "labels"))
+    rows = docs.select(F.struct(*docs.columns).alias("whole_row"), *seen.columns)
+    return score_quality(rows, model).where("kept").select("whole_row.*")
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
