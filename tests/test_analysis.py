@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from voxlattice.operators import advanced, pair
 from voxlattice.operators.fusion import FEATURES, FINAL
 from voxlattice.operators.order_statistics import order_statistics
+from voxlattice.operators.signal import PrefixQuantile, runs
 
 AUDIO = "struct<sample_rate: int, samples: array<double>>"
 RATE = 48_000
@@ -116,3 +117,17 @@ def test_order_statistics(spark):
     spread = order_statistics(spark.range(5000).select((F.col("id") * 37 % 5000).alias("v")), [], "v", {"q": 0.33}).collect()
     assert [r["q"] for r in spread] == [int(0.33 * 4999)]
     assert order_statistics(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
+
+
+def test_runs_tell_the_quantile_of_all_frames_so_far():
+    rng = np.random.default_rng(8)
+    for q in (0.0, 0.5, 0.9, 1.0):
+        own, seen = PrefixQuantile(q), []
+        for v in rng.integers(0, 20, 300).tolist():
+            own.add(v)
+            seen.append(v)
+            assert own.value == sorted(seen)[int(q * (len(seen) - 1))]
+    assert runs([], 0.5) == [] and runs([0.1, 0.2], 0.5) == [] and runs([0.9], 0.5) == [(0, 1, 1.0)]
+    assert runs([0.1, 0.9, 0.8, 0.2, 0.3, 0.7], 0.5) == [(1, 2, 0.8), (5, 1, 1.0)]
+    many = np.where(np.arange(1_000_000) % 10 == 0, 0.9, 0.1)
+    assert len(runs(many.tolist(), 0.5)) == 100_000

@@ -3,13 +3,16 @@ bounded length (a recording's bands or hours); what grows with the corpus is the
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from voxlattice.functions.columns import clamp, cosine, db, dot, quantile_floor, slope, total
+from voxlattice.functions.columns import clamp, cosine, db, dot, slope, total
 
 
 def unit_sum(a: Column) -> Column:
@@ -123,20 +126,56 @@ def best_lag(correlations: DataFrame, keys: list[str]) -> DataFrame:
     return correlations.groupBy(*keys).agg(best).select(*keys, (-F.col("best.m")).alias("lag"), F.col("best.c").alias("c"))
 
 
+class PrefixQuantile:
+    """The value at place floor(q (n - 1)) of the sorted values so far, for a growing n: two heaps that meet there."""
+
+    def __init__(self, q: float):
+        self.q, self.low, self.high = q, [], []  # low: negated, up to and with the wanted place
+
+    def add(self, value: float) -> None:
+        if self.low and value < -self.low[0]:
+            heapq.heappush(self.low, -value)
+        else:
+            heapq.heappush(self.high, value)
+        wanted = int(self.q * (len(self.low) + len(self.high) - 1)) + 1
+        while len(self.low) > wanted:
+            heapq.heappush(self.high, -heapq.heappop(self.low))
+        while len(self.low) < wanted:
+            heapq.heappush(self.low, -heapq.heappop(self.high))
+
+    @property
+    def value(self) -> float:
+        return -self.low[0]
+
+
+def runs(q: Iterable[float], threshold: float) -> list[tuple[int, int, float]]:
+    """(first, frames, severity) of each run over the threshold, in one pass over a key's frames."""
+    so_far, out, first = PrefixQuantile(0.9), [], None
+    i = -1
+    for i, value in enumerate(q):
+        so_far.add(value)
+        if value > threshold:
+            first = i if first is None else first
+        elif first is not None:
+            out.append((first, i - first, min(1.0, max(0.0, so_far.value))))
+            first = None
+    return out if first is None else [*out, (first, i + 1 - first, 1.0)]
+
+
 def events(frames: DataFrame, keys: list[str], threshold: float = 0.58) -> DataFrame:
     """Runs of frames over the threshold (frames: keys, i consecutive from 0, q): first, frames, severity. The severity
-    is the 0.9 quantile of all frames up to the one that closes the run, 1 for a run that stays open."""
-    order = W.partitionBy(*keys).orderBy("i")
-    bad = F.col("q") > threshold
-    marked = frames.withColumn("run", F.col("i") - F.sum(bad.cast("int")).over(order)).withColumn("ends", F.lead("i").over(order).isNull())
-    runs = marked.where(bad).groupBy(*keys, "run").agg(F.min("i").alias("first"), F.count("*").alias("frames"), F.max("i").alias("last"), F.max("ends").alias("open"))
-    # One array of frames a key, and one of runs: each run looks at the beginning of the same array.
-    told = runs.groupBy(*keys).agg(F.collect_list(F.struct("first", "frames", "last", "open")).alias("runs"))
-    heard = frames.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("all"))
-    upto = lambda r: F.slice("all", F.lit(1), (r["last"] + 2).cast("int"))
-    severity = lambda r: F.when(r["open"], 1.0).otherwise(clamp(quantile_floor(upto(r), 0.9)))
-    judged = F.transform("runs", lambda r: F.struct(r["first"].alias("first"), r["frames"].alias("frames"), severity(r).alias("severity")))
-    return told.join(heard, keys).select(*keys, F.explode(judged).alias("e")).select(*keys, "e.*")
+    is the 0.9 quantile of all frames up to the one that closes the run, 1 for a run that stays open. A key's frames are
+    those of one recording; they pass once, and the quantile goes along."""
+    kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
+
+    def told(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        found = runs(part.sort_values("i")["q"].tolist(), threshold)
+        columns = {k: [v] * len(found) for k, v in zip(keys, key, strict=True)}
+        return pd.DataFrame(columns | {"first": [f for f, _, _ in found], "frames": [n for _, n, _ in found], "severity": [s for _, _, s in found]})
+
+    # Keys without a bad frame have no run: only the others go to Python.
+    bad = frames.where(F.col("q") > threshold).select(*keys).distinct()
+    return frames.select(*keys, "i", "q").join(bad, keys, "left_semi").groupBy(*keys).applyInPandas(told, f"{kinds}, first long, frames long, severity double")
 
 
 __all__ = ["asymmetry", "bandwidth", "best_lag", "blocks", "compare_frame", "cosine", "dft_power", "dot", "events", "lag_correlation", "log_band_energies", "tilt", "unit_sum"]
