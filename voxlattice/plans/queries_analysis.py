@@ -6,8 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from voxlattice.functions.columns import dot
 from voxlattice.operators import advanced, pair
 from voxlattice.operators.evaluate import r6
+from voxlattice.operators.resample import resampled
 from voxlattice.session import staged
 from voxlattice.sources.lenses import read
 
@@ -60,7 +62,14 @@ def feature_map(spark, d):
     return pair.feature_rows(results, experts)
 
 
-QUERIES = {f.__name__: f for f in (advanced_diagnostics, resolution_frames, analyze_recordings, feature_map)}
+def rational_resample(spark, d):
+    """Conversations' sides at 147 to 160 of their rate, as from 48 to 44.1 kHz: their lengths, levels before and after."""
+    sides = _recordings(spark, d).select("pair_id", F.col("ref.samples").alias("x")).withColumn("y", resampled(F.col("x"), 147, 160))
+    level = lambda c: F.when(F.size(c) > 0, r6(F.sqrt(dot(F.col(c), F.col(c)) / F.size(c))))
+    return sides.select("pair_id", F.size("x").alias("before"), F.size("y").alias("after"), level("x").alias("rms"), level("y").alias("rms_after"))
+
+
+QUERIES = {f.__name__: f for f in (advanced_diagnostics, resolution_frames, analyze_recordings, feature_map, rational_resample)}
 
 _FRAMES = """t as (
   select conv_id as pair_id, conv_id % 7 - 3 as delay, hex(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'user'), '')) as hu,
