@@ -232,3 +232,17 @@ def test_identity_scores_high_and_damage_lower(spark):
     assert got["clip"]["mos"] < got["same"]["mos"] and got["clip"]["clipping_ratio"] > 0.001
     assert got["noise"]["mos"] < got["same"]["mos"]
     assert abs(got["late"]["delay_ms"] - 200) <= 15
+
+
+def test_truncating_reader(spark, tmp_path):
+    import struct
+
+    pairs = [(1, 2), (-1, -2), (-3, 0), (32767, 32767), (-32768, -32767), (5, 5)]
+    body = b"".join(struct.pack("<hh", *p) for p in pairs)
+    stereo = b"RIFF" + struct.pack("<I", 36 + len(body)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 2, 8000, 32000, 4, 16) + b"data" + struct.pack("<I", len(body)) + body
+    assert (files.decode_wav(stereo, truncating=True)[1] * 32768).tolist() == [1, -1, -1, 32767, -32767, 5]
+    assert (files.decode_wav(stereo)[1] * 32768).tolist() == [1.5, -1.5, -1.5, 32767, -32767.5, 5]
+    (tmp_path / "a.wav").write_bytes(stereo)
+    (tmp_path / "b.wav").write_bytes(stereo[:20] + struct.pack("<HHIIHH", 3, 2, 8000, 64000, 8, 32) + stereo[36:])
+    got = {r["path"].rpartition("/")[2]: r["wav"] for r in files.read_wavs(spark, f"file://{tmp_path}", truncating=True).collect()}
+    assert [round(x * 32768) for x in got["a.wav"]["samples"]] == [1, -1, -1, 32767, -32767, 5] and got["b.wav"]["error"] == "WAV must be PCM16"

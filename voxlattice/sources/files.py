@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 WAV = "struct<sample_rate: int, samples: array<float>, error: string>"
 
 
-def decode_wav(data: bytes) -> tuple[int | None, np.ndarray | None, str | None]:
-    """Rate, mono samples and no error; or what is wrong. PCM16 and IEEE float32 alone; channels are averaged."""
+def decode_wav(data: bytes, truncating: bool = False) -> tuple[int | None, np.ndarray | None, str | None]:
+    """Rate, mono samples and no error; or what is wrong. PCM16 and IEEE float32 alone; channels are averaged. Truncating:
+    PCM16 alone, and a mean of channels is cut to a whole 16-bit value, towards zero."""
     if len(data) < 12 or data[:4] != b"RIFF" or data[8:12] != b"WAVE":
         return None, None, "invalid WAV"
     at, form, body = 12, None, None
@@ -31,8 +32,11 @@ def decode_wav(data: bytes) -> tuple[int | None, np.ndarray | None, str | None]:
     kind, channels, rate, *_, bits = form
     if (kind, bits) not in ((1, 16), (3, 32)):
         return None, None, "WAV must be PCM16 or IEEE float32"
+    if truncating and bits != 16:
+        return None, None, "WAV must be PCM16"
     flat = np.frombuffer(body[: len(body) // (bits // 8 * channels) * (bits // 8 * channels)], "<i2" if bits == 16 else "<f4").astype(np.float64)
-    samples = flat.reshape(-1, channels).mean(1) / (32768 if bits == 16 else 1)
+    mono = flat.reshape(-1, channels).sum(1) / channels
+    samples = (np.trunc(mono) if truncating else mono) / (32768 if bits == 16 else 1)
     return rate, samples.astype(np.float32), None
 
 
@@ -42,12 +46,12 @@ def encode_wav(samples: np.ndarray, rate: int) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
-def read_wavs(spark: SparkSession, path: str) -> DataFrame:
+def read_wavs(spark: SparkSession, path: str, truncating: bool = False) -> DataFrame:
     """path, wav (rate, samples, error) of all WAV files below a folder; broken files are rows with an error."""
 
     @F.pandas_udf(WAV)
     def decoded(content: pd.Series) -> pd.DataFrame:
-        rows = [decode_wav(bytes(x)) for x in content]
+        rows = [decode_wav(bytes(x), truncating) for x in content]
         return pd.DataFrame({"sample_rate": pd.array([r[0] for r in rows], "Int32"), "samples": [None if r[1] is None else r[1].tolist() for r in rows], "error": [r[2] for r in rows]})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(path)
