@@ -275,11 +275,12 @@ def stream_plc_frames(spark, d):
     return playout.frames(live.in_turn(spark, slices, playout.played, folder)).select("ssrc", "seq", "state", r6(F.col("out")).alias("out"))
 
 
-_LINES = ["# comment", "", "bias=0.05", "missing=1.5", "no number here", "other=3", "missing=1.25", " added = 0.7 "]
-
-
 def calibration_kv_parse(spark, d):
-    return files.calibration(files.numbered_lines(spark, _LINES), BASE)
+    """Parts as the lines of a calibration: keys and prices, some of them comments, blanks, other keys, or without a value."""
+    key = F.get(F.array(*[F.lit(k) for k in [*list(BASE)[:-1], "other"]]), (F.col("p_partkey") % len(BASE)).cast("int"))
+    kind = F.col("p_partkey") % 13
+    line = F.when(kind == 0, F.lit("# missing=9")).when(kind == 1, F.lit(" ")).when(kind == 2, F.lit("no number here")).otherwise(F.concat(F.lit(" "), key, F.lit(" = "), F.col("p_retailprice").cast("string")))
+    return files.calibration(read(spark, d, "part").select(F.col("p_partkey").alias("line_no"), line.alias("value")), BASE)
 
 
 def csv_manifest_roundtrip(spark, d):
@@ -291,9 +292,13 @@ def csv_manifest_roundtrip(spark, d):
 
 def model_json_scan(spark, d):
     folder = _folder(spark)
-    model = spark.range(1).select(F.array(F.lit("base"), F.lit("echo")).alias("features"), F.array(F.lit("__max")).alias("derived_names"), F.array(F.lit(0.0), F.lit(0.3)).alias("knots"), F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: x / 10.0).alias("weights"))
+    named = lambda *names: F.array(*[F.concat("p_type", F.lit(f".{x}")) for x in names])
+    weights = F.array(*[F.coalesce(F.avg(F.when(F.col("p_size") % 6 == k, F.col("p_retailprice"))), F.lit(0.0)) for k in range(6)])
+    model = read(spark, d, "part").groupBy("p_type").agg(weights.alias("weights"))
+    model = model.select(named("base", "echo").alias("features"), named("__max").alias("derived_names"), F.array(F.lit(0.0), F.lit(0.3)).alias("knots"), "weights")
     model.write.json(f"{folder}/model")
-    return files.model_terms(spark.read.schema("features array<string>, derived_names array<string>, knots array<double>, weights array<double>").json(f"{folder}/model"))
+    terms = files.model_terms(spark.read.schema("features array<string>, derived_names array<string>, knots array<double>, weights array<double>").json(f"{folder}/model"))
+    return terms.select("feature", "knot", r6(F.col("weight")).alias("weight"))
 
 
 def report_json(spark, d):
@@ -310,17 +315,18 @@ def result_json_roundtrip(spark, d):
 
 
 def wav_decode_roundtrip(spark, d):
-    """Recordings encoded, decoded and measured: the error stays under a step of 16 bits."""
-    @F.pandas_udf("double")
-    def error(user: pd.Series) -> pd.Series:
+    """Texts as recordings of 8 bits, encoded, decoded and measured: the error stays under a step of 16 bits."""
+    @F.pandas_udf("samples long, exact boolean")
+    def measured(content: pd.Series) -> pd.DataFrame:
         out = []
-        for u in user:
-            x = 0.5 * np.sin(np.arange(800) * (u + 1) / 40)
+        for data in content:
+            x = (np.frombuffer(data, np.uint8) - 128.0) / 128
             rate, back, problem = files.decode_wav(files.encode_wav(x, 16000))
-            out.append(float(np.abs(back - x).max()) if rate == 16000 and problem is None else 1.0)
-        return pd.Series(out)
+            out.append((len(back), rate == 16000 and problem is None and bool((np.abs(back - x) <= 1 / 32768).all())))
+        return pd.DataFrame(out, columns=["samples", "exact"])
 
-    return spark.range(50).select(F.col("id").alias("recording"), (error("id") <= 1 / 32768).alias("exact"))
+    whole = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
+    return read(spark, d, "documents").select(F.col("doc_id").alias("recording"), measured(whole).alias("m")).select("recording", "m.*")
 
 
 def _analysed(spark, scenarios):
@@ -374,7 +380,8 @@ def bom_csv_scan(spark, d):
 def calibration_sink(spark, d):
     """A fit's weights and figures written as key=value lines, and read again."""
     folder = _folder(spark)
-    weights = spark.createDataFrame([(k, v / 3) for k, v in BASE.items()], "key string, value double")
+    key = F.get(F.array(*[F.lit(k) for k in BASE]), (F.col("p_partkey") % len(BASE)).cast("int"))
+    weights = read(spark, d, "part").groupBy(key.alias("key")).agg((F.avg("p_retailprice") / 3000).alias("value"))
     files.write_calibration(weights, {"training_rmse": 0.25, "training_pearson": 2 / 3}, f"{folder}/calibration")
     lines = spark.read.text(f"{folder}/calibration").withColumn("line_no", F.lit(0))
     return files.calibration(lines, {k: 0.0 for k in BASE})
@@ -445,6 +452,7 @@ _FREEZE = f"""select user_id, round({_Q.format(x='f', q=0.9)}, 6) as freeze from
   select *, lag(x) over (partition by user_id order by i) as x0, lag(y) over (partition by user_id order by i) as y0 from al) where x0 is not null) where nr > 0.08) group by 1"""
 _RATIO = "select user_id, round(max(gain), 6) as gain, round(sqrt(sum(res * res) / (sum(y * y) + 1e-12)), 6) as ratio from re group by 1"
 
+_KEYS = "(values " + ", ".join(f"({i}, '{k}', {v}e0)" for i, (k, v) in enumerate(BASE.items())) + ") t(k, key, fallback)"
 SQL = {
     "vad_filter": f"with {_FRAMES} select user_id, count(*) filter (where active) as active, count(*) as frames from f group by 1",
     "frame_aggregates": f"with {_FRAMES} select user_id, round(avg(q), 6) as mean, round({_Q.format(x='q', q=0.9)}, 6) as q90 from f where active group by 1",
@@ -490,18 +498,19 @@ SQL = {
         select ssrc, count(*) as frames, round(sum(out), 6) as total from o group by 1""",
     "erb_loudness": f"with {SPECTRA}, g as (select id, {_erb_bands(64, 16000.0, 8)} as e from p) select id, cast(unnest(range(8)) as integer) as band, round(unnest(e), 6) as loudness from g",
     "bom_csv_scan": f"with {MANIFEST} select family, condition, round(avg(truth), 6) as truth from m group by 1, 2",
-    "calibration_sink": "select * from (values " + ", ".join(f"('{k}', {v / 3:.9f}e0)" for k, v in BASE.items()) + ") t(key, value)",
+    "calibration_sink": "select key, round(coalesce(avg(p_retailprice) / 3000, 0), 9) as value from " + _KEYS + " left join part on p_partkey % 10 = k group by key",
     "lab_gates": f"""with {_STATE}, lg1 as (select ssrc, 100e0 * count(*) filter (where state <> 'ok') / count(*) as percent from st group by 1),
         lg2 as (select case ssrc % 3 when 0 then 'clean' when 1 then 'loss1' else 'loss10' end as scenario, case ssrc % 3 when 0 then 0e0 when 1 then percent / 10 else percent end as loss from lg1),
         lg3 as (select *, least(5e0, greatest(1e0, 4.5e0 - loss / 20)) as mos from lg2),
         lg4 as (select avg(mos) filter (where scenario = 'clean') as c, max(loss) filter (where scenario = 'clean') as z, avg(mos) filter (where scenario = 'loss10') - avg(mos) filter (where scenario = 'loss1') as d from lg3)
         select 'clean_mos' as gate, round(c, 6) as value, c >= 4.4 as passed from lg4 union all select 'clean_loss', round(z, 6), z = 0 from lg4 union all select 'loss_order', round(d, 6), d <= 0.15 from lg4""",
-    "calibration_kv_parse": "select * from (values ('bias', 0.05e0), ('missing', 1.25e0), ('added', 0.7e0), ('coloration', 0.45e0), ('noisiness', 0.55e0), ('discontinuity', 0.95e0), ('loudness', 0.35e0), ('clipping', 0.65e0), ('bad_section', 0.8e0), ('expert', 1e0)) t(key, value)",
+    "calibration_kv_parse": "select key, coalesce(arg_max(p_retailprice, p_partkey), any_value(fallback)) as value from " + _KEYS + " left join part on p_partkey % 10 = k and k < 9 and p_partkey % 13 > 2 group by key",
     "csv_manifest_roundtrip": f"with {MANIFEST} select family, condition, round(avg(truth), 6) as truth, round(avg(pred), 6) as pred from m group by 1, 2",
-    "model_json_scan": "select * from (values ('base', 0e0, 0.1e0), ('base', 0.3e0, 0.2e0), ('echo', 0e0, 0.3e0), ('echo', 0.3e0, 0.4e0), ('__max', 0e0, 0.5e0), ('__max', 0.3e0, 0.6e0)) t(feature, knot, weight)",
+    "model_json_scan": """select p_type || '.' || name as feature, knot, round(coalesce(avg(p_retailprice) filter (where p_size % 6 = k), 0), 6) as weight
+        from part, (values (0, 'base', 0e0), (1, 'base', 0.3e0), (2, 'echo', 0e0), (3, 'echo', 0.3e0), (4, '__max', 0e0), (5, '__max', 0.3e0)) t(k, name, knot) group by p_type, k, name, knot""",
     "report_json": f"with {MANIFEST} select family, count(*) as n, round(sqrt(avg((pred - truth) * (pred - truth))), 6) as rmse, round(avg(pred - truth), 6) as bias from m group by 1",
     "result_json_roundtrip": "select case when event_id % 2 = 0 then 'm1' end as model, count(*) as n, round(sum(round(value, 6)), 4) as total from events group by 1",
-    "wav_decode_roundtrip": "select i as recording, true as exact from range(50) t(i)",
+    "wav_decode_roundtrip": "select doc_id as recording, strlen(coalesce(text, '')) as samples, true as exact from documents",
     "session_window_users": """with g as (select user_id, ts, cast(ts - lag(ts) over (partition by user_id order by ts) >= interval 6 hours as int) as fresh from events),
         s as (select user_id, sum(coalesce(fresh, 0)) over (partition by user_id order by ts rows unbounded preceding) as k from g), n as (select user_id, k, count(*) as n from s group by 1, 2)
         select user_id, count(*) as sessions, max(n) as most from n group by 1""",

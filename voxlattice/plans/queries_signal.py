@@ -62,7 +62,7 @@ def bandwidth_class(spark, d):
 
 
 def erb_scale(spark, d):
-    hertz = spark.range(1, 200).select((F.col("id") * 100.0).alias("hertz"))
+    hertz = read(spark, d, "part").select(F.col("p_retailprice").alias("hertz")).distinct()
     return hertz.select("hertz", r6(erb(F.col("hertz"))).alias("erb"), F.round(erb_to_hertz(erb(F.col("hertz"))), 4).alias("back"))
 
 
@@ -76,6 +76,8 @@ def _numbered(spark, d):
 _NUMBERED = f"{SERIES}, z as (select user_id, row_number() over (partition by user_id order by i) - 1 as i, x, count(*) over (partition by user_id) as n from s)"
 
 
+_SIGNAL = f"{_NUMBERED}, y as (select user_id, i, n, (x - 60) / 120e0 as x from z)"
+_PLACES = "o as (select user_id, j, j / {ratio} as place from (select user_id, unnest(range(cast(floor(n * {ratio}) as bigint))) as j from y where i = 0))"
 def hann_dft_power(spark, d):
     return S.dft_power(_numbered(spark, d), ["user_id"], 4).select("user_id", "k", F.round("power", 4).alias("power"))
 
@@ -117,59 +119,62 @@ def linear_resample(spark, d):
     return at.join(pairs, ["user_id", "i"]).select("user_id", "j", r6(F.col("x") + (F.col("y") - F.col("x")) * F.least(F.lit(1.0), F.col("place") - F.col("i"))).alias("x"))
 
 
-def _synthetic(spark, n: int = 400):
-    """A speech-like tone with an envelope, from the row number alone."""
-    t = F.col("id") / 8000.0
-    tone = (0.45 + 0.45 * F.sin(2 * math.pi * 2.7 * t)) * (0.28 * F.sin(2 * math.pi * 180 * t) + 0.16 * F.sin(2 * math.pi * 720 * t))
-    return spark.range(n).select(F.col("id").alias("i"), tone.alias("x"))
+def _signal(spark, d):
+    """Each user's hourly series as samples around 0, some of them beyond 1."""
+    return _numbered(spark, d).withColumn("x", (F.col("x") - 60) / 120)
 
 
-_SYNTH = "y as (select i, (0.45e0 + 0.45e0 * sin(2 * pi() * 2.7e0 * i / 8000e0)) * (0.28e0 * sin(2 * pi() * 180 * i / 8000e0) + 0.16e0 * sin(2 * pi() * 720 * i / 8000e0)) as x from range({n}) t(i))"
+def _places(signal, ratio: float):
+    """user_id, j, place: where the samples of `ratio` times as many lie between those of the signal."""
+    ends = signal.where("i = 0 and floor(n * %r) > 0" % ratio)
+    each = ends.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n") * ratio).cast("long") - 1)))
+    return each.select("user_id", "j", (F.col("j") / ratio).alias("place"))
 
 
 def synth_signal(spark, d):
-    return _synthetic(spark).select("i", F.round("x", 9).alias("x"))
+    """A user's series as the level of two tones under a slow envelope."""
+    t = F.col("i") / 80.0
+    tone = (0.45 + 0.45 * F.sin(2 * math.pi * 2.7 * t)) * (0.28 * F.sin(2 * math.pi * 1.8 * t) + 0.16 * F.sin(2 * math.pi * 7.2 * t))
+    return _signal(spark, d).select("user_id", "i", r6(F.col("x") * tone).alias("x"))
 
 
 def sinc_resample(spark, d):
     """8 to 12 kHz by a Hann-windowed sinc of 32 taps, weights renormalised: an equality join on the taps' places."""
-    ratio, cut = 1.5, 0.94
-    source = _synthetic(spark)
-    out = spark.range(600).select(F.col("id").alias("j"), (F.col("id") / ratio).alias("place"))
-    taps = out.withColumn("tap", F.explode(F.sequence(F.lit(-15), F.lit(16)))).withColumn("i", F.floor("place") + F.col("tap"))
+    cut, source = 0.94, _signal(spark, d)
+    taps = _places(source, 1.5).withColumn("tap", F.explode(F.sequence(F.lit(-15), F.lit(16)))).withColumn("i", F.floor("place") + F.col("tap"))
     away = F.col("place") - F.col("i")
     sinc = F.when(F.abs(away) < 1e-12, cut).otherwise(F.sin(math.pi * cut * away) / (math.pi * away))
     weight = sinc * (0.5 + 0.5 * F.cos(math.pi * away / 16))
-    met = taps.withColumn("w", weight).join(F.broadcast(source), "i")
-    return met.groupBy("j").agg(r6(F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
+    met = taps.withColumn("w", weight).join(source.select("user_id", "i", "x"), ["user_id", "i"])
+    return met.groupBy("user_id", "j").agg(r6(F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
 
 
 def pcm16_scale_downmix_db(spark, d):
-    pcm = _synthetic(spark).select("i", F.round(clamp(F.col("x"), -1, 0.999969) * 32768).cast("int").alias("left")).withColumn("right", F.col("left") - F.col("left") % 7)
+    pcm = _signal(spark, d).withColumn("left", F.round(clamp(F.col("x"), -1, 0.999969) * 32768).cast("int")).withColumn("right", F.col("left") - F.col("left") % 7)
     mono = (F.col("left") / 32768.0 + F.col("right") / 32768.0) / 2
-    return pcm.select("i", F.round(mono, 9).alias("mono"), F.round(db(F.abs(mono)), 5).alias("db"), ((F.col("left") + F.col("right")) / 2).cast("int").alias("truncated"))
+    return pcm.select("user_id", "i", F.round(mono, 9).alias("mono"), F.round(db(F.abs(mono)), 5).alias("db"), ((F.col("left") + F.col("right")) / 2).cast("int").alias("truncated"))
 
 
 def degrade_delay_dropout_clip_gain(spark, d):
-    delayed = _synthetic(spark).select((F.col("i") + 40).alias("i"), "x")
-    gone = F.when((F.col("i") >= 100) & (F.col("i") < 160), 0.0).otherwise(F.col("x"))
-    return delayed.select("i", F.round(clamp(gone * math.pow(10, 6 / 20) * 9, -1, 1), 9).alias("x"))
+    delayed = _signal(spark, d).select("user_id", (F.col("i") + 40).alias("i"), "x")
+    gone = F.when((F.col("i") >= 60) & (F.col("i") < 75), 0.0).otherwise(F.col("x"))
+    return delayed.select("user_id", "i", F.round(clamp(gone * math.pow(10, 6 / 20) * 2, -1, 1), 9).alias("x"))
 
 
 def degrade_onepole(spark, d):
-    """y += a (x - y), in order: one array aggregate over the bounded signal."""
+    """y += a (x - y), in order: one array aggregate over a user's bounded series (an hour a sample)."""
     x = F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"])
-    one = _synthetic(spark, 120).agg(x.alias("x"))
+    each = _signal(spark, d).groupBy("user_id").agg(x.alias("x"))
     step = lambda acc, v: F.struct((acc["y"] + 0.3 * (v - acc["y"])).alias("y"), F.concat(acc["out"], F.array(acc["y"] + 0.3 * (v - acc["y"]))).alias("out"))
     start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<double>").alias("out"))
-    return one.select(F.posexplode(F.aggregate("x", start, step, lambda s: s["out"])).alias("i", "y")).select("i", F.round("y", 9).alias("y"))
+    return each.select("user_id", F.posexplode(F.aggregate("x", start, step, lambda s: s["out"])).alias("i", "y")).select("user_id", "i", F.round("y", 9).alias("y"))
 
 
 def time_scale_resample(spark, d):
-    rows = _synthetic(spark)
-    place = spark.range(int(400 * 1.02)).select(F.col("id").alias("j"), (F.col("id") / 1.02).alias("place")).withColumn("i", F.floor("place"))
-    pairs = rows.select("i", "x", F.coalesce(F.lead("x").over(W.orderBy("i")), "x").alias("y"))
-    return place.join(F.broadcast(pairs), "i").select("j", F.round(F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - F.col("i")), 9).alias("x"))
+    rows = _signal(spark, d)
+    place = _places(rows, 1.02).withColumn("i", F.floor("place"))
+    pairs = rows.select("user_id", "i", "x", F.coalesce(F.lead("x").over(W.partitionBy("user_id").orderBy("i")), "x").alias("y"))
+    return place.join(pairs, ["user_id", "i"]).select("user_id", "j", F.round(F.col("x") + (F.col("y") - F.col("x")) * (F.col("place") - F.col("i")), 9).alias("x"))
 
 
 def _pairs(spark, d):
@@ -185,30 +190,32 @@ def xcorr_delay_argmax(spark, d):
     return S.best_lag(S.lag_correlation(a, b, ["user_id"], 6), ["user_id"]).select("user_id", "lag", r6(F.col("c")).alias("c"))
 
 
-#: Bins of an envelope, and the search radius around nothing and around the global delay.
-_BINS, _WIDE, _LOCAL = 2000, 60, 10
+#: The search radius around nothing and around the global delay.
+_WIDE, _LOCAL = 20, 6
 
 
-def _drifting(spark):
-    """Eight pairs of envelopes (pair, i, x): the second runs late by 10 to 38 bins and drifts by -4000 to 3000 millionths,
-    with a tenth of its level replaced by something else."""
-    rows = spark.range(8).select(F.col("id").alias("pair")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_BINS - 1).cast("long"))))
-    tone = lambda i: (i * i * 31 + i * 17 + F.col("pair") * 13) % 1009 / 1009.0
-    a = rows.select("pair", "i", tone(F.col("i")).alias("x"))
-    from_ = F.col("i") - 10 - 4 * F.col("pair") - F.floor(F.col("i") * (F.col("pair") - 4) / 1000.0).cast("long")
-    b = rows.withColumn("from", from_).where("from >= 0").select("pair", "i", (0.9 * tone(F.col("from")) + 0.1 * ((F.col("i") * F.col("i") * 57 + F.col("i") * 29) % 503 / 503.0)).alias("x"))
-    return a, b
+def _drifting(spark, d):
+    """A supplier's lines as an envelope (pair, i, n, x), and itself late by 4 to 10 bins and drifting by up to 4000
+    millionths either way, with a tenth of its level replaced by something else."""
+    own = W.partitionBy("pair")
+    lines = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("pair"), "l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), "l_discount")
+    lines = lines.withColumn("i", (F.row_number().over(own.orderBy("l_orderkey", "l_linenumber", "x", "l_discount")) - 1).cast("long")).withColumn("n", F.count("*").over(own))
+    a = lines.select("pair", "i", "n", "x")
+    from_ = F.col("i") - 4 - F.col("pair") % 7 - F.floor(F.col("i") * (F.col("pair") % 9 - 4) / 1000.0).cast("long")
+    b = lines.select("pair", F.col("i").alias("at"), from_.alias("i"), "l_discount").join(a.select("pair", "i", "x"), ["pair", "i"])
+    return a, b.select("pair", F.col("at").alias("i"), (0.9 * F.col("x") + 50 * F.col("l_discount")).alias("x"))
 
 
 def delay_and_drift(spark, d):
     """The delay of all, and around it that of each fifth where it correlates; their slope over the fifths' middles."""
-    a, b = _drifting(spark)
-    whole = S.best_lag(S.lag_correlation(a, b, ["pair"], _WIDE), ["pair"]).select("pair", F.col("lag").alias("delay"))
-    parts = a.withColumn("segment", F.floor(F.col("i") * 5 / _BINS).cast("long")).join(F.broadcast(whole), "pair")
+    a, b = _drifting(spark, d)
+    whole = S.best_lag(S.lag_correlation(a.select("pair", "i", "x"), b, ["pair"], _WIDE), ["pair"]).select("pair", F.col("lag").alias("delay"))
+    parts = a.withColumn("segment", F.floor(F.col("i") * 5 / F.col("n")).cast("long")).join(whole, "pair")
     shifted = parts.select("pair", "segment", (F.col("i") + F.col("delay")).alias("i"), "x")  # lags count from the delay of all
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("segment")
     best = S.best_lag(S.lag_correlation(shifted, b.select("pair", each, "i", "x"), ["pair", "segment"], _LOCAL), ["pair", "segment"]).where("c > 0.15")
-    slope = F.coalesce(F.regr_slope(F.col("lag").cast("double"), (F.col("segment") + 0.5) * (_BINS / 5)), F.lit(0.0))
+    best = best.join(a.where("i = 0").select("pair", "n"), "pair")
+    slope = F.coalesce(F.regr_slope(F.col("lag").cast("double"), (F.col("segment") + 0.5) * (F.col("n") / 5)), F.lit(0.0))
     drift = best.groupBy("pair").agg(F.count("*").alias("segments"), r6(F.when(F.count("*") >= 3, clamp(slope * 1e6, -5000, 5000)).otherwise(0.0)).alias("drift"))
     return drift.join(whole, "pair").select("pair", "delay", "segments", "drift")
 
@@ -289,7 +296,7 @@ SQL = {
     "bandwidth_class": f"""with {SPECTRA}, g as (select id, list_transform(list_zip(a, range(64)), lambda t: t[1] * exp(-t[2] * (id % 5) / 4e0)) as a from p),
         h as (select {_share(80)} + 1e-12 as t, {_share(3400)} as x, {_share(7000)} as y, {_share(14000)} as z from g)
         select case when x / t < 0.003 then 'NB' when y / t < 0.003 then 'WB' when z / t < 0.002 then 'SWB' else 'FB' end as class, count(*) as n from h group by 1""",
-    "erb_scale": "select i * 100e0 as hertz, round(21.4e0 * log10(1 + 0.00437e0 * i * 100), 6) as erb, round(i * 100e0, 4) as back from range(1, 200) t(i)",
+    "erb_scale": "select distinct p_retailprice as hertz, round(21.4e0 * log10(1 + 0.00437e0 * p_retailprice), 6) as erb, round(p_retailprice, 4) as back from part",
     "hann_dft_power": f"""with {_NUMBERED}, w as (select *, x * (0.5e0 - 0.5e0 * cos(2 * pi() * i / greatest(1, n - 1))) as h from z),
         g as (select user_id, k, sum(h * cos(2 * pi() * k * i / n)) as re, sum(h * sin(2 * pi() * k * i / n)) as im from w, range(1, 5) t(k) group by all)
         select user_id, cast(k as integer) as k, round(re * re + im * im + 1e-14, 4) as power from g""",
@@ -306,34 +313,37 @@ SQL = {
         j as (select user_id, n, unnest(range(cast(round_even(n * 1.5, 0) as bigint))) as j from z where i = 0),
         k as (select user_id, j, j / 1.5e0 as place, least(cast(floor(j / 1.5e0) as bigint), n - 1) as i from j)
         select k.user_id, j, round(x + (y - x) * least(1e0, place - k.i), 6) as x from k join q on q.user_id = k.user_id and q.i = k.i""",
-    "synth_signal": f"with {_SYNTH.format(n=400)} select i, round(x, 9) as x from y",
-    "sinc_resample": f"""with {_SYNTH.format(n=400)}, o as (select j, j / 1.5e0 as place from range(600) t(j)),
-        t as (select j, place, cast(floor(place) as bigint) + k as i from o, range(-15, 17) t(k)),
-        w as (select j, i, (case when abs(place - i) < 1e-12 then 0.94e0 else sin(pi() * 0.94e0 * (place - i)) / (pi() * (place - i)) end) * (0.5e0 + 0.5e0 * cos(pi() * (place - i) / 16)) as w from t)
-        select j, round(sum(w * x) / sum(w), 6) as x from w join y on w.i = y.i group by j""",
-    "pcm16_scale_downmix_db": f"""with {_SYNTH.format(n=400)}, p as (select i, cast(round(least(0.999969e0, greatest(-1e0, x)) * 32768) as int) as l from y), q as (select i, l, l - l % 7 as r from p),
-        m as (select i, l, r, (l / 32768e0 + r / 32768e0) / 2 as mono from q)
-        select i, round(mono, 9) as mono, round(20 * log10(greatest(abs(mono), 1e-9)), 5) as db, cast(trunc((l + r) / 2e0) as int) as truncated from m""",
-    "degrade_delay_dropout_clip_gain": f"""with {_SYNTH.format(n=400)}, z as (select i + 40 as i, x from y)
-        select i, round(least(1e0, greatest(-1e0, (case when i >= 100 and i < 160 then 0 else x end) * pow(10e0, 0.3e0) * 9)), 9) as x from z""",
-    "degrade_onepole": f"""with recursive {_SYNTH.format(n=120)}, f as (select cast(0 as bigint) as i, 0.3e0 * x as v from y where i = 0
-        union all select f.i + 1, f.v + 0.3e0 * (y.x - f.v) from f join y on y.i = f.i + 1) select cast(i as integer) as i, round(v, 9) as y from f""",
-    "time_scale_resample": f"""with {_SYNTH.format(n=400)}, q as (select *, coalesce(lead(x) over (order by i), x) as z from y), k as (select j, j / 1.02e0 as place, cast(floor(j / 1.02e0) as bigint) as i from range(408) t(j))
-        select j, round(x + (z - x) * (place - k.i), 9) as x from k join q on q.i = k.i""",
+    "synth_signal": f"""with {_SIGNAL} select user_id, i, round(x * (0.45e0 + 0.45e0 * sin(2 * pi() * 2.7e0 * (i / 80e0)))
+        * (0.28e0 * sin(2 * pi() * 1.8e0 * (i / 80e0)) + 0.16e0 * sin(2 * pi() * 7.2e0 * (i / 80e0))), 6) as x from y""",
+    "sinc_resample": f"""with {_SIGNAL}, {_PLACES.format(ratio="1.5e0")},
+        t as (select user_id, j, place, cast(floor(place) as bigint) + k as i from o, range(-15, 17) t(k)),
+        w as (select user_id, j, i, (case when abs(place - i) < 1e-12 then 0.94e0 else sin(pi() * 0.94e0 * (place - i)) / (pi() * (place - i)) end) * (0.5e0 + 0.5e0 * cos(pi() * (place - i) / 16)) as w from t)
+        select w.user_id, j, round(sum(w * x) / sum(w), 6) as x from w join y on w.i = y.i and w.user_id = y.user_id group by 1, 2""",
+    "pcm16_scale_downmix_db": f"""with {_SIGNAL}, p as (select user_id, i, cast(round(least(0.999969e0, greatest(-1e0, x)) * 32768) as int) as l from y), q as (select user_id, i, l, l - l % 7 as r from p),
+        m as (select user_id, i, l, r, (l / 32768e0 + r / 32768e0) / 2 as mono from q)
+        select user_id, i, round(mono, 9) as mono, round(20 * log10(greatest(abs(mono), 1e-9)), 5) as db, cast(trunc((l + r) / 2e0) as int) as truncated from m""",
+    "degrade_delay_dropout_clip_gain": f"""with {_SIGNAL}, k as (select user_id, i + 40 as i, x from y)
+        select user_id, i, round(least(1e0, greatest(-1e0, (case when i >= 60 and i < 75 then 0 else x end) * pow(10e0, 0.3e0) * 2)), 9) as x from k""",
+    "degrade_onepole": f"""with recursive {_SIGNAL}, f as (select user_id, cast(0 as bigint) as i, 0.3e0 * x as v from y where i = 0
+        union all select f.user_id, f.i + 1, f.v + 0.3e0 * (y.x - f.v) from f join y on y.i = f.i + 1 and y.user_id = f.user_id) select user_id, cast(i as integer) as i, round(v, 9) as y from f""",
+    "time_scale_resample": f"""with {_SIGNAL}, q as (select *, coalesce(lead(x) over (partition by user_id order by i), x) as z from y), {_PLACES.format(ratio="1.02e0")}
+        select o.user_id, j, round(x + (z - x) * (place - i), 9) as x from o join q on q.i = cast(floor(place) as bigint) and q.user_id = o.user_id""",
     "xcorr_delay_argmax": f"""with {_PAIR}, {_LAG.format(k='a.user_id', a='a', r=6, least=8)}, r as (select *, row_number() over (partition by user_id order by c desc, lag) as k from d)
         select user_id, cast(lag as integer) as lag, round(c, 6) as c from r where k = 1""",
-    "delay_and_drift": """with r as (select p as pair, i from range(8) t(p), range(2000) u(i)),
-        a as (select pair, i, ((i * i * 31 + i * 17 + pair * 13) % 1009) / 1009e0 as x from r),
-        f as (select pair, i, i - 10 - 4 * pair - cast(floor(i * (pair - 4) / 1000e0) as bigint) as k from r),
-        b as (select pair, i, 0.9e0 * (((k * k * 31 + k * 17 + pair * 13) % 1009) / 1009e0) + 0.1e0 * (((i * i * 57 + i * 29) % 503) / 503e0) as x from f where k >= 0),
+    "delay_and_drift": """with r as (select l_suppkey as pair, l_quantity as x, l_discount as u, row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber, l_quantity, l_discount) - 1 as i,
+          count(*) over (partition by l_suppkey) as n from lineitem),
+        f as (select pair, i, u, i - 4 - pair % 7 - cast(floor(i * (pair % 9 - 4) / 1000e0) as bigint) as k from r),
+        b as (select f.pair, f.i, 0.9e0 * r.x + 50 * f.u as x from f join r on r.pair = f.pair and r.i = f.k),
+        al as (select pair, i, n, x, unnest(range(-20, 21)) as lag from r),
         c as (select a.pair, lag, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 9) as c
-          from a, range(-60, 61) l(lag), b where a.pair = b.pair and b.i = a.i + lag group by all having count(*) >= 8),
+          from al a join b on a.pair = b.pair and b.i = a.i + lag group by all having count(*) >= 8),
         w as (select pair, lag as delay from (select *, row_number() over (partition by pair order by c desc, lag) as k from c) where k = 1),
-        e as (select a.pair, a.i // 400 as segment, lag, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 9) as c
-          from a join w on a.pair = w.pair, range(-10, 11) l(lag), b where a.pair = b.pair and b.i = a.i + delay + lag group by all having count(*) >= 8),
+        sl as (select r.pair, cast(floor(r.i * 5 / n) as bigint) as segment, n, r.i + delay as i, x, unnest(range(-6, 7)) as lag from r join w on r.pair = w.pair),
+        e as (select a.pair, segment, any_value(n) as n, lag, round(sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)), 9) as c
+          from sl a join b on a.pair = b.pair and b.i = a.i + lag group by a.pair, segment, lag having count(*) >= 8),
         g as (select * from (select *, row_number() over (partition by pair, segment order by c desc, lag) as k from e) where k = 1 and c > 0.15)
         select w.pair, cast(w.delay as integer) as delay, count(*) as segments,
-          round(case when count(*) >= 3 then least(5000e0, greatest(-5000e0, coalesce(regr_slope(lag, (segment * 400 + (segment + 1) * 400) / 2e0), 0) * 1e6)) else 0 end, 6) as drift
+          round(case when count(*) >= 3 then least(5000e0, greatest(-5000e0, coalesce(regr_slope(lag, (segment + 0.5e0) * (n / 5e0)), 0) * 1e6)) else 0 end, 6) as drift
         from g join w on w.pair = g.pair group by all""",
     "aligned_trim": f"with {_PAIR} select a.user_id, count(*) as n, round(sum(a.x * b.x), 6) as xy from a join b on a.user_id = b.user_id and b.i = a.i + a.user_id % 5 - 2 group by 1",
     "local_align_candidates": f"""with {SPECTRA}, t as (select id, a, h, case when h >= 0 then list_concat(b[h + 1:64], b[1:h]) else list_concat(b[65 + h:64], b[1:64 + h]) end as b from p, range(-2, 3) t(h)),
