@@ -62,6 +62,42 @@ def feature_map(spark, d):
     return pair.feature_rows(results, experts)
 
 
+def _damaged(spark, d, scenarios):
+    """The analysis of conversations' first sides against the same with a scenario's damage; the conversation's number
+    deals the scenarios. Dropouts begin at a third of the recording."""
+    sides = _recordings(spark, d).select("pair_id", F.col("ref.samples").alias("samples"))
+    audio = "struct<sample_rate: int, samples: array<double>>"
+
+    def damage(batches):
+        for part in batches:
+            names, pairs = [], ([], [])
+            for number, samples in zip(part["pair_id"], part["samples"], strict=True):
+                family, level, _, steps = scenarios[int(number) % len(scenarios)]
+                x = y = np.asarray(samples, float)
+                for op, arg, more in steps:
+                    y = pair.degrade(y, op, arg, 2000, None if op == "dropout" else more) if len(y) else y
+                names.append(f"{family}/{level:g}/{int(number)}")
+                for side, z in zip(pairs, (x, y), strict=True):
+                    side.append({"sample_rate": 2000, "samples": z.tolist()})
+            yield pd.DataFrame({"pair_id": names, "ref": pairs[0], "deg": pairs[1]})
+
+    return pair.analyse(sides.where("pair_id is not null").mapInPandas(damage, f"pair_id string, ref {audio}, deg {audio}"))
+
+
+def analyze_pair_synthetic(spark, d):
+    """All that an analysis tells, of one damage each, clean material and mixtures."""
+    chosen = {"clean/0", "delay/200", "dropout/320", "dropout_count/3", "noise/40", "lowpass/16000", "clipping/0.92", "attenuation/12", "clock_drift/1000", "time_scale/1", "sample_rate/16000", "mixed/2"}
+    return _damaged(spark, d, [x for x in pair.scenarios(0) if f"{x[0]}/{x[1]:g}" in chosen])
+
+
+def scenario_matrix(spark, d):
+    """All scenarios and compositions, a family's scores against those of clean recordings."""
+    rows = staged(_damaged(spark, d, pair.scenarios()).select(F.split("pair_id", "/")[0].alias("family"), "mos"), "scenarios")
+    clean = rows.where("family = 'clean'").agg(F.avg("mos").alias("clean"))
+    told = [F.count("*").alias("cases"), r6(F.max(F.abs(F.col("mos") - F.col("clean")))).alias("most"), r6(F.min("mos")).alias("low"), r6(F.max("mos")).alias("high")]
+    return rows.join(F.broadcast(clean)).groupBy("family").agg(*told)
+
+
 def rational_resample(spark, d):
     """Conversations' sides at 147 to 160 of their rate, as from 48 to 44.1 kHz: their lengths, levels before and after."""
     sides = _recordings(spark, d).select("pair_id", F.col("ref.samples").alias("x")).withColumn("y", resampled(F.col("x"), 147, 160))
@@ -69,7 +105,7 @@ def rational_resample(spark, d):
     return sides.select("pair_id", F.size("x").alias("before"), F.size("y").alias("after"), level("x").alias("rms"), level("y").alias("rms_after"))
 
 
-QUERIES = {f.__name__: f for f in (advanced_diagnostics, resolution_frames, analyze_recordings, feature_map, rational_resample)}
+QUERIES = {f.__name__: f for f in (advanced_diagnostics, resolution_frames, analyze_recordings, feature_map, analyze_pair_synthetic, scenario_matrix, rational_resample)}
 
 _FRAMES = """t as (
   select conv_id as pair_id, conv_id % 7 - 3 as delay, hex(coalesce(string_agg(text, '' order by turn, text) filter (where role = 'user'), '')) as hu,

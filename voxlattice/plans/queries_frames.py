@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from voxlattice.functions.columns import clamp, db, pearson, quantile_floor
 from voxlattice.operators import packets as P
-from voxlattice.operators import pair
 from voxlattice.operators import signal as S
 from voxlattice.operators.evaluate import condition_means, metrics, r6
 from voxlattice.operators.fusion import BASE
@@ -329,39 +328,6 @@ def wav_decode_roundtrip(spark, d):
     return read(spark, d, "documents").select(F.col("doc_id").alias("recording"), measured(whole).alias("m")).select("recording", "m.*")
 
 
-def _analysed(spark, scenarios):
-    """The analysis of scenarios (family, level, rate, steps), a case a task."""
-    shape = "family string, level double, rate int, steps array<struct<op: string, arg: double, more: double>>"
-    table = spark.createDataFrame(scenarios, shape).repartition(len(scenarios))
-    audio = "struct<sample_rate: int, samples: array<double>>"
-
-    def synthesise(batches):
-        for part in batches:
-            for family, level, rate, steps in part.itertuples(index=False):
-                x = pair.speech_like(rate, 5.0)
-                y = x
-                for step in steps:
-                    y = pair.degrade(y, step["op"], step["arg"], rate, step["more"])
-                made = [{"sample_rate": rate, "samples": z.tolist()} for z in (x, y)]
-                yield pd.DataFrame({"pair_id": [f"{family}/{level:g}"], "ref": made[:1], "deg": made[1:]})
-
-    return pair.analyse(table.mapInPandas(synthesise, f"pair_id string, ref {audio}, deg {audio}"))
-
-
-def analyze_pair_synthetic(spark, d):
-    """All that an analysis tells, of one damage each, clean material and mixtures."""
-    chosen = {"clean/0", "delay/200", "dropout/320", "dropout_count/3", "noise/40", "lowpass/16000", "clipping/0.92", "attenuation/12", "clock_drift/1000", "time_scale/1", "sample_rate/16000", "mixed/2"}
-    return _analysed(spark, [x for x in pair.scenarios(0) if f"{x[0]}/{x[1]:g}" in chosen])
-
-
-def scenario_matrix(spark, d):
-    """All scenarios and compositions, a family's scores against the clean one."""
-    rows = _analysed(spark, pair.scenarios()).withColumn("family", F.split("pair_id", "/")[0])
-    clean = rows.where("family = 'clean'").select(F.col("mos").alias("clean"))
-    told = [F.count("*").alias("cases"), r6(F.max(F.abs(F.col("mos") - F.col("clean")))).alias("most"), r6(F.min("mos")).alias("low"), r6(F.max("mos")).alias("high")]
-    return rows.join(F.broadcast(clean)).groupBy("family").agg(*told)
-
-
 def erb_loudness(spark, d):
     return spectra(spark, d).select("id", F.posexplode(S.erb_loudness(F.col("a"), 64, 16000.0, 8)).alias("band", "loudness")).select("id", "band", r6(F.col("loudness")).alias("loudness"))
 
@@ -422,7 +388,7 @@ QUERIES = {f.__name__: f for f in (
     direct_path_residual, echo_lag_search, echo_quarters, residual_intrusion, level_delta, temporal_similarity, hole_component, transition_lag, freeze_ratio,
     choppiness, packetise_tumbling, packet_dedup_first, late_discard, gap_spine, plc_last_value, loss_accounting, stream_dedup_watermark,
     stream_sliding_frames, stream_plc_state, stream_plc_frames, calibration_kv_parse, csv_manifest_roundtrip, model_json_scan, report_json, result_json_roundtrip,
-    wav_decode_roundtrip, analyze_pair_synthetic, scenario_matrix, erb_loudness, bom_csv_scan, calibration_sink, lab_gates, session_window_users, interval_join_events, except_intersect_ids,
+    wav_decode_roundtrip, erb_loudness, bom_csv_scan, calibration_sink, lab_gates, session_window_users, interval_join_events, except_intersect_ids,
 )}
 
 def _erb_bands(bins: int, rate: float, bands: int) -> str:
