@@ -1,5 +1,6 @@
 """Quality, surrogates, language-model scores and subword ids."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -164,6 +165,52 @@ def test_surrogates_over_a_mixed_corpus(spark):
     assert monkey == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kept", "gone"),
+    [
+        ("Mr. John McDonald met us. John McDonald left. Mr. McDonald too. JOHN MCDONALD!", "Mr. {0} {1} met us. {0} {1} left. Mr. {1} too. {0^} {1^}!", "mcdonald"),
+        ("Dr. John Fitzgerald Kennedy came. John Kennedy and Dr. Kennedy, Mr. Fitzgerald.", "Dr. {0} {1} {2} came. {0} {2} and Dr. {2}, Mr. {1}.", "kennedy"),
+        ("Dr. Mary-Jane O'Brien; Mary-Jane O’Brien's", "Dr. {0} {1}; {0} {1}'s", "brien"),
+        ("Mr. Smith's and Mrs Jones, Dr Pepper, Mr. Smith went", "Mr. {0}'s and Mrs {1}, Dr Pepper, Mr. {0} went", "smith"),
+        ("Mr. John Smith Bob@Mail.org", "Mr. {0} {1} {2}", "bob"),
+        ("Mr. John Smith Mrs. Anna Smith", "Mr. {0} {1} Mrs. {2} {1}", "smith"),
+    ],
+)
+def test_names_of_any_form_are_replaced_everywhere(text, kept, gone):
+    new, _ = rewrite(text, b"k", {})
+    form = re.sub(r"\\\{(\d)\\\}", r"(?P<p\1>[\\w@.]+)", re.escape(kept.replace("^}", "}")), count=0)
+    seen: set[str] = set()
+    parts = []
+    for piece in re.split(r"(\(\?P<p\d>[^)]*\))", form):
+        name = re.match(r"\(\?P<(p\d)>", piece)
+        parts.append(f"(?P={name[1]})" if name and name[1] in seen else piece)
+        seen |= {name[1]} if name else set()
+    assert re.fullmatch("".join(parts), new, re.IGNORECASE), new
+    assert gone not in new.lower()
+    assert ("^" not in kept) or new.split(". ")[-1].rstrip("!").isupper()
+
+
+def test_other_scripts_keys_and_addresses():
+    text = "Mr. 王 小明 和 Mr. Γιώργος Παπαδόπουλος 2001:db8::1 fe80::1 a::b 12::30 +49 30 1234567 sk-abcdefghijklmnop1234 ghp_abcdefghijklmnopqrstuvwxyz0123456789 task-force"
+    new, n = rewrite(text, b"k", {})
+    old, words = text.split(), new.split()
+    assert n == 7 and len(old) == len(words)
+    same = [a == b for a, b in zip(old, words, strict=True)]
+    assert [w for w, s in zip(old, same, strict=True) if s] == ["Mr.", "和", "Mr.", "a::b", "12::30", "+49", "task-force"]
+    assert all("\u4e00" <= c <= "\u9fff" for c in words[1] + words[2]) and all("\u0370" <= c <= "\u03ff" for c in words[5] + words[6])
+    assert words[-3].startswith("sk-") and words[-2].startswith("ghp_") and [len(w) for w in words[-3:]] == [len(w) for w in old[-3:]]
+    assert rewrite(text, b"k", {}) == (new, n) and [k for k, _, _ in find(text)] == [k for k, _, _ in find(new)]
+
+
+def test_names_in_parts_stay_distinct_over_a_corpus(spark):
+    rows = ["Dr. John Fitzgerald Kennedy", "Mr. Kennedy alone", "Mr. 王 小明", "Mr. Γιώργος Παπαδόπουλος", "Mr. John McDonald", "MR. JOHN x Mr. MCDONALD", None, ""]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    new = [r["text"] for r in replace_entities(docs, b"k").orderBy("doc_id").collect()]
+    assert new[0].split()[3] == new[1].split()[1] and new[4].split()[2].upper() == new[5].split()[-1]
+    assert len({new[0].split()[2], new[0].split()[3], new[4].split()[2], *new[2].split()[1:], *new[3].split()[1:]}) == 7
+    assert new[6:] == [None, ""]
+
+
 @pytest.mark.parametrize("few", [100_000, 0])
 def test_crowded_formats_end_and_stay_distinct(spark, monkeypatch, few):
     import voxlattice.llm.surrogates as S

@@ -5,7 +5,9 @@ whole number, which a keyed permutation of all numbers of that size maps to the
 rest. Texts are rewritten in one pass, without a join.
 
 A name is its given name and its surname, each with a surrogate of its own: so "Mr. Smith", "Dr. John Smith" and, once a
-text has named him in full with a title, "John Smith" stay one man, and families keep a common surname. Given names
+text has named him in full with a title, "John Smith" stay one man, and families keep a common surname; so do further
+parts of a name ("John Fitzgerald Kennedy"). A title and one word are a surname; Miss, Sr, Dr and Prof need a dot then.
+Names of a script without a list get letters of that script. Given names
 have a surrogate of the same script and gender. The gender of a full name is what its titles say anywhere in the corpus,
 or else what its given name is known for, or else none (a neutral name); titles that disagree count as none. Names are
 drawn by hash from a list, then, as they collide, from syllables, of which there are more with every draw.
@@ -27,6 +29,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from bisect import bisect
 from functools import lru_cache
 
 import pandas as pd
@@ -69,23 +72,35 @@ ENDINGS = {
 _ALPHABETS = {"d": "0123456789", "x": "0123456789abcdef", "a": "abcdefghijklmnopqrstuvwxyz", "b": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
 
 _TITLE_WORDS = {t.lower(): g for g, titles in TITLES.items() for t in titles}
+#: A part of a name: letters, also joined by hyphens and apostrophes, without a possessive.
+_WORD = r"[^\W\d_]+(?:['’-](?!s\b)[^\W\d_]+)*"
 _TITLED = rf"(?<!\w)(?P<title>{'|'.join(t for titles in TITLES.values() for t in titles)})\.? "
 _PATTERN = re.compile(
     r"(?P<email>(?<![\w.+-])[\w.+-]+@[\w-]+(?:\.[\w-]+)+)"
     r"|(?P<key>\bAKIA[0-9A-Z]{16}\b)"
+    r"|(?P<token>(?<!\w)(?:gh[pousr]_|[spr]k[-_](?:live_|test_|proj-)?)[0-9A-Za-z]{16,}(?!\w))"
     r"|(?P<secret>\b(?i:password|passwd|pwd|token|secret|api_key)(?:\s*[=:]\s*)[\"']?(?P<secret_value>[0-9A-Za-z_\-+/]{8,}))"
     r"|(?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\w+-])(?:\+\d{1,3}[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w))"
+    r"|(?P<intl>(?<![\w+])(?=\+(?:[ .()-]{0,2}\d){8,15}(?![ .-]?\d))\+\d{1,3}(?:[ .-]?\(?\d{2,12}\)?){1,5}(?!\w))"
     r"|(?P<card>(?<![\d.])\d{4}(?:[ -]?\d{4}){3}(?![\d]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
-    r"|(?P<ip6>(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:]))"
-    rf"|(?P<name>{_TITLED}(?P<given>[^\W\d_]+) (?P<surname>[^\W\d_]+)(?!\w))"
+    r"|(?P<ip6>(?<![\w:.])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:])"
+    r"|(?<![\w:.])(?=[a-fA-F:]*\d)(?:[0-9a-fA-F]{4}:|(?:[0-9a-fA-F]{1,4}:){2,6})(?::[0-9a-fA-F]{1,4}){1,6}(?![\w:]))"
+    rf"|(?P<name>{_TITLED}(?P<given>{_WORD}) (?P<surname>{_WORD})(?!\w))"
 )
-KINDS = ("email", "key", "secret", "ip", "phone", "card", "ssn", "iban", "ip6", "name")
-#: Every entity holds or follows one of these, or begins with a title or AKIA; the pattern is tried around them alone.
+KINDS = ("email", "key", "token", "secret", "ip", "phone", "intl", "card", "ssn", "iban", "ip6", "name")
+#: What tells a token's kind, and stays.
+_PREFIX = re.compile(r"gh[pousr]_|[spr]k[-_](?:live_|test_|proj-)?")
+#: A title and one word, and one more word of a name.
+_SHORT = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for titles in TITLES.values() for t in titles)})(?P<dot>\.?) (?P<surname>{_WORD})(?!\w)")
+_NEXT = re.compile(rf" (?P<surname>{_WORD})(?!\w)")
+#: Without a dot, these also stand before words that name nobody.
+_LOOSE = {"Miss", "Sr", "Dr", "Prof"}
+#: Every entity holds or follows one of these, or begins with a title or a key's prefix; the pattern is tried around them alone.
 _SIGN = re.compile(r"[@\d=:]")
-_BEGIN = re.compile(rf"(?:{'|'.join(t for titles in TITLES.values() for t in titles)})\.? (?=(?P<rest>[^\W\d_]+ [^\W\d_]+)?)|AKIA")
+_BEGIN = re.compile(rf"(?:{'|'.join(t for titles in TITLES.values() for t in titles)})\.? (?=(?P<rest>{_WORD} {_WORD})?)|AKIA|gh[pousr]_|(?<!\w)[spr]k[-_]")
 _AROUND = 80
 
 
@@ -98,10 +113,20 @@ def _luhn(digits: str) -> bool:
     return sum(x - 9 * (x > 9) for x in doubled) % 10 == 0
 
 
+def _part(word: str) -> str:
+    """One way to write a part of a name, whatever its case and apostrophes."""
+    return word.replace("’", "'").capitalize()
+
+
+def _upper(word: str) -> bool:
+    """Whether a word can be a name: in a script with case, it begins with a capital."""
+    return not word[0].islower()
+
+
 def canonical(kind: str, match: re.Match) -> str:
     """One text for all ways to write an entity. A template follows a bar where the format is part of the entity."""
     text = match[kind]
-    if kind in ("phone", "card", "ssn"):
+    if kind in ("phone", "intl", "card", "ssn"):
         digits = _digits(text)
         return digits[1:] if kind == "phone" and len(digits) == 11 and digits[0] == "1" else digits
     if kind == "ip":
@@ -111,7 +136,7 @@ def canonical(kind: str, match: re.Match) -> str:
     if kind == "secret":
         return match["secret_value"]
     if kind == "name":
-        return f"{match['given'].capitalize()} {match['surname'].capitalize()}"
+        return f"{_part(match['given'])} {_part(match['surname'])}"
     return text.lower() if kind in ("email", "ip6") else text
 
 
@@ -158,7 +183,7 @@ def find(text: str | None):
     for begin, end in _windows(text) if text else ():
         while match := _PATTERN.search(text, begin, end):
             kind, begin = next(k for k in KINDS if match[k] is not None), match.end()
-            if kind == "name" and not (match["given"][0].isupper() and match["surname"][0].isupper()):
+            if kind == "name" and not (_upper(match["given"]) and _upper(match["surname"])):
                 continue
             if kind == "iban" and not _iban(match["iban"].replace(" ", "")):
                 begin = match.start() + 4  # what follows may be a number of another kind
@@ -166,22 +191,60 @@ def find(text: str | None):
             yield kind, canonical(kind, match), match
 
 
+def titled(text: str | None) -> list[tuple[str, str, re.Match, int, int]]:
+    """(kind, canonical form, match, begin, end) of what find() tells, of further parts of a full name ("surname": each has
+    a surrogate of its own), and of names of a title and one word ("surname")."""
+    out, found = [], list(find(text))
+    for i, (kind, entity, match) in enumerate(found):
+        out.append((kind, entity, match, *match.span()))
+        end, limit = match.end(), found[i + 1][2].start() if i + 1 < len(found) else len(text)
+        while kind == "name" and (more := _NEXT.match(text, end)) and more["surname"][0].isupper() and more["surname"].lower() not in _TITLE_WORDS and more.end() <= limit:
+            end = more.end()
+            out.append(("surname", _part(more["surname"]), more, more.start("surname"), end))
+    spans = iter([(begin, end) for *_, begin, end in out])
+    begin, end = next(spans, (0, -1))
+    for m in _SHORT.finditer(text) if text else ():
+        while 0 <= end <= m.start():
+            begin, end = next(spans, (0, -1))
+        if 0 <= begin < m.end() and end >= 0 or not _upper(m["surname"]) or len(m["surname"]) < 2 or m["surname"].lower() in _TITLE_WORDS:
+            continue
+        if m["dot"] or m["title"] not in _LOOSE:
+            out.append(("surname", _part(m["surname"]), m, *m.span()))
+    return sorted(out, key=lambda x: x[3])
+
+
 def mentions(text: str | None) -> list[tuple[str, str, re.Match, int, int]]:
     """(kind, canonical form, match, begin, end) of all that is replaced, in order. A text that names someone in full with
-    a title also names them without it ("name") or by a title and the surname ("surname")."""
-    out = [(kind, entity, match, *match.span()) for kind, entity, match in find(text)]
-    full = {entity for kind, entity, *_ in out if kind == "name"}
+    a title also names them without it ("name") or by a title and the surname ("surname"), in any case; of a name of more
+    parts, also by the first and the last."""
+    out = titled(text)
+    full: dict[str, str] = {}
+    for i, (kind, entity, _, _, end) in enumerate(out):
+        if kind == "name":
+            full.setdefault(entity, entity)
+            last = None
+            for k, word, m, begin, stop in out[i + 1 :]:
+                if k != "surname" or m.re is not _NEXT or begin != end + 1:
+                    break
+                last, end = word, stop
+            if last:
+                full.setdefault(f"{entity.split(' ')[0]} {last}", entity)
     if not full:
         return out
-    either = lambda words: "|".join(sorted({re.escape(w) for x in words for w in (x, x.upper())}))
-    again = rf"(?P<name>(?<!\w)(?P<given>{either(x.split(' ')[0] for x in full)}) (?P<surname>{either(x.split(' ')[1] for x in full)})(?!\w))"
-    short = rf"{_TITLED}(?P<surname>{either(x.split(' ')[1] for x in full)})(?!\w)"
-    taken = [(begin, end) for *_, begin, end in out]
-    free = lambda m: not any(a < m.end() and m.start() < b for a, b in taken)
-    more = [("name", canonical("name", m), m, *m.span()) for m in re.finditer(again, text) if free(m)]
-    more = [x for x in more if x[1] in full]
-    taken += [(begin, end) for *_, begin, end in more]
-    more += [("surname", m["surname"].capitalize(), m, *m.span()) for m in re.finditer(short, text) if free(m)]
+    either = lambda words: "|".join(sorted({re.escape(w).replace("'", "['’]") for w in words}))
+    given, surname = (either(x.split(" ")[i] for x in full) for i in (0, 1))
+    begins = r"(?=[^\W\d_a-z])"
+    again = rf"(?<!\w){begins}(?P<name>(?P<given>(?i:{given})) {begins}(?P<surname>(?i:{surname})))(?!\w)"
+    short = rf"{_TITLED}{begins}(?P<surname>(?i:{surname}))(?!\w)"
+    taken = sorted((begin, end) for *_, begin, end in out)
+
+    def free(m: re.Match) -> bool:
+        at = bisect(taken, (m.start(), m.start()))
+        return not any(a < m.end() and m.start() < b for a, b in taken[max(0, at - 1) : at + 1])
+
+    more = [("name", full[canonical("name", m)], m, *m.span()) for m in re.finditer(again, text) if canonical("name", m) in full and _upper(m["given"]) and _upper(m["surname"]) and free(m)]
+    taken = sorted([*taken, *((begin, end) for *_, begin, end in more)])
+    more += [("surname", _part(m["surname"]), m, *m.span()) for m in re.finditer(short, text) if _upper(m["surname"]) and free(m)]
     return sorted(out + more, key=lambda x: x[3])
 
 
@@ -253,6 +316,10 @@ def shape(kind: str, entity: str) -> str:
         return f"{_kinds(local)}@{_kinds(first)}{dot}{rest}"
     if kind == "iban":
         return entity[:2] + _kinds(entity[4:])
+    if kind == "intl":
+        return f"{entity[:3]}{len(entity)}"
+    if kind == "token":
+        return _PREFIX.match(entity)[0] + _kinds(entity)
     return _kinds(entity) if kind in ("secret", "ip6") else str(len(entity))
 
 
@@ -267,6 +334,11 @@ def surrogate(kind: str, entity: str, secret: bytes, attempt: int = 0) -> str:
         return _walk(entity, _kinds(local) + "-" + _kinds(first) + "-" * len(dot + rest), key, lambda x: True)
     if kind == "key":
         return _walk(entity, "----" + "u" * 16, key, lambda x: True)
+    if kind == "intl":  # the first digits tell the country
+        return _walk(entity, "---" + "d" * (len(entity) - 3), key, lambda x: True)
+    if kind == "token":
+        fixed = _PREFIX.match(entity).end()
+        return _walk(entity, "-" * fixed + _kinds(entity[fixed:]), key, lambda x: True)
     if kind == "secret":
         if re.fullmatch(r"[0-9a-f]+", entity):
             return _walk(entity, "x" * len(entity), key, lambda x: True)
@@ -293,14 +365,37 @@ def _kinds(text: str) -> str:
     return "".join("d" if c in _ALPHABETS["d"] else "a" if c in _ALPHABETS["a"] else "b" if c in _ALPHABETS["b"] else "-" for c in text)
 
 
-def _script(word: str) -> str:
-    return "cyrillic" if re.search("[а-яё]", word.lower()) else "latin"
+def _script(word: str) -> str | None:
+    """A script with listed names and syllables, or none."""
+    if re.search("[а-яё]", word.lower()):
+        return "cyrillic"
+    return "latin" if any(c.isalpha() and ord(c) < 0x250 for c in word) else None
+
+
+@lru_cache(256)
+def _neighbours(letter: str) -> str:
+    """The letters of a letter's script, about: those of its block, without marks, all small where the script has case."""
+    at = ord(letter)
+    first, size = next(((a, n) for a, n in ((0x4E00, 20902), (0xAC00, 11172)) if a <= at < a + n), (at & ~0x7F, 128))
+    script = unicodedata.name(letter, "").split(" ")[0]
+    found = [c for c in map(chr, range(first, first + size)) if c.isalpha() and c == c.lower() and (size > 128 or unicodedata.normalize("NFD", c) == c and unicodedata.name(c, "").startswith(script))]
+    return "".join(found) or letter
+
+
+def _in_script(word: str, key: bytes, attempt: int) -> str:
+    """A word of as many letters, and one more for every other draw, of the same script."""
+    number, out = int.from_bytes(hmac.digest(key, word.encode(), hashlib.sha512), "big"), []
+    letters = [c for c in word.lower() if c.isalpha()]
+    for c in letters + letters[-1:] * (attempt // 2):
+        number, at = divmod(number, len(_neighbours(c)))
+        out.append(_neighbours(c)[at])
+    return "".join(out).capitalize()
 
 
 def default_gender(name: str) -> str:
     """What a full name's given name is known for: f, m or n."""
     given = name.partition(" ")[0]
-    return next((g for g, names in GIVEN[_script(given)].items() if given in names), "n")
+    return next((g for g, names in GIVEN.get(_script(given), {}).items() if given in names), "n")
 
 
 def _name(kind: str, entity: str, key: bytes, attempt: int) -> str:
@@ -308,6 +403,8 @@ def _name(kind: str, entity: str, key: bytes, attempt: int) -> str:
     syllable more with every draw and an ending of the gender."""
     word, bar, gender = entity.partition("|")
     script = _script(word)
+    if script is None:
+        return _in_script(word, key, attempt) + bar + gender
     number = int.from_bytes(hmac.digest(key, entity.encode(), hashlib.sha256), "big")
     tail = ""
     if kind == "given":
@@ -339,7 +436,7 @@ def _written(kind: str, match: re.Match, new: str) -> str:
     if kind in ("iban", "ip6"):  # spaces and case stay
         each = iter(new)
         return "".join(c if c == " " else n.upper() if c.isupper() and (n := next(each)) else next(each) if not c.isupper() else n for c in text)
-    return _fill(text, new) if kind in ("phone", "card", "ssn") else new
+    return _fill(text, new) if kind in ("phone", "intl", "card", "ssn") else new
 
 
 def _fill(text: str, digits: str) -> str:
@@ -356,12 +453,12 @@ def rewrite(text: str | None, secret: bytes, odd: dict[tuple[str, str], str]) ->
     drawn = lambda kind, entity: _cached(kind, entity, secret, int(odd.get((kind, entity), 0)))
     for kind, entity, match, begin, end in mentions(text):
         if kind in ("name", "surname"):
-            surname = match["surname"].capitalize()
+            surname = _part(match["surname"])
             new = case(match["surname"], drawn("surname", surname))
             begin = match.start("surname")
             if kind == "name":
                 gender = odd.get(("name", entity)) or default_gender(entity)
-                given = drawn("given", f"{match['given'].capitalize()}|{gender}").partition("|")[0]
+                given = drawn("given", f"{_part(match['given'])}|{gender}").partition("|")[0]
                 begin, new = match.start("given"), f"{case(match['given'], given)} {new}"
         else:
             new = _written(kind, match, drawn(kind, entity))
@@ -379,7 +476,7 @@ def entities(docs: DataFrame, text_col: str) -> DataFrame:
     def run(batches):
         seen: set[tuple[str, str, str]] = set()
         for part in batches:
-            new = {(k, e, _TITLE_WORDS[m["title"].lower()] if k == "name" else "") for t in part["text"] for k, e, m in find(t)} - seen
+            new = {(k, e, _TITLE_WORDS[m["title"].lower()] if k == "name" else "") for t in part["text"] for k, e, m, *_ in titled(t)} - seen
             seen = (seen | new) if len(seen) < 50_000 else new
             yield pd.DataFrame(sorted(new), columns=["kind", "entity", "told"])
 
@@ -401,7 +498,7 @@ def replace_entities(docs: DataFrame, secret: bytes, text_col: str = "text", cou
     names = scratch.stage(genders(raw), "names")
     split = F.split("name", " ")
     parts = names.select(F.lit("given").alias("kind"), F.concat_ws("|", split[0], "gender").alias("entity")).unionByName(names.select(F.lit("surname").alias("kind"), split[1].alias("entity")))
-    found = scratch.stage(raw.where("kind != 'name'").select("kind", "entity").unionByName(parts.distinct()), "entities")
+    found = scratch.stage(raw.where("kind != 'name'").select("kind", "entity").unionByName(parts).distinct(), "entities")
     tasks = max(1, -(-found.count() // ENTITIES_A_TASK))
 
     @F.pandas_udf("string")
@@ -442,10 +539,10 @@ def replace_entities(docs: DataFrame, secret: bytes, text_col: str = "text", cou
 def asked(text: str | None) -> set[tuple[str, str]]:
     """What rewrite() may look up for a text."""
     out = set()
-    for kind, entity, match in find(text):
+    for kind, entity, match, *_ in titled(text):
         out.add((kind, entity))
         if kind == "name":
-            out |= {("given", f"{match['given'].capitalize()}|{g}") for g in "fmn"} | {("surname", match["surname"].capitalize())}
+            out |= {("given", f"{_part(match['given'])}|{g}") for g in "fmn"} | {("surname", _part(match["surname"]))}
     return out
 
 
