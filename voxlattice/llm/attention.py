@@ -1,8 +1,9 @@
 """A causal self-attention model of subword ids in numpy: counting, training and scoring.
 
 Each place attends, with trained queries, keys and distance weights, to itself and the places before it. The value of a
-place is the distribution of the token that follows it at that distance: directly, with one token between, or further
-on; it is counted over all training texts. Two more values can be attended to: what follows the last two tokens, for
+place is the distribution of the token that follows it directly or with one token between, counted over all training
+texts; for all places further back, the distribution with three tokens between stands in, whatever their distance. Pairs
+of tokens and cells of their table are kept up to a bound, the most frequent ones; the rest falls back. Two more values can be attended to: what follows the last two tokens, for
 frequent pairs, and what is frequent anywhere, so that nothing has probability zero. A mixture of distributions is one,
 so the probabilities of all tokens sum to one without a softmax over the vocabulary. Rare ids share rows of the model;
 their training counts tell them apart.
