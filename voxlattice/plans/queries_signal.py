@@ -208,7 +208,7 @@ def _drifting(spark, d):
 
 def delay_and_drift(spark, d):
     """The delay of all, and around it that of each fifth where it correlates; their slope over the fifths' middles."""
-    a, b = _drifting(spark, d)
+    a, b = (staged(x, "envelopes") for x in _drifting(spark, d))
     whole = S.best_lag(S.lag_correlation(a.select("pair", "i", "x"), b, ["pair"], _WIDE), ["pair"]).select("pair", F.col("lag").alias("delay"))
     parts = a.withColumn("segment", F.floor(F.col("i") * 5 / F.col("n")).cast("long")).join(whole, "pair")
     shifted = parts.select("pair", "segment", (F.col("i") + F.col("delay")).alias("i"), "x")  # lags count from the delay of all
