@@ -21,3 +21,28 @@ def test_array_measures_are_linear_in_the_array(spark):
     assert got["r"] == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-9)
     assert got["slope"] == pytest.approx(np.polyfit(np.log1p(np.arange(len(a))), np.log(a + 1e-12), 1)[0], abs=1e-9)
     assert got["coloration"] == pytest.approx(np.abs((b - b.mean()) - (a - a.mean())).mean() / 18, abs=1e-9)
+
+
+def test_pairs_are_dealt_over_all_tasks(spark):
+    # Pairs dealt by the key that they are grouped by came in one task, whatever their number.
+    from voxlattice.plans.queries_analysis import _sides
+
+    sides = _sides(spark, "/root/testdata/sf0.001")
+    assert sides.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+
+
+def test_delays_of_envelopes_equal_those_of_a_loop():
+    from voxlattice.operators.pair import delay_bins
+
+    rng = np.random.default_rng(1)
+    for n, m, lags in ((90, 120, range(-300, 301)), (40, 200, range(55, 80)), (300, 290, range(-20, 21)), (5, 5, range(-3, 4)), (0, 9, range(-3, 4))):
+        a, b = rng.random(n), rng.random(m)
+        if m == 290:
+            b[40:] = a[29:279]
+        best, found = -2.0, lags[0]
+        for lag in lags:
+            x, y = a[max(0, -lag) : max(0, m - lag)], b[max(0, lag) :]
+            k = min(len(x), len(y))
+            c = x[:k] @ y[:k] / np.sqrt((x[:k] ** 2).sum() * (y[:k] ** 2).sum()) if k >= 8 else -1.0
+            best, found = (c, lag) if c > best + 1e-13 else (best, found)
+        assert delay_bins(a, b, lags) == (found, pytest.approx(best, abs=1e-12))
