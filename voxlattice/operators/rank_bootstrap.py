@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ MOST = 200
 PRODUCTS = ("tt", "pp", "qq", "tp", "tq")
 #: Partial forms are added up over so many groups before the driver adds those.
 GROUPS = 64
+#: Counts (values x clusters) that a broadcast may hold: 2 MB.
+FEW = 1 << 18
 
 
 def _below(rows: DataFrame, x: str, clusters: int) -> DataFrame:
@@ -46,15 +49,19 @@ def rank_forms(rows: DataFrame, clusters: int) -> tuple[np.ndarray, dict[str, np
     """Rows of each cluster; for t, p, q the sums over a cluster's rows of the counts below [cluster, cluster]; for each
     product the sums of the counts' products [cluster, cluster, cluster]. rows: c (cluster number), t, p, q."""
     rows = staged(rows.groupBy("c", "t", "p", "q").agg(F.count("*").alias("n")), "rank-rows")
+    # The measure of the most values first, while rows are narrow; counts of few values are broadcast, so no row that
+    # carries counts is dealt out again.
+    values = rows.agg(*[F.approx_count_distinct(x).alias(x) for x in "tpq"]).first()
     met = rows
-    for x in "tpq":
-        met = met.join(_below(rows, x, clusters), x)
+    for x in sorted("tpq", key=lambda x: -values[x]):
+        counts = _below(rows, x, clusters)
+        met = met.join(F.broadcast(counts) if values[x] * clusters <= FEW else counts.hint("merge"), x)
 
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((3 + len(PRODUCTS) * clusters, clusters, clusters))
         for part in batches:
-            n, of = part["n"].to_numpy(np.float64), part["c"].to_numpy()
-            below = {x: np.stack(part[f"below_{x}"].to_list()) for x in "tpq"} if len(part) else {}
+            n, of = part["n"].to_numpy().astype(np.float64), part["c"].to_numpy()
+            below = {x: part[f"below_{x}"].flatten().to_numpy().reshape(-1, clusters) for x in "tpq"}
             for c in np.unique(of):
                 at = of == c
                 for k, x in enumerate("tpq"):
@@ -62,13 +69,13 @@ def rank_forms(rows: DataFrame, clusters: int) -> tuple[np.ndarray, dict[str, np
                 for k, (x, y) in enumerate(PRODUCTS):
                     sums[3 + k * clusters + c] += (n[at, None] * below[x][at]).T @ below[y][at]
         if sums.any():
-            yield pd.DataFrame({"part": [sums.tobytes()]})
+            yield pa.RecordBatch.from_pydict({"part": [sums.tobytes()]})
 
     def total(part: pd.DataFrame) -> pd.DataFrame:
         rows = part.sort_values("task")["part"]
         return pd.DataFrame({"part": [np.sum([np.frombuffer(p) for p in rows], axis=0).tobytes()]})
 
-    sent = met.select("c", "n", *[f"below_{x}" for x in "tpq"]).mapInPandas(add, "part binary").withColumn("task", F.spark_partition_id())
+    sent = met.select("c", "n", *[f"below_{x}" for x in "tpq"]).mapInArrow(add, "part binary").withColumn("task", F.spark_partition_id())
     found = sent.withColumn("group", F.pmod("task", F.lit(GROUPS))).groupBy("group").applyInPandas(total, "part binary").collect()
     sums = np.sum([np.frombuffer(r["part"]) for r in found], axis=0).reshape(-1, clusters, clusters) if found else np.zeros((3 + len(PRODUCTS) * clusters, clusters, clusters))
     sizes = np.zeros(clusters)
